@@ -12,22 +12,25 @@ Defined results: null, empty and blank fields are no case; repeated rows are jud
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.llm.linear import Encoder, fit, score
 
 #: most rows of each label and field in the training sample
 SAMPLE = 2500
+#: about as many rows, chosen by the row's hash, are given weak labels at all
+POOL = 120_000
 # Phrases that, as a whole text, weakly label it as residue.
 PHRASES = (
     r"please enable javascript", r"javascript (is disabled|pour fonctionner)", r"n[ée]cessite javascript", r"activar javascript", r"javascript und cookies", r"turn on scripts", r"scripts (required|must be allowed)", r"works best with scripts", r"enable scripting",
-    r"page you requested could not be found", r"link you followed may be broken", r"seite nicht gefunden", r"p[áa]gina no encontrada", r"erreur \d+ ?: une erreur", r"something went wrong on our end", r"service temporarily unavailable", r"bad gateway", r"403 forbidden", r"access denied\. reference", r"too many requests", r"are you a robot", r"checking your browser", r"(store|shop) is currently unavailable", r"shop has been closed", r"domain has expired", r"404 not found nginx",
+    r"page you requested could not be found", r"link you followed may be broken", r"seite nicht gefunden", r"p[áa]gina no encontrada", r"erreur \d+ ?: une erreur", r"something went wrong on our end", r"service temporarily unavailable", r"bad gateway", r"403 forbidden", r"access denied\. reference", r"too many requests", r"are you a robot", r"checking your browser", r"(store|shop) is currently unavailable", r"shop has been closed", r"domain has expired", r"404 not found nginx", r"only held a redirect",
     r"lorem ipsum dolor", r"blindtext", r"texte? [àa] venir", r"texto de ejemplo", r"your (own )?text here", r"description goes here", r"coming soon . copy to follow", r"enter a short summary", r"test product, please ignore", r"sample (title|paragraph)",
 )
 WHOLE = (r"(null|undefined|nan|none|n/a)([\s/–()|-]+(null|undefined|nan|none|n/a))+\)?", r"\[object object\]", r"tbd", r"(asdf\s*)+", r"(x{3,}\s*)+", r"sample title \d+")
@@ -102,18 +105,16 @@ def window_features(w: str) -> list[str]:
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of both classifiers from at most `sample` rows of each field and label of the training hosts."""
-    labelled = rows.filter("part <> 0").select("field_name", "text", weak_label(F.col("text"), F.col("field_name")).alias("y"), slot_label(F.col("text")).alias("slot"), F.xxhash64("text", F.lit("residue")).alias("o")).dropDuplicates(["field_name", "text"])
-    parts = []
-    for field in ("name", "description", "error"):
-        for cond in ("y = 1 and slot = 0", "slot = 1", "y = 0 and slot = 0"):
-            parts.append(labelled.filter(f"field_name = '{field}' and {cond}").orderBy("o").limit(sample))
-    marked = r"[{}\[\]%$#@_«»=]"
-    parts.append(labelled.filter("slot = 0").filter(F.col("text").rlike(marked)).orderBy("o").limit(sample))
-    data = parts[0]
-    for p in parts[1:]:
-        data = data.unionByName(p)
-    data = data.toPandas()
+    """Weights of both classifiers from at most `sample` rows of each field and label of the training hosts.
+
+    The sample is cut by a window limit inside each map task, in one pass over a pool chosen by hash.
+    """
+    n = rows.count()
+    order = F.xxhash64("src_table", "row_id", "field_name", F.lit("residue"))
+    some = rows.filter("part <> 0").withColumn("o", order).filter(F.pmod("o", F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, POOL / max(n, 1))))
+    labelled = some.select("field_name", "text", "o", weak_label(F.col("text"), F.col("field_name")).alias("y"), slot_label(F.col("text")).alias("slot"), F.col("text").rlike(r"[{}\[\]%$#@_«»=]").alias("marked"))
+    kind = Window.partitionBy("field_name", "y", "slot", "marked").orderBy("o")
+    data = labelled.withColumn("at", F.row_number().over(kind)).filter(F.col("at") <= sample).drop("at", "marked", "o").toPandas().drop_duplicates()
     pairs, y = [], []
     for t, f, a, b in zip(data["text"], data["field_name"], data["y"], data["slot"]):
         if a or not b:
