@@ -4,10 +4,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.llm import copies as _copies
-from archivolt.llm import leakage, mixing, residue, survivors, truncation
+from archivolt.llm import leakage, mixing, mojibake, residue, survivors, truncation
 from archivolt.tables import table
 
 
+def _p1(s: SparkSession, d: str):
+    fields = mojibake.text_fields(table(s, d, "product_metadata", "meta_id", "name", "description"), table(s, d, "catalog_entry", "cat_id", "brand"))
+    return fields, mojibake.damaged(fields)
+
+
+def p1_found(s: SparkSession, d: str) -> DataFrame:
+    return _p1(s, d)[1].select("src_table", "row_id", "field_name")
+
+
+def p1_restored(s: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored(*_p1(s, d))
+
+
 def _residue_rows(s: SparkSession, d: str) -> DataFrame:
     return residue.fields(table(s, d, "product_metadata", "meta_id", "url", "name", "description"), table(s, d, "fetch_result", "fetch_id", "original_url", "error"))
 
@@ -82,5 +95,5 @@ def p10_rates(s: SparkSession, d: str) -> DataFrame:
     return truncation.rates(_p10(s, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_validation, p5_found, p5_counts, p7_found, p7_survivors, p8_found, p8_leaks, p9_selection, p9_shares, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_validation, p5_found, p5_counts, p7_found, p7_survivors, p8_found, p8_leaks, p9_selection, p9_shares, p10_found, p10_rates)}
 SQL: dict[str, str] = {}
