@@ -1,7 +1,15 @@
 """Attributes of product listings: brand, model, kind, colour, season and measure.
 
-The wordings of kinds, colours and seasons and the units are fixed lexicons; brands and models are mined
-from the tables (see reference_dictionary) and found with an Aho-Corasick automaton.
+The wordings of kinds, colours and seasons and the units are fixed lexicons; brands are those of the brand
+columns. Reference dictionary build-up: brand-model phrases are mined from trusted listings (those whose slug
+and name, read apart, leave the same phrase), then found with an Aho-Corasick automaton in slug, name and
+description of every listing, where the longest match that is consistent with the listing's brand counts.
+
+The automaton holds at most SHARD phrases at a time; a larger dictionary is split by hash and the listings
+are passed over once per part, so what is broadcast has a bound at any size of the data.
+
+Defined results: null, empty and blank fields tell nothing; a listing without any model phrase has none;
+attributes that no field tells are null.
 """
 
 from __future__ import annotations
@@ -9,13 +17,19 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from archivolt.llm.mojibake import utf8_reading
+from archivolt.session import fits, materialize
 
+#: most phrases in one automaton; most distinct brands
+SHARD, BRANDS = 150_000, 200_000
+ATTRIBUTES = ("brand", "model", "kind", "color", "season", "measure")
 # Wordings of one kind of product.
 KINDS = {
     "ball cap": ("six panel cap", "ball cap", "baseball cap"), "beanie": ("beanie", "knit cap", "watch cap"), "tote": ("tote bag", "tote", "shopper"), "backpack": ("backpack", "rucksack", "day pack"), "duffel": ("duffel bag", "duffel", "duffle bag", "duffle", "holdall"),
@@ -29,7 +43,7 @@ COLORS = {
     "sky": ("sky blue", "sky blu", "sky"), "teal": ("petrol teal", "teal"), "plum": ("plum purple", "plum", "plm"), "mustard": ("mustard yellow", "mustard", "must"), "coral": ("coral pink", "coral", "crl"), "silver": ("silver grey", "silver gray", "silver", "slv"), "lilac": ("lilac", "lilc"), "copper": ("copper brown", "copper", "copr"),
 }
 # Selling phrases and words for whom, which tell products apart in no way.
-PROMO = ("must have", "best seller", "new", "just in", "limited edition", "free shipping", "final sale", "top rated", "exclusive", "premium quality", "back in stock", "deal of the week", "original", "sale", "staff pick")
+PROMO = ("must have", "must be", "best seller", "new", "just in", "limited edition", "free shipping", "final sale", "top rated", "exclusive", "premium quality", "back in stock", "deal of the week", "original", "sale", "staff pick")
 GENDER = ("men s", "women s", "mens", "womens", "men", "women", "male", "female", "ladies", "unisex", "kids", "youth", "all", "m", "w", "u", "k")
 UNITS = {"mm": ("mm", 1.0), "cm": ("mm", 10.0), "m": ("mm", 1000.0), "in": ("mm", 25.4), "ml": ("ml", 1.0), "cl": ("ml", 10.0), "l": ("ml", 1000.0), "liter": ("ml", 1000.0), "liters": ("ml", 1000.0), "litre": ("ml", 1000.0), "litres": ("ml", 1000.0), "fl oz": ("ml", 29.5735), "floz": ("ml", 29.5735), "g": ("g", 1.0), "kg": ("g", 1000.0), "oz": ("g", 28.3495)}
 
@@ -119,16 +133,6 @@ def measure_of(s: str, slug: bool = False) -> str | None:
     return None
 
 
-@dataclass
-class Parsed:
-    brand: str | None = None
-    model: str | None = None
-    kind: str | None = None
-    color: str | None = None
-    season: str | None = None
-    measure: str | None = None
-
-
 def first(values: Iterable[str | None]) -> str | None:
     return next((v for v in values if v), None)
 
@@ -158,3 +162,133 @@ def color_of(text: str) -> str | None:
 def slug_words(slug: str | None) -> str:
     """A slug without the shop's random tail."""
     return re.sub(r"-[a-z0-9]{5}$", "", re.sub(r"[^a-z0-9]+", "-", fold(slug)).strip("-"))
+
+
+def brands_of(*tables: DataFrame) -> list[str]:
+    """The folded brands of the tables' brand columns that occur more than once, or in a column that is clean."""
+    raw = None
+    for t in tables:
+        part = t.select("brand").filter("trim(brand) <> ''").groupBy("brand").agg(F.count("*").alias("n"))
+        raw = part if raw is None else raw.unionByName(part)
+    if not fits(raw, BRANDS):
+        raise ValueError(f"more than {BRANDS} distinct brand values")
+    counts: dict[str, int] = {}
+    for r in raw.toLocalIterator():
+        b = plain(fold(r["brand"])).strip()
+        if b:
+            counts[b] = counts.get(b, 0) + r["n"]
+    return sorted(b for b, n in counts.items() if n > 1)
+
+
+def parse(df: DataFrame, key: str, brands: list[str], *, name: str = "name", slug: str | None = None, description: str | None = None, season: str | None = None) -> DataFrame:
+    """(key, brand, kind, color, season, measure, slug_model, name_model, text): all but the dictionary's model.
+
+    text holds the plain words of slug, name and description, set apart by a mark that no phrase has.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(brands)
+    none = F.lit(None).cast("string")
+    cols = [F.col(key).alias("_k"), F.col(name).alias("name"), F.col("brand"), F.col("color"), F.col(slug).alias("slug") if slug else none.alias("slug"), F.col(description).alias("description") if description else none.alias("description"), F.col(season).alias("season") if season else none.alias("season")]
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ba = automaton((b, b) for b in shared.value)
+        known = set(shared.value)
+        seen = lambda text, a: first(v for _, _, v in hits(a, text))
+        for f in frames:
+            rows = []
+            for k, nm, br, co, sl, de, se in zip(*(f[c] for c in ("_k", "name", "brand", "color", "slug", "description", "season"))):
+                nm, de, sl = fold(nm), fold(de), slug_words(sl)
+                ns, ss = cleaned(nm), cleaned(sl, slug=True)
+                own = plain(fold(br)).strip()
+                brand = own if own in known else None
+                found = brand or seen(ns, ba) or seen(ss, ba) or seen(plain(de), ba) or own or None
+                color = color_of(plain(fold(co))) or color_of(ss) or color_of(ns) or color_of(cleaned(de))
+                rows.append((k, found, seen(ss, KIND) or seen(ns, KIND) or seen(plain(de), KIND), color, season_of(fold(se)) or season_of(nm) or season_of(de), measure_of(nm) or measure_of(sl, slug=True) or measure_of(de), residual(ss, ba) or None, residual(ns, ba) or None, f"{ss}|{ns}|{plain(de)}"))
+            yield pd.DataFrame(rows, columns=["_k", "brand", "kind", "color", "season", "measure", "slug_model", "name_model", "text"])
+
+    out = f"_k {kind}, brand string, kind string, color string, season string, measure string, slug_model string, name_model string, text string"
+    return df.select(*cols).mapInPandas(run, out).withColumnRenamed("_k", key)
+
+
+def reference_dictionary(parsed: DataFrame) -> DataFrame:
+    """(phrase, brands): model phrases of trusted listings with the brands they occur with."""
+    trusted = parsed.filter("slug_model = name_model and kind is not null")
+    return trusted.groupBy(F.col("slug_model").alias("phrase")).agg(F.array_compact(F.collect_set("brand")).alias("brands"))
+
+
+def with_model(parsed: DataFrame, key: str, dictionary: DataFrame) -> DataFrame:
+    """Adds model: the longest dictionary phrase consistent with the brand, found in slug, name or description; else the own phrase."""
+    n = dictionary.count()
+    parts = max(1, -(-n // SHARD))
+    spark, best = parsed.sparkSession, None
+    for i in range(parts):
+        part = dictionary.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == i) if parts > 1 else dictionary
+        shared = spark.sparkContext.broadcast([(r["phrase"], frozenset(r["brands"])) for r in part.toLocalIterator()])
+        best = _scan(parsed, shared) if best is None else best.unionByName(_scan(parsed, shared))
+    if parts > 1:
+        best = best.groupBy(*[c for c in best.columns if c not in ("model", "weight")]).agg(F.max_by("model", F.struct("weight", "model")).alias("model"))
+    return best.drop("weight").withColumn("model", F.coalesce("model", "slug_model", "name_model")).select(key, *ATTRIBUTES)
+
+
+def _scan(parsed: DataFrame, shared) -> DataFrame:
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parsed.drop("text").schema)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a = automaton((p, (p, b)) for p, b in shared.value)
+        for f in frames:
+            models, weights = [], []
+            for text, brand in zip(f["text"], f["brand"]):
+                top, model = 0, None
+                for at, part in enumerate(text.split("|")):
+                    for _, _, (phrase, brands) in hits(a, part):
+                        fits_brand = brand is None or not brands or brand in brands
+                        w = (10_000 if fits_brand else 0) + 1000 * (3 - at) + len(phrase)
+                        if w > top:
+                            top, model = w, phrase
+                models.append(model)
+                weights.append(top)
+            yield f.drop(columns="text").assign(model=models, weight=weights)
+
+    return parsed.mapInPandas(run, f"{schema}, model string, weight int")
+
+
+def signature(alias: str = "") -> Column:
+    """The attributes as one key; null and text never clash."""
+    return F.concat_ws("|", *[F.coalesce(F.col(alias + c), F.lit("")) for c in ATTRIBUTES])
+
+
+def listings(products: DataFrame, brands: list[str]) -> DataFrame:
+    """(meta_id, attributes) of all listings, as a written table."""
+    parsed = materialize(parse(products, "meta_id", brands, slug="slug", description="description", season="era"))
+    return materialize(with_model(parsed, "meta_id", materialize(reference_dictionary(parsed))))
+
+
+def compatible(a: str, b: str, attributes: Iterable[str] = ("brand", "color", "season", "measure")) -> Column:
+    """No attribute of both sides differs."""
+    cond = F.lit(True)
+    for c in attributes:
+        cond = cond & (F.col(f"{a}.{c}").isNull() | F.col(f"{b}.{c}").isNull() | (F.col(f"{a}.{c}") == F.col(f"{b}.{c}")))
+    return cond
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """(meta_id, product): the product's key. Rows with missing attributes join the one full signature they fit, if it is one.
+
+    The comparison runs over distinct signatures of one model and kind, whose number the lexicons bound, never over rows.
+    """
+    sigs = rows.filter("model is not null and kind is not null").select(*ATTRIBUTES).distinct().withColumn("sig", signature())
+    full = sigs.filter("brand is not null and color is not null and season is not null").alias("f")
+    part = sigs.filter("brand is null or color is null or season is null or measure is null").alias("p")
+    pairs = part.join(full, (F.col("p.model") == F.col("f.model")) & (F.col("p.kind") == F.col("f.kind")) & (F.col("p.sig") != F.col("f.sig")) & compatible("p", "f"))
+    # of full signatures that differ only in a missing measure, the measured one counts
+    fit = pairs.groupBy(F.col("p.sig").alias("sig")).agg(F.countDistinct("f.brand", "f.color", "f.season").alias("n"), F.countDistinct("f.measure").alias("m"), F.max_by("f.sig", F.struct(F.col("f.measure").isNotNull(), F.col("f.sig"))).alias("to")).filter("n = 1 and m <= 1")
+    moved = fit.select("sig", "to")
+    # a row may first gain its brand, then its measure
+    again = moved.join(moved.select(F.col("sig").alias("_s"), F.col("to").alias("_t")), F.col("to") == F.col("_s"), "left").select("sig", F.coalesce("_t", "to").alias("to"))
+    return rows.withColumn("sig", signature()).join(again, "sig", "left").select("meta_id", F.when(F.col("model").isNotNull() & F.col("kind").isNotNull(), F.coalesce("to", "sig")).alias("product")).filter("product is not null")
+
+
+def pairs_of(groups: DataFrame) -> DataFrame:
+    """(meta_id_a, meta_id_b): all pairs of a product's rows, as asked for; adaptive execution splits large groups."""
+    a, b = groups.select(F.col("meta_id").alias("meta_id_a"), "product"), groups.select(F.col("meta_id").alias("meta_id_b"), "product")
+    return a.join(b, "product").filter("meta_id_a < meta_id_b").select("meta_id_a", "meta_id_b")

@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.llm import copies as _copies
-from archivolt.llm import leakage, mixing, mojibake, residue, survivors, truncation
+from archivolt.llm import leakage, linkage, mixing, mojibake, products, residue, survivors, truncation
+from archivolt.session import materialize
 from archivolt.tables import table
 
 
@@ -34,6 +35,29 @@ def p3_validation(s: SparkSession, d: str) -> DataFrame:
     return residue.validate(rows, residue.scores(rows))
 
 
+def _listings(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "product_metadata", "meta_id", "slug", "era", "name", "brand", "description", "color")
+
+
+def p4_links(s: SparkSession, d: str) -> DataFrame:
+    """With the confidence of each link."""
+    return linkage.link(_listings(s, d), table(s, d, "sku_product", "sku", "name", "color", "brand", "season"))
+
+
+def p4_found(s: SparkSession, d: str) -> DataFrame:
+    return p4_links(s, d).select("meta_id", "sku")
+
+
+def p6_groups(s: SparkSession, d: str) -> DataFrame:
+    """One row per listing with the key of its product."""
+    rows = _listings(s, d)
+    return products.grouped(products.listings(rows, products.brands_of(rows)))
+
+
+def p6_found(s: SparkSession, d: str) -> DataFrame:
+    return products.pairs_of(materialize(p6_groups(s, d)))
+
+
 def _p5(s: SparkSession, d: str):
     index = _copies.copies(table(s, d, "index_entry", "entry_id", "original_url", "slug"), "entry_id", {"original_url": _copies.address_tuple, "slug": _copies.slug_tuple}, "original_url")
     entities = _copies.copies(table(s, d, "entities", "entity_id", "canonical_url"), "entity_id", {"canonical_url": _copies.address_tuple}, "canonical_url")
@@ -95,5 +119,5 @@ def p10_rates(s: SparkSession, d: str) -> DataFrame:
     return truncation.rates(_p10(s, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_validation, p5_found, p5_counts, p7_found, p7_survivors, p8_found, p8_leaks, p9_selection, p9_shares, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_validation, p4_found, p4_links, p6_found, p6_groups, p5_found, p5_counts, p7_found, p7_survivors, p8_found, p8_leaks, p9_selection, p9_shares, p10_found, p10_rates)}
 SQL: dict[str, str] = {}
