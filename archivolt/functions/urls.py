@@ -284,28 +284,35 @@ def image_model(stem: Column) -> Column:
     return F.when(n.rlike("[-_ ]FEMALE"), "female").when(n.rlike("[-_ ]MALE"), "male").when(n.rlike(r"[-_]F[-_.]") | n.endswith("-F"), "female").when((n.rlike(r"[-_]M[-_.]") | n.endswith("-M")) & male, "male")
 
 
-# Stem classes and the words that name them, in order.
-STEM_CLASSES = (("vocals", "vocal|vox|lead voc|backing voc"), ("drums", "drum|kick|snare|hat|tom|cymbal|overhead"), ("bass", "bass|sub"), ("guitar", "guitar|gtr"), ("keys", "piano|keys|synth|organ|pad"), ("fx", "fx|sfx|riser|impact"))
+# Stem classes and the words that name them, in order; words of released masters; generated names.
+STEM_CLASSES = (
+    ("vocal", r"\b(?:vox|vocal|lead|bg|chorus|adlib|harm|hook|rap|verse)\b"), ("drums", r"\b(?:drum|kick|snare|hat|tom|perc|cymbal|ride|crash|clap|shaker|conga|808kit)\b"), ("bass", r"\b(?:bass|sub|808)\b"),
+    ("guitar", r"\b(?:gtr|guitar|acoustic|elec)\b"), ("keys", r"\b(?:key|keys|piano|rhodes|synth|pad|organ|wurli|wurlitzer)\b"), ("fx", r"\b(?:fx|riser|impact|sweep|noise|whoosh|stinger)\b"),
+)
+MASTER_WORDS = r"(?i)\b(?:master(?:ed|ing)?|final(?:_?mix)?|released?|reference|bounce_final)\b"
+GENERIC_NAMES = r"(?i)^(?:audio\s*track\s*\d+|(?:audio|track|region|bounce|mix|stem|clip)\s*\d+|untitled\s*\d*|new\s+audio\s+file\s*\d*)"
+
+
+def _separated(name: Column) -> Column:
+    return F.regexp_replace(name, r"[_\-.]+", " ")
 
 
 def stem_class(name: Column, classes: tuple = STEM_CLASSES) -> Column:
     """Separators count as blanks; whole words only, so plurals miss."""
-    flat = F.regexp_replace(name, r"[_\-.]+", " ")
     out = F.lit("other")
     for c, words in reversed(classes):
-        out = F.when(flat.rlike(rf"(?i)\b(?:{words})\b"), c).otherwise(out)
+        out = F.when(_separated(name).rlike("(?iU)" + words), c).otherwise(out)
     return out
 
 
-def looks_like_master(name: Column) -> Column:
-    """X32."""
-    return (stem_class(name) == "other") & F.regexp_replace(name, r"[_\-.]+", " ").rlike(r"(?i)\b(?:master|mastered|final mix|mixdown)\b")
+def looks_like_master(stem: Column) -> Column:
+    """A master's word in a name that is no stem's."""
+    return _separated(stem).rlike(MASTER_WORDS) & (stem_class(stem) == "other")
 
 
-def name_score(name: Column) -> Column:
+def name_score(stem: Column) -> Column:
     """X33."""
-    generic = name.rlike(r"(?i)^(?:audio|track|untitled|new recording)[ _-]*\d*(?:\.|$)")
-    return F.when(generic, "generic").when(stem_class(name) != "other", "informative").otherwise("ambiguous")
+    return F.when(F.trim(_separated(stem)).rlike(GENERIC_NAMES), "generic").when(stem_class(stem) != "other", "informative").otherwise("ambiguous")
 
 
 def fetch_failure(error: Column) -> Column:
