@@ -70,8 +70,8 @@ def greedy_assignment(pairs: DataFrame, by: str, left: str, right: str, rank: li
 
     rest, out = materialize(pairs), None
     while not rest.isEmpty():
-        want = rest.groupBy(right).agg(F.min(F.struct(*rank, left)).alias("b"), F.min(by).alias(by)).select(right, by, F.col(f"b.{left}").alias(left))
-        got = materialize(want.groupBy(left).agg(F.min(F.struct(by, right)).alias("b")).select(left, F.col(f"b.{right}").alias(right)))
+        want = rest.groupBy(right).agg(F.min(F.struct(*rank, F.col(left).alias("_l"))).alias("b"), F.min(by).alias("_by")).select(right, "_by", F.col("b._l").alias(left))
+        got = materialize(want.groupBy(left).agg(F.min(F.struct("_by", F.col(right).alias("_r"))).alias("b")).select(left, F.col("b._r").alias(right)))
         out = got if out is None else out.unionByName(got)
         rest = materialize(rest.join(got.select(left), left, "left_anti").join(got.select(right), right, "left_anti"))
     return out if out is not None else pairs.select(left, right)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def capture_line(ts: Column, original: Column, status: Column, mime: Column, archive: str) -> Column:
-    """Five fields by tab, the replay address derived."""
+    """Five fields by tab, the replay address derived; null fields are empty."""
+    ts, original, status, mime = (F.coalesce(c, F.lit("")) for c in (ts, original, status, mime))
     return F.concat_ws("\t", F.concat(F.lit(archive.rstrip("/") + "/web/"), ts, F.lit("/"), original), ts, original, status, mime)
 
 
