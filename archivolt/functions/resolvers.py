@@ -6,6 +6,7 @@ gives a result, in order. Resolvers whose second half asks a network are given b
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -21,8 +22,27 @@ def bare(u: Column) -> Column:
     return F.substring_index(u, "?", 1)
 
 
+def needle(pattern: str) -> str:
+    """The longest text that every match of a pattern without top-level alternatives holds; '' if none is known."""
+    if re.sub(r"\((?:[^()]|\([^()]*\))*\)", "", pattern).count("|"):
+        return ""
+    flat = re.sub(r"\\[dwsDWS]|\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\]", "\x00", pattern)
+    runs, at = [""], 0
+    while at < len(flat):
+        c = flat[at]
+        literal = flat[at + 1] if c == "\\" else c if c not in "\x00.^$*+?{}" else ""
+        step = 2 if c == "\\" else 1
+        if literal and flat[at + step : at + step + 1] in ("?", "*", "{"):
+            literal = ""
+        runs = [*runs[:-1], runs[-1] + literal] if literal else [*runs, ""]
+        at += step
+    return max(runs, key=len)
+
+
 def has(pattern: str) -> Callable[[Column], Column]:
-    return lambda u: u.rlike(pattern)
+    """Tests a pattern, and first the cheap part of it."""
+    n = needle(pattern)
+    return lambda u: (u.contains(n) & u.rlike(pattern)) if len(n) > 3 else u.rlike(pattern)
 
 
 def sub(pattern: str, by: str, keep_query: bool = True) -> Callable[[Column], Column]:
@@ -128,12 +148,13 @@ RESOLVERS: tuple[Resolver, ...] = (
 
 
 def resolved(u: Column) -> Column:
-    """struct(resolver, master) of the first resolver that gives another address; null where none does."""
-    out = F.lit(None).cast("struct<resolver:string,master:string>")
-    for name, cond, rewrite in reversed(RESOLVERS):
-        new = rewrite(u)
-        out = F.when(cond(u) & new.isNotNull() & (new != ""), F.struct(F.lit(name).alias("resolver"), new.alias("master"))).otherwise(out)
-    return out
+    """struct(resolver, master) of the first resolver that gives another address; null where none does.
+
+    Name and result travel as one text, so that each rewrite is evaluated once.
+    """
+    tagged = F.coalesce(*[F.when(cond(u), F.concat(F.lit(name + "|"), F.nullif(rewrite(u), F.lit("")))) for name, cond, rewrite in RESOLVERS])
+    once = F.transform(F.array(tagged), lambda t: F.when(t.isNotNull(), F.struct(F.substring_index(t, "|", 1).alias("resolver"), F.substring(t, F.instr(t, "|") + 1, F.lit(1 << 30)).alias("master"))))
+    return F.element_at(once, 1)
 
 
 def by_table(urls, table, url: str):

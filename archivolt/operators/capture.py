@@ -64,7 +64,7 @@ def product_index(captures: DataFrame, url_rules: list[dict], era_rules: list[di
     demanded by the first rule of the row's type.
     """
     path = F.regexp_replace(urls.percent_decoded(F.substring_index(F.regexp_replace("original_url", "^[A-Za-z]+://[^/?#]*", ""), "?", 1)), r"/+\z", "")
-    typed = captures.filter(~F.col("original_url").rlike(junk)).withColumn("_c", urls.classify(path, url_rules)).filter("_c.slug is not null").withColumn("slug", F.trim("_c.slug")).withColumn("url_type", F.col("_c.url_type")).drop("_c")
+    typed = captures.filter(~F.col("original_url").rlike(junk)).withColumn("_p", path).withColumn("_c", urls.classify(F.col("_p"), url_rules)).filter("_c.slug is not null").withColumn("slug", F.trim("_c.slug")).withColumn("url_type", F.col("_c.url_type")).drop("_c", "_p")
     ok = ~F.col("slug").contains(".") & ~F.col("slug").contains("/") & (F.col("slug") != "") & ~F.col("slug").rlike(junk)
     for t in dict.fromkeys(r["url_type"] for r in url_rules):
         rule = next(r for r in url_rules if r["url_type"] == t)
@@ -84,8 +84,9 @@ def product_index(captures: DataFrame, url_rules: list[dict], era_rules: list[di
 def all_snapshots(captures: DataFrame, slugs: DataFrame, mimes: tuple[str, ...] = ("text/html",)) -> DataFrame:
     """(slug, snapshots) oldest first, of the wanted slugs."""
     path = F.regexp_replace(urls.percent_decoded(F.substring_index(F.regexp_replace("original_url", "^[A-Za-z]+://[^/?#]*", ""), "?", 1)), r"/+\z", "")
-    slug = F.trim(F.when(path.startswith("/products/"), F.substring(path, 11, 1 << 30)).when(path.startswith("/product/"), F.substring(path, 10, 1 << 30)).when(path.contains("/collections/") & path.contains("/products/"), F.substring_index(path, "/products/", -1)))
-    rows = captures.filter((F.col("status") == "200") & F.col("mime").isin(*mimes)).withColumn("slug", slug).filter("slug is not null and slug <> '' and not contains(slug, '.') and not contains(slug, '/')")
+    p = F.col("_p")
+    slug = F.trim(F.when(p.startswith("/products/"), F.substring(p, 11, 1 << 30)).when(p.startswith("/product/"), F.substring(p, 10, 1 << 30)).when(p.contains("/collections/") & p.contains("/products/"), F.substring_index(p, "/products/", -1)))
+    rows = captures.filter((F.col("status") == "200") & F.col("mime").isin(*mimes)).withColumn("_p", path).withColumn("slug", slug).filter("slug is not null and slug <> '' and not contains(slug, '.') and not contains(slug, '/')")
     return rows.join(slugs.select("slug").distinct(), "slug", "left_semi").groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("ts", "replay_url"))).alias("snapshots"))
 
 

@@ -6,10 +6,11 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import urls
+from archivolt.session import materialize
 
 STRONG, FLOOR, RATIO = 5, 0.6, 0.85
 
@@ -66,8 +67,6 @@ def greedy_assignment(pairs: DataFrame, by: str, left: str, right: str, rank: li
     wants it; rows that lost stay for the next round. Rounds run until nothing is left, each a pair of
     aggregations, so no block is gathered in one task.
     """
-    from archivolt.session import materialize
-
     rest, out = materialize(pairs), None
     while not rest.isEmpty():
         want = rest.groupBy(right).agg(F.min(F.struct(*rank, F.col(left).alias("_l"))).alias("b"), F.min(by).alias("_by")).select(right, "_by", F.col("b._l").alias(left))
@@ -80,13 +79,38 @@ def greedy_assignment(pairs: DataFrame, by: str, left: str, right: str, rank: li
 def token_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """(lid, rid, score): the best right key sharing a strong token or with token Jaccard at the floor; the smaller id wins ties.
 
-    Pairs meet on shared tokens; a pair's overlap is a count over them, so token sets are never compared pair by pair.
+    Exact in phases: all pairs of a Jaccard of f or more share one of the rarest tokens of each side (prefix
+    filter), so a row whose best match there reaches f is settled; only the rest goes on to a lower f and
+    last to all strong tokens. Frequent tokens thus make pairs for few rows.
     """
-    a = left.select(F.col("id").alias("lid"), urls.tokens(F.col("key")).alias("t")).select("lid", F.size("t").alias("nl"), F.explode("t").alias("tok"))
-    b = right.select(F.col("id").alias("rid"), urls.tokens(F.col("key")).alias("t")).select("rid", F.size("t").alias("nr"), F.explode("t").alias("tok"))
-    g = a.join(b, "tok").groupBy("lid", "rid", "nl", "nr").agg(F.count("*").alias("shared"), F.max(F.length("tok")).alias("longest"))
-    s = g.withColumn("score", F.col("shared") / (F.col("nl") + F.col("nr") - F.col("shared"))).filter((F.col("longest") >= STRONG) | (F.col("score") >= FLOOR))
-    return s.groupBy("lid").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("rid"))).alias("b")).select("lid", F.col("b.rid").alias("rid"), F.round(-F.col("b.s"), 6).alias("score"))
+    a = left.select(F.col("id").alias("lid"), urls.tokens(F.col("key")).alias("tl"))
+    b = right.select(F.col("id").alias("rid"), urls.tokens(F.col("key")).alias("tr"))
+    seen = materialize(a.select(F.explode("tl").alias("tok")).unionByName(b.select(F.explode("tr").alias("tok"))).groupBy("tok").agg(F.count("*").alias("df")))
+
+    def ranked(d: DataFrame, key: str, t: str) -> DataFrame:
+        each = d.select(key, F.size(t).alias("n"), F.explode(t).alias("tok")).join(seen, "tok")
+        return each.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("df", "tok")))
+
+    def best(s: DataFrame) -> DataFrame:
+        ok = s.filter((F.col("longest") >= STRONG) | (F.col("score") >= FLOOR))
+        return ok.groupBy("lid").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("rid"))).alias("b")).select("lid", F.col("b.rid").alias("rid"), (-F.col("b.s")).alias("score"))
+
+    ra, rb, rest, out = materialize(ranked(a, "lid", "tl")), materialize(ranked(b, "rid", "tr")), a, None
+    for f in (FLOOR, 0.35):
+        inside = lambda r: r.filter(F.col("rank") <= F.col("n") - F.ceil(f * F.col("n")) + 1)  # noqa: B023, E731
+        pairs = inside(ra.join(rest.select("lid"), "lid", "left_semi")).select("lid", "tok").join(inside(rb).select("rid", "tok"), "tok").select("lid", "rid").distinct()
+        both = F.array_intersect("tl", "tr")
+        s = pairs.join(rest, "lid").join(b, "rid").withColumn("shared", both)
+        s = s.select("lid", "rid", F.array_max(F.transform("shared", F.length)).alias("longest"), (F.size("shared") / (F.size("tl") + F.size("tr") - F.size("shared"))).alias("score"))
+        hit = materialize(best(s).filter(F.col("score") >= f))
+        out = hit if out is None else out.unionByName(hit)
+        rest = materialize(rest.join(hit.select("lid"), "lid", "left_anti"))
+    # below the last phase only strong tokens count
+    strong = lambda r, k: r.filter(F.length("tok") >= STRONG).select(k, "tok")
+    some = strong(ra.join(rest.select("lid"), "lid", "left_semi"), "lid").join(strong(rb, "rid"), "tok").select("lid", "rid").distinct()
+    shared = F.size(F.array_intersect("tl", "tr"))
+    s = some.join(rest, "lid").join(b, "rid").select("lid", "rid", F.lit(STRONG).alias("longest"), (shared / (F.size("tl") + F.size("tr") - shared)).alias("score"))
+    return out.unionByName(best(s)).withColumn("score", F.round("score", 6))
 
 
 def close_matches(left: DataFrame, right: DataFrame, cutoff: float = RATIO) -> DataFrame:
