@@ -34,7 +34,7 @@ def description(page: Column) -> Column:
     """The first of three blocks that has text; lines trimmed, empty ones dropped."""
     def block(p: str) -> Column:
         raw = F.regexp_replace(F.regexp_replace(F.regexp_extract(page, p, 1), r"<br\s*/?>", "\n"), r"<[^>]+>", "")
-        lines = F.filter(F.transform(F.split(unescaped(raw), r"\r?\n"), F.trim), lambda x: x != "")
+        lines = F.filter(F.transform(F.split(unescaped(raw), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
         return F.nullif(F.array_join(lines, "\n"), F.lit(""))
 
     return F.coalesce(*[block(p) for p in (r'(?s)<div\s+class="product-single__description\s+rte">\s*(.*?)</div>', r'(?s)<div\s+class="product__description[^"]*"[^>]*>\s*(.*?)</div>', r'(?s)<div\s+class="rte"[^>]*>\s*(.*?)</div>')])
@@ -47,7 +47,7 @@ def color(page: Column) -> Column:
 
 def sizes(page: Column) -> Column:
     """Option labels, distinct in order."""
-    o = F.transform(F.regexp_extract_all(page, F.lit(r"<option\s[^>]*>\s*([A-Z0-9./\- ]+?)\s*</option>"), F.lit(1)), F.trim)
+    o = F.transform(F.regexp_extract_all(page, F.lit(r"<option\s[^>]*>\s*([A-Z0-9./\- ]+?)\s*</option>"), F.lit(1)), lambda x: F.trim(x))
     return F.array_distinct(F.filter(o, lambda x: ~x.isin("", "---")))
 
 
@@ -90,7 +90,7 @@ def links(page: Column) -> Column:
 
 def sitemap_locs(body: Column) -> Column:
     """X46/S25."""
-    return F.transform(F.regexp_extract_all(body, F.lit(r"(?i)<(?:image:)?loc>([^<]+)</(?:image:)?loc>"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(body, F.lit(r"(?i)<(?:image:)?loc>([^<]+)</(?:image:)?loc>"), F.lit(1)), lambda x: F.trim(x))
 
 
 def feed_body(body: Column) -> Column:

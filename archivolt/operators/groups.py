@@ -98,6 +98,6 @@ def escaped(findings: DataFrame, escapes: DataFrame, today: str) -> DataFrame:
     whole = F.coalesce("lines", F.lit("")).isin("", "-", "any", "ANY", "*")
     e = escapes.select("esc_id", "axiom", glob.alias("glob"), whole.alias("whole"), lines.alias("ranges"), "expires")
     f = findings.withColumn("_id", F.monotonically_increasing_id())
-    hit = f.join(e, "axiom").filter(F.regexp_replace("file", r"^\./", "").rlike(F.col("glob")) & (F.col("whole") | F.exists("ranges", lambda r: (F.col("line") >= r["lo"]) & (F.col("line") <= r["hi"]))))
+    hit = f.join(e, "axiom").filter(F.rlike(F.regexp_replace("file", r"^\./", ""), F.col("glob")) & (F.col("whole") | F.exists("ranges", lambda r: (F.col("line") >= r["lo"]) & (F.col("line") <= r["hi"]))))
     best = hit.withColumn("status", F.when(F.lit(today) > F.col("expires"), "expired").otherwise("suppressed")).groupBy("_id").agg(F.max(F.struct("status", "esc_id")).alias("b"))
     return f.join(best, "_id", "left").select(*findings.columns, F.col("b.status").alias("status"), F.col("b.esc_id").alias("esc_id"))

@@ -96,7 +96,7 @@ def sections(lines: DataFrame, order: str, column: str = "value", header: str =
 
 def escape_table(lines: DataFrame, column: str = "value") -> DataFrame:
     """Rows of a pipe table with a rule name and a possible date; all others are ignored."""
-    p = F.transform(F.split(column, r"\|"), F.trim)
+    p = F.transform(F.split(column, r"\|"), lambda x: F.trim(x))
     t = lines.filter(F.size(p) >= 7).select(p[1].alias("esc_id"), F.replace(p[2], F.lit("`"), F.lit("")).alias("target"), p[3].alias("axiom"), p[4].alias("lines"), p[5].alias("expires"))
     ok = F.col("axiom").rlike("^ELA_[0-9]{3}$") & F.col("expires").rlike(r"^\d{4}-\d\d-\d\d$") & F.substring("expires", 6, 2).try_cast("int").between(1, 12) & F.substring("expires", 9, 2).try_cast("int").between(1, 31)
     return t.filter(ok)
