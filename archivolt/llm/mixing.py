@@ -58,12 +58,18 @@ def fill(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     part = budget / total if total else 0
     take = [int(c * part) for c in counts]
     rest = budget - sum(n * k for n, k in zip(lengths, take))
-    # bring the rest down to a few documents' length, the longest first
+    # the rest shall be 8 to 12 of the longest documents: enough room for the search, bounded at any size
+    most = max(lengths)
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        while rest > 4 * lengths[i] and take[i] < counts[i] and rest > 4 * max(lengths):
-            k = min(counts[i] - take[i], max(1, (rest - 4 * max(lengths)) // lengths[i]))
+        if rest > 12 * most and lengths[i]:
+            k = min(counts[i] - take[i], (rest - 10 * most) // lengths[i])
             take[i] += k
             rest -= k * lengths[i]
+    for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
+        if rest < 8 * most and lengths[i]:
+            k = min(take[i], -(-(8 * most - rest) // lengths[i]))
+            take[i] -= k
+            rest += k * lengths[i]
     # bounded knapsack: bit s of reach is set if some choice sums to s; counts in powers of two
     items = []
     for i, (n, c) in enumerate(zip(lengths, counts)):

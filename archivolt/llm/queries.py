@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.llm import copies as _copies
+from archivolt.llm import oracle as _oracle
 from archivolt.llm import leakage, linkage, mixing, mojibake, products, residue, survivors, truncation
 from archivolt.session import materialize
 from archivolt.tables import table
@@ -120,4 +121,4 @@ def p10_rates(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_validation, p4_found, p4_links, p6_found, p6_groups, p5_found, p5_counts, p7_found, p7_survivors, p8_found, p8_leaks, p9_selection, p9_shares, p10_found, p10_rates)}
-SQL: dict[str, str] = {}
+SQL = _oracle.SQL
