@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from archivolt.functions.urls import append_param, percent_decoded, shop_size_stripped, strip_params
+from archivolt.functions.urls import append_param, percent_decoded, strip_params
 
 Resolver = tuple[str, Callable[[Column], Column], Callable[[Column], Column]]
 IMG = r"\.(?:jpe?g|png|webp|gif|tiff?|avif)"
@@ -59,12 +59,21 @@ def _with_query(query: str) -> Callable[[Column], Column]:
     return lambda u: F.concat(bare(u), F.lit("?" + query))
 
 
+# Names of transforms that may lead the path of an uploaded image.
+TRANSFORMS = "w|h|c|f|q|g|e|l|o|r|t|x|y|z|ar|bo|co|dl|dn|du|dpr|fl|fn|if|ki|pg|sp|so|vc"
+
+
 def _cloudinary(u: Column) -> Column:
-    rest = F.regexp_extract(u, r"/image/upload/([^?]*)", 1)
-    # leading segments of transforms: two letters or one, '_', a value; several by commas
-    kept = F.regexp_replace(rest, r"^(?:[a-z]{1,3}_[^/,]+(?:,[a-z]{1,3}_[^/,]+)*/)+", "")
-    out = F.concat(F.regexp_extract(u, r"^(.*?/image/upload/)", 1), kept, F.when(kept.rlike(r"\.\w{2,4}$"), F.lit("")).otherwise(F.lit(".png")))
-    return F.concat(out, F.when(u.contains("?"), F.concat(F.lit("?"), F.substring_index(u, "?", -1))).otherwise(F.lit("")))
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_extract(u, r"/image/upload/([^?]*)", 1), "/+", "/"), "^/|/$", "")
+    kept = F.regexp_replace(rest, rf"^(?:(?:[^/]*,[^/]*|s--[^/]*|(?:{TRANSFORMS})_[^/]*)/)+", "")
+    out = F.concat(F.regexp_extract(u, r"^(.*?/image/upload/)", 1), kept, F.when(F.lower(kept).rlike(r"\.(jpg|jpeg|png|tif|tiff|webp|gif|avif|heic)$"), F.lit("")).otherwise(F.lit(".png")))
+    return F.concat(out, F.when(u.contains("?"), F.concat(F.lit("?"), F.substring(u, F.instr(u, "?") + 1, F.lit(1 << 30)))).otherwise(F.lit("")))
+
+
+def _mzstatic(u: Column) -> Column:
+    thumb = F.regexp_extract(u, r"/image/thumb/(.+)/\d+x\d+[a-z]*(?:-\d+)?\.\w+", 1)
+    origin = F.regexp_extract(bare(u), r"^https?://a\d+\.mzstatic\.com/[a-z]{2}/r\d+/\d+/(.+)$", 1)
+    return F.concat(F.lit("https://is1-ssl.mzstatic.com/image/thumb/"), F.when(thumb != "", thumb).otherwise(origin), F.lit("/10000x10000.png"))
 
 
 def _squarespace(u: Column) -> Column:
@@ -72,14 +81,14 @@ def _squarespace(u: Column) -> Column:
 
 
 def _goat(u: Column) -> Column:
-    c = F.replace(bare(u), F.lit("/transform/v1"), F.lit(""))
-    c = F.regexp_replace(c, r"^(https?://image\.goat\.com/)(?:[^/]+/){1,2}(attachments/)", "$1$2")
-    return F.when(c.contains("/attachments/"), F.regexp_replace(c, r"/(grid|medium|large)/", "/original/"))
+    c = F.replace(bare(u), F.lit("/transform/v1/"), F.lit("/"))
+    slot = r"^(https?://image\.goat\.com)/(?:[a-z0-9-]+/)?(?:[0-9]+/)?(attachments/.*)$"
+    return F.when(c.rlike(slot), F.regexp_replace(F.regexp_replace(c, slot, "$1/$2"), r"/(?:grid|medium|large)/([^/]+)$", "/original/$1"))
 
 
 def _hypbst(u: Column) -> Column:
     inner = percent_decoded(F.regexp_extract(u, r"image-cdn\.hypb\.st/(https?%3A%2F%2F[^?]+)", 1))
-    return F.when(inner.contains("/media/image/"), inner).otherwise(_with_query("q=100&w=9999")(u))
+    return F.when(inner.rlike(r"^http.*s3\.store\.hypebeast\.com/media/image/"), inner).otherwise(_with_query("q=100&w=9999")(u))
 
 
 def _reddit(u: Column) -> Column:
@@ -91,7 +100,8 @@ def _reddit(u: Column) -> Column:
 
 def _shop(u: Column) -> Column:
     v = F.regexp_extract(u, r"[?&](v=[^&]+)", 1)
-    return F.concat(shop_size_stripped(bare(u)), F.lit("?"), F.when(v != "", F.concat(v, F.lit("&"))).otherwise(F.lit("")), F.lit("format=png"))
+    name = F.regexp_replace(F.regexp_replace(bare(u), r"_(?:pico|icon|thumb|small|compact|medium|large|grande)(\.[A-Za-z0-9]+)$", "$1"), r"_\d+x\d+(\.[A-Za-z0-9]+)$", "$1")
+    return F.concat(name, F.lit("?"), F.when(v != "", F.concat(v, F.lit("&"))).otherwise(F.lit("")), F.lit("format=png"))
 
 
 def _no_op(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
@@ -103,7 +113,7 @@ RESOLVERS: tuple[Resolver, ...] = (
     ("r01", has(r"/_next/image\?"), _embedded),
     ("r02", has(r"/\.netlify/images\?"), _embedded),
     ("r03", has(r"substackcdn\.com/image/fetch/"), lambda u: percent_decoded(F.regexp_extract(u, r"/image/fetch/.*?(https?(?:%3A|:)[^?]*)", 1))),
-    ("r04", has(r"playboy\.com/wp-content/uploads/.*[a-f0-9]{8}-[a-f0-9-]{27}"), sub(r"^https?://[^/]+/wp-content/uploads/(.*?)(?:-\d+x\d+|-\d)?\.\w+$", "https://storage.googleapis.com/uploads/$1.jpg", False)),
+    ("r04", has(r"playboy\.com/wp-content/uploads/(?:[^?]*/)?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}_\d+x\d+[^/]*$"), lambda u: F.concat(F.lit("https://substack-post-media.s3.amazonaws.com/public/images/"), F.regexp_extract(bare(u), r"/([0-9a-f]{8}-[0-9a-f-]{27}_\d+x\d+)[^/]*$", 1), F.lit(".jpeg"))),
     ("r05", has(r"//i[0-9]\.wp\.com/"), sub(r"^https?://i[0-9]\.wp\.com/", "https://", False)),
     ("r06", has(rf"//(?:www\.)?(?:rollingstone|variety|billboard|wwd|deadline|hollywoodreporter)\.com/wp-content/uploads/.*{IMG}\?"), bare),
     ("r07", has(rf"/wp-content/uploads/.*{IMG}"), _no_op(sub(rf"(?:-scaled|-e\d{{10,}}|-\d+x\d+)+({IMG})$", "$1", False))),
@@ -112,26 +122,27 @@ RESOLVERS: tuple[Resolver, ...] = (
     ("r11", has(r"images\.wsj\.net/im-"), lambda u: append_param(bare(u), "width", "10000")),
     ("r12", has(r"//media\.[^/]*\.com/photos/"), sub(r"(/photos/[^/]+)/[^/]+/[^/]+/", "$1/master/pass/")),
     ("r13", has(r"//lh\d*\.googleusercontent\.com/"), lambda u: F.concat(F.substring_index(u, "=", 1), F.lit("=s0"))),
-    ("r14", has(r"//pbs\.twimg\.com/"), lambda u: append_param(strip_params(u, ("name",)), "name", "orig")),
+    ("r14", has(r"pbs\.twimg\.com"), lambda u: F.when(u.contains("name="), F.regexp_replace(u, "name=[^&]*", "name=orig")).otherwise(append_param(u, "name", "orig"))),
     ("r15", has(r"//i\.pinimg\.com/"), sub(r"/\d+x\d*/", "/originals/")),
     ("r16", has(r"//preview\.redd\.it/[^/]+$"), _reddit),
     ("r18", has(r"//s\.hdnux\.com/photos/"), _no_op(sub(r"/[^/]+$", "/rawImage.jpg", False))),
-    ("r19", has(r"//cache\.(?:mrporter|net-a-porter)\.com/"), lambda u: F.when(u.rlike(r"/w\d+_q\d+\."), F.regexp_replace(u, r"/w\d+_q\d+\.", "/w2000_q60.")).otherwise(F.regexp_replace(u, r"_(?:xs|s|m|l|xl|xxl|pp|\d+)(\.\w+)$", "_2000$1"))),
+    ("r19", has(r"cache\.(?:mrporter|net-a-porter)\.com/(?:.*variants/images/|images/products/[^/]+/[^/]+_(?:tn|sm|md|lg|xl|xxl|\d+)\.(?:jpg|jpeg|webp|png)(?:\?|$))"), lambda u: F.when(u.contains("/variants/images/"), F.regexp_replace(u, r"/w\d+_q\d+\.", "/w2000_q60.")).otherwise(F.regexp_replace(u, r"_(?:tn|sm|md|lg|xl|xxl|\d+)\.(jpg|jpeg|webp|png)", "_2000.$1"))),
     ("r20", has(r"/image/upload/"), _no_op(_cloudinary)),
-    ("r21", has(r"ucarecdn\.com/.*/-/"), lambda u: F.concat(F.substring_index(u, "/-/", 1), F.lit("/"))),
+    ("r21", has(r"ucarecdn\.com.*/-/"), lambda u: F.substring_index(u, "/-/", 1)),
     ("r22", has(r"storyblok\.com/"), _no_op(sub(r"/m/.*$", ""))),
     ("r23", has(r"media\.tumblr\.com/"), _no_op(sub(r"/s\d+x\d+[^/]*/", "/"))),
     ("r24", has(r"//(?:freight\.cargo\.site|cortex\.persona\.co)/.*/i/"), sub(r"^(https?://[^/]+)/.*?(/i/.*)$", "$1/t/original$2")),
     ("r25", has(r"//i\.imgur\.com/"), _no_op(sub(r"[sbtmlh](\.\w+)$", "$1", False))),
     ("r27", has(r"cargocollective\.com/"), _no_op(sub(r"_\d+(?:_c)?(\.\w+)$", "$1"))),
+    ("r31", has(r"skims(?:-sanity)?\.imgix\.net/.*\?"), bare),
     ("r29", has(r"\.imgix\.net/.*\?"), bare),
     ("r30", has(r"//imgix\.bustle\.com/"), _with_query("q=100")),
     ("r32", has(r"//(?:images\.stockx\.com|stockx\.imgix\.net)/"), lambda u: F.regexp_replace(bare(u), r"^https?://[^/]+", "https://stockx.imgix.net")),
     ("r33", has(r"//cdn\.sanity\.io/.*\?"), bare),
     ("r34", has(r"//images\.ctfassets\.net/.*\?"), bare),
-    ("r35", has(r"//cdn\.shopify\.com/s/files/\d|/cdn/shop/(?:products|files)/"), _shop),
-    ("r36", has(r"[?&](?:im|imwidth)="), lambda u: strip_params(u, ("im", "imwidth", "imheight", "impolicy", "imdensity", "wid", "hei"))),
-    ("r37", has(r"[?&](?:width|height|format|quality|fit)=.*&(?:width|height|format|quality|fit)="), lambda u: strip_params(u, ("width", "height", "format", "quality", "fit", "auto"))),
+    ("r35", has(r"cdn\.shopify\.com/s/files/\d+/|/cdn/shop/(?:products|files)/"), _no_op(_shop)),
+    ("r36", has(r"im(?:width)?="), _no_op(lambda u: strip_params(u, ("im", "imwidth", "imheight", "imbypass", "imformat", "imquality", "impolicy")))),
+    ("r37", lambda u: sum((u.contains(k + "=").cast("int") for k in ("width", "height", "format", "quality", "fit")), F.lit(0)) >= 2, _no_op(lambda u: strip_params(u, ("width", "height", "format", "quality", "fit", "crop")))),
     ("r38", has(r"\.b-cdn\.net/.*\?"), bare),
     ("r39", has(r"\.sirv\.com/.*\?"), bare),
     ("r40", has(r"//image-cdn\.hypb\.st/"), _hypbst),
@@ -142,7 +153,7 @@ RESOLVERS: tuple[Resolver, ...] = (
     ("r45", has(r"/media-library/.*[?&]id=\d+"), lambda u: F.concat(F.lit("https://assets.rbl.ms/"), F.regexp_extract(u, r"[?&]id=(\d+)", 1), F.lit("/origin."), F.regexp_extract(bare(u), r"\.(\w+)$", 1))),
     ("r46", has(r"//(?:images\.squarespace-cdn\.com|static1\.squarespace\.com)/"), _squarespace),
     ("r47", has(r"//image\.goat\.com/"), _no_op(_goat)),
-    ("r48", has(r"\.mzstatic\.com/image/"), sub(r"/[^/]+\.\w+$", "/10000x10000.png", False)),
+    ("r48", has(r"^https?://(?:is\d+(?:-ssl)?\.mzstatic\.com/image/thumb/.+/\d+x\d+[a-z]*(?:-\d+)?\.(?:jpe?g|png|tiff?|webp|bmp)(?:[?#].*)?$|a\d+\.mzstatic\.com/[a-z]{2}/r\d+/\d+/.+\.(?:jpe?g|png|tiff?|webp|bmp)(?:[?#].*)?$)"), _mzstatic),
     ("r49", has(rf"{IMG}\?"), bare),
 )
 

@@ -13,7 +13,8 @@ BAD_MIMES = ("application/javascript", "text/javascript", "text/css", "image/png
 JUNK = (r"/robots\.txt", r"/favicon\.ico", "/apple-touch-icon", r"/\.well-known/", r"/manifest\.json", "/cdn-cgi/", "/__cf_chl_", "/checkouts", "/checkout/", "/cart$", "/account/", "/admin/", "/wpm@", "/sandbox/", "/monorail/", "/web-pixels", "/gtag/", "/analytics", "/_vercel/", "/shopifycloud/", "/password$", "/payments/", "/csp-report", "/apple-app-site", r"/search(\?|$)", "%22", "%3[CcEe]", "%7[Bb]", "%5[Bb]", "%0[Aa]", "undefined", ":productId", r"\[insert")
 STATIC = r"(?i)\.(js|css|map|woff2?|ttf|eot|svg|png|jpe?g|gif|webp|ico|mp4|mp3|avif|bmp)(\?|$)"
 VARIANT_NOISE = r"/variants/\d+/?\?section_id=store-availability"
-MULTIPART = ("co.uk", "com.au", "co.jp", "myshopify.com")
+# Endings of several parts under which names are registered.
+MULTIPART = ("co.uk", "co.jp", "co.nz", "co.za", "co.kr", "com.au", "com.br", "com.mx", "com.cn", "com.sg", "com.hk", "com.tr", "myshopify.com")
 UUID = r"_[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}"
 NAMED = r"_(?:grande|medium|small|large|compact|master|pico|icon|thumb)"
 

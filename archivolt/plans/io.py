@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivolt.functions import pages, resolvers, scalars, urls
+from archivolt.functions import pages, scalars, urls
 from archivolt.operators import catalog
 from archivolt.plans._base import Registry
 from archivolt.plans.functions import folder
@@ -240,11 +240,6 @@ def r28(s, d):
     return _slugs(s, d).select("slug", urls.shop_size_stripped(F.concat(L("https://cdn.shopify.com/x/"), "slug", L("_grande.jpg"))).alias("master"))
 
 
-@R.query("r31_listed_hosts", f"select slug, 'https://img.skims.imgix.net/' || slug || '.jpg' as master from {_SLUGS}")
-def r31(s, d):
-    return _slugs(s, d).select("slug", resolvers.bare(F.concat(L("https://img.skims.imgix.net/"), "slug", L(".jpg?w=4"))).alias("master"))
-
-
 # ---- state, merges, guards
 @R.query("t02_resumed_stream", "select count(*) as n from events")
 def t02(s, d):

@@ -13,7 +13,7 @@ CASES = (
     ("r01_nextjs", "https://a.example/_next/image?url=%2Fimg%2F{s}.jpg&w=640", "https://a.example/img/{s}.jpg"),
     ("r02_netlify", "https://a.example/.netlify/images?url=https%3A%2F%2Fb.example%2F{s}.png&w=9", "https://b.example/{s}.png"),
     ("r03_fetch_proxy", "https://substackcdn.com/image/fetch/w_200,f_auto/https%3A%2F%2Fb.example%2F{s}.png", "https://b.example/{s}.png"),
-    ("r04_bucket", "https://www.playboy.com/wp-content/uploads/2020/" + UUID + "-300x200.webp", "https://storage.googleapis.com/uploads/2020/" + UUID + ".jpg"),
+    ("r04_bucket", "https://www.playboy.com/wp-content/uploads/2020/" + UUID + "_800x600-300x200.webp", "https://substack-post-media.s3.amazonaws.com/public/images/" + UUID + "_800x600.jpeg"),
     ("r05_photon", "https://i2.wp.com/b.example/{s}.jpg?resize=300", "https://b.example/{s}.jpg"),
     ("r06_publisher", "https://variety.com/wp-content/uploads/2020/{s}.jpg?w=300", "https://variety.com/wp-content/uploads/2020/{s}.jpg"),
     ("r07_wp_uploads", "https://b.example/wp-content/uploads/{s}-300x200.jpg", "https://b.example/wp-content/uploads/{s}.jpg"),
@@ -26,9 +26,9 @@ CASES = (
     ("r15_pinimg", "https://i.pinimg.com/236x/ab/{s}.jpg", "https://i.pinimg.com/originals/ab/{s}.jpg"),
     ("r16_preview", "https://preview.redd.it/{s}-v0-abcdefgh12.png?width=640", "https://i.redd.it/abcdefgh12.png"),
     ("r18_raw_image", "https://s.hdnux.com/photos/1/2/{s}/960x0.webp", "https://s.hdnux.com/photos/1/2/{s}/rawImage.jpg"),
-    ("r19_wide", "https://cache.net-a-porter.com/{s}/w300_q65.jpg", "https://cache.net-a-porter.com/{s}/w2000_q60.jpg"),
+    ("r19_wide", "https://cache.net-a-porter.com/variants/images/{s}/w300_q65.jpg", "https://cache.net-a-porter.com/variants/images/{s}/w2000_q60.jpg"),
     ("r20_cloudinary", "https://res.b.example/d/image/upload/w_200,c_fill/f_auto/v12/{s}.jpg", "https://res.b.example/d/image/upload/v12/{s}.jpg"),
-    ("r21_uploadcare", "https://ucarecdn.com/{s}/-/resize/200x/", "https://ucarecdn.com/{s}/"),
+    ("r21_uploadcare", "https://ucarecdn.com/{s}/-/resize/200x/", "https://ucarecdn.com/{s}"),
     ("r22_storyblok", "https://a.storyblok.com/f/1/{s}.jpg/m/200x0", "https://a.storyblok.com/f/1/{s}.jpg"),
     ("r23_tumblr", "https://64.media.tumblr.com/{s}/s640x960/a.jpg", "https://64.media.tumblr.com/{s}/a.jpg"),
     ("r24_cargo", "https://freight.cargo.site/w/1000/i/{s}.jpg", "https://freight.cargo.site/t/original/i/{s}.jpg"),
@@ -36,22 +36,23 @@ CASES = (
     ("r27_cargocollective", "https://payload.cargocollective.com/{s}_670_c.jpg", "https://payload.cargocollective.com/{s}.jpg"),
     ("r29_imgix", "https://b.imgix.net/{s}.jpg?w=200", "https://b.imgix.net/{s}.jpg"),
     ("r30_imgix_quality", "https://imgix.bustle.com/{s}.jpg?w=200", "https://imgix.bustle.com/{s}.jpg?q=100"),
+    ("r31_listed_hosts", "https://skims.imgix.net/{s}.jpg?w=4", "https://skims.imgix.net/{s}.jpg"),
     ("r32_stockx", "https://images.stockx.com/{s}.png?w=10", "https://stockx.imgix.net/{s}.png"),
     ("r33_sanity", "https://cdn.sanity.io/images/p/{s}.png?w=10", "https://cdn.sanity.io/images/p/{s}.png"),
     ("r34_contentful", "https://images.ctfassets.net/p/{s}.png?w=10", "https://images.ctfassets.net/p/{s}.png"),
-    ("r35_shop", "https://cdn.shopify.com/s/files/1/0/{s}_200x.jpg?v=7", "https://cdn.shopify.com/s/files/1/0/{s}.jpg?v=7&format=png"),
+    ("r35_shop", "https://cdn.shopify.com/s/files/1/0/{s}_200x200.jpg?v=7", "https://cdn.shopify.com/s/files/1/0/{s}.jpg?v=7&format=png"),
     ("r36_akamai", "https://b.example/{s}.bin?imwidth=200&k=1", "https://b.example/{s}.bin?k=1"),
     ("r37_fastly", "https://b.example/{s}.bin?width=10&quality=5&k=1", "https://b.example/{s}.bin?k=1"),
     ("r38_bunny", "https://z.b-cdn.net/{s}.jpg?width=2", "https://z.b-cdn.net/{s}.jpg"),
     ("r39_sirv", "https://z.sirv.com/{s}.jpg?w=2", "https://z.sirv.com/{s}.jpg"),
-    ("r40_embedded_store", "https://image-cdn.hypb.st/https%3A%2F%2Fb.example%2Fmedia%2Fimage%2F{s}.jpg?w=1", "https://b.example/media/image/{s}.jpg"),
+    ("r40_embedded_store", "https://image-cdn.hypb.st/https%3A%2F%2Fs3.store.hypebeast.com%2Fmedia%2Fimage%2F{s}.jpg?w=1", "https://s3.store.hypebeast.com/media/image/{s}.jpg"),
     ("r41_resizer", "https://b.example/resizer/{s}.bin?auth=1&width=2", "https://b.example/resizer/{s}.bin?auth=1&width=2&imbypass=true"),
     ("r42_impolicy", "https://img.nbc.com/{s}.jpg?impolicy=small", "https://img.nbc.com/{s}.jpg?impolicy=original"),
     ("r43_impolicy_strict", "https://is4.fwrdassets.com/images/p/fw/z/{s}.jpg?x=1", "https://is4.fwrdassets.com/images/p/fw/z/{s}.jpg?impolicy=original"),
     ("r44_rendition_folder", "https://is4.revolveassets.com/images/p4/n/d/{s}.jpg", "https://is4.revolveassets.com/images/p4/n/z/{s}.jpg?impolicy=original"),
     ("r45_media_library", "https://b.example/media-library/{s}.jpg?id=123&width=4", "https://assets.rbl.ms/123/origin.jpg"),
     ("r46_squarespace", "https://images.squarespace-cdn.com/c/{s}.jpg?format=100w&k=1", "https://images.squarespace-cdn.com/c/{s}.jpg?k=1&format=original"),
-    ("r47_transform", "https://image.goat.com/transform/v1/attachments/grid/{s}.png?width=3", "https://image.goat.com/attachments/original/{s}.png"),
+    ("r47_transform", "https://image.goat.com/transform/v1/375/attachments/grid/{s}.png?width=3", "https://image.goat.com/attachments/original/{s}.png"),
     ("r48_thumb", "https://is1-ssl.mzstatic.com/image/thumb/{s}/200x200bb.jpg", "https://is1-ssl.mzstatic.com/image/thumb/{s}/10000x10000.png"),
     ("r49_generic", "https://b.example/{s}.jpg?w=3", "https://b.example/{s}.jpg"),
 )

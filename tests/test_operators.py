@@ -72,7 +72,7 @@ def test_series(spark):
     assert rows(series.adjacent_flags(p, "k", "seq", "dts").filter("delta = 0")) == []
     assert rows(series.longest_run(p, "k", "seq", F.col("dts").isNull())) == [("s", 1)]
     assert rows(series.rows_before(p, "k", "seq", F.col("dts") == 5)) == [("s", 4)] and rows(series.rows_before(p, "k", "seq", F.lit(False))) == [("s", 7)]
-    g = spark.createDataFrame([("s", i, t) for i, t in enumerate([0, 10, 20, 50])], "k string, seq int, t double") if False else spark.createDataFrame([("s", i, float(t)) for i, t in enumerate([0, 10, 20, 50])], "k string, seq int, t double")
+    g = spark.createDataFrame([("s", i, float(t)) for i, t in enumerate([0, 10, 20, 50])], "k string, seq int, t double")
     assert rows(series.gaps(g, "k", "seq", "t", F.lit(10.0))) == [("s", 1, 20.0, 20.0)]
     f = spark.createDataFrame([("s", 0, 1.0, True), ("s", 1, 0.5, False), ("s", 2, 3.0, True), ("s", 3, 4.0, False)], "k string, seq int, ts double, key boolean")
     assert rows(series.open_frames(f, "k", "seq", "ts", F.col("key"), ~F.col("key")), "seq", "open") == [(0, True), (2, False)]
