@@ -64,6 +64,7 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 def winners(rows: DataFrame) -> DataFrame:
     """first_id, field_name, cat_id (top-ranked) and whether no other row equals or beats it."""
+    rows = materialize(rows)  # read by the ranks and by the maxima
     at_max = (F.col("seen") == F.col("max_seen")) & (F.col("trust") == F.col("max_trust")) & (F.col("n") == F.col("max_n"))
     return (
         ranked(rows)
