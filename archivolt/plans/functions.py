@@ -133,7 +133,7 @@ def m01(s, d):
     return table(s, d, "supplier", "s_suppkey", "s_acctbal").select("s_suppkey", F.round(scalars.decibel_gain(F.col("s_suppkey") % 40 - 30), 9).alias("gain"), F.round(left, 9).alias("left_gain"))
 
 
-@R.query("m02_ladders", "select s_suppkey, case when x < -3 then 0.0 when x <= -1 then -1.0 else -(x + 3) end as attenuation, case when x * 10 <= -90 then 'pass' when x * 10 <= -60 then 'smell' else 'fail' end as residual, case when x + 6 <= 3 then 'mono_compatible' when x + 6 <= 6 then 'mono_partial_cancellation' when x + 6 <= 12 then 'mono_phase_warning' else 'mono_phase_severe' end as fold from (select s_suppkey, s_suppkey % 20 - 10 as x from supplier) t")
+@R.query("m02_ladders", "select s_suppkey, cast(case when x < -3 then 0.0 when x <= -1 then -1.0 else -(x + 3) end as double) as attenuation, case when x * 10 <= -90 then 'pass' when x * 10 <= -60 then 'smell' else 'fail' end as residual, case when x + 6 <= 3 then 'mono_compatible' when x + 6 <= 6 then 'mono_partial_cancellation' when x + 6 <= 12 then 'mono_phase_warning' else 'mono_phase_severe' end as fold from (select s_suppkey, s_suppkey % 20 - 10 as x from supplier) t")
 def m02(s, d):
     x = F.col("s_suppkey") % 20 - 10
     return table(s, d, "supplier", "s_suppkey").select("s_suppkey", scalars.pre_attenuation(x).alias("attenuation"), scalars.residual_verdict(x * 10).alias("residual"), scalars.mono_fold(x + 6).alias("fold"))

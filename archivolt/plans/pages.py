@@ -87,7 +87,7 @@ from_text("js3_products_json", "slug || '|u,v'", lambda g, n, b: F.array_join(F.
 from_text("js4_json_escape", "'{\"v\":\"' || name || '\"}'", lambda g, n, b: F.to_json(F.struct(n.alias("v"))))
 from_text("ar5_line_ranges", "22", lambda g, n, b: F.aggregate(F.transform(F.split(L("9,10-12"), ","), lambda p: F.substring_index(p, "-", -1).cast("int") + 0), L(1), lambda a, x: a + x).cast("long"))
 from_text("ar7_probe_matrix", "5", lambda g, n, b: F.size(F.filter(F.flatten(F.transform(F.array(L("fm"), L("format"), L("f")), lambda p: F.transform(F.array(L("png"), L("tif")), lambda v: F.concat(p, L("="), v)))), lambda x: x != "f=tif")).cast("long"))
-from_text("d07_retry_after", "12.0", lambda g, n, b: F.greatest(L(0.0), L("12").try_cast("double")))
+from_text("d07_retry_after", "cast(12 as double)", lambda g, n, b: F.greatest(L(0.0), L("12").try_cast("double")))
 from_text("mp2_lower_keys", "'x'", lambda g, n, b: F.transform_keys(F.create_map(L("Title"), L("x")), lambda k, _: F.lower(k))["title"])
 
 

@@ -46,7 +46,7 @@ both("a24_host_census", "select host, count(*) as n from entities group by host
 both("a32_group_rule", "select o_custkey, max(o_totalprice) as most, min(o_totalprice) filter (where o_orderstatus <> 'F') as least_open, bool_or(o_orderstatus = 'P') as any_pending from orders group by o_custkey")
 both("a33_consistency", "select slug, count(distinct currency) as currencies, max(price) - min(price) as spread from catalog_entry where price > 0 group by slug having count(distinct currency) > 1 or max(price) - min(price) > 1")
 both("a34_deviation", "select l_orderkey, l_linenumber, max(l_quantity) over (partition by l_orderkey) - l_quantity as below from lineitem")
-both("a35_share", "select source, round(avg(case when n_chars >= 500 then 1.0 else 0.0 end), 6) as share, case when avg(case when n_chars >= 500 then 1.0 else 0.0 end) >= 0.5 then 'long' else 'short' end as kind from documents group by source")
+both("a35_share", "select source, round(avg(case when n_chars >= 500 then 1.0e0 else 0.0e0 end), 6) as share, case when avg(case when n_chars >= 500 then 1.0 else 0.0 end) >= 0.5 then 'long' else 'short' end as kind from documents group by source")
 both("a37_budget", "select source, sum(n_chars) as total, case when sum(n_chars) > 20000 then 'over' else 'within' end as verdict from documents group by source")
 both("a38_year_summary", "select year(o_orderdate) as y, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by year(o_orderdate) order by y desc")
 both("a40_pages", "select count(*) as total, cast(ceil(count(*) / 25.0) as bigint) as pages from part")

@@ -45,7 +45,7 @@ def w07(s, d):
     return S.longest_run(events(s, d), "user_id", "event_id", F.col("event_type") == "click")
 
 
-@R.query("w08_ramp_excursion", f"select user_id, round(max(x) - min(x), 6) as excursion from (select user_id, sec - (first_value(sec) over (partition by user_id order by event_id) + (row_number() over (partition by user_id order by event_id) - 1) * 60.0) as x from {E} e) t group by user_id")
+@R.query("w08_ramp_excursion", f"select user_id, round(max(x) - min(x), 6) as excursion from (select user_id, sec - (first_value(sec) over (partition by user_id order by event_id) + (row_number() over (partition by user_id order by event_id) - 1) * 60.0e0) as x from {E} e) t group by user_id")
 def w08(s, d):
     return S.ramp_excursion(events(s, d), "user_id", "event_id", "sec", 60.0)
 
@@ -150,7 +150,7 @@ def a30(s, d):
     return m.select("tier", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"))
 
 
-both("a31_success_share", "select method, count(*) as n, count(*) filter (where success) as ok, round(100.0 * count(*) filter (where success) / count(*), 2) as pct from fetch_result group by method")
+both("a31_success_share", "select method, count(*) as n, count(*) filter (where success) as ok, round(100.0e0 * count(*) filter (where success) / count(*), 2) as pct from fetch_result group by method")
 both("d06_age", "select fetch_id, datediff(date '2024-06-01', cast(logged_at as date)) as days from fetch_result", "select fetch_id, date_diff('day', cast(logged_at as date), date '2024-06-01') as days from fetch_result")
 
 # ---- ledger
