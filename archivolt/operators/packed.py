@@ -91,20 +91,31 @@ def split_buffers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         b, a = before[starts], after[ends]
         opener = (b < 0) | gap[np.maximum(b, 0)]
         closer = (a < 0) | gap[np.maximum(a, 0)]
-        # a run that both follows and precedes a gap encloses nothing unless it closes what was opened
-        opening = opener & ~(closer & (length <= 2)) & ((length % 2 == 1) | ~closer)
-        closing = closer & (length % 2 == 1) & ~opener
-        # a closing run on the opening quote's own row
-        ev = np.flatnonzero(opening | closing)
+        # a run before text opens, one after text closes, one between gaps does what the parity so far asks for;
+        # runs of even length before a gap are doubled quotes or enclose nothing
+        odd = length % 2 == 1
+        ev = np.flatnonzero((opener & (odd | ~closer)) | (closer & odd))
         if not len(ev):
             continue
-        kind, at, of = opening[ev], np.where(opening[ev], starts[ev], ends[ev]), row[starts[ev]]
-        prev_open = _shift(kind, 1, False) & (_shift(of, 1, -1) == of)
-        shut = ~kind & prev_open
-        first_open = _shift(shut, -1, False) & kind
+        turn = opener[ev] & closer[ev]
+        sets = opener[ev] & ~closer[ev]
+        at, of, i = ev, row[starts[ev]], np.arange(len(ev))
+        new = _shift(of, 1, -1) != of
+        head = np.maximum.accumulate(np.where(new, i, 0))
+        fixed = np.maximum.accumulate(np.where(turn, -1, i))
+        known = fixed >= head
+        turns = np.cumsum(turn)
+        since = turns - np.where(known, turns[np.maximum(fixed, 0)], turns[head] - turn[head])
+        state = (np.where(known, sets[np.maximum(fixed, 0)], False) ^ (since % 2 == 1)).astype(bool)
+        before_state = _shift(state, 1, False) & ~new
+        change = np.flatnonzero(state != before_state)
+        # an opening counts if the row also closes it
+        opens = state[change] & _shift(~state[change], -1, False) & (_shift(of[change], -1, -1) == of[change])
+        first_open = change[opens]
+        shut = change[_shift(opens, 1, False)]
         depth = np.zeros(n + 1, np.int32)
-        np.add.at(depth, at[first_open], 1)
-        np.add.at(depth, at[shut] + 1, -1)
+        np.add.at(depth, starts[at[first_open]], 1)
+        np.add.at(depth, ends[at[shut]] + 1, -1)
         inside |= np.cumsum(depth[:-1]) > 0
     mark &= ~inside
     slash &= ~inside
