@@ -217,39 +217,40 @@ def reference_dictionary(parsed: DataFrame) -> DataFrame:
 
 
 def with_model(parsed: DataFrame, key: str, dictionary: DataFrame) -> DataFrame:
-    """Adds model: the longest dictionary phrase consistent with the brand, found in slug, name or description; else the own phrase."""
+    """Adds model: the longest dictionary phrase consistent with the brand, found in slug, name or description; else the own phrase.
+
+    Of phrases of one length that of the earlier field counts, then the greater; so the parts of the dictionary
+    and their order tell nothing.
+    """
     n = dictionary.count()
     parts = max(1, -(-n // SHARD))
-    spark, best = parsed.sparkSession, None
+    spark, best = parsed.sparkSession, parsed.withColumns({"model": F.lit(None).cast("string"), "weight": F.lit(0)})
     for i in range(parts):
         part = dictionary.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == i) if parts > 1 else dictionary
-        shared = spark.sparkContext.broadcast([(r["phrase"], frozenset(r["brands"])) for r in part.toLocalIterator()])
-        best = _scan(parsed, shared) if best is None else best.unionByName(_scan(parsed, shared))
-    if parts > 1:
-        best = best.groupBy(*[c for c in best.columns if c not in ("model", "weight")]).agg(F.max_by("model", F.struct("weight", "model")).alias("model"))
-    return best.drop("weight").withColumn("model", F.coalesce("model", "slug_model", "name_model")).select(key, *ATTRIBUTES)
+        best = _scan(best, spark.sparkContext.broadcast([(r["phrase"], frozenset(r["brands"])) for r in part.toLocalIterator()]))
+        if i + 1 < parts:
+            best = materialize(best)  # one automaton in a task
+    return best.withColumn("model", F.coalesce("model", "slug_model", "name_model")).select(key, *ATTRIBUTES)
 
 
-def _scan(parsed: DataFrame, shared) -> DataFrame:
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parsed.drop("text").schema)
+def _scan(best: DataFrame, shared) -> DataFrame:
+    """model and weight, where a phrase of this part beats those of the parts before."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = automaton((p, (p, b)) for p, b in shared.value)
         for f in frames:
             models, weights = [], []
-            for text, brand in zip(f["text"], f["brand"]):
-                top, model = 0, None
-                for at, part in enumerate(text.split("|")):
-                    for _, _, (phrase, brands) in hits(a, part):
-                        fits_brand = brand is None or not brands or brand in brands
-                        w = (10_000 if fits_brand else 0) + 1000 * (3 - at) + len(phrase)
-                        if w > top:
-                            top, model = w, phrase
-                models.append(model)
-                weights.append(top)
-            yield f.drop(columns="text").assign(model=models, weight=weights)
-
-    return parsed.mapInPandas(run, f"{schema}, model string, weight int")
+            for text, brand, model, weight in zip(f["text"], f["brand"], f["model"], f["weight"]):
+                top = (weight, model or "")
+                for at, part in enumerate(text.split("|") if len(a) else ()):
+                    for _, (n, (phrase, brands)) in a.iter(part):  # all matches: a longer one of another brand hides none
+                        if brand is None or not brands or brand in brands:
+                            top = max(top, (4 * n + 3 - at, phrase))
+                models.append(top[1] or None)
+                weights.append(top[0])
+            yield f.assign(model=models, weight=weights)
+
+    return best.mapInPandas(run, best.schema)
 
 
 def signature(alias: str = "") -> Column:

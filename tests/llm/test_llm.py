@@ -98,6 +98,20 @@ def test_dictionary_in_parts(spark, monkeypatch):
     assert rows(products.with_model(parsed, "meta_id", d)) == whole
 
 
+@pytest.mark.parametrize("shard", [150_000, 2, 1])
+def test_longest_consistent_match(spark, monkeypatch, shard):
+    monkeypatch.setattr(products, "SHARD", shard)
+    d = spark.createDataFrame([("copper line deluxe", ["other"]), ("copper line", ["bexlow"]), ("old copper", ["other"]), ("line", ["bexlow"]), ("gamma ray", ["other"]), ("iron gate", []), ("post", ["bexlow"])], "phrase string, brands array<string>")
+    text = {
+        1: ("bexlow", "| copper line deluxe | "),  # another brand's longer phrase starts at the same place
+        2: ("bexlow", "| old copper line | "),  # another brand's phrase overlaps from the left
+        3: ("other", "| copper line deluxe | "), 4: (None, "| old copper line deluxe | "), 5: ("bexlow", " line | copper line | "), 6: ("bexlow", "| gamma ray | "), 7: ("other", "| iron gate post | "),
+    }
+    parsed = spark.createDataFrame([(i, b, None, None, None, None, None, "own", t) for i, (b, t) in [*text.items(), (1, text[1])]], "meta_id long, brand string, kind string, color string, season string, measure string, slug_model string, name_model string, text string")
+    want = {1: "copper line", 2: "copper line", 3: "copper line deluxe", 4: "copper line deluxe", 5: "copper line", 6: "own", 7: "iron gate"}
+    assert rows(products.with_model(parsed, "meta_id", d), "meta_id", "model") == sorted([*want.items(), (1, want[1])], key=str)  # repeated rows stay
+
+
 def test_linkage(spark):
     skus = spark.createDataFrame([("A", "Dunmarrow Willow Buckle t-shirt", "Navy", "DUNMARROW", "AW10"), ("B", "WILLOW BUCKLE TEE", None, "Dunmarrow", "SS10"), ("C", "Willow Buckle tee", "copper", "Dunmarrow", "AW10"), ("D", "Bexlow Copper Line mug 250ml", "White", None, "SS12"), ("E", None, None, None, None), ("F", "Copper Line mug 1.00 l", "WHT", "Bexlow", None)], "sku string, name string, color string, brand string, season string")
     got = {r["meta_id"]: (r["sku"], r["confidence"]) for r in linkage.link(catalogue(spark), skus).collect()}
