@@ -1,6 +1,6 @@
 """Matching listings and products that share no key: soft-logic linkage.
 
-Candidates are pairs of distinct attribute signatures of one model and kind. Each pair is a truth value in
+Candidates are pairs of distinct attribute signatures of one model whose kinds do not differ. Each pair is a truth value in
 [0, 1]; weighted rules make a convex hinge-loss problem:
 
   agreement      an attribute on which both sides agree supports the link, one that one side lacks a little
@@ -10,12 +10,12 @@ Candidates are pairs of distinct attribute signatures of one model and kind. Eac
   transitivity   listings linked to one product agree with each other in what the product row leaves open:
                  link(l, s) -> value(s, v) for the listing's value v, and a product has one value (sum <= 1)
 
-It is solved by consensus alternating directions (ADMM). The problem falls apart into blocks of one model and
-kind; blocks are spread over tasks by hash, and each task iterates over all factors of its blocks at once.
+It is solved by consensus alternating directions (ADMM). The problem falls apart into blocks of one model;
+blocks are spread over tasks by hash, and each task iterates over all factors of its blocks at once.
 Rows never enter it: a block holds distinct signatures only, whose number the attribute lexicons bound, so
 copies and hot products cost nothing. The final truth value is the match's confidence.
 
-Defined results: listings without model or kind and products without either are not linked; a tie between
+Defined results: listings and products without a model are not linked; one without a kind may be of any; a tie between
 two products leaves both at one half and gives no link; repeated rows are linked alike.
 """
 
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.llm.products import ATTRIBUTES, brands_of, listings, parse, signature
+from archivolt.llm.products import ATTRIBUTES, brands_of, compatible, listings, parse, same_sizes, signature
 from archivolt.session import materialize
 
 OPEN = ("brand", "color", "season", "measure")
@@ -37,11 +37,11 @@ BUCKET = 40_000
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of signatures of one model and kind with at most one contradiction."""
+    """Pairs of signatures of one model, kinds not differing, with at most one contradiction."""
     l, r = left.alias("l"), right.alias("r")
     differ = sum((F.coalesce((F.col(f"l.{c}") != F.col(f"r.{c}")), F.lit(False)).cast("int") for c in OPEN), F.lit(0))
-    pairs = l.join(r, (F.col("l.model") == F.col("r.model")) & (F.col("l.kind") == F.col("r.kind"))).filter(differ <= 1)
-    return pairs.select(F.concat_ws("|", "l.model", "l.kind").alias("block"), F.col("l.sig").alias("lid"), F.col("r.sku").alias("sku"), *[F.col(f"l.{c}").alias(f"l_{c}") for c in OPEN], *[F.col(f"r.{c}").alias(f"r_{c}") for c in OPEN])
+    pairs = l.join(r, (F.col("l.model") == F.col("r.model")) & compatible("l", "r", ("kind",))).filter(differ <= 1)
+    return pairs.select(F.col("l.model").alias("block"), F.col("l.sig").alias("lid"), F.col("r.sku").alias("sku"), *[F.col(f"l.{c}").alias(f"l_{c}") for c in OPEN], *[F.col(f"r.{c}").alias(f"r_{c}") for c in OPEN])
 
 
 def admm(pairs: pd.DataFrame, steps: int = 200, rho: float = 1.0, tolerance: float = 1e-4) -> np.ndarray:
@@ -116,9 +116,11 @@ def solve(pairs: DataFrame) -> DataFrame:
 def link(products: DataFrame, skus: DataFrame) -> DataFrame:
     """(meta_id, sku, confidence) of every linked listing."""
     brands = brands_of(products, skus)
-    rows = listings(products, brands).withColumn("sig", signature())
-    known = parse(skus, "sku", brands, season="season").withColumn("model", F.col("name_model")).select("sku", *ATTRIBUTES).filter("model is not null and kind is not null")
-    left = rows.filter("model is not null and kind is not null").select("sig", *ATTRIBUTES).distinct()
+    rows = listings(products, brands)
+    known = parse(skus, "sku", brands, season="season").withColumn("model", F.col("name_model")).select("sku", *ATTRIBUTES).filter("model is not null")
+    rows, known = same_sizes(rows, materialize(known))
+    rows = rows.withColumn("sig", signature())
+    left = rows.filter("model is not null").select("sig", *ATTRIBUTES).distinct()
     solved = solve(candidates(left, known))
     best = solved.filter("confidence > 0.6").groupBy(F.col("lid").alias("sig")).agg(F.max_by("sku", F.struct("confidence", "sku")).alias("sku"), F.round(F.max("confidence"), 4).alias("confidence"))
     return rows.select("meta_id", "sig").join(best, "sig").select("meta_id", "sku", "confidence")

@@ -9,7 +9,7 @@ The automaton holds at most SHARD phrases at a time; a larger dictionary is spli
 are passed over once per part, so what is broadcast has a bound at any size of the data.
 
 Defined results: null, empty and blank fields tell nothing; a listing without any model phrase has none;
-attributes that no field tells are null.
+attributes that no field tells are null, the kind too: such a listing goes by brand, model and the rest.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.llm.mojibake import utf8_reading
@@ -29,6 +29,8 @@ from archivolt.session import fits, materialize
 
 #: most phrases in one automaton; most distinct brands
 SHARD, BRANDS = 150_000, 200_000
+#: sizes so near are one, as units are printed rounded
+NEAR = 1.02
 ATTRIBUTES = ("brand", "model", "kind", "color", "season", "measure")
 # Wordings of one kind of product.
 KINDS = {
@@ -50,7 +52,7 @@ UNITS = {"mm": ("mm", 1.0), "cm": ("mm", 10.0), "m": ("mm", 1000.0), "in": ("mm"
 _YEAR = r"((?:19|20)\d\d|\d\d)"
 _SS, _FW = r"(?:spring ?[/-] ?summer|spring|summer|s ?/ ?s|ss)", r"(?:fall ?[/-] ?winter|autumn ?[/-] ?winter|fall|autumn|winter|f ?/ ?w|a ?/ ?w|fw|aw)"
 SEASON = re.compile(rf"(?<![a-z0-9])(?:({_SS})|({_FW}))[ -]?{_YEAR}(?![0-9a-z])|(?<![a-z0-9])((?:19|20)\d\d)[ -]?(?:({_SS})|({_FW}))(?![a-z0-9])")
-MEASURE = re.compile(r"(?<![0-9a-z±.,])(\d+(?:\.\d+)?)[ -]?(fl ?oz|mm|cm|ml|cl|kg|oz|liters?|litres?|in|m|l|g)(?![a-z0-9])")
+MEASURE = re.compile(r"(?<![0-9a-z±.,])(?<!tolerance )(\d+(?:\.\d+)?)[ -]?(fl ?oz|mm|cm|ml|cl|kg|oz|liters?|litres?|in|m|l|g)(?![a-z0-9])")
 SLUG_MEASURE = re.compile(r"(?<![0-9])(?:(\d{1,2})-(\d{1,2})|(\d+))-?(fl-oz|mm|cm|ml|cl|kg|oz|liters?|litres?|in|m|l|g)(?![a-z0-9])")
 _LETTERS = str.maketrans({"ß": "ss", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "æ": "ae", "œ": "oe", "đ": "d"})
 
@@ -127,9 +129,8 @@ def measure_of(s: str, slug: bool = False) -> str | None:
         else:
             number, unit = float(m.group(1)), m.group(2)
         dim, k = UNITS[unit.replace("floz", "fl oz")]
-        size = round(number * k / 10) * 10
-        if size >= 50:
-            return f"{size}{dim}"
+        if number:
+            return f"{round(number * k, 3):.12g}{dim}"
     return None
 
 
@@ -212,7 +213,7 @@ def parse(df: DataFrame, key: str, brands: list[str], *, name: str = "name", slu
 
 def reference_dictionary(parsed: DataFrame) -> DataFrame:
     """(phrase, brands): model phrases of trusted listings with the brands they occur with."""
-    trusted = parsed.filter("slug_model = name_model and kind is not null")
+    trusted = parsed.filter("slug_model = name_model")
     return trusted.groupBy(F.col("slug_model").alias("phrase")).agg(F.array_compact(F.collect_set("brand")).alias("brands"))
 
 
@@ -272,21 +273,43 @@ def compatible(a: str, b: str, attributes: Iterable[str] = ("brand", "color", "s
     return cond
 
 
+def same_sizes(*tables: DataFrame) -> list[DataFrame]:
+    """The tables with one wording of each measure: a model's sizes with no gap over NEAR between them are the least of them.
+
+    The comparison runs over the distinct sizes of a model.
+    """
+    each = [t.filter("model is not null and measure is not null").select("model", "measure") for t in tables]
+    sizes = each[0]
+    for e in each[1:]:
+        sizes = sizes.unionByName(e)
+    value, dim = F.regexp_extract("measure", r"^(.*\d)[a-z]+$", 1).cast("double"), F.regexp_extract("measure", "([a-z]+)$", 1)
+    sizes = sizes.distinct().withColumns({"value": value, "dim": dim})
+    w = Window.partitionBy("model", "dim").orderBy("value", "measure")
+    apart = F.coalesce(F.col("value") > F.lag("value").over(w) * NEAR, F.lit(True))
+    runs = sizes.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(w))
+    least = runs.withColumn("size", F.first("measure").over(Window.partitionBy("model", "dim", "run").orderBy("value", "measure"))).select("model", "measure", "size")
+    return [t.join(least, ["model", "measure"], "left").withColumn("measure", F.coalesce("size", "measure")).select(*t.columns) for t in tables]
+
+
 def grouped(rows: DataFrame) -> DataFrame:
     """(meta_id, product): the product's key. Rows with missing attributes join the one full signature they fit, if it is one.
 
-    The comparison runs over distinct signatures of one model and kind, whose number the lexicons bound, never over rows.
+    The comparison runs over distinct signatures of one model, never over rows.
     """
-    sigs = rows.filter("model is not null and kind is not null").select(*ATTRIBUTES).distinct().withColumn("sig", signature())
+    rows = same_sizes(rows)[0].filter("model is not null").withColumn("sig", signature())
+    sigs = rows.select(*ATTRIBUTES, "sig").distinct()
     full = sigs.filter("brand is not null and color is not null and season is not null").alias("f")
-    part = sigs.filter("brand is null or color is null or season is null or measure is null").alias("p")
-    pairs = part.join(full, (F.col("p.model") == F.col("f.model")) & (F.col("p.kind") == F.col("f.kind")) & (F.col("p.sig") != F.col("f.sig")) & compatible("p", "f"))
-    # of full signatures that differ only in a missing measure, the measured one counts
-    fit = pairs.groupBy(F.col("p.sig").alias("sig")).agg(F.countDistinct("f.brand", "f.color", "f.season").alias("n"), F.countDistinct("f.measure").alias("m"), F.max_by("f.sig", F.struct(F.col("f.measure").isNotNull(), F.col("f.sig"))).alias("to")).filter("n = 1 and m <= 1")
-    moved = fit.select("sig", "to")
-    # a row may first gain its brand, then its measure
-    again = moved.join(moved.select(F.col("sig").alias("_s"), F.col("to").alias("_t")), F.col("to") == F.col("_s"), "left").select("sig", F.coalesce("_t", "to").alias("to"))
-    return rows.withColumn("sig", signature()).join(again, "sig", "left").select("meta_id", F.when(F.col("model").isNotNull() & F.col("kind").isNotNull(), F.coalesce("to", "sig")).alias("product")).filter("product is not null")
+    part = sigs.filter("brand is null or kind is null or color is null or season is null or measure is null").alias("p")
+    kinds = F.col("p.kind").isNull() | (F.col("p.kind") == F.col("f.kind"))
+    pairs = part.join(full, (F.col("p.model") == F.col("f.model")) & kinds & (F.col("p.sig") != F.col("f.sig")) & compatible("p", "f"))
+    # of full signatures that differ only in a missing kind or measure, that with both counts
+    order = F.struct(F.col("f.kind").isNotNull(), F.col("f.measure").isNotNull(), F.col("f.sig"))
+    fit = pairs.groupBy(F.col("p.sig").alias("sig"), F.col("p.measure").alias("measure")).agg(F.countDistinct("f.brand", "f.color", "f.season").alias("n"), F.countDistinct("f.kind").alias("k"), F.countDistinct("f.measure").alias("m"), F.max_by("f.sig", order).alias("to")).filter("n = 1 and k <= 1 and m <= 1")
+    moved = fit.select("sig", "to", "measure")
+    # a row may first gain its brand, then its measure, but not another one
+    then = moved.join(sigs.select(F.col("sig").alias("to"), F.col("measure").alias("_m")), "to").select(F.col("sig").alias("_s"), F.col("to").alias("_t"), "_m")
+    again = moved.join(then, (F.col("to") == F.col("_s")) & (F.col("measure").isNull() | F.col("_m").isNull() | (F.col("measure") == F.col("_m"))), "left").select("sig", F.coalesce("_t", "to").alias("to"))
+    return rows.join(again, "sig", "left").select("meta_id", F.coalesce("to", "sig").alias("product"))
 
 
 def pairs_of(groups: DataFrame) -> DataFrame:

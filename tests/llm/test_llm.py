@@ -112,6 +112,25 @@ def test_longest_consistent_match(spark, monkeypatch, shard):
     assert rows(products.with_model(parsed, "meta_id", d), "meta_id", "model") == sorted([*want.items(), (1, want[1])], key=str)  # repeated rows stay
 
 
+def small_and_kindless(spark):
+    names = {1: ("Sea Salt bottle 15 ml", None), 2: ("Sea Salt bottle 0.5 fl oz", None), 3: ("Sea Salt bottle 30 ml", None), 4: ("Reed Bay candle 96 g", None), 5: ("Reed Bay candle 104 g", None), 6: ("Moss Poncho", "Navy"), 7: ("Poncho Moss", "navy"), 8: ("Moss Poncho", "Rust"), 9: ("Wren Tee", "Navy"), 10: ("Wren", "Navy"), 11: ("Elm Tee", "Navy"), 12: ("Elm mug", "Navy"), 13: ("Elm", "Navy")}
+    rows = [listing(i, n, None if i == 7 else re.sub(r"[^a-z0-9]+", "-", re.sub(r" [\d.]+ (ml|g|fl oz)", "", n).lower()) + f"-zz{i:03d}", c or "White", "Bexlow", "SS12", "Moss Poncho" if i == 7 else None) for i, (n, c) in names.items()]
+    return spark.createDataFrame([*rows, listing(50, None, None, None, "Bexlow")], PM)
+
+
+def test_small_measures_and_unknown_kinds(spark):
+    pm = small_and_kindless(spark)
+    g = dict(rows(products.grouped(products.listings(pm, products.brands_of(pm)))))
+    assert len(g) == 13 and 50 not in g
+    assert rows(products.pairs_of(products.grouped(products.listings(pm, products.brands_of(pm))))) == [(1, 2), (6, 7), (9, 10)]  # 13 may be a tee or a mug
+    skus = spark.createDataFrame([("A", "Sea Salt bottle 14.8 ml", "White", "Bexlow", "SS12"), ("B", "Sea Salt bottle 30 ml", "White", "Bexlow", "SS12"), ("C", "Moss Poncho", "Rust", "Bexlow", "SS12"), ("D", "Moss Poncho", "Navy", "Bexlow", "SS12")], "sku string, name string, color string, brand string, season string")
+    assert {r["meta_id"]: r["sku"] for r in linkage.link(pm, skus).collect()} == {1: "A", 2: "A", 3: "B", 6: "D", 7: "D", 8: "C"}
+
+
+def test_measures():
+    assert [products.measure_of(s) for s in ("15 ml", "96 g", "2.5 cm", "0 ml", "tolerance 2 mm", "tolerance 2 mm, 9 mm")] == ["15ml", "96g", "25mm", None, None, "9mm"]
+
+
 def test_linkage(spark):
     skus = spark.createDataFrame([("A", "Dunmarrow Willow Buckle t-shirt", "Navy", "DUNMARROW", "AW10"), ("B", "WILLOW BUCKLE TEE", None, "Dunmarrow", "SS10"), ("C", "Willow Buckle tee", "copper", "Dunmarrow", "AW10"), ("D", "Bexlow Copper Line mug 250ml", "White", None, "SS12"), ("E", None, None, None, None), ("F", "Copper Line mug 1.00 l", "WHT", "Bexlow", None)], "sku string, name string, color string, brand string, season string")
     got = {r["meta_id"]: (r["sku"], r["confidence"]) for r in linkage.link(catalogue(spark), skus).collect()}
