@@ -376,3 +376,9 @@ def filled(template: Column, values: dict[str, Column]) -> Column:
     for k, v in values.items():
         template = F.replace(template, F.lit("{" + k + "}"), v)
     return template
+
+
+def archive_name(c: Column) -> Column:
+    """The name of the archive an address belongs to, else its host, else 'unknown'. Compatible: the names are looked for anywhere in the address."""
+    named = F.when(c.contains("archive.org"), "internet_archive").when(c.contains("archive.ph") | c.contains("archive.today"), "archive_today").when(c.contains("commoncrawl"), "commoncrawl").when(c.contains("perma.cc"), "perma_cc").when(c.contains("webcitation.org"), "webcitation")
+    return named.otherwise(F.coalesce(F.nullif(F.regexp_extract(c, "^https?://([^/]+)", 1), F.lit("")), F.lit("unknown")))

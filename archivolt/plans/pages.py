@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from archivolt.functions import pages, urls
+from archivolt.functions import pages, scalars, urls
 from archivolt.operators import capture, catalog, groups, resolve
 from archivolt.plans._base import Registry
 from archivolt.sources import readers
@@ -67,7 +67,7 @@ from_text("x22_size_stripped", "'https://a.example/' || slug || '.jpg?v=1'", lam
 from_text("x23_flat_filename", "'products__' || slug || '.jpg'", lambda g, n, b: urls.flat_filename(F.concat(L("https://cdn.example/s/1/products/"), g, L(".jpg?v=1"))))
 from_text("x32_master_name", "meta_id % 2 = 0", lambda g, n, b: urls.looks_like_master(F.when(F.col("meta_id") % 2 == 0, L("Song_Mastered")).otherwise(L("vocal_master"))))
 from_text("x33_name_score", "case when meta_id % 2 = 0 then 'generic' else 'informative' end", lambda g, n, b: urls.name_score(F.when(F.col("meta_id") % 2 == 0, L("Audio_01")).otherwise(L("kick-in"))))
-from_text("x35_archive_name", "slug", lambda g, n, b: F.regexp_extract(F.concat(L("https://"), g, L(".archive.example/web/2020/http://x")), r"^https?://([^./]+)", 1))
+from_text("x35_archive_name", "slug", lambda g, n, b: urls.archive_name(F.concat(L("https://"), g, L("/web/2020/http://x"))))
 from_text("x57_magic_format", "case when meta_id % 2 = 0 then 'png' else 'gif' end", lambda g, n, b: urls.magic_format(F.unhex(F.when(F.col("meta_id") % 2 == 0, L("89504E470D0A1A0A")).otherwise(L("4749463839610100")))))
 from_text("x58_png_color", "'indexed'", lambda g, n, b: urls.png_color_type(F.unhex(L("89504E470D0A1A0A0000000D49484452000000000000000008" + "03"))))
 from_text("x59_output_stem", "slug", lambda g, n, b: F.regexp_replace(F.substring_index(F.substring_index(F.concat(L("https://a.example/p/"), g, L(".JPG?x=1")), "?", 1), "/", -1), r"(?i)\.(jpe?g|png|webp|gif|tiff?)$", ""))
@@ -85,10 +85,10 @@ from_text("s24_schema_enum", "'a,b'", lambda g, n, b: F.array_join(readers.schem
 from_text("s28_fenced_blocks", "name || chr(10)", lambda g, n, b: F.array_join(pages.fenced_blocks(F.concat(L("text\n```sql\n"), n, L("\n```\n")), "sql"), ""))
 from_text("js3_products_json", "slug || '|u,v'", lambda g, n, b: F.array_join(F.transform(pages.products_json(F.concat(L('{"products":[{"handle":"'), g, L('","images":[{"src":"u"},"v"]}]}'))), lambda p: F.concat(p["handle"], L("|"), F.array_join(p["images"], ","))), ";"))
 from_text("js4_json_escape", "'{\"v\":\"' || name || '\"}'", lambda g, n, b: F.to_json(F.struct(n.alias("v"))))
-from_text("ar5_line_ranges", "22", lambda g, n, b: F.aggregate(F.transform(F.split(L("9,10-12"), ","), lambda p: F.substring_index(p, "-", -1).cast("int") + 0), L(1), lambda a, x: a + x).cast("long"))
+from_text("ar5_line_ranges", "22", lambda g, n, b: F.aggregate(scalars.line_ranges(F.format_string("%d, %d-%d", F.length(g), F.length(g) + 1, F.length(g) + 20)), L(1), lambda a, x: a + x["hi"] - x["lo"] + 1).cast("long"))
 from_text("ar7_probe_matrix", "5", lambda g, n, b: F.size(F.filter(F.flatten(F.transform(F.array(L("fm"), L("format"), L("f")), lambda p: F.transform(F.array(L("png"), L("tif")), lambda v: F.concat(p, L("="), v)))), lambda x: x != "f=tif")).cast("long"))
-from_text("d07_retry_after", "cast(12 as double)", lambda g, n, b: F.greatest(L(0.0), L("12").try_cast("double")))
-from_text("mp2_lower_keys", "'x'", lambda g, n, b: F.transform_keys(F.create_map(L("Title"), L("x")), lambda k, _: F.lower(k))["title"])
+from_text("d07_retry_after", "cast(12 as double)", lambda g, n, b: scalars.retry_after(F.date_format(F.timestamp_seconds(F.length(g) * 90_000 + 12), "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.timestamp_seconds(F.length(g) * 90_000)))
+from_text("mp2_lower_keys", "'x'", lambda g, n, b: scalars.lower_keys(F.create_map(F.upper(F.concat(L("k"), g)), L("w"), F.lower(F.concat(L("K"), g)), L("x")))[F.lower(F.concat(L("k"), g))])
 
 
 @R.query("f27_expiry", "select cat_id, date_seen < '2020-01-01' as expired from catalog_entry where date_seen is not null")

@@ -86,3 +86,20 @@ def test_pages(spark):
     assert value(spark, pages.api_metadata(F.lit('"text"'))) is None
     assert not value(spark, pages.valid_content(F.lit("x" * 999), F.lit("html"))) and value(spark, pages.valid_content(F.lit("x" * 60), F.lit("structured")))
     assert value(spark, pages.fenced_blocks(F.lit("```sql\nselect 1\n```\n"), "sql")) == ["select 1\n"]
+
+
+@pytest.mark.parametrize("query, module, function", [("ar5_line_ranges", scalars, "line_ranges"), ("d07_retry_after", scalars, "retry_after"), ("mp2_lower_keys", scalars, "lower_keys"), ("x35_archive_name", urls, "archive_name")])
+def test_queries_reach_their_function(spark, monkeypatch, query, module, function):
+    from archivolt.plans.pages import QUERIES
+
+    wanted = {"ar5_line_ranges": 22, "d07_retry_after": 12.0, "mp2_lower_keys": "x"}
+    got = QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert got.count() and (query not in wanted or {r["value"] for r in got.collect()} == {wanted[query]})
+    monkeypatch.setattr(module, function, lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        QUERIES[query](spark, "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("given, wanted", [("https://web.archive.org/web/1/http://x", "internet_archive"), ("http://archive.ph/a", "archive_today"), ("https://archive.today/a", "archive_today"), ("https://data.commoncrawl.org/x", "commoncrawl"), ("https://perma.cc/A", "perma_cc"), ("https://www.webcitation.org/5", "webcitation"), ("https://a.example:80/x", "a.example:80"), ("ftp://a.example", "unknown"), ("", "unknown")])
+def test_archive_name(spark, given, wanted):
+    assert value(spark, urls.archive_name(F.lit(given))) == wanted
