@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import urls
-from archivolt.session import materialize
+from archivolt.session import materialize, release
 
-STRONG, FLOOR, RATIO = 5, 0.6, 0.85
+STRONG, FLOOR, RATIO, LOW = 5, 0.6, 0.85, 0.35
 
 
 def sku_to_slug(metadata: DataFrame) -> DataFrame:
@@ -38,53 +38,106 @@ def grams(c, n: int = 3):
     return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))))
 
 
-def contained(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(lid, rid) where one key contains the other.
+def inside(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(ks, kl): the distinct keys of `long` that hold a distinct key of `short`; empty keys hold and are held by nothing.
 
-    A key that is contained has its every trigram in the other: the pair is found by the contained key's
-    first trigram, an equi-join, and then tested. Keys of fewer than three characters match nothing.
+    A key's every trigram is in a key that holds it, so its rarest one, by the counts of the long side, finds
+    all pairs in an equi-join: a prefix that all keys share makes none. Keys of one or two characters are
+    looked up whole among the grams of their length.
     """
-    def one(a: DataFrame, b: DataFrame, short: str, long: str) -> DataFrame:
-        s = a.filter(F.length("key") >= 3).select(F.col("id").alias(short), F.col("key").alias("ks"), F.substring("key", 1, 3).alias("g"))
-        t = b.select(F.col("id").alias(long), F.col("key").alias("kl"), F.explode(grams(F.col("key"))).alias("g"))
-        return s.join(t, "g").filter(F.contains("kl", "ks")).select(short, long)
+    s = short.select(F.col("key").alias("ks")).filter("ks <> ''").distinct()
+    t = long.select(F.col("key").alias("kl")).filter("kl <> ''").distinct()
+    each = t.select("kl", F.explode(grams(F.col("kl"))).alias("g"))
+    seen = each.groupBy("g").agg(F.count("*").alias("n"))
+    rare = s.select("ks", F.explode(grams(F.col("ks"))).alias("g")).join(seen, "g", "left")
+    rare = rare.groupBy("ks").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("g"))).alias("b")).filter("b.n > 0").select("ks", F.col("b.g").alias("g"))
+    found = rare.join(each, "g").filter(F.contains("kl", "ks")).select("ks", "kl")
+    tiny = t.select("kl", F.explode(F.concat(grams(F.col("kl"), 1), F.coalesce(grams(F.col("kl"), 2), F.array().cast("array<string>")))).alias("ks"))
+    return found.unionByName(s.filter(F.length("ks") < 3).join(tiny, "ks").select("ks", "kl"))
+
 
-    return one(left, right, "lid", "rid").select("lid", "rid").union(one(right, left, "rid", "lid").select("lid", "rid")).distinct()
+def contained(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(lid, rid) where one key contains the other; null and empty keys match nothing, repeated rows once."""
+    a, b = left.select(F.col("id").alias("lid"), F.col("key").alias("_l")), right.select(F.col("id").alias("rid"), F.col("key").alias("_r"))
+    keys = inside(left, right).select(F.col("ks").alias("_l"), F.col("kl").alias("_r")).unionByName(inside(right, left).select(F.col("kl").alias("_l"), F.col("ks").alias("_r"))).distinct()
+    return keys.join(a, "_l").join(b, "_r").select("lid", "rid").distinct()
 
 
 def name_and_color(slugs: DataFrame, skus: DataFrame) -> DataFrame:
-    """(slug, sku) where the slug's key contains both the product's name and its colour."""
-    s = slugs.select(F.col("slug").alias("id"), urls.slug_match_key(F.col("slug")).alias("key"))
-    k = skus.withColumn("n", urls.match_key(F.col("name"))).withColumn("c", urls.match_key(F.col("color"))).filter("n <> '' and c <> ''")
-    pairs = k.filter(F.length("n") >= 3).withColumn("g", F.substring("n", 1, 3)).join(s.withColumn("g", F.explode(grams(F.col("key")))), "g")
-    return pairs.filter(F.contains("key", "n") & F.contains("key", "c")).select(F.col("id").alias("slug"), "sku").distinct()
+    """(slug, sku) where the slug's key contains both the product's name and its colour; a colour of marks only is in every key."""
+    s = slugs.select(F.col("slug"), urls.slug_match_key(F.col("slug")).alias("kl"))
+    k = skus.select("sku", "color", urls.match_key(F.col("name")).alias("ks"), urls.match_key(F.col("color")).alias("c")).filter("ks <> '' and color <> ''")
+    keys = inside(k.select(F.col("ks").alias("key")), s.select(F.col("kl").alias("key")))
+    return keys.join(k, "ks").filter(F.contains("kl", "c")).join(s, "kl").select("slug", "sku").distinct()
 
 
-def greedy_assignment(pairs: DataFrame, by: str, left: str, right: str, rank: list[str]) -> DataFrame:
-    """One-to-one assignment in the order of `by`, within blocks.
+def serial_choice(pairs: DataFrame, by: str, of: str, rank: str) -> DataFrame:
+    """(of, by): each `by`, in ascending order, takes the free `of` of least rank among its pairs (by, of, rank).
 
-    Each round gives every right row its best free left row and every left row the first right row that
-    wants it; rows that lost stay for the next round. Rounds run until nothing is left, each a pair of
-    aggregations, so no block is gathered in one task.
+    Found without a serial pass, by deferred acceptance: all choose at once and an `of` keeps the smallest that
+    chose it, which a smaller one may still displace; whoever lost crosses it off and chooses again. As every
+    `of` prefers the smaller `by`, this ends in the serial result, the only one in which nobody has a wish
+    that a smaller one does not hold. Each round is two aggregations; nothing is gathered in one task.
+    Null keys take no part; repeated pairs count once.
+    """
+    rest = materialize(pairs.filter(F.col(by).isNotNull() & F.col(of).isNotNull()).select(by, of, rank))
+    while True:
+        want = rest.groupBy(by).agg(F.min(F.struct(rank, of)).alias("b")).select(by, F.col(f"b.{of}").alias(of))
+        held = materialize(want.groupBy(of).agg(F.min(by).alias("_held"), F.count("*").alias("_n")))
+        if (held.agg(F.max("_n")).first()[0] or 1) == 1:
+            return held.select(of, F.col("_held").alias(by))
+        left = materialize(rest.join(held.select(of, "_held"), of, "left").filter(F.col("_held").isNull() | (F.col(by) <= F.col("_held"))).select(by, of, rank))
+        release(rest)
+        release(held)
+        rest = left
+
+
+def match_products(slugs: DataFrame, skus: DataFrame) -> DataFrame:
+    """(slug, sku, strategy), one sku a slug: products in the order of their sku take an exact key, else the first free slug
+    whose key contains theirs or is contained, else the first free one that holds name and colour.
+
+    slugs: (slug, ordinal), skus: (sku, name, color). Compatible: an exact key takes a slug even if it is taken
+    (the last exact sku keeps it), of slugs with one key the last stands for all at the place of the first.
+    Null names, colours and slugs count as empty; a sku given twice counts once, by its least name and colour.
     """
-    rest, out = materialize(pairs), None
-    while not rest.isEmpty():
-        want = rest.groupBy(right).agg(F.min(F.struct(*rank, F.col(left).alias("_l"))).alias("b"), F.min(by).alias("_by")).select(right, "_by", F.col("b._l").alias(left))
-        got = materialize(want.groupBy(left).agg(F.min(F.struct("_by", F.col(right).alias("_r"))).alias("b")).select(left, F.col("b._r").alias(right)))
-        out = got if out is None else out.unionByName(got)
-        rest = materialize(rest.join(got.select(left), left, "left_anti").join(got.select(right), right, "left_anti"))
-    return out if out is not None else pairs.select(left, right)
+    first = slugs.filter(F.coalesce("slug", F.lit("")) != "").groupBy("slug").agg(F.min("ordinal").alias("at"))
+    keys = materialize(first.groupBy(urls.slug_match_key(F.col("slug")).alias("key")).agg(F.max_by("slug", "at").alias("slug"), F.min("at").alias("at")))
+    p = skus.filter("sku is not null").groupBy("sku").agg(F.min(F.struct(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("color", F.lit("")).alias("color"))).alias("p")).select("sku", "p.name", "p.color")
+    p = materialize(p.select("sku", urls.api_match_key(F.col("name"), F.col("color")).alias("api"), urls.match_key(F.col("name")).alias("n"), urls.match_key(F.col("color")).alias("c"), (F.col("color") != "").alias("colored")))
+    exact = materialize(p.join(keys, p["api"] == keys["key"]).select("sku", "slug"))
+    rest = materialize(p.join(exact.select("sku"), "sku", "left_anti"))
+    mine, theirs = rest.select(F.col("api").alias("key")), keys.select("key")
+    held = inside(mine, theirs).select(F.col("ks").alias("api"), F.col("kl").alias("key")).unionByName(inside(theirs, mine).select(F.col("kl").alias("api"), F.col("ks").alias("key"))).distinct()
+    second = rest.select("sku", "api").join(held, "api").join(keys, "key").select("sku", "slug", F.struct(F.lit(2).alias("strategy"), F.col("at")).alias("rank"))
+    named = rest.filter("colored and n <> ''")
+    third = named.join(inside(named.select(F.col("n").alias("key")), theirs).withColumnRenamed("ks", "n"), "n").filter(F.contains("kl", "c")).join(keys, F.col("kl") == keys["key"]).select("sku", "slug", F.struct(F.lit(3).alias("strategy"), F.col("at")).alias("rank"))
+    pairs = second.unionByName(third).groupBy("sku", "slug").agg(F.min("rank").alias("rank"))
+    taken = exact.groupBy("slug").agg(F.min("sku").alias("_from"), F.max("sku").alias("_last"))
+    pairs = materialize(pairs.join(taken.select("slug", "_from"), "slug", "left").filter("_from is null or sku < _from").select("sku", "slug", "rank"))
+    chosen = serial_choice(pairs, "sku", "slug", "rank").join(pairs, ["sku", "slug"]).select("slug", "sku", F.col("rank.strategy").alias("strategy"))
+    return taken.select("slug", F.col("_last").alias("sku"), F.lit(1).alias("strategy")).unionByName(chosen.join(taken.select("slug"), "slug", "left_anti"))
+
+
+def _strong_sets(t, size: int):
+    """The sets of `size` of a sorted array's tokens that hold a strong one, as texts."""
+    out = F.transform(t, lambda x, i: F.struct(x.alias("s"), (i + 1).alias("i"), F.length(x).alias("m")))
+    for _ in range(size - 1):
+        out = F.flatten(F.transform(out, lambda o: F.transform(F.slice(t, o["i"] + 1, F.size(t)), lambda y, j: F.struct(F.concat(o["s"], F.lit(" "), y).alias("s"), (o["i"] + j + 1).alias("i"), F.greatest(o["m"], F.length(y)).alias("m")))))
+    return F.transform(F.filter(out, lambda o: o["m"] >= STRONG), lambda o: o["s"])
 
 
 def token_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """(lid, rid, score): the best right key sharing a strong token or with token Jaccard at the floor; the smaller id wins ties.
 
-    Exact in phases: all pairs of a Jaccard of f or more share one of the rarest tokens of each side (prefix
-    filter), so a row whose best match there reaches f is settled; only the rest goes on to a lower f and
-    last to all strong tokens. Frequent tokens thus make pairs for few rows.
+    Exact in phases, none of which pairs all rows of a frequent token. All pairs of a Jaccard of f or more share
+    one of the rarest tokens of each side (prefix filter), so a row whose best match there reaches f is settled
+    and only the rest goes on to a lower f. What is left shares few tokens: for each set of one to three
+    tokens with a strong one, the shortest right key that holds it (an aggregation) is the best that shares just
+    these; pairs that share four or more, which at so low a score are long keys, come from a prefix filter.
+    Null keys and keys without tokens match nothing.
     """
-    a = left.select(F.col("id").alias("lid"), urls.tokens(F.col("key")).alias("tl"))
-    b = right.select(F.col("id").alias("rid"), urls.tokens(F.col("key")).alias("tr"))
+    a = left.select(F.col("id").alias("lid"), F.array_sort(urls.tokens(F.col("key"))).alias("tl")).filter(F.size("tl") > 0)
+    b = right.select(F.col("id").alias("rid"), F.array_sort(urls.tokens(F.col("key"))).alias("tr")).filter(F.size("tr") > 0)
     seen = materialize(a.select(F.explode("tl").alias("tok")).unionByName(b.select(F.explode("tr").alias("tok"))).groupBy("tok").agg(F.count("*").alias("df")))
 
     def ranked(d: DataFrame, key: str, t: str) -> DataFrame:
@@ -92,41 +145,67 @@ def token_matches(left: DataFrame, right: DataFrame) -> DataFrame:
         return each.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("df", "tok")))
 
     def best(s: DataFrame) -> DataFrame:
-        ok = s.filter((F.col("longest") >= STRONG) | (F.col("score") >= FLOOR))
-        return ok.groupBy("lid").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("rid"))).alias("b")).select("lid", F.col("b.rid").alias("rid"), (-F.col("b.s")).alias("score"))
+        return s.groupBy("lid").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("rid"))).alias("b")).select("lid", F.col("b.rid").alias("rid"), (-F.col("b.s")).alias("score"))
 
-    ra, rb, rest, out = materialize(ranked(a, "lid", "tl")), materialize(ranked(b, "rid", "tr")), a, None
-    for f in (FLOOR, 0.35):
-        inside = lambda r: r.filter(F.col("rank") <= F.col("n") - F.ceil(f * F.col("n")) + 1)  # noqa: B023, E731
-        pairs = inside(ra.join(rest.select("lid"), "lid", "left_semi")).select("lid", "tok").join(inside(rb).select("rid", "tok"), "tok").select("lid", "rid").distinct()
-        both = F.array_intersect("tl", "tr")
-        s = pairs.join(rest, "lid").join(b, "rid").withColumn("shared", both)
+    def scored(pairs: DataFrame) -> DataFrame:
+        s = pairs.join(rest, "lid").join(b, "rid").withColumn("shared", F.array_intersect("tl", "tr"))
         s = s.select("lid", "rid", F.array_max(F.transform("shared", F.length)).alias("longest"), (F.size("shared") / (F.size("tl") + F.size("tr") - F.size("shared"))).alias("score"))
-        hit = materialize(best(s).filter(F.col("score") >= f))
+        return s.filter((F.col("longest") >= STRONG) | (F.col("score") >= FLOOR)).select("lid", "rid", "score")
+
+    ra, rb, rest, out = materialize(ranked(a, "lid", "tl")), materialize(ranked(b, "rid", "tr")), a, None
+    for f in (FLOOR, LOW):
+        near = lambda r: r.filter(F.col("rank") <= F.col("n") - F.ceil(f * F.col("n")) + 1)  # noqa: B023, E731
+        pairs = near(ra.join(rest.select("lid"), "lid", "left_semi")).select("lid", "tok").join(near(rb).select("rid", "tok"), "tok").select("lid", "rid").distinct()
+        hit = materialize(best(scored(pairs)).filter(F.col("score") >= f))
         out = hit if out is None else out.unionByName(hit)
         rest = materialize(rest.join(hit.select("lid"), "lid", "left_anti"))
-    # below the last phase only strong tokens count
-    strong = lambda r, k: r.filter(F.length("tok") >= STRONG).select(k, "tok")
-    some = strong(ra.join(rest.select("lid"), "lid", "left_semi"), "lid").join(strong(rb, "rid"), "tok").select("lid", "rid").distinct()
-    shared = F.size(F.array_intersect("tl", "tr"))
-    s = some.join(rest, "lid").join(b, "rid").select("lid", "rid", F.lit(STRONG).alias("longest"), (shared / (F.size("tl") + F.size("tr") - shared)).alias("score"))
-    return out.unionByName(best(s)).withColumn("score", F.round("score", 6))
+    some = None
+    for k in (1, 2, 3):
+        wanted = rest.select("lid", F.size("tl").alias("nl"), F.explode(_strong_sets(F.col("tl"), k)).alias("set"))
+        short = b.select("rid", F.size("tr").alias("nr"), F.explode(_strong_sets(F.col("tr"), k)).alias("set")).groupBy("set").agg(F.min(F.struct("nr", "rid")).alias("b"))
+        got = wanted.join(short, "set").select("lid", "b.rid", (F.lit(k) / (F.col("nl") + F.col("b.nr") - k)).alias("score"))
+        some = got if some is None else some.unionByName(got)
+    long = int(4 / LOW) + 4  # tokens of both sides that four shared ones need for a score below LOW
+    most = lambda r, k: r.filter("rank <= n - 3").select(k, "tok", "n")
+    many = most(ra.join(rest.select("lid"), "lid", "left_semi"), "lid").join(most(rb, "rid").withColumnRenamed("n", "m"), "tok").filter(F.col("n") + F.col("m") > long).select("lid", "rid").distinct()
+    return out.unionByName(best(some.unionByName(scored(many)))).withColumn("score", F.round("score", 6))
 
 
 def close_matches(left: DataFrame, right: DataFrame, cutoff: float = RATIO) -> DataFrame:
-    """(lid, rid, ratio): the most similar right key by the sequence ratio, at the cutoff or above.
+    """(lid, rid, ratio): the most similar right key by the sequence ratio, at the cutoff or above; the greater id wins ties.
 
-    The ratio is Python's difflib one, as no built-in has it. Candidates lose none: with a ratio of 0.85 the
-    matching blocks cannot all be single characters (their number is at most 0.15 of both lengths plus one),
-    so the keys share a two-letter gram, or are equal.
+    The ratio is Python's difflib one, as no built-in has it. Candidates lose none: a ratio r leaves at most
+    (1 - r) of both lengths unmatched, lengths then differ by a factor of r / (2 - r) at most, and each
+    unmatched character spoils two of a key's two-letter grams (repeats numbered). So a close pair shares a
+    known number of grams and one of the rarest of each side; pairs so found are counted gram by gram before
+    any is handed to Python. At 0.85 even the shortest keys share a gram. Null and empty keys match nothing.
     """
-    a = left.select(F.col("id").alias("lid"), F.col("key").alias("kl")).filter("kl <> ''")
-    b = right.select(F.col("id").alias("rid"), F.col("key").alias("kr")).filter("kr <> ''")
-    both = lambda k: F.array_union(F.coalesce(grams(F.col(k), 2), F.array().cast("array<string>")), F.array(F.concat(F.lit("="), F.col(k))))
-    pa = a.withColumn("g", F.explode(both("kl")))
-    pb = b.withColumn("g", F.explode(both("kr")))
-    near = (2 * F.least(F.length("kl"), F.length("kr")) / (F.length("kl") + F.length("kr"))) >= cutoff
-    pairs = pa.join(pb, "g").filter(near).select("lid", "kl", "rid", "kr").distinct()
+    if cutoff <= 0.8:
+        raise ValueError("the gram filter holds for ratios above 0.8")
+
+    def keyed(d: DataFrame, k: str) -> DataFrame:
+        c = F.col(k)
+        raw = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
+        numbered = F.transform(raw, lambda g, i: F.concat(g, F.size(F.filter(F.slice(raw, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+        return d.select(F.col("key").alias(k)).filter(f"{k} <> ''").distinct().select(k, numbered.alias("g" + k))
+
+    a, b = materialize(keyed(left, "kl")), materialize(keyed(right, "kr"))
+    seen = a.select(F.explode("gkl").alias("g")).unionByName(b.select(F.explode("gkr").alias("g"))).groupBy("g").agg(F.count("*").alias("df"))
+
+    def least(n, other):
+        """Grams that a key of n characters shares at the least with a close one of `other` characters."""
+        return F.greatest(n - 1 - 2 * F.floor((1 - cutoff) * (n + other) + 1e-9), F.lit(1))
+
+    def rare(d: DataFrame, k: str) -> DataFrame:
+        n = F.length(k)
+        each = d.select(k, n.alias("n"), F.explode("g" + k).alias("g")).join(seen, "g")
+        at = F.row_number().over(Window.partitionBy(k).orderBy("df", "g"))
+        return each.withColumn("at", at).filter(F.col("at") <= F.greatest(F.col("n") - 1, F.lit(1)) - least(F.col("n"), F.floor(F.col("n") * (2 - cutoff) / cutoff + 1e-9)) + 1).select(k, "n", "g")
+
+    near = F.least("n", "m") * 2 >= (cutoff - 1e-9) * (F.col("n") + F.col("m"))
+    pairs = rare(a, "kl").join(rare(b, "kr").withColumnRenamed("n", "m"), "g").filter(near).select("kl", "kr").distinct()
+    enough = F.size(F.array_intersect("gkl", "gkr")) >= least(F.greatest(F.length("kl"), F.length("kr")), F.least(F.length("kl"), F.length("kr")))
+    pairs = pairs.join(a, "kl").join(b, "kr").filter(enough).select("kl", "kr")
 
     def ratio(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -135,15 +214,20 @@ def close_matches(left: DataFrame, right: DataFrame, cutoff: float = RATIO) -> D
                 m.set_seq2(k)
                 m.set_seq1(r)
                 out.append(m.ratio() if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff else 0.0)
-            yield f[["lid", "rid"]].assign(ratio=out)
+            yield f.assign(ratio=out)
 
-    types = f"lid {left.schema['id'].dataType.simpleString()}, rid {right.schema['id'].dataType.simpleString()}, ratio double"
-    hit = pairs.mapInPandas(ratio, types).filter(F.col("ratio") >= cutoff)
-    return hit.groupBy("lid").agg(F.max(F.struct("ratio", "rid")).alias("b")).select("lid", F.col("b.rid").alias("rid"), F.round("b.ratio", 6).alias("ratio"))
+    hit = materialize(pairs.mapInPandas(ratio, "kl string, kr string, ratio double").filter(F.col("ratio") >= cutoff))
+    ids = right.groupBy(F.col("key").alias("kr")).agg(F.max("id").alias("rid"))
+    top = hit.join(ids, "kr").groupBy("kl").agg(F.max(F.struct("ratio", "rid")).alias("b"))
+    return left.select(F.col("id").alias("lid"), F.col("key").alias("kl")).distinct().join(top, "kl").select("lid", F.col("b.rid").alias("rid"), F.round("b.ratio", 6).alias("ratio"))
 
 
 def attribute_images(images: DataFrame, slugs: DataFrame, skus: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
-    """(image, slug, stage): exact, parts, sku, containment, tokens, ratio; each stage on what the last ones left."""
+    """(image, slug, stage): exact, parts, sku, containment, tokens, ratio; each stage on what the last ones left.
+
+    Where the order of a set would decide, the smallest slug does. Images without a stem match nothing. Each
+    stage's hits and what it leaves are written once and matched by distinct stem part, so repeats cost nothing.
+    """
     rest = images.select("image").distinct().withColumn("stem", urls.image_stem(F.col("image"))).filter("stem <> ''")
     parts = F.split("stem", "__")
     rest = rest.withColumn("last", F.element_at(parts, -1)).withColumn("prev", F.when(F.size(parts) >= 2, F.element_at(parts, -2)))
@@ -152,9 +236,9 @@ def attribute_images(images: DataFrame, slugs: DataFrame, skus: DataFrame | None
 
     def take(hit: DataFrame, stage: str):
         nonlocal rest, out
-        hit = hit.select("image", "slug", F.lit(stage).alias("stage"))
+        hit = materialize(hit.select("image", "slug", F.lit(stage).alias("stage")))
         out = hit if out is None else out.unionByName(hit)
-        rest = rest.join(hit.select("image"), "image", "left_anti")
+        rest = materialize(rest.join(hit.select("image"), "image", "left_anti"))
 
     take(rest.join(s, F.col("stem") == F.col("slug")), "exact")
     two = rest.filter("prev is not null").select("image", F.posexplode(F.array("last", "prev")).alias("at", "cand")).join(s, F.col("cand") == F.col("slug"))
@@ -162,14 +246,13 @@ def attribute_images(images: DataFrame, slugs: DataFrame, skus: DataFrame | None
     if skus is not None:
         code = F.regexp_extract(F.upper(F.substring_index("image", "/", -1)), r"^([A-Z0-9]{6,12})[_\-.]", 1)
         take(rest.withColumn("sku", code).join(skus.select("sku", "slug"), "sku"), "sku")
-    c = contained(rest.select(F.col("image").alias("id"), F.col("last").alias("key")), s.select(F.col("slug").alias("id"), F.col("slug").alias("key")))
-    inside = c.join(rest.select(F.col("image").alias("lid"), "last"), "lid").filter(F.contains("rid", "last"))
-    take(inside.groupBy(F.col("lid").alias("image")).agg(F.min("rid").alias("slug")), "containment")
-    t = token_matches(rest.select(F.col("image").alias("id"), F.col("last").alias("key")), s.select(F.col("slug").alias("id"), F.col("slug").alias("key")))
-    take(t.select(F.col("lid").alias("image"), F.col("rid").alias("slug")), "tokens")
+    held = inside(rest.select(F.col("last").alias("key")), s.select(F.col("slug").alias("key"))).groupBy(F.col("ks").alias("last")).agg(F.min("kl").alias("slug"))
+    take(rest.join(held, "last"), "containment")
+    t = token_matches(rest.select(F.col("last").alias("id"), F.col("last").alias("key")).distinct(), s.select(F.col("slug").alias("id"), F.col("slug").alias("key")))
+    take(rest.join(t.select(F.col("lid").alias("last"), F.col("rid").alias("slug")), "last"), "tokens")
     if fuzzy:
-        f = close_matches(rest.select(F.col("image").alias("id"), F.col("last").alias("key")), s.select(F.col("slug").alias("id"), F.col("slug").alias("key")))
-        take(f.select(F.col("lid").alias("image"), F.col("rid").alias("slug")), "ratio")
+        f = close_matches(rest.select(F.col("last").alias("id"), F.col("last").alias("key")).distinct(), s.select(F.col("slug").alias("id"), F.col("slug").alias("key")))
+        take(rest.join(f.select(F.col("lid").alias("last"), F.col("rid").alias("slug")), "last"), "ratio")
     return out
 
 

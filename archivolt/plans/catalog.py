@@ -37,7 +37,7 @@ def j14(s, d):
     return V.exact_keys(slugs.withColumn("slug", F.regexp_replace("slug", "-[a-z0-9]+$", "")), skus)
 
 
-@R.query("j15_containment", f"select p.slug as lid, s.sku as rid from (select slug, {_SK} as key from product_metadata where slug is not null group by slug) p join (select sku, {_AK} as key from sku_product) s on length(s.key) >= 3 and length(p.key) >= 3 and (strpos(p.key, s.key) > 0 or strpos(s.key, p.key) > 0)")
+@R.query("j15_containment", f"select p.slug as lid, s.sku as rid from (select slug, {_SK} as key from product_metadata where slug is not null group by slug) p join (select sku, {_AK} as key from sku_product) s on s.key <> '' and p.key <> '' and (strpos(p.key, s.key) > 0 or strpos(s.key, p.key) > 0)")
 def j15(s, d):
     slugs, skus = _keys(s, d)
     left = slugs.select("slug").distinct().select(F.col("slug").alias("id"), urls.slug_match_key(F.col("slug")).alias("key"))
@@ -45,16 +45,26 @@ def j15(s, d):
     return V.contained(left, right)
 
 
-@R.query("j16_name_and_color", f"select distinct p.slug, s.sku from product_metadata p join (select sku, {_MK.format('trim(name)')} as n, {_MK.format('trim(color)')} as c from sku_product) s on s.n <> '' and s.c <> '' and strpos({_SK.replace('slug', 'p.slug')}, s.n) > 0 and strpos({_SK.replace('slug', 'p.slug')}, s.c) > 0")
+@R.query("j16_name_and_color", f"select distinct p.slug, s.sku from product_metadata p join (select sku, color, {_MK.format('trim(name)')} as n, {_MK.format('trim(color)')} as c from sku_product) s on s.n <> '' and s.color <> '' and strpos({_SK.replace('slug', 'p.slug')}, s.n) > 0 and strpos({_SK.replace('slug', 'p.slug')}, s.c) > 0")
 def j16(s, d):
     slugs, skus = _keys(s, d)
     return V.name_and_color(slugs.select("slug").distinct(), skus)
 
 
-@R.query("j17_greedy_assignment")
+# a serial loop over the products, as a recursive query
+_SERIAL = f"""with recursive f as (select slug, min(meta_id) as pos from product_metadata where slug <> '' group by slug), k as (select {_SK} as key, arg_max(slug, pos) as slug, min(pos) as pos from f group by 1),
+ p as (select sku, {_AK} as api, {_MK.format("trim(coalesce(name, ''))")} as n, {_MK.format("trim(coalesce(color, ''))")} as c, coalesce(color, '') <> '' as colored from sku_product),
+ fits as (select p.sku, k.slug, k.pos, case when p.api = k.key then 1 when p.api <> '' and k.key <> '' and (strpos(k.key, p.api) > 0 or strpos(p.api, k.key) > 0) then 2 when p.colored and p.n <> '' and strpos(k.key, p.n) > 0 and strpos(k.key, p.c) > 0 then 3 end as strategy from p, k),
+ pairs as (select *, strategy * 1000000000000 + pos as rank from fits where strategy is not null and (strategy = 1 or sku not in (select sku from fits where strategy = 1))),
+ s as (select sku, row_number() over (order by sku) as i from p),
+ step as (select 0::bigint as i, ''::varchar as sku, null::varchar as slug, 0::bigint as rank, []::varchar[] as taken
+  union all select st.i + 1, any_value(s.sku), arg_min(q.slug, q.rank), min(q.rank), list_append(any_value(st.taken), coalesce(arg_min(q.slug, q.rank), '')) from step st join s on s.i = st.i + 1 left join pairs q on q.sku = s.sku and (q.strategy = 1 or not list_contains(st.taken, q.slug)) group by st.i)
+ select slug, arg_max(sku, i) as sku, cast(arg_max(rank, i) // 1000000000000 as int) as strategy from step where slug is not null group by slug"""
+
+
+@R.query("j17_greedy_assignment", _SERIAL)
 def j17(s, d):
-    pairs = j15(s, d).select(F.col("lid").alias("slug"), F.col("rid").alias("sku")).withColumn("len", F.length("slug"))
-    return V.greedy_assignment(pairs, "sku", "slug", "sku", ["len"])
+    return V.match_products(*_keys(s, d))
 
 
 @R.query("j18_token_match", """with l as (select sku as lid, unnest(list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+'))) as t from sku_product), r as (select slug as rid, unnest(list_distinct(regexp_extract_all(lower(slug), '[a-z0-9]+'))) as t from (select distinct slug from catalog_entry where slug is not null) c),
@@ -78,8 +88,10 @@ def j19(s, d):
 
 @R.query("j20_attribution_cascade")
 def j20(s, d):
+    """All six stages: the catalogue's images against its slugs, with the codes that the listings give."""
     images = table(s, d, "catalog_entry", "images").select(F.explode("images").alias("image")).distinct()
-    return V.attribute_images(images, table(s, d, "catalog_entry", "slug").filter("slug is not null"), fuzzy=False)
+    codes = V.sku_to_slug(table(s, d, "product_metadata").select("sku", "matched_sku", "slug", F.col("meta_id").alias("ordinal")))
+    return V.attribute_images(images, table(s, d, "catalog_entry", "slug").filter("slug is not null"), codes)
 
 
 @R.query("j38_attribution_counts")

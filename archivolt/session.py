@@ -67,7 +67,17 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/archivolt/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what materialize() wrote for df; for tables of a loop that no later result reads."""
+    path = getattr(df, "_written", None)
+    if path:
+        p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fits(df: DataFrame, rows: int) -> bool:

@@ -1,3 +1,9 @@
+import difflib
+import random
+import re
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from archivolt.operators import capture, catalog, groups, ledger, resolve, series
@@ -87,8 +93,6 @@ def test_resolution(spark):
     skus = spark.createDataFrame([("KW5M5001", "long-coat")], "sku string, slug string")
     got = dict((r["image"], (r["slug"], r["stage"])) for r in resolve.attribute_images(images, slugs, skus).collect())
     assert got["red-tee_800x.jpg"] == ("red-tee", "exact") and got["KW5M5001_front.jpg"] == ("long-coat", "sku") and got["530135-97-bag.jpg"] == ("blue-bag-530135", "tokens") and got["lomg-coat.jpg"] == ("long-coat", "ratio") and "zzz.jpg" not in got
-    pairs = spark.createDataFrame([("a", "1", 1), ("a", "2", 1), ("b", "2", 2), ("c", "3", 1)], "slug string, sku string, r int")
-    assert rows(resolve.greedy_assignment(pairs, "sku", "slug", "sku", ["r"])) == [("a", "1"), ("b", "2"), ("c", "3")]
     d = resolve.longest_prefix(spark.createDataFrame([("a_com_x",), ("zz",)], "name string"), spark.createDataFrame([("a",), ("a_com",)], "domain string"))
     assert rows(d) == [("a_com_x", "a_com")]
 
@@ -173,3 +177,75 @@ def test_full_text(spark):
     d = spark.createDataFrame([(1, "red rug red"), (2, "red mug"), (3, None), (4, "rug on a red and a blue floor")], "id int, t string")
     got = catalog.full_text(d, "id", "t", ["red", "rug"]).orderBy(F.desc("score"))
     assert [r["id"] for r in got.collect()] == [1, 4]
+
+
+# ---- matching, against serial loops
+NAMES = st.sampled_from(["adidas-Red Tee", "red tee", "tee", "Red", "mug", "", None, "t", "red-tee-2", "blue mug"])
+COLORS = st.sampled_from([None, "", "Red", "blue", "!!", "navy"])
+SLUGS = st.sampled_from(["red-tee", "adidas-red-tee", "red-tee-1", "red-tee-2019", "tee", "t", "blue-mug-red", "mug", "navy-mug", "adidas-", "", None, "blue-red-tee-navy"])
+
+
+def serial_matches(slugs, skus):
+    fold = lambda x: re.sub("^adidas-", "", re.sub("[^a-z0-9]+", "-", (x or "").strip().lower()).strip("-"))
+    tail = lambda k: re.sub("-kids?$", "", re.sub("-infants?$", "", re.sub("-adults?$", "", k)))
+    keys, taken, out = {}, set(), {}
+    for g in dict.fromkeys(x for x in slugs if x):
+        keys[re.sub(r"-\d$", "", re.sub(r"-\d{4}$", "", re.sub("^adidas-", "", g.lower())))] = g
+    for sku, name, color in sorted(skus):
+        api, n, c = tail(fold(" ".join(x for x in (name or "", color) if x or x == ""))), fold(name), fold(color)
+        free = [(k, g) for k, g in keys.items() if g not in taken]
+        hit = (keys[api], 1) if api in keys else next(((g, 2) for k, g in free if api and k and (api in k or k in api)), None) or next(((g, 3) for k, g in free if n and color and n in k and c in k), None)
+        if hit:
+            out[hit[0]] = (sku, hit[1])
+            taken.add(hit[0])
+    return {(g, *v) for g, v in out.items()}
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(SLUGS, max_size=12), st.lists(st.tuples(NAMES, COLORS), max_size=12))
+def test_products_match_as_in_a_serial_loop(spark, slugs, products):
+    skus = [(f"s{i:02d}", n, c) for i, (n, c) in enumerate(products)]
+    a = spark.createDataFrame(list(zip(slugs, range(99))), "slug string, ordinal int")
+    b = spark.createDataFrame(skus, "sku string, name string, color string")
+    assert {tuple(r) for r in resolve.match_products(a, b).collect()} == serial_matches(slugs, skus)
+
+
+def test_serial_choice(spark):
+    def serial(pairs):
+        taken, out = set(), set()
+        for by in sorted({p[0] for p in pairs}):
+            if free := sorted((r, o) for b, o, r in pairs if b == by and o not in taken):
+                taken.add(free[0][1])
+                out.add((free[0][1], by))
+        return out
+
+    rng = random.Random(2)
+    chain = [("s1", "A", 1), ("s2", "A", 1), ("s2", "B", 2), ("s3", "B", 1)]
+    for pairs in (chain, [], *([(f"s{rng.randint(0, 9)}", rng.choice("ABCDEFGH"), rng.randint(0, 3)) for _ in range(30)] for _ in range(3))):
+        df = spark.createDataFrame(pairs, "sku string, slug string, rank int")
+        assert {tuple(r) for r in resolve.serial_choice(df, "sku", "slug", "rank").collect()} == serial(pairs)
+    assert {tuple(r) for r in resolve.serial_choice(spark.createDataFrame(chain, "sku string, slug string, rank int"), "sku", "slug", "rank").collect()} == {("A", "s1"), ("B", "s2")}
+
+
+def test_matching_stages_against_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice(["brand", "brand", "tee", "canyon", "anchor", "mug", "x", "530135", "ab", "olive", "navy", "rusty"])
+    left = [(i, "-".join(["brand"] * (i % 3 > 0) + [word() for _ in range(rng.randint(1, 4))])) for i in range(60)] + [(90, None), (91, ""), (92, "--"), (93, "ab"), (94, "-".join(f"t{k}" for k in range(9)) + "-canyon")]
+    right = [(i, "-".join(["brand"] + [word() for _ in range(rng.randint(1, 5))])) for i in range(60)] + [(90, None), (91, ""), (92, "b"), (94, "-".join(f"t{k}" for k in range(9)) + "-" + "-".join(f"u{k}" for k in range(40)) + "-canyon")]
+    a, b = spark.createDataFrame(left, "id int, key string"), spark.createDataFrame(right, "id int, key string")
+    some = lambda x, y: x and y and (x in y or y in x)
+    assert {tuple(r) for r in resolve.contained(a, b).collect()} == {(i, j) for i, x in left for j, y in right if some(x, y)}
+    tokens = lambda k: set(re.findall("[a-z0-9]+", (k or "").lower()))
+    want = {}
+    for i, x in left:
+        for j, y in right:
+            both = tokens(x) & tokens(y)
+            score = len(both) / max(1, len(tokens(x) | tokens(y)))
+            if both and (max(map(len, both)) >= 5 or score >= 0.6):
+                want[i] = min(want.get(i, (0, 0)), (-score, j))
+    assert {r["lid"]: (r["rid"], r["score"]) for r in resolve.token_matches(a, b).collect()} == {i: (j, round(-sc, 6)) for i, (sc, j) in want.items()}
+    near = [(i, "".join(c if rng.random() > 0.08 else rng.choice("abc") for c in k)) for i, k in left if k] + [(95, None), (96, ""), (97, "a")]
+    ratio = lambda x, y: difflib.SequenceMatcher(None, y, x).ratio()
+    want = {i: max((ratio(x, y), j) for j, y in right if y) for i, x in near if x}
+    got = {r["lid"]: (r["ratio"], r["rid"]) for r in resolve.close_matches(spark.createDataFrame(near, "id int, key string"), b).collect()}
+    assert got == {i: (round(q, 6), j) for i, (q, j) in want.items() if q >= 0.85} and len(got) > 10
