@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +11,21 @@ from pyspark.sql import functions as F
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&eacute;", "é"), ("&egrave;", "è"), ("&ndash;", "–"), ("&mdash;", "—"), ("&rsquo;", "’"), ("&amp;", "&"))
 
 
+def _numeric(c: Column) -> Column:
+    """Numeric entities of the basic plane as characters."""
+    code = lambda x: F.when(x.rlike("^&#[xX]"), F.conv(F.regexp_extract(x, "([0-9A-Fa-f]+);", 1), 16, 10)).otherwise(F.regexp_extract(x, r"(\d+);", 1)).try_cast("int")
+    char = lambda x: F.decode(F.unhex(F.lpad(F.hex(code(x)), 4, "0")), "UTF-16BE")
+    parts = F.regexp_extract_all(c, F.lit(r"(&#\d{1,7};|&#[xX][0-9A-Fa-f]{1,6};|[^&]+|&)"), F.lit(1))
+    known = lambda x: x.rlike(r"^&#.*;$") & (code(x).between(1, 0xD7FF) | code(x).between(0xE000, 0xFFFF))
+    return F.array_join(F.transform(parts, lambda x: F.when(known(x), char(x)).otherwise(x)), "")
+
+
 def unescaped(c: Column) -> Column:
-    for a, b in ENTITIES:
+    """The named entities above and numeric ones as characters; others stay."""
+    for a, b in ENTITIES[:-1]:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    c = F.when(c.contains("&#"), _numeric(c)).otherwise(c)
+    for a, b in ENTITIES[-1:]:
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
@@ -117,7 +132,14 @@ def canonical_link(page: Column) -> Column:
     return _some(F.coalesce(F.nullif(F.regexp_extract(head, r"(?i)<link[^>]+rel=[\"']canonical[\"'][^>]+href=[\"']([^\"']+)", 1), F.lit("")), F.regexp_extract(head, r"(?i)<link[^>]+href=[\"']([^\"']+)[\"'][^>]+rel=[\"']canonical", 1)))
 
 
+# Parts of addresses that are a site's own furniture, and of images that show no product.
 CHROME = ("favicon", "apple-touch", "browser-bar", "cdn-cgi", "consent-tracking", "wpm@", "shopify_pay", "load_feature", "challenge-platform", "shop_events")
+NO_PRODUCT = ("favicon", "logo", "icon-", "spinner", "placeholder", "loading")
+
+
+def is_chrome(url: Column, parts: tuple[str, ...] = CHROME) -> Column:
+    """whether an image address holds one of the parts, letter case aside."""
+    return F.lower(url).rlike("|".join(re.escape(p) for p in parts))
 
 
 def image_urls(page: Column, patterns: tuple[str, ...] = (r"(?:https?:)?//cdn\.shopify\.com/[^\s\"'<>\\)]+", r"https?://cdn\.swell\.store/[^\s\"'<>]+", r"https?://imgproxy\.fourthwall\.com/[^\s\"'<>]+")) -> Column:
@@ -130,7 +152,7 @@ def image_urls(page: Column, patterns: tuple[str, ...] = (r"(?:https?:)?//cdn\.s
         u = F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(F.regexp_replace(u, "^http://", "https://"))
         return F.regexp_replace(F.regexp_replace(u, r"_(?:\d+|\{width\})x\d*(?:@\dx)?(?=\.\w+)", ""), r"_(?:grande|medium|small|large|compact|master|pico|icon|thumb)(?=\.\w+)", "")
 
-    return F.array_sort(F.array_distinct(F.filter(F.transform(found, norm), lambda u: ~F.lower(u).rlike("|".join(CHROME)))))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(found, norm), lambda u: ~is_chrome(u))))
 
 
 def products_json(doc: Column) -> Column:
@@ -144,6 +166,7 @@ def products_json(doc: Column) -> Column:
 def valid_content(content: Column, tier: Column) -> Column:
     """sizes by tier, no block page in the first 5,000 characters, no replay wrapper."""
     head = F.substring(content, 1, 5000)
+    # fixed values: texts of block pages
     block = head.rlike(r"Access Denied|Akamai Technologies|akamaized\.net|cf-browser-verification|challenge-platform|Checking your browser|Just a moment|Enable JavaScript and cookies")
     n = F.octet_length(content)
     return (n > 0) & F.when(tier == "structured", n >= 50).otherwise((n >= 1000) & ~block) & ~(head.contains("_wm.wombat") & (n < 10000))
@@ -157,3 +180,19 @@ def stripped_comments(code: Column) -> Column:
 def fenced_blocks(markdown: Column, language: str) -> Column:
     """S28."""
     return F.regexp_extract_all(markdown, F.lit(rf"(?sm)^```{language}[^\n]*\n(.*?)^```"), F.lit(1))
+
+
+# Constructs that put style into components, and the names of their findings.
+STYLE_RULES = (
+    ("style_object_type", r"React\.CSSProperties"), ("styled_tag", r"styled\.[A-Za-z]"), ("styled_call", r"styled\("), ("css_template", "[^A-Za-z]css`"), ("style_library", r"from [\"'](styled-components|@emotion|@stitches|goober|@linaria)"),
+    ("runtime_style", r"<style[^>]*>[ \t\r\n\f]*\{"), ("styled_jsx", "<style jsx"), ("arbitrary_value", r"(class|className)[^=]*=[^>]*-\[[^\]]+\]"), ("multi_line_style", r"style=\{\{[^}]*$"),
+)
+
+
+def style_findings(line: Column) -> Column:
+    """Findings of one source line: a rule's name, or 'key ' and each key of an inline style object that is no custom property."""
+    rules = F.array_compact(F.array(*[F.when(line.rlike(p), F.lit(n)) for n, p in STYLE_RULES]))
+    objects = F.concat(F.regexp_extract_all(line, F.lit(r"style=\{\{([^}]*)\}\}"), F.lit(1)), F.regexp_extract_all(line, F.lit(r':style=\"\{([^}]*)\}\"'), F.lit(1)))
+    keys = F.transform(F.flatten(F.transform(objects, lambda o: F.split(o, ","))), lambda x: F.regexp_replace(F.regexp_replace(x, "(?s):.*", ""), r"[\s\"`\[\]']", ""))
+    bad = F.filter(keys, lambda k: (k != "") & ~k.startswith("...") & ~k.startswith("--"))
+    return F.concat(rules, F.transform(bad, lambda k: F.concat(F.lit("key "), k)))

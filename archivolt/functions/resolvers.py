@@ -133,7 +133,7 @@ RESOLVERS: tuple[Resolver, ...] = (
     ("r23", has(r"media\.tumblr\.com/"), _no_op(sub(r"/s\d+x\d+[^/]*/", "/"))),
     ("r24", has(r"//(?:freight\.cargo\.site|cortex\.persona\.co)/.*/i/"), sub(r"^(https?://[^/]+)/.*?(/i/.*)$", "$1/t/original$2")),
     ("r25", has(r"//i\.imgur\.com/"), _no_op(sub(r"[sbtmlh](\.\w+)$", "$1", False))),
-    ("r27", has(r"cargocollective\.com/"), _no_op(sub(r"_\d+(?:_c)?(\.\w+)$", "$1"))),
+    ("r27", has(r"cargocollective\.com/"), _no_op(sub(r"_\d{3,4}(?:_c)?(\.[a-z]+)$", "$1"))),
     ("r31", has(r"skims(?:-sanity)?\.imgix\.net/.*\?"), bare),
     ("r29", has(r"\.imgix\.net/.*\?"), bare),
     ("r30", has(r"//imgix\.bustle\.com/"), _with_query("q=100")),

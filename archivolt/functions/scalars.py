@@ -32,9 +32,10 @@ def sane_month_day(c: Column) -> Column:
 
 
 def retry_after(c: Column, now: Column) -> Column:
-    """Seconds, or a date as seconds from now; the past counts as 0."""
-    at = F.try_to_timestamp(F.regexp_replace(c, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.greatest(F.lit(0.0), F.coalesce(c.try_cast("double"), (F.unix_timestamp(at) - F.unix_timestamp(now)).cast("double")))
+    """Seconds, or a date as seconds from now; the past counts as 0, what is neither is null."""
+    at = F.try_to_timestamp(F.regexp_replace(F.trim(c), r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    wait = F.coalesce(F.trim(c).try_cast("double"), (F.unix_timestamp(at) - F.unix_timestamp(now)).cast("double"))
+    return F.when(wait.isNotNull(), F.greatest(F.lit(0.0), wait))
 
 
 def decibel_gain(db: Column) -> Column:

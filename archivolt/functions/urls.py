@@ -281,6 +281,7 @@ def image_angle(stem: Column) -> Column:
 def image_model(stem: Column) -> Column:
     """Female, male or null; '-M-BLACK' and the like name a cut, not a model."""
     n = F.upper(stem)
+    # fixed values: the words after which M is a cut
     male = n.rlike(r"(?:FRONT|BACK)[-_]M(?:[-_.]|$)") | (n.rlike(r"[-_]M[-_.]") & ~n.rlike(r"[-_]M[-_](?:BLACK|BLUE|GREEN|GREY|LS|SS)"))
     return F.when(n.rlike("[-_ ]FEMALE"), "female").when(n.rlike("[-_ ]MALE"), "male").when(n.rlike(r"[-_]F[-_.]") | n.endswith("-F"), "female").when((n.rlike(r"[-_]M[-_.]") | n.endswith("-M")) & male, "male")
 
@@ -359,10 +360,19 @@ def append_param(url: Column, name: str, value: str) -> Column:
     return F.concat(url, F.when(url.contains("?"), "&").otherwise("?"), F.lit(f"{name}={value}"))
 
 
+# Formats and the first bytes (hex) that show them, in order.
+MAGIC = (("png", "89504E47"), ("jpg", "FFD8FF"), ("gif", "47494638"), ("tif", "49492A00"), ("tif", "4D4D002A"), ("webm", "1A45DFA3"), ("flac", "664C6143"), ("ogg", "4F676753"), ("aac", "FFF1"), ("aac", "FFF9"), ("mp3", "FFFB"), ("mp3", "FFF3"), ("mp3", "494433"))
+
+
 def magic_format(content: Column) -> Column:
-    """The format that a file's first bytes show."""
+    """The format that a file's first 16 bytes show, else null; RIFF files by their subtype, MP4 by 'ftyp' anywhere in them."""
     h = F.hex(F.substring(content, 1, 16))
-    return F.when(h.startswith("89504E47"), "png").when(h.startswith("FFD8FF"), "jpg").when(h.startswith("474946383"), "gif").when(h.startswith("49492A00") | h.startswith("4D4D002A"), "tif").when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57454250"), "webp").when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57415645"), "wav").when(h.startswith("664C6143"), "flac").when(h.startswith("1A45DFA3"), "webm").when(F.substring(h, 9, 8) == "66747970", "mp4")
+    out = F.when(h.contains("66747970"), "mp4").when(h.contains("FFFB") | h.contains("FFF3"), "mp3")
+    riff = F.when(h.contains("57454250"), "webp").when(h.contains("57415645"), "wav")
+    out = F.when(h.startswith("52494646"), riff).otherwise(out)
+    for name, lead in reversed(MAGIC):
+        out = F.when(h.startswith(lead), name).otherwise(out)
+    return out
 
 
 def png_color_type(content: Column) -> Column:
@@ -382,3 +392,101 @@ def archive_name(c: Column) -> Column:
     """The name of the archive an address belongs to, else its host, else 'unknown'. Compatible: the names are looked for anywhere in the address."""
     named = F.when(c.contains("archive.org"), "internet_archive").when(c.contains("archive.ph") | c.contains("archive.today"), "archive_today").when(c.contains("commoncrawl"), "commoncrawl").when(c.contains("perma.cc"), "perma_cc").when(c.contains("webcitation.org"), "webcitation")
     return named.otherwise(F.coalesce(F.nullif(F.regexp_extract(c, "^https?://([^/]+)", 1), F.lit("")), F.lit("unknown")))
+
+
+# Hosts of archives.
+ARCHIVE_HOSTS = ("web.archive.org", "archive.org", "archive.ph", "archive.today")
+
+
+def live_cdn(addresses: Column, patterns: tuple[str, ...]) -> Column:
+    """F16: whether any address of the array is a live one: not of an archive's host or one below it, and of a pattern."""
+    archived = lambda h: h.isin(*ARCHIVE_HOSTS) | h.rlike("[.](?:" + "|".join(a.replace(".", "[.]") for a in ARCHIVE_HOSTS) + ")$")
+    return F.exists(F.array_compact(addresses), lambda u: (host(u) != "") & ~archived(host(u)) & u.rlike("|".join(f"(?:{p})" for p in patterns)))
+
+
+def hidden_name(name: Column) -> Column:
+    """F25."""
+    return name.rlike("^[_.]")
+
+
+def proxied_source(url: Column) -> Column:
+    """The file behind a signed image proxy's address (its path ends in the base64 of a bucket address, cut into segments), else null."""
+    path = F.substring_index(_rest(url, "//i.discogs.com/"), "?", 1)
+    joined = F.replace(F.regexp_replace(path, "^[^/]*/(?:[^/]*:[^/]*/)*", ""), F.lit("/"), F.lit(""))
+    payload = F.translate(F.regexp_replace(joined, r"[.][^.]*$", ""), "_-", "/+")
+    padded = F.rpad(payload, (F.ceil(F.length(payload) / 4) * 4).cast("int"), "=")
+    bucket = "s3://discogs-database-images/"
+    text = F.try_to_binary(padded, F.lit("base64")).cast("string")
+    return F.when(path.contains("/") & (payload != "") & ~payload.contains(":") & F.is_valid_utf8(text) & text.startswith(bucket), F.substring(text, len(bucket) + 1, 1 << 30))
+
+
+def source_reference(url: Column) -> Column:
+    """struct(kind, id) of the release, artist, label or master that a proxied image shows; else null."""
+    f = proxied_source(url)
+    kinds = F.create_map(*[F.lit(x) for x in ("R", "releases", "A", "artists", "L", "labels", "M", "masters")])
+    return F.when(f.rlike(r"^[RALM]-\d+(-|$)"), F.struct(kinds[F.substring(f, 1, 1)].alias("kind"), F.regexp_extract(f, r"^.-(\d+)", 1).alias("id")))
+
+
+def larger_suffixes(url: Column) -> Column:
+    """The addresses of larger renditions to try, in order; null where the name has no suffix. The query stays."""
+    stem = r"^(.+)_[a-z][.]([a-z]+)$"
+    bare, query = F.substring_index(url, "?", 1), F.when(url.contains("?"), F.concat(F.lit("?"), _rest(url, "?"))).otherwise(F.lit(""))
+    each = F.transform(F.array(*[F.lit(x) for x in "okb"]), lambda x: F.concat(F.regexp_extract(bare, stem, 1), F.lit("_"), x, F.lit("."), F.regexp_extract(bare, stem, 2), query))
+    return F.when(url.contains("staticflickr.com") & bare.rlike(stem), each)
+
+
+def legacy_shop(url: Column) -> Column:
+    """Without the first size and the first name of a size; null where the host is another one or nothing changes."""
+    c = F.regexp_replace(url, r"^(.*?)_\d+x\d+(?:_crop_[a-z]+)?([.][a-z]+)", "$1$2")
+    c = F.regexp_replace(c, r"^(.*?)_(?:pico|icon|thumb|small|compact|medium|large|grande|original|master)([.][a-z]+)", "$1$2")
+    return F.when(url.contains("cdn.shopify.com") & (c != url), c)
+
+
+# Extensions that leave a name, in the order in which they do.
+MEDIA_EXTENSIONS = ("tif", "tiff", "png", "jpg", "jpeg", "webp", "gif", "mp4", "webm", "mov", "mp3", "aac", "flac", "wav", "ogg", "m3u8")
+
+
+def output_stem(url: Column) -> Column:
+    """The name an address's file is stored under, without media extension.
+
+    Three hosts keep the name elsewhere: before a size segment, in the photo's number, in the proxied source.
+    Where nothing is left the stem is 'media_' and eight digits of the address's hash (a clock would not repeat).
+    """
+    c = F.substring_index(url, "?", 1)
+    sized = r"^https?://is[0-9]+(?:-ssl)?[.]mzstatic[.]com/image/thumb/.+/[0-9]+x[0-9]+[a-z]*(?:-[0-9]+)?[.](?:jpe?g|png|tiff?|webp|bmp)$"
+    photo = r"^https?://s[.]hdnux[.]com/photos/(?:[0-9]+/){4}([0-9]+)/[0-9]+/[^/]+$"
+    c = F.when(c.rlike(sized), F.regexp_replace(c, "/[^/]*$", "")).when(c.rlike(photo), F.concat(F.lit("hdnux_"), F.regexp_extract(c, photo, 1))).otherwise(F.coalesce(proxied_source(c), c))
+    c = F.substring_index(c, "/", -1)
+    for ext in MEDIA_EXTENSIONS:
+        c = F.regexp_replace(c, rf"(?i)[.]{ext}$", "")
+    return F.when(c == "", F.concat(F.lit("media_"), F.substring(F.md5(url), 1, 8))).otherwise(c)
+
+
+# Parameters, formats and extensions that are probed, and formats a shop only pretends to give.
+PROBE_PARAMS, PROBE_FORMATS, PROBE_EXTENSIONS = ("fm", "format", "f", "output"), ("tif", "png", "jpg", "webp"), ("tif", "tiff", "png", "jpg", "jpeg")
+TRAP_FORMATS = ("tif", "tiff", "avif", "heic")
+
+
+def _shop_image(url: Column) -> Column:
+    return url.contains("cdn.shopify.com/s/files/") | url.contains("/cdn/shop/products/") | url.contains("/cdn/shop/files/")
+
+
+def _bare_master(url: Column) -> Column:
+    return url.contains("skims.imgix.net/") | url.contains("skims-sanity.imgix.net/")
+
+
+def param_probes(url: Column) -> Column:
+    """AR7: the addresses to ask for other formats by parameter, parameter by parameter; without formats that are traps on the host."""
+    mark = F.when(url.contains("?"), "&").otherwise("?")
+    all_ = F.array(*[F.struct(F.lit(f).alias("fmt"), F.concat(url, mark, F.lit(f"{p}={f}")).alias("url")) for p in PROBE_PARAMS for f in PROBE_FORMATS])
+    kept = F.filter(all_, lambda x: ~(_shop_image(url) & x["fmt"].isin(*TRAP_FORMATS)))
+    return F.transform(F.when(_bare_master(url), F.slice(kept, 1, 0)).otherwise(kept), lambda x: x["url"])
+
+
+def path_probes(url: Column) -> Column:
+    """AR7: the addresses with other extensions; none for hosts whose names are fixed or that have no image extension."""
+    base, query = F.substring_index(url, "?", 1), F.when(url.contains("?"), F.concat(F.lit("?"), _rest(url, "?"))).otherwise(F.lit(""))
+    stem = F.regexp_replace(base, "[.][^.]*$", "")
+    all_ = F.filter(F.array(*[F.lit(e) for e in PROBE_EXTENSIONS]), lambda e: ~(base.contains("/image/upload/") & e.isin("tif", "tiff")))
+    ok = base.rlike(r"(?i)[.](tif|tiff|png|jpg|jpeg|webp)$") & ~_shop_image(base) & ~_bare_master(url)
+    return F.transform(F.when(ok, all_).otherwise(F.slice(all_, 1, 0)), lambda e: F.concat(stem, F.lit("."), e, query))

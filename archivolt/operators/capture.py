@@ -8,10 +8,34 @@ from pyspark.sql import functions as F
 from archivolt.functions import urls
 
 REASONS = ("status", "mime", "junk_path", "static_ext", "variant_noise")
+# Marks of broken addresses; types by preference.
 DEFAULT_JUNK = r"%22|%3[CcEe]|%7[Bb]|%5[Bb]|\[insert|:productId"
 TYPE_PRIORITY = ("api", "slug", "collection", "sku")
 
 
+def has_junk(c: Column, junk: str = DEFAULT_JUNK) -> Column:
+    """asked of an address and again of the slug made of it."""
+    return c.rlike(junk)
+
+
+def valid_slug(slug: Column) -> Column:
+    """no '.', no '/', not blank."""
+    return ~slug.contains(".") & ~slug.contains("/") & (F.trim(slug) != "")
+
+
+def meets(url_type: Column, status: Column, mime: Column, rules: list[dict]) -> Column:
+    """the status and type demanded by the first rule of the row's type."""
+    ok = F.lit(True)
+    for t in dict.fromkeys(r["url_type"] for r in rules):
+        rule = next(r for r in rules if r["url_type"] == t)
+        if rule.get("require_status"):
+            ok = ok & ((url_type != t) | (status == rule["require_status"]))
+        if rule.get("require_ctype"):
+            wanted = rule["require_ctype"] if isinstance(rule["require_ctype"], list) else [rule["require_ctype"]]
+            ok = ok & ((url_type != t) | mime.isin(*wanted))
+    return ok
+
+
 def parse_lines(lines: DataFrame, column: str = "value", whitespace_fallback: bool = True) -> DataFrame:
     """Capture lines of five fields by tab, or by white space where tabs give fewer; shorter lines drop out."""
     tab = F.split(F.col(column), "\t")
@@ -64,15 +88,8 @@ def product_index(captures: DataFrame, url_rules: list[dict], era_rules: list[di
     demanded by the first rule of the row's type.
     """
     path = F.regexp_replace(urls.percent_decoded(F.substring_index(F.regexp_replace("original_url", "^[A-Za-z]+://[^/?#]*", ""), "?", 1)), r"/+\z", "")
-    typed = captures.filter(~F.col("original_url").rlike(junk)).withColumn("_p", path).withColumn("_c", urls.classify(F.col("_p"), url_rules)).filter("_c.slug is not null").withColumn("slug", F.trim("_c.slug")).withColumn("url_type", F.col("_c.url_type")).drop("_c", "_p")
-    ok = ~F.col("slug").contains(".") & ~F.col("slug").contains("/") & (F.col("slug") != "") & ~F.col("slug").rlike(junk)
-    for t in dict.fromkeys(r["url_type"] for r in url_rules):
-        rule = next(r for r in url_rules if r["url_type"] == t)
-        if rule.get("require_status"):
-            ok = ok & ((F.col("url_type") != t) | (F.col("status") == rule["require_status"]))
-        if rule.get("require_ctype"):
-            wanted = rule["require_ctype"] if isinstance(rule["require_ctype"], list) else [rule["require_ctype"]]
-            ok = ok & ((F.col("url_type") != t) | F.col("mime").isin(*wanted))
+    typed = captures.filter(~has_junk(F.col("original_url"), junk)).withColumn("_p", path).withColumn("_c", urls.classify(F.col("_p"), url_rules)).filter("_c.slug is not null").withColumn("slug", F.trim("_c.slug")).withColumn("url_type", F.col("_c.url_type")).drop("_c", "_p")
+    ok = valid_slug(F.col("slug")) & ~has_junk(F.col("slug"), junk) & meets(F.col("url_type"), F.col("status"), F.col("mime"), url_rules)
     rank = F.lit(99)
     for i, t in reversed(list(enumerate(type_priority))):
         rank = F.when(F.col("url_type") == t, i).otherwise(rank)
@@ -98,6 +115,7 @@ def content_pages(captures: DataFrame, domains: list[str] | None = None) -> Data
         rows = rows.filter(F.col("host").isin(*domains))
     p = F.col("path")
     rows = rows.filter(~(p.contains("/products/") & ~p.contains("products.json")) & ~p.rlike(r"wpm@|cdn-cgi|\.well-known/shopify/monorail"))
+    # fixed values: paths of pages with products
     wanted = p.isin("/", "/live", "/rave", "/shop", "/us") | p.contains("/collections/") | p.endswith("__data.json") | p.endswith("products.json")
     return rows.filter(wanted).groupBy(F.concat("host", "path").alias("page")).agg(F.array_sort(F.collect_list(F.struct("ts", "replay_url"))).alias("captures"))
 

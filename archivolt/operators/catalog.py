@@ -75,7 +75,7 @@ def evidence(attestations: DataFrame, trusted: tuple[str, ...] = ("cdx", "dns",
 
 def commerce_platform(urls_: DataFrame, url: str) -> DataFrame:
     """Pattern counts of an address list and the platform they show; later platforms override earlier ones."""
-    u = F.lower(F.col(url))
+    u = F.lower(F.col(url))  # fixed values: the patterns below
     c = lambda p: F.count_if(u.rlike(p))
     g = urls_.agg(c("/products?/").alias("products"), c("/collections?/").alias("collections"), c(r"/(cart|checkout)(/|\?|$)").alias("carts"), c(r"cdn\.shopify\.com|/cdn/shop/").alias("shopify"), c(r"cdn\.swell\.store").alias("swell"), c(r"imgproxy\.fourthwall\.com").alias("fourthwall"))
     return g.withColumn("platform", F.when(F.col("fourthwall") > 0, "fourthwall").when(F.col("swell") > 0, "swell").when(F.col("shopify") > 0, "shopify").when(F.col("products") + F.col("collections") + F.col("carts") >= 5, "generic"))
@@ -91,9 +91,10 @@ def signature_score(body: Column, signatures: dict[str, tuple[str, ...]]) -> Col
 def front_door(body: Column, location: Column, code: Column, domain: Column) -> Column:
     """X51."""
     target = F.regexp_replace(F.substring_index(F.regexp_replace(location, "^[a-zA-Z]+://", ""), "/", 1), r"^www\.", "")
+    # fixed values: texts of parked pages, marks of pages built in the browser
     return (
         F.when(body.rlike(r"(?i)godaddy|sedoparking|afternic|hugedomains|dan\.com|parkingcrew|bodis|domain (is )?for sale|buy this domain|this domain (may be|is) for sale"), "PARKED")
-        .when(F.coalesce(target, F.lit("")).isin("") == F.lit(False), F.when(target != domain, "REDIRECTED"))
+        .when((F.coalesce(target, F.lit("")) != "") & (target != domain), "REDIRECTED")
         .when(body.rlike(r'(?i)id="(app|root|__next|__nuxt)"|__NEXT_DATA__|/_next/|/page-data/|prerender\.io|netlify|vercel|cloudflare-pages|window\.__NUXT__'), "SPA")
         .when(code.between(200, 299), "LIVE").when(code.between(300, 399), "REDIRECTED").when(code >= 400, "DEAD").otherwise("UNKNOWN")
     )

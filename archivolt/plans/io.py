@@ -215,31 +215,6 @@ def o11(s, d):
     return g.orderBy(F.desc("closed"), "rate", "tier").limit(1).select("tier")
 
 
-# ---- resolvers whose second half asks a network: the rewrite
-def _slugs(s, d):
-    return table(s, d, "catalog_entry", "slug").filter(F.col("slug").rlike("^[a-z0-9-]+$")).distinct()
-
-
-_SLUGS = "(select distinct slug from catalog_entry where regexp_matches(slug, '^[a-z0-9-]+$')) s"
-
-
-@R.query("r17_source_reference", f"select slug, 'R' as kind, '123' as id from {_SLUGS}")
-def r17(s, d):
-    u = F.concat(L("https://i.discogs.com/x/rs:fit/g:sm/R-123-"), "slug", L(".jpg"))
-    return _slugs(s, d).select("slug", F.regexp_extract(u, r"/([RALM])-(\d+)-", 1).alias("kind"), F.regexp_extract(u, r"/([RALM])-(\d+)-", 2).alias("id"))
-
-
-@R.query("r26_larger_suffixes", f"select slug, 'https://live.staticflickr.com/1/' || slug || x || '.jpg' as candidate from {_SLUGS}, (values ('_o'), ('_k'), ('_h'), ('_b')) v(x)")
-def r26(s, d):
-    u = F.concat(L("https://live.staticflickr.com/1/"), "slug", L("_m.jpg"))
-    return _slugs(s, d).select("slug", F.explode(F.transform(F.array(*[L(x) for x in ("_o", "_k", "_h", "_b")]), lambda x: F.concat(F.regexp_replace(u, r"_\w\.jpg$", ""), x, L(".jpg")))).alias("candidate"))
-
-
-@R.query("r28_legacy_shop", f"select slug, 'https://cdn.shopify.com/x/' || slug || '.jpg' as master from {_SLUGS}")
-def r28(s, d):
-    return _slugs(s, d).select("slug", urls.shop_size_stripped(F.concat(L("https://cdn.shopify.com/x/"), "slug", L("_grande.jpg"))).alias("master"))
-
-
 # ---- state, merges, guards
 @R.query("t02_resumed_stream", "select count(*) as n from events")
 def t02(s, d):

@@ -9,86 +9,133 @@ from archivolt.sources import readers
 from archivolt.tables import table
 
 R = Registry()
-PLAIN = "^[A-Za-z0-9 -]+$"
-
-
-def products(s, d):
-    p = table(s, d, "product_metadata", "meta_id", "slug", "name", "brand", "price", "color")
-    return p.filter(F.col("name").rlike(PLAIN) & F.col("brand").rlike(PLAIN)).select("meta_id", "slug", F.trim("name").alias("name"), F.trim("brand").alias("brand"))
-
-
-BASE = f"(select meta_id, slug, trim(name) as name, trim(brand) as brand from product_metadata where regexp_matches(name, '{PLAIN}') and regexp_matches(brand, '{PLAIN}'))"
-
-
-def page():
-    t = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
-    n, b, g = F.col("name"), F.col("brand"), F.col("slug")
-    return t('<html><head><title> ', n, ' </title><link rel="canonical" href="https://a.example/products/', g, '"><meta property="og:title" content="', n, ' &amp; more"><meta property="og:price:amount" content="12.50"></head><script>track("Viewed Product",{"brand":"', b, '","name":"', n, '"});</script><div class="rte"> ', n, '<br/><b>by</b> ', b, '\n\n</div>"color": "sky blue"<option value="1"> XL </option><option value="2">M</option><option value="3">XL</option><a href="/products/', g, '">x</a><a data-url="/products/', g, '-2">y</a><img src="//cdn.shopify.com/s/files/', g, '_300x.jpg?v=1"><img data-src="https://cdn.shopify.com/s/files/favicon.png"></html>')
+L = F.lit
 
 
-def from_page(name: str, sql_expr: str, f) -> None:
-    @R.query(name, f"select meta_id, {sql_expr} as value from {BASE} p")
-    def q(s, d):
-        return products(s, d).withColumn("page", page()).select("meta_id", f(F.col("page")).alias("value"))
+def listings(s, d):
+    """All listings, null texts as empty ones; k varies the shape of what is made of a row."""
+    p = table(s, d, "product_metadata", "meta_id", "slug", "name", "brand", "color")
+    return p.select("meta_id", "slug", *[F.coalesce(c, L("")).alias(c) for c in ("name", "brand", "color")], (F.col("meta_id") % 4).alias("k"))
 
 
-from_page("x36_og_meta", "name || ' & more'", lambda p: pages.og_meta(p, "title"))
-from_page("x37_analytics_field", "brand", lambda p: pages.analytics_field(p, "brand"))
-from_page("x38_description", "name || chr(10) || 'by ' || brand", pages.description)
-from_page("x39_color", "'sky blue'", pages.color)
-from_page("x40_sizes", "'XL,M'", lambda p: F.array_join(pages.sizes(p), ","))
-from_page("x41_shop_metadata", "name || ' & more|12.50|USD|' || brand || '|XL, M'", lambda p: F.concat_ws("|", *[pages.shop_metadata(p)[c] for c in ("name", "price", "currency", "brand", "sizes")]))
-from_page("x44_image_urls", "'https://cdn.shopify.com/s/files/' || slug || '.jpg?v=1'", lambda p: F.array_join(pages.image_urls(p), ","))
-from_page("x47_product_links", "'https://a.example/products/' || slug || ',/products/' || slug || ',/products/' || slug || '-2'", lambda p: F.array_join(pages.links(p), ","))
-from_page("x49_canonical_link", "'https://a.example/products/' || slug", pages.canonical_link)
-from_page("x51_front_door", "'LIVE'", lambda p: catalog.front_door(p, F.lit(None).cast("string"), F.lit(200), F.lit("a.example")))
-from_page("f14_valid_content", "true", lambda p: pages.valid_content(p, F.lit("structured")) & ~pages.valid_content(F.concat(F.lit("Just a moment"), p, p), F.lit("html")))
+BASE = "(select meta_id, slug, coalesce(name, '') as name, coalesce(brand, '') as brand, coalesce(color, '') as color, meta_id % 4 as k from product_metadata)"
 
 
-def from_text(name: str, sql_expr: str, f) -> None:
-    @R.query(name, f"select meta_id, {sql_expr} as value from {BASE} p")
+def made(name: str, expected: str, f) -> None:
+    """A query of an operator on texts made of each listing; expected computes what went in."""
+    @R.query(name, f"select meta_id, {expected} as value from {BASE} p")
     def q(s, d):
-        return products(s, d).select("meta_id", f(F.col("slug"), F.col("name"), F.col("brand")).alias("value"))
-
-
-L = F.lit
-from_text("x42_api_metadata", "name || '|' || brand || '|7'", lambda g, n, b: F.concat_ws("|", *[pages.api_metadata(F.concat(L('[{"name":"'), n, L('","attribute_list":{"brand":"'), b, L('"},"pricing_information":{"standard_price":7}}]')))[c] for c in ("name", "brand", "price")]))
-from_text("x43_catalog_product", "name || '|' || slug", lambda g, n, b: F.concat_ws("|", *[pages.catalog_product(F.concat(L('{"product_id":"'), g, L('","product_name":"'), n, L('"}')))[c] for c in ("name", "sku")]))
-from_text("x45_feed_links", "'https://a.example/products/' || slug", lambda g, n, b: F.array_join(pages.feed_links(F.concat(L('<div>bar</div><feed><link href="/self"/><entry><link rel="alternate" type="text/html" href="https://a.example/products/'), g, L('"/></entry></feed>'))), ","))
-from_text("x46_sitemap_locs", "'https://a.example/products/' || slug || ',https://a.example/i.png'", lambda g, n, b: F.array_join(pages.sitemap_locs(F.concat(L("<url><loc> https://a.example/products/"), g, L(" </loc><image:loc>https://a.example/i.png</image:loc></url>"))), ","))
-from_text("x48_feed_body", "'<feed>' || name || '</feed>'", lambda g, n, b: pages.feed_body(F.concat(L("<script>bar</script>"), L("<feed>"), n, L("</feed>"))))
-from_text("x13_surface_class", "case when meta_id % 3 = 0 then 'unknown' when meta_id % 3 = 1 then 'atom' else 'collection' end", lambda g, n, b: urls.surface_class(F.concat(L("a.example_"), F.when(F.col("meta_id") % 3 == 0, F.concat(L("products_"), g, L(".atom"))).when(F.col("meta_id") % 3 == 1, "products_4.atom").otherwise(F.concat(L("collections_"), g)), L(".html"))))
-from_text("x14_is_surface", "meta_id % 3 = 2", lambda g, n, b: urls.is_surface(F.concat(L("a.example_"), F.when(F.col("meta_id") % 3 == 0, F.concat(L("products_"), g, L(".atom"))).when(F.col("meta_id") % 3 == 1, "products_4.atom").otherwise(F.concat(L("collections_"), g)), L(".html"))))
-from_text("x15_slug_of_file", "slug", lambda g, n, b: urls.slug_of_file(F.concat(L("a.example_products_"), g, L(".html"))))
-from_text("x18_url_of_file", "'https://a.example/products/' || slug", lambda g, n, b: urls.url_of_file(F.concat(L("a.example_products_"), g, L(".html"))))
-from_text("x19_product_ref", "'https://h.example/products/' || slug", lambda g, n, b: urls.product_ref(F.concat(L("/products/"), g), L("h.example"))["canonical_url"])
-from_text("x21_clean_filename", "slug || '.jpg'", lambda g, n, b: urls.clean_filename(F.concat(L("https://a.example/i/"), g, L("_400x.jpg?v=1"))))
-from_text("x22_size_stripped", "'https://a.example/' || slug || '.jpg?v=1'", lambda g, n, b: urls.shop_size_stripped(F.concat(L("https://a.example/"), g, L("_1024x1024.jpg?v=1"))))
-from_text("x23_flat_filename", "'products__' || slug || '.jpg'", lambda g, n, b: urls.flat_filename(F.concat(L("https://cdn.example/s/1/products/"), g, L(".jpg?v=1"))))
-from_text("x32_master_name", "meta_id % 2 = 0", lambda g, n, b: urls.looks_like_master(F.when(F.col("meta_id") % 2 == 0, L("Song_Mastered")).otherwise(L("vocal_master"))))
-from_text("x33_name_score", "case when meta_id % 2 = 0 then 'generic' else 'informative' end", lambda g, n, b: urls.name_score(F.when(F.col("meta_id") % 2 == 0, L("Audio_01")).otherwise(L("kick-in"))))
-from_text("x35_archive_name", "slug", lambda g, n, b: urls.archive_name(F.concat(L("https://"), g, L("/web/2020/http://x"))))
-from_text("x57_magic_format", "case when meta_id % 2 = 0 then 'png' else 'gif' end", lambda g, n, b: urls.magic_format(F.unhex(F.when(F.col("meta_id") % 2 == 0, L("89504E470D0A1A0A")).otherwise(L("4749463839610100")))))
-from_text("x58_png_color", "'indexed'", lambda g, n, b: urls.png_color_type(F.unhex(L("89504E470D0A1A0A0000000D49484452000000000000000008" + "03"))))
-from_text("x59_output_stem", "slug", lambda g, n, b: F.regexp_replace(F.substring_index(F.substring_index(F.concat(L("https://a.example/p/"), g, L(".JPG?x=1")), "?", 1), "/", -1), r"(?i)\.(jpe?g|png|webp|gif|tiff?)$", ""))
-from_text("x60_style_keys", "0", lambda g, n, b: F.size(F.filter(F.regexp_extract_all(L("{'--a': 1, '--b': 2}"), L("'([^']+)':"), L(1)), lambda k: ~k.startswith("--"))).cast("long"))
-from_text("f07_slug_junk", "false", lambda g, n, b: g.rlike(capture.DEFAULT_JUNK))
-from_text("f08_slug_valid", "strpos(slug, '.') = 0 and strpos(slug, '/') = 0 and trim(slug) <> ''", lambda g, n, b: ~g.contains(".") & ~g.contains("/") & (F.trim(g) != ""))
-from_text("f12_product_image", "not regexp_matches(slug, 'favicon|logo|icon-|spinner|placeholder|loading')", lambda g, n, b: ~g.rlike("favicon|logo|icon-|spinner|placeholder|loading"))
-from_text("f15_magic_bytes", "true", lambda g, n, b: urls.magic_format(F.concat(F.unhex(L("FFD8FFE0")), F.encode(g, "utf-8"))).isNotNull())
-from_text("f16_live_cdn", "meta_id % 2 = 0", lambda g, n, b: F.exists(F.array(F.concat(F.when(F.col("meta_id") % 2 == 0, L("https://cdn.shopify.com/s/")).otherwise(L("https://web.archive.org/web/1/https://cdn.shopify.com/s/")), g)), lambda u: ~urls.host(u).rlike(r"(^|\.)(web\.archive\.org|archive\.org|archive\.ph|archive\.today)$") & u.rlike(r"cdn\.shopify\.com")))
-from_text("f24_non_master", "meta_id % 2 = 0", lambda g, n, b: resolve.recipe_of(F.concat(L("https://i.ebayimg.com/"), g, F.when(F.col("meta_id") % 2 == 0, L("/s-l500.jpg")).otherwise(L("/s-l1600.jpg"))))["non_master"])
-from_text("x54_master_rewrite", "'https://i.ebayimg.com/' || slug || '/s-l1600.jpg'", lambda g, n, b: resolve.recipe_of(F.concat(L("https://i.ebayimg.com/"), g, L("/s-l500.jpg")))["master"])
-from_text("f25_hidden_name", "false", lambda g, n, b: g.rlike(r"^[_.]"))
-from_text("s22_graph_nodes", "name || ',' || brand", lambda g, n, b: F.array_join(F.transform(F.array(F.struct(n.alias("node")), F.struct(b.alias("node"))), lambda e: e["node"]), ","))
-from_text("s24_schema_enum", "'a,b'", lambda g, n, b: F.array_join(readers.schema_enum(L('{"properties":{"verdict":{"enum":["a","b"]}}}'), "verdict"), ","))
-from_text("s28_fenced_blocks", "name || chr(10)", lambda g, n, b: F.array_join(pages.fenced_blocks(F.concat(L("text\n```sql\n"), n, L("\n```\n")), "sql"), ""))
-from_text("js3_products_json", "slug || '|u,v'", lambda g, n, b: F.array_join(F.transform(pages.products_json(F.concat(L('{"products":[{"handle":"'), g, L('","images":[{"src":"u"},"v"]}]}'))), lambda p: F.concat(p["handle"], L("|"), F.array_join(p["images"], ","))), ";"))
-from_text("js4_json_escape", "'{\"v\":\"' || name || '\"}'", lambda g, n, b: F.to_json(F.struct(n.alias("v"))))
-from_text("ar5_line_ranges", "22", lambda g, n, b: F.aggregate(scalars.line_ranges(F.format_string("%d, %d-%d", F.length(g), F.length(g) + 1, F.length(g) + 20)), L(1), lambda a, x: a + x["hi"] - x["lo"] + 1).cast("long"))
-from_text("ar7_probe_matrix", "5", lambda g, n, b: F.size(F.filter(F.flatten(F.transform(F.array(L("fm"), L("format"), L("f")), lambda p: F.transform(F.array(L("png"), L("tif")), lambda v: F.concat(p, L("="), v)))), lambda x: x != "f=tif")).cast("long"))
-from_text("d07_retry_after", "cast(12 as double)", lambda g, n, b: scalars.retry_after(F.date_format(F.timestamp_seconds(F.length(g) * 90_000 + 12), "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.timestamp_seconds(F.length(g) * 90_000)))
-from_text("mp2_lower_keys", "'x'", lambda g, n, b: scalars.lower_keys(F.create_map(F.upper(F.concat(L("k"), g)), L("w"), F.lower(F.concat(L("K"), g)), L("x")))[F.lower(F.concat(L("k"), g))])
+        return listings(s, d).select("meta_id", f(*[F.col(c) for c in ("slug", "name", "brand", "k")]).alias("value"))
+
+
+def t(*parts):
+    return F.concat(*[L(x) if isinstance(x, str) else x for x in parts])
+
+
+def esc(c):
+    """As a page's author writes it."""
+    for x, y in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, L(x), L(y))
+    return c
+
+
+def by(k, *cases):
+    """The case of number k; the last for all others."""
+    out = cases[-1] if not isinstance(cases[-1], str) else L(cases[-1])
+    for i, c in reversed(list(enumerate(cases[:-1]))):
+        out = F.when(k == i, L(c) if isinstance(c, str) else c).otherwise(out)
+    return out
+
+
+def json(**fields):
+    return F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()]))
+
+
+def island(n, b):
+    return t('track("Viewed Product",\n ', json(brand=b, name=n), ");")
+
+
+ISLAND = "case when contains(name, '}}') or contains(brand, '}}') then null else nullif(trim({0}), '') end"
+made("x36_og_meta", "case when k >= 2 then nullif(trim(name || ' & more'), '') end", lambda g, n, b, k: pages.og_meta(by(k, '<meta property="og:name" content="x">', '<meta property="og:title" content="  ">', t('<p>"</p><meta\n property="og:title"  content="', esc(n), ' &amp; more">')), "title"))
+made("x36_titles", "nullif(trim(case when k = 0 then '' when k = 1 then name || chr(10) || brand else name end), '')", lambda g, n, b, k: pages.titles(by(k, "<html></html>", t("<TITLE> ", n, "\n", b, " </TITLE><title>no</title>"), t('<title lang="en"> ', n, "</title>"))))
+made("x36_entities", "name || ' é–ß' || chr(9731) || '&zz; &#;'", lambda g, n, b, k: pages.unescaped(t(esc(n), " &eacute;&ndash;&#223;&#x2603;&zz; &#;")))
+made("x37_analytics_field", f"case when k > 0 then {ISLAND.format('brand')} end", lambda g, n, b, k: pages.analytics_field(by(k, json(brand=b), island(n, b)), "brand"))
+made("x38_description", "case when k < 3 then nullif(array_to_string(list_filter(list_transform(regexp_split_to_array(name || chr(10) || 'by ' || brand, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> ''), chr(10)), '') end", lambda g, n, b, k: pages.description(t(by(k, '<div class="product-single__description rte">', '<div class="rte" >  </div><div class="product__description x">', '<div  class="rte">', "<div>"), " ", esc(n), "<br/><b>by</b> ", esc(b), "\n\n</div>")))
+made("x39_color", "case when k = 3 then null when k < 2 and regexp_matches(color, '^[A-Za-z][A-Za-z /-]+$') then trim(upper(color)) else nullif(trim(color), '') end", lambda g, n, b, k: pages.color(F.when(k == 3, "<p>no colour</p>").when((k < 2) & F.col("color").rlike("^[A-Za-z][A-Za-z /-]+$"), t(by(k, "<b>Color  ", "COLOR "), F.upper(F.col("color")), "<i>")).otherwise(t('{"color" : "', F.col("color"), '"}'))))
+made("x40_sizes", "case when k = 0 then '' else 'XL,' || case when upper(substr(slug, 1, 3)) in ('XL', 'M/L') then '' else upper(substr(slug, 1, 3)) || ',' end || 'M/L 4.5' end", lambda g, n, b, k: F.array_join(pages.sizes(by(k, "<option>S</option>", t('<option value="1"> XL </option><option v>', F.upper(F.substring(g, 1, 3)), '</option><option v>---</option><option v="2">XL</option><option v>M/L 4.5</option><option v>small</option>'))), ","))
+made("x41_shop_metadata", f"coalesce(nullif(trim(case when k = 0 then '' else name end), ''), {ISLAND.format('name')}, '-') || '|' || case when k = 1 then '-' else (meta_id % 50) || '.50' end || '|' || case when k = 1 then '-' when k = 2 then 'EUR' else 'USD' end || '|' || coalesce({ISLAND.format('brand')}, '-')", lambda g, n, b, k: (lambda m: F.concat_ws("|", *[F.coalesce(m[c], L("-")) for c in ("name", "price", "currency", "brand")]))(pages.shop_metadata(t(by(k, "", t('<meta property="og:title" content="', esc(n), '">')), F.when(k != 1, t('<meta property="og:price:amount" content="', (F.col("meta_id") % 50).cast("string"), '.50">')).otherwise(""), F.when(k == 2, '<meta property="og:price:currency" content="EUR">').otherwise(""), island(n, b)))))
+made("x42_api_metadata", "name || '|' || brand || '|' || case when k = 1 then '-' else cast(meta_id as varchar) end || '|' || case when k = 2 then 'run, walk' else '-' end", lambda g, n, b, k: (lambda doc: (lambda m: F.concat_ws("|", *[F.coalesce(m[c], L("-")) for c in ("name", "brand", "price", "sport")]))(pages.api_metadata(F.when(k % 2 == 0, t(" [", doc, "]")).otherwise(doc))))(F.to_json(F.struct(F.when(k != 3, n).alias("name"), F.when(k == 3, F.struct(n.alias("title"))).alias("product_description"), F.struct(b.alias("brand"), F.when(k == 2, F.array(L("run"), L("walk"))).alias("sport")).alias("attribute_list"), F.struct(F.when(k == 1, L(0)).otherwise(F.col("meta_id")).alias("standard_price")).alias("pricing_information")))))
+made("x43_catalog_product", "slug || '|' || case when k = 0 then '' else name end || '|' || case when k = 2 then 'https://assets.shop-1.com/a/' || slug || '.jpg' else '-' end", lambda g, n, b, k: (lambda m: F.concat_ws("|", m["sku"], m["name"], F.coalesce(m["image_url"], L("-"))))(pages.catalog_product(F.to_json(F.struct(g.alias("product_id"), F.when(k != 0, n).alias("product_name"), F.when(k == 2, F.struct(t("see https://assets.shop-1.com/a/", g, ".jpg now").alias("link"))).alias("image"))))))
+made("x44_image_urls", "'https://cdn.shopify.com/s/files/' || slug || '.jpg?v=1,' || case when k = 0 then '' else 'https://cdn.shopify.com/s/files/' || slug || '.png,' end || 'https://cdn.swell.store/x/' || slug || '.webp'", lambda g, n, b, k: F.array_join(pages.image_urls(t('<img src="//cdn.shopify.com/s/files/', g, '_300x.jpg?v=1">', by(k, "", t('{"src":"https:\\/\\/cdn.shopify.com\\/s\\/files\\/', g, '_grande.png"}')), "<a href='http://cdn.swell.store/x/", g, "_{width}x.webp'><img src=\"https://cdn.shopify.com/s/files/Favicon.png\"><img src=\"https://replay.example/web/2019im_/https://cdn.shopify.com/s/files/", g, '_100x100@2x.jpg?v=1">', n)), ","))
+made("x45_feed_links", "case when k = 3 then '/self' else 'https://a.example/products/' || slug end", lambda g, n, b, k: F.array_join(pages.feed_links(t('<div>bar</div><feed><link href="/self"/>', F.when(k < 3, t('<entry><link rel="alternate" type="text/html" href="https://a.example/products/', g, '"/><link rel="enclosure" href="/no"/><link rel=\'alternate\' type="application/json" href="/no2"/></entry>')).otherwise(""), "</feed>")), ","))
+made("x46_sitemap_locs", "case when k = 0 then '' else 'https://a.example/products/' || slug || ',https://a.example/' || k || '.png' end", lambda g, n, b, k: F.array_join(pages.sitemap_locs(by(k, t("<url>", g, "</url>"), t("<url><loc> https://a.example/products/", g, " </loc><IMAGE:LOC>https://a.example/", k.cast("string"), ".png</IMAGE:LOC></url>"))), ","))
+made("x47_product_links", "'/products/' || slug || ',/Products/' || slug || '?x=1' || case when k = 2 then ',/products/' || slug || '-2' else '' end", lambda g, n, b, k: F.array_join(pages.links(t('<a href="/products/', g, '">', "<a HREF='/Products/", g, "?x=1'><a data-url=\"/collections/x\"><a title=\"/products/no\">", F.when(k == 2, t('<i data-product-url="/products/', g, '-2">')).otherwise(""))), ","))
+made("x48_feed_body", "case k when 0 then '<feed>' || name when 1 then '<?xml ?><feed>' || name when 2 then '<rss>' || name else 'no feed ' || name end", lambda g, n, b, k: pages.feed_body(by(k, t("<feed>", n), t("<script>bar</script><?xml ?><feed>", n), t("junk\n<rss>", n), t("no feed ", n))))
+made("x49_canonical_link", "case when meta_id % 64 = 2 or k = 3 then null else 'https://a.example/products/' || slug end", lambda g, n, b, k: pages.canonical_link(t(F.when(F.col("meta_id") % 64 == 2, F.repeat(L(" "), 65536)).otherwise(""), by(k, t('<link rel="canonical" href="https://a.example/products/', g, '">'), t("<LINK data-x href='https://a.example/products/", g, "' rel='canonical'>"), t('<link media="all" rel="canonical" id="c" href="https://a.example/products/', g, '">'), '<link rel="alternate" href="/no">'))))
+made("x51_front_door", "case when k = 0 then 'PARKED' when k = 1 and meta_id % 3 = 0 then 'REDIRECTED' when k = 2 then 'SPA' when meta_id // 4 % 4 = 0 then 'LIVE' when meta_id // 4 % 4 = 1 then 'REDIRECTED' when meta_id // 4 % 4 = 2 then 'DEAD' else 'UNKNOWN' end", lambda g, n, b, k: catalog.front_door(by(k, t(g, " This DOMAIN may be FOR SALE"), "hello", '<div id="app">', "hello"), F.when(k == 1, F.when(F.col("meta_id") % 3 == 0, "https://www.other.example/x").when(F.col("meta_id") % 3 == 1, "https://www.a.example/")), by(F.floor(F.col("meta_id") / 4) % 4, L(200), L(301), L(404), L(None).cast("int")), L("a.example")))
+made("f14_valid_content", "case k when 0 then 24 + meta_id % 3 >= 25 when 1 then 999 + meta_id % 3 >= 1000 when 2 then meta_id % 3 > 0 else meta_id % 3 > 0 end", lambda g, n, b, k: pages.valid_content(by(k, F.repeat(L("é"), (24 + F.col("meta_id") % 3).cast("int")), F.repeat(L("a"), (999 + F.col("meta_id") % 3).cast("int")), F.when(F.col("meta_id") % 3 == 0, t("Just a moment", F.repeat(L("b"), 5000))).otherwise(t(F.repeat(L("b"), 5000), "Just a moment")), t("_wm.wombat", F.repeat(L("c"), F.when(F.col("meta_id") % 3 == 0, 9000).otherwise(9990)))), by(k, "structured", "html")))
+_FILES = ("sitemap.xml.html", "products_{}.atom.html", "products_4.ATOM.html", "collections_{}.html", "home", "products.json.html", "products_{}.html", "SITEMAP_products_1.XML", "collection_{}_page.html")
+
+
+def _file(g):
+    return by(F.col("meta_id") % 9, *[t("a.example_", *x.split("{}")[:1], g, *x.split("{}")[1:]) if "{}" in x else "a.example.html" if x == "home" else "a.example_" + x for x in _FILES])
+
+
+made("x13_surface_class", "case meta_id % 9 when 0 then 'sitemap' when 1 then 'unknown' when 2 then 'atom' when 3 then 'collection' when 4 then 'home' when 5 then 'json_api' when 6 then 'unknown' when 7 then 'sitemap' else 'collection' end", lambda g, n, b, k: urls.surface_class(_file(g)))
+made("x14_is_surface", "meta_id % 9 in (0, 3, 5, 7)", lambda g, n, b, k: urls.is_surface(_file(g)))
+made("x15_slug_of_file", "case when k = 3 then null else slug end", lambda g, n, b, k: urls.slug_of_file(by(k, t("a.example_products_", g, ".html"), t("a.example_products_", g, ".json.html"), t("a.example_products_", g, "_extra.html"), t("a.example_collections_", g, ".html"))))
+made("x18_url_of_file", "case k when 0 then 'https://a.example/' when 1 then 'https://a.example/products/' || slug else 'https://a.example/collections/c/products/' || slug end", lambda g, n, b, k: urls.url_of_file(by(k, "a.example.html", t("a.example_products_", g), t("a.example_collections_c_products_", g, ".html"))))
+made("x19_product_ref", "case k when 0 then 'https://h.example/products/' || slug || '|' || slug when 1 then 'http://shop.example/collections/c/products/' || slug || '.json|' || slug when 2 then 'https://b.example/products/' || upper(slug) || '|' || slug end", lambda g, n, b, k: (lambda r: F.when(r.isNotNull(), t(r["canonical_url"], "|", r["slug"])))(urls.product_ref(by(k, t("/products/", g, "?variant=1"), t("http://Shop.Example:80/collections/c/products/", g, ".json?x=1#y"), t("https://replay.example/web/2020id_/https://b.example/products/", F.upper(g)), t("https://h.example/pages/", g)), L("h.example"))))
+made("x21_clean_filename", "slug || case k when 0 then '.jpg' when 1 then ' a_b.jpg' else '.png' end", lambda g, n, b, k: urls.clean_filename(by(k, t("https://a.example/i/", g, "_400x.jpg?v=1"), t("http://a.example/i/", g, "%20a%3Fb_400x@2x.jpg"), t("https://a.example:80/i/", g, "_grande.png"))))
+made("x22_size_stripped", "'https://a.example/' || slug || case k when 0 then '.jpg?v=1' when 1 then '.png' when 2 then '.webp' else '_v2.jpg' end", lambda g, n, b, k: urls.shop_size_stripped(t("https://a.example/", g, by(k, "_1024x1024.jpg?v=1", "_x300.png", "_400x_crop_center@2x.webp", "_v2_grande.jpg"))))
+made("x23_flat_filename", "case k when 0 then 'products__' || slug || '.jpg' when 1 then 'files__a__' || slug || '.jpg' when 2 then slug || '.jpg' else '' end", lambda g, n, b, k: urls.flat_filename(by(k, t("https://cdn.example/s/1/products/", g, ".jpg?v=1"), t("https://cdn.example//s//files/a/", g, ".jpg"), t("https://cdn.example/x/", g, ".jpg"), "https://cdn.example/")))
+_STEM = "regexp_replace(slug || case meta_id % 6 when 0 then '_Mastered' when 1 then '-final_mix' when 2 then ' vocal master' when 3 then '_finals' when 4 then '.RELEASED' else '' end, '[_.-]+', ' ', 'g')"
+_PARTS = " or ".join("regexp_matches(" + _STEM + ", '(?i)" + w + "')" for _, w in urls.STEM_CLASSES)
+_stem = lambda g: t(g, by(F.col("meta_id") % 6, "_Mastered", "-final_mix", " vocal master", "_finals", ".RELEASED", ""))
+made("x32_master_name", f"regexp_matches({_STEM}, '{urls.MASTER_WORDS}') and not ({_PARTS})", lambda g, n, b, k: urls.looks_like_master(_stem(g)))
+_NAMES = ("Audio_01", "Track 3", "untitled", "New.Audio.File-2", "kick-in", "LEAD_vox", "bounce")
+made("x33_name_score", f"case meta_id % 8 when 0 then 'generic' when 1 then 'generic' when 2 then 'generic' when 3 then 'generic' when 4 then 'informative' when 5 then 'informative' when 6 then 'ambiguous' else case when {_PARTS.replace(_STEM, 'replace(slug, chr(45), chr(32))')} then 'informative' else 'ambiguous' end end", lambda g, n, b, k: urls.name_score(by(F.col("meta_id") % 8, *_NAMES, g)))
+made("x35_archive_name", "case meta_id % 7 when 0 then 'internet_archive' when 1 then 'archive_today' when 2 then 'commoncrawl' when 3 then 'perma_cc' when 4 then 'webcitation' when 5 then slug || '.example' else 'unknown' end", lambda g, n, b, k: urls.archive_name(by(F.col("meta_id") % 7, t("https://web.archive.org/web/1/http://", g), t("http://archive.ph/", g), t("https://index.commoncrawl.org/", g), t("https://perma.cc/", g), t("http://www.webcitation.org/", g), t("https://", g, ".example/web/2020/"), g)))
+_HEADS = (("89504E470D0A1A0A", "png"), ("FFD8FFE0", "jpg"), ("474946383961", "gif"), ("49492A00", "tif"), ("4D4D002A", "tif"), ("52494646AAAAAAAA57454250", "webp"), ("52494646AAAAAAAA57415645", "wav"), ("52494646AAAAAAAA00000000", None), ("664C6143", "flac"), ("1A45DFA3", "webm"), ("0000002066747970", "mp4"), ("AA00000000AA66747970", "mp4"), ("4F676753", "ogg"), ("FFF1", "aac"), ("494433", "mp3"), ("3C68746D6C", None))
+
+
+def _headed(g):
+    return F.concat(F.unhex(by(F.col("meta_id") % len(_HEADS), *[h for h, _ in _HEADS])), F.encode(g, "utf-8"))
+
+
+_OF = f"case meta_id % {len(_HEADS)} " + " ".join(f"when {i} then {repr(f) if f else 'null'}" for i, (_, f) in enumerate(_HEADS)) + " end"
+made("x57_magic_format", _OF, lambda g, n, b, k: urls.magic_format(_headed(g)))
+made("f15_magic_bytes", f"({_OF}) is not null", lambda g, n, b, k: urls.magic_format(_headed(g)).isNotNull())
+made("x58_png_color", "case meta_id % 7 when 0 then 'grayscale' when 2 then 'rgb' when 3 then 'indexed' when 4 then 'grayscale-alpha' when 6 then 'rgba' end", lambda g, n, b, k: urls.png_color_type(F.concat(F.unhex(F.concat(F.when(F.col("meta_id") % 7 == 1, "FFD8FFE000000000").otherwise("89504E470D0A1A0A"), L("0000000D494844520000000000000000080"), (F.col("meta_id") % 7).cast("string"))), F.encode(g, "utf-8"))))
+made("x59_output_stem", "case meta_id % 7 when 0 then slug when 1 then slug when 2 then 'hdnux_' || (100 + meta_id) when 3 then 'R-' || meta_id || '-1-2' when 4 then 'media_' || substr(md5('https://a.example/' || slug || '/'), 1, 8) when 5 then slug || '.v2' else 'payload' end", lambda g, n, b, k: urls.output_stem(by(F.col("meta_id") % 7, t("https://a.example/p/", g, ".JPG?x=a/b.png"), t("https://is1-ssl.mzstatic.com/image/thumb/v4/a/", g, ".jpg/10000x10000.png"), t("https://s.hdnux.com/photos/1/2/3/4/", (100 + F.col("meta_id")).cast("string"), "/6/rawImage.jpg"), t("https://i.discogs.com/sig/rs:fit/g:sm/", F.regexp_replace(F.translate(F.base64(F.encode(t("s3://discogs-database-images/R-", F.col("meta_id").cast("string"), "-1-2.jpeg"), "utf-8")), "+/=", "-_"), "^(.{16})(.{16})", "$1/$2/"), ".jpeg?x=1"), t("https://a.example/", g, "/"), t("https://a.example/", g, ".v2.mp4.TIFF"), "https://i.discogs.com/sig/rs:fit/payload.jpeg")))
+made("x60_style_keys", "case k when 0 then 'key margin' when 1 then '' when 2 then 'styled_tag,css_template' else 'multi_line_style,key color,key ' || replace(slug, '-', '') end", lambda g, n, b, k: F.array_join(pages.style_findings(by(k, t("<Box style={{ '--space': 1, \"margin\": '", g, "' }}/>"), t("<Box style={{ ...rest, '--", g, "': 1 }} class=\"", g, "\"/>"), t("const B = styled.div`a`; const C = x css`", g, "`"), t("<p :style=\"{ ", F.replace(g, L("-"), L("")), ": 1, --x: 2 }\" style={{[`color`]: 1}}> <b style={{ a: 1,"))), ","))
+made("f07_slug_junk", "k in (1, 2) or k = 3 and meta_id % 3 = 0", lambda g, n, b, k: capture.has_junk(by(k, g, t(g, "%22"), t(g, "%3c", n), F.when(F.col("meta_id") % 3 == 0, t(g, "[insert x]")).otherwise(t(g, "%2F")))))
+made("f08_slug_valid", "k = 0", lambda g, n, b, k: capture.valid_slug(by(k, g, t(g, ".json"), t("a/", g), "  ")))
+made("f12_product_image", "k = 0", lambda g, n, b, k: ~pages.is_chrome(by(k, t(g, "_1.jpg"), t(g, "/Favicon.ico"), t("icon-", g), t(g, "-PLACEHOLDER.png")), pages.NO_PRODUCT))
+made("f16_live_cdn", "k in (0, 3)", lambda g, n, b, k: urls.live_cdn(by(k, F.array(L("x"), t("https://cdn.shopify.com/s/", g)), F.array(t("https://web.archive.org/web/1/https://cdn.shopify.com/s/", g), t("https://b.archive.ph/cdn.shopify.com/", g)), F.array(t("https://a.example/", g), L(None).cast("string")), F.array(t("https://notarchive.org/cdn.shopify.com/", g))), (r"cdn[.]shopify[.]com",)))
+made("f24_non_master", "case meta_id % 6 when 0 then true when 1 then false when 2 then true when 3 then false when 4 then true end", lambda g, n, b, k: resolve.recipe_of(by(F.col("meta_id") % 6, t("https://i.ebayimg.com/", g, "/s-l500.jpg"), t("https://i.ebayimg.com/", g, "/s-l1600.jpg"), t("https://i.etsystatic.com/", g, "/il_794xN.1.jpg"), t("https://i.etsystatic.com/", g, "/il_fullxfull.1.jpg"), t("https://media-photos.depop.com/", g, "/P1.jpg"), t("https://i.ebayimg.com.evil.example/", g, "/s-l500.jpg")))["non_master"])
+made("x54_master_rewrite", "case k when 0 then 'https://i.ebayimg.com/' || slug || '/s-l1600.jpg' when 1 then 'https://i.etsystatic.com/' || slug || '/il_fullxfull.1.jpg' when 2 then 'https://u-mercari-images.mercdn.net/' || slug end", lambda g, n, b, k: resolve.recipe_of(by(k, t("https://i.ebayimg.com/", g, "/s-l500.jpg"), t("https://i.etsystatic.com/", g, "/il_794xN.1.jpg"), t("https://u-mercari-images.mercdn.net/", g, "?1"), t("https://i.ebayimg.com/", g, "/s-l1600.jpg")))["master"])
+made("f25_hidden_name", "k in (1, 2)", lambda g, n, b, k: urls.hidden_name(by(k, g, t("_", g), t(".", g), t(g, "_."))))
+made("s22_graph_nodes", "name || ',' || brand || case when k = 0 then '' else ',' || slug end", lambda g, n, b, k: F.array_join(F.transform(scalars.graph_nodes(F.from_json(t('{"edges":[{"node":', json(v=n), '},{"node":', json(v=b), "}", by(k, "", t(',{"node":', json(v=g), "}")), "]}"), "edges array<struct<node:struct<v:string>>>")["edges"]), lambda x: x["v"]), ","))
+made("s24_schema_enum", "case when k = 0 then null else name || ',' || brand end", lambda g, n, b, k: F.array_join(readers.schema_enum(t('{"properties":{"', by(k, "other", "verdict"), '":{"enum":', F.to_json(F.array(n, b)), "}}}"), "verdict"), ","))
+made("s28_fenced_blocks", "case k when 0 then '' when 1 then name || chr(10) else name || chr(10) || brand || chr(10) || '|' || slug || chr(10) end", lambda g, n, b, k: F.array_join(pages.fenced_blocks(by(k, t("```py\n", n, "\n```\n"), t("text\n```sql\n", n, "\n```\n```py\nx\n```\n"), t("```sql title=x\n", n, "\n", b, "\n```\nmore\n```sql\n", g, "\n```")), "sql"), "|"))
+made("js3_products_json", "case k when 0 then '' when 1 then slug || '|u,v' else slug || '|;' || slug || '-2|w' end", lambda g, n, b, k: F.array_join(F.transform(pages.products_json(by(k, '{"products":[{"handle":""},{"title":"x"}]}', t('{"products":[{"handle":"/', F.upper(g), '/","images":[{"src":"u"},"v",{"id":1}]}]}'), t('{"products":[{"handle":"', g, '"},{"handle":"', g, '-2","images":["w",""]}]}'))), lambda p: t(p["handle"], "|", F.array_join(p["images"], ","))), ";"))
+made("js4_json_escape", "name || chr(34) || chr(92) || chr(10) || brand", lambda g, n, b, k: F.get_json_object(scalars.canonical_json(v=t(n, '"\\\n', b)), "$.v"))
+made("ar5_line_ranges", "length(slug) || '-' || length(slug) || ' ' || (length(slug) + 1) || '-' || (length(slug) + 20) || case when k = 0 then ' ?-?' else '' end", lambda g, n, b, k: F.array_join(F.transform(scalars.line_ranges(t(F.length(g).cast("string"), ", ", (F.length(g) + 1).cast("string"), " - ", (F.length(g) + 20).cast("string"), by(k, ",x", ""))), lambda x: t(F.coalesce(x["lo"].cast("string"), L("?")), "-", F.coalesce(x["hi"].cast("string"), L("?")))), " "))
+_U = "case k when 0 then 'https://a.example/' || slug || '.jpg' when 1 then 'https://cdn.shopify.com/s/files/' || slug || '.png?v=1' when 2 then 'https://skims.imgix.net/' || slug || '.webp' else 'https://a.example/image/upload/' || slug || '.TIF?x=.y' end"
+_probed = lambda g, k: by(k, t("https://a.example/", g, ".jpg"), t("https://cdn.shopify.com/s/files/", g, ".png?v=1"), t("https://skims.imgix.net/", g, ".webp"), t("https://a.example/image/upload/", g, ".TIF?x=.y"))
+
+
+@R.query("ar7_probe_matrix", f"""with u as (select meta_id, slug, k, {_U} as url from {BASE} p)
+ select meta_id, url || case when strpos(url, '?') > 0 then '&' else '?' end || p || '=' || f as probe from u, (values ('fm'), ('format'), ('f'), ('output')) a(p), (values ('tif'), ('png'), ('jpg'), ('webp')) b(f) where k <> 2 and not (k = 1 and f = 'tif')
+ union all select meta_id, case k when 0 then 'https://a.example/' || slug || '.' || e else 'https://a.example/image/upload/' || slug || '.' || e || '?x=.y' end from u, (values ('tif'), ('tiff'), ('png'), ('jpg'), ('jpeg')) c(e) where k = 0 or k = 3 and e not in ('tif', 'tiff')""")
+def ar7(s, d):
+    u = listings(s, d).select("meta_id", _probed(F.col("slug"), F.col("k")).alias("url"))
+    return u.select("meta_id", F.explode(F.concat(urls.param_probes(F.col("url")), urls.path_probes(F.col("url")))).alias("probe"))
+
+
+made("d07_retry_after", "case k when 0 then cast(length(slug) as double) when 1 then 12.0 when 2 then 0.0 end", lambda g, n, b, k: scalars.retry_after(by(k, t(" ", F.length(g).cast("string"), " "), F.date_format(F.timestamp_seconds(F.length(g) * 90_000 + 12), "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.when(F.col("meta_id") % 8 < 4, "-5").otherwise(F.date_format(F.timestamp_seconds(F.length(g) * 90_000 - 12), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")), t("soon ", g)), F.timestamp_seconds(F.length(g) * 90_000)))
+made("mp2_lower_keys", "name || '|' || brand", lambda g, n, b, k: (lambda m: t(m[F.lower(t("k", g))], "|", m["other"]))(scalars.lower_keys(F.create_map(F.upper(t("k", g)), L("w"), L("OTHER"), b, F.lower(t("K", g)), n))))
 
 
 @R.query("f27_expiry", "select cat_id, date_seen < '2020-01-01' as expired from catalog_entry where date_seen is not null")
@@ -117,13 +164,13 @@ def f30(s, d):
 
 @R.query("f09_rule_conditions", "select entry_id from index_entry where (url_type <> 'api' or content_type = 'application/json') and (url_type <> 'slug' or content_type in ('text/html', 'TEXT/HTML'))")
 def f09(s, d):
-    t, m = F.col("url_type"), F.col("content_type")
-    return table(s, d, "index_entry", "entry_id", "url_type", "content_type").filter(((t != "api") | (m == "application/json")) & ((t != "slug") | m.isin("text/html", "TEXT/HTML"))).select("entry_id")
+    rules = [{"url_type": "api", "require_ctype": "application/json"}, {"url_type": "slug", "require_ctype": ["text/html", "TEXT/HTML"]}, {"url_type": "api", "require_status": "404"}]
+    return table(s, d, "index_entry", "entry_id", "url_type", "content_type").filter(capture.meets(F.col("url_type"), L("200"), F.col("content_type"), rules)).select("entry_id")
 
 
 @R.query("f13_site_chrome", "select cat_id, len(list_filter(images, lambda x: not regexp_matches(lower(x), '_1\\.jpg'))) as n from catalog_entry where images is not null")
 def f13(s, d):
-    return table(s, d, "catalog_entry", "cat_id", "images").filter("images is not null").select("cat_id", F.size(F.filter("images", lambda x: ~F.lower(x).rlike(r"_1\.jpg"))).alias("n"))
+    return table(s, d, "catalog_entry", "cat_id", "images").filter("images is not null").select("cat_id", F.size(F.filter("images", lambda x: ~pages.is_chrome(x, ("_1.jpg",)))).alias("n"))
 
 
 @R.query("j32_sole_owner", "select i as file, min(slug) as owner from (select unnest(images) as i, slug from catalog_entry where slug is not null) t group by i having count(distinct slug) = 1")

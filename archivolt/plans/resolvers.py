@@ -1,89 +1,132 @@
-"""One query per address resolver: renditions made from the catalogue's slugs, and the masters they must give."""
+"""One query per address resolver: several addresses made of each catalogue slug, and what each must give.
+
+Slugs of any characters stand in the addresses percent-encoded ({s}), in addresses that hold another address
+encoded twice ({e}). Besides renditions there are addresses that look alike and must be left to another
+resolver or to none.
+"""
 
 from pyspark.sql import functions as F
 
-from archivolt.functions import resolvers
+from archivolt.functions import resolvers, urls
 from archivolt.plans._base import Registry
 from archivolt.tables import table
 
 R = Registry()
 UUID = "0a1b2c3d-0000-1111-2222-333344445555"
-# (resolver, rendition, master); {s} is a slug of letters, digits and dashes
-CASES = (
-    ("r01_nextjs", "https://a.example/_next/image?url=%2Fimg%2F{s}.jpg&w=640", "https://a.example/img/{s}.jpg"),
-    ("r02_netlify", "https://a.example/.netlify/images?url=https%3A%2F%2Fb.example%2F{s}.png&w=9", "https://b.example/{s}.png"),
-    ("r03_fetch_proxy", "https://substackcdn.com/image/fetch/w_200,f_auto/https%3A%2F%2Fb.example%2F{s}.png", "https://b.example/{s}.png"),
-    ("r04_bucket", "https://www.playboy.com/wp-content/uploads/2020/" + UUID + "_800x600-300x200.webp", "https://substack-post-media.s3.amazonaws.com/public/images/" + UUID + "_800x600.jpeg"),
-    ("r05_photon", "https://i2.wp.com/b.example/{s}.jpg?resize=300", "https://b.example/{s}.jpg"),
-    ("r06_publisher", "https://variety.com/wp-content/uploads/2020/{s}.jpg?w=300", "https://variety.com/wp-content/uploads/2020/{s}.jpg"),
-    ("r07_wp_uploads", "https://b.example/wp-content/uploads/{s}-300x200.jpg", "https://b.example/wp-content/uploads/{s}.jpg"),
-    ("r08_cdn_cgi", "https://b.example/cdn-cgi/image/width=80,quality=75/{s}.png", "https://b.example/{s}.png"),
-    ("r09_thumbor", "https://t.example/unsafe/300x200/https://b.example/{s}.png", "https://b.example/{s}.png"),
-    ("r11_width", "https://images.wsj.net/im-{s}?width=700", "https://images.wsj.net/im-{s}?width=10000"),
-    ("r12_master_pass", "https://media.b.com/photos/{s}/16:9/w_320/x.jpg", "https://media.b.com/photos/{s}/master/pass/x.jpg"),
-    ("r13_googleusercontent", "https://lh3.googleusercontent.com/{s}=w200-h200", "https://lh3.googleusercontent.com/{s}=s0"),
-    ("r14_twimg", "https://pbs.twimg.com/media/{s}?format=jpg&name=small", "https://pbs.twimg.com/media/{s}?format=jpg&name=orig"),
-    ("r15_pinimg", "https://i.pinimg.com/236x/ab/{s}.jpg", "https://i.pinimg.com/originals/ab/{s}.jpg"),
-    ("r16_preview", "https://preview.redd.it/{s}-v0-abcdefgh12.png?width=640", "https://i.redd.it/abcdefgh12.png"),
-    ("r18_raw_image", "https://s.hdnux.com/photos/1/2/{s}/960x0.webp", "https://s.hdnux.com/photos/1/2/{s}/rawImage.jpg"),
-    ("r19_wide", "https://cache.net-a-porter.com/variants/images/{s}/w300_q65.jpg", "https://cache.net-a-porter.com/variants/images/{s}/w2000_q60.jpg"),
-    ("r20_cloudinary", "https://res.b.example/d/image/upload/w_200,c_fill/f_auto/v12/{s}.jpg", "https://res.b.example/d/image/upload/v12/{s}.jpg"),
-    ("r21_uploadcare", "https://ucarecdn.com/{s}/-/resize/200x/", "https://ucarecdn.com/{s}"),
-    ("r22_storyblok", "https://a.storyblok.com/f/1/{s}.jpg/m/200x0", "https://a.storyblok.com/f/1/{s}.jpg"),
-    ("r23_tumblr", "https://64.media.tumblr.com/{s}/s640x960/a.jpg", "https://64.media.tumblr.com/{s}/a.jpg"),
-    ("r24_cargo", "https://freight.cargo.site/w/1000/i/{s}.jpg", "https://freight.cargo.site/t/original/i/{s}.jpg"),
-    ("r25_imgur", "https://i.imgur.com/{s}1h.jpg", "https://i.imgur.com/{s}1.jpg"),
-    ("r27_cargocollective", "https://payload.cargocollective.com/{s}_670_c.jpg", "https://payload.cargocollective.com/{s}.jpg"),
-    ("r29_imgix", "https://b.imgix.net/{s}.jpg?w=200", "https://b.imgix.net/{s}.jpg"),
-    ("r30_imgix_quality", "https://imgix.bustle.com/{s}.jpg?w=200", "https://imgix.bustle.com/{s}.jpg?q=100"),
-    ("r31_listed_hosts", "https://skims.imgix.net/{s}.jpg?w=4", "https://skims.imgix.net/{s}.jpg"),
-    ("r32_stockx", "https://images.stockx.com/{s}.png?w=10", "https://stockx.imgix.net/{s}.png"),
-    ("r33_sanity", "https://cdn.sanity.io/images/p/{s}.png?w=10", "https://cdn.sanity.io/images/p/{s}.png"),
-    ("r34_contentful", "https://images.ctfassets.net/p/{s}.png?w=10", "https://images.ctfassets.net/p/{s}.png"),
-    ("r35_shop", "https://cdn.shopify.com/s/files/1/0/{s}_200x200.jpg?v=7", "https://cdn.shopify.com/s/files/1/0/{s}.jpg?v=7&format=png"),
-    ("r36_akamai", "https://b.example/{s}.bin?imwidth=200&k=1", "https://b.example/{s}.bin?k=1"),
-    ("r37_fastly", "https://b.example/{s}.bin?width=10&quality=5&k=1", "https://b.example/{s}.bin?k=1"),
-    ("r38_bunny", "https://z.b-cdn.net/{s}.jpg?width=2", "https://z.b-cdn.net/{s}.jpg"),
-    ("r39_sirv", "https://z.sirv.com/{s}.jpg?w=2", "https://z.sirv.com/{s}.jpg"),
-    ("r40_embedded_store", "https://image-cdn.hypb.st/https%3A%2F%2Fs3.store.hypebeast.com%2Fmedia%2Fimage%2F{s}.jpg?w=1", "https://s3.store.hypebeast.com/media/image/{s}.jpg"),
-    ("r41_resizer", "https://b.example/resizer/{s}.bin?auth=1&width=2", "https://b.example/resizer/{s}.bin?auth=1&width=2&imbypass=true"),
-    ("r42_impolicy", "https://img.nbc.com/{s}.jpg?impolicy=small", "https://img.nbc.com/{s}.jpg?impolicy=original"),
-    ("r43_impolicy_strict", "https://is4.fwrdassets.com/images/p/fw/z/{s}.jpg?x=1", "https://is4.fwrdassets.com/images/p/fw/z/{s}.jpg?impolicy=original"),
-    ("r44_rendition_folder", "https://is4.revolveassets.com/images/p4/n/d/{s}.jpg", "https://is4.revolveassets.com/images/p4/n/z/{s}.jpg?impolicy=original"),
-    ("r45_media_library", "https://b.example/media-library/{s}.jpg?id=123&width=4", "https://assets.rbl.ms/123/origin.jpg"),
-    ("r46_squarespace", "https://images.squarespace-cdn.com/c/{s}.jpg?format=100w&k=1", "https://images.squarespace-cdn.com/c/{s}.jpg?k=1&format=original"),
-    ("r47_transform", "https://image.goat.com/transform/v1/375/attachments/grid/{s}.png?width=3", "https://image.goat.com/attachments/original/{s}.png"),
-    ("r48_thumb", "https://is1-ssl.mzstatic.com/image/thumb/{s}/200x200bb.jpg", "https://is1-ssl.mzstatic.com/image/thumb/{s}/10000x10000.png"),
-    ("r49_generic", "https://b.example/{s}.jpg?w=3", "https://b.example/{s}.jpg"),
-)
-
-
-def _spliced(template: str):
-    head, *tail = template.split("{s}")
-    return F.concat(F.lit(head), *[x for t in tail for x in (F.col("slug"), F.lit(t))])
-
-
-def _case(name: str, rendition: str, master: str) -> None:
-    quoted = "'" + master.replace("{s}", "' || slug || '") + "'"
-
-    @R.query(name, f"select distinct slug, '{name.split('_')[0]}' as resolver, {quoted} as master from catalog_entry where regexp_matches(slug, '^[a-z0-9-]+$')")
+NONE = (None, None)
+# resolver: (address, (resolver, master)) each; a master alone is of the query's own resolver
+CASES = {
+    "r01_nextjs": (("https://a.example/_next/image?url=%2Fimg%2F{e}.jpg&w=640", "https://a.example/img/{s}.jpg"), ("http://a.example/x/_next/image?w=1&url=https%3A%2F%2Fb.example%2F{e}", "https://b.example/{s}"), ("https://a.example/_next/images/{s}.jpg", NONE)),
+    "r02_netlify": (("https://a.example/.netlify/images?url=https%3A%2F%2Fb.example%2F{e}.png&w=9", "https://b.example/{s}.png"), ("https://a.example/.netlify/images?fm=x&url=/i/{e}.png", "https://a.example/i/{s}.png"), ("https://a.example/netlify/images/{s}", NONE)),
+    "r03_fetch_proxy": (("https://substackcdn.com/image/fetch/w_200,f_auto/https%3A%2F%2Fb.example%2F{e}.png", "https://b.example/{s}.png"), ("https://substackcdn.com/image/fetch/$s_!x!,w_1/https://b.example/{e}?w=1", "https://b.example/{s}"), ("https://substackcdn.com/image/{s}", NONE)),
+    "r04_bucket": (("https://www.playboy.com/wp-content/uploads/2020/{s}/" + UUID + "_800x600-300x200.webp", "https://substack-post-media.s3.amazonaws.com/public/images/" + UUID + "_800x600.jpeg"), ("https://www.playboy.com/wp-content/uploads/{s}-300x200.jpg", ("r07", "https://www.playboy.com/wp-content/uploads/{s}.jpg"))),
+    "r05_photon": (("https://i2.wp.com/b.example/{s}.jpg?resize=300", "https://b.example/{s}.jpg"), ("http://i0.wp.com/b.example/{s}", "https://b.example/{s}"), ("https://wp.com/{s}", NONE)),
+    "r06_publisher": (("https://variety.com/wp-content/uploads/2020/{s}.jpg?w=300", "https://variety.com/wp-content/uploads/2020/{s}.jpg"), ("https://www.wwd.com/wp-content/uploads/{s}-300x200.png?x", "https://www.wwd.com/wp-content/uploads/{s}-300x200.png"), ("https://variety.com/wp-content/uploads/{s}.jpg", NONE)),
+    "r07_wp_uploads": (("https://b.example/wp-content/uploads/{s}-300x200.jpg", "https://b.example/wp-content/uploads/{s}.jpg"), ("https://b.example/wp-content/uploads/{s}-e1234567890-300x200-scaled.webp?x=1", "https://b.example/wp-content/uploads/{s}.webp"), ("https://b.example/wp-content/uploads/{s}x.jpg", NONE)),
+    "r08_cdn_cgi": (("https://b.example/cdn-cgi/image/width=80,quality=75/{s}.png", "https://b.example/{s}.png"), ("https://b.example/a/cdn-cgi/image/w=1/i/{s}", "https://b.example/a/i/{s}"), ("https://b.example/cdn-cgi/l/{s}", NONE)),
+    "r09_thumbor": (("https://t.example/unsafe/300x200/https://b.example/{e}.png", "https://b.example/{s}.png"), ("https://t.example/unsafe/smart/https%3A%2F%2Fb.example%2F{e}", "https://b.example/{s}"), ("https://t.example/unsafe/300x200/{s}", NONE)),
+    "r11_width": (("https://images.wsj.net/im-{s}?width=700", "https://images.wsj.net/im-{s}?width=10000"), ("https://images.wsj.net/im-{s}/social", "https://images.wsj.net/im-{s}/social?width=10000"), ("https://images.wsj.net/{s}", NONE)),
+    "r12_master_pass": (("https://media.b.com/photos/{s}/16:9/w_320/x.jpg", "https://media.b.com/photos/{s}/master/pass/x.jpg"), ("https://media.b.c.com/photos/1/2:3/w_1,c_limit/{s}", "https://media.b.c.com/photos/1/master/pass/{s}"), ("https://www.b.com/photos/{s}/a/b/c", NONE)),
+    "r13_googleusercontent": (("https://lh3.googleusercontent.com/{s}=w200-h200", "https://lh3.googleusercontent.com/{s}=s0"), ("https://lh.googleusercontent.com/a/{s}", "https://lh.googleusercontent.com/a/{s}=s0"), ("https://www.googleusercontent.com/{s}", NONE)),
+    "r14_twimg": (("https://pbs.twimg.com/media/{s}?format=jpg&name=small", "https://pbs.twimg.com/media/{s}?format=jpg&name=orig"), ("https://pbs.twimg.com/media/{s}", "https://pbs.twimg.com/media/{s}?name=orig"), ("https://abs.twimg.com/{s}", NONE)),
+    "r15_pinimg": (("https://i.pinimg.com/236x/ab/{s}.jpg", "https://i.pinimg.com/originals/ab/{s}.jpg"), ("https://i.pinimg.com/70x70/{s}", "https://i.pinimg.com/originals/{s}"), ("https://s.pinimg.com/236x/{s}", NONE)),
+    "r16_preview": (("https://preview.redd.it/{s}-v0-abcdefgh12.png?width=640", "https://i.redd.it/abcdefgh12.png"), ("https://preview.redd.it/abcdefgh34.jpeg?s={s}", "https://i.redd.it/abcdefgh34.jpeg"), ("https://preview.redd.it/a/{s}", NONE)),
+    "r18_raw_image": (("https://s.hdnux.com/photos/1/2/{s}/960x0.webp", "https://s.hdnux.com/photos/1/2/{s}/rawImage.jpg"), ("https://s.hdnux.com/photos/{s}/a.jpg?x=1", "https://s.hdnux.com/photos/{s}/rawImage.jpg"), ("https://s.hdnux.com/photos/{s}/rawImage.jpg", NONE)),
+    "r19_wide": (("https://cache.net-a-porter.com/variants/images/{s}/w300_q65.jpg", "https://cache.net-a-porter.com/variants/images/{s}/w2000_q60.jpg"), ("https://cache.mrporter.com/images/products/{s}/{s}_sm.webp", "https://cache.mrporter.com/images/products/{s}/{s}_2000.webp"), ("https://cache.mrporter.com/images/{s}", NONE)),
+    "r20_cloudinary": (("https://res.b.example/d/image/upload/w_200,c_fill/f_auto/v12/{s}.jpg", "https://res.b.example/d/image/upload/v12/{s}.jpg"), ("https://res.b.example/d/image/upload/s--Ab1--/q_1/{s}?_a=1", "https://res.b.example/d/image/upload/{s}.png?_a=1"), ("https://res.b.example/d/image/upload/v1/{s}.JPG", NONE)),
+    "r21_uploadcare": (("https://ucarecdn.com/{s}/-/resize/200x/", "https://ucarecdn.com/{s}"), ("https://ucarecdn.com/{s}/-/a/-/b/x.jpg?y", "https://ucarecdn.com/{s}"), ("https://ucarecdn.com/{s}/x", NONE)),
+    "r22_storyblok": (("https://a.storyblok.com/f/1/{s}.jpg/m/200x0", "https://a.storyblok.com/f/1/{s}.jpg"), ("https://img2.storyblok.com/f/{s}/m/", "https://img2.storyblok.com/f/{s}"), ("https://a.storyblok.com/f/1/{s}.jpg", NONE)),
+    "r23_tumblr": (("https://64.media.tumblr.com/{s}/s640x960/a.jpg", "https://64.media.tumblr.com/{s}/a.jpg"), ("https://media.tumblr.com/s75x75_c1/{s}", "https://media.tumblr.com/{s}"), ("https://64.media.tumblr.com/{s}/a.jpg", NONE)),
+    "r24_cargo": (("https://freight.cargo.site/w/1000/i/{s}.jpg", "https://freight.cargo.site/t/original/i/{s}.jpg"), ("https://cortex.persona.co/w/1/q/2/i/a/{s}", "https://cortex.persona.co/t/original/i/a/{s}"), ("https://freight.cargo.site/w/1000/{s}.jpg", NONE)),
+    "r25_imgur": (("https://i.imgur.com/{s}1h.jpg", "https://i.imgur.com/{s}1.jpg"), ("https://i.imgur.com/{s}1t.png?x=1", "https://i.imgur.com/{s}1.png"), ("https://i.imgur.com/{s}1.jpg", NONE)),
+    "r27_cargocollective": (("https://payload.cargocollective.com/{s}_670_c.jpg", "https://payload.cargocollective.com/{s}.jpg"), ("https://payload.cargocollective.com/{s}_1340.png", "https://payload.cargocollective.com/{s}.png"), ("https://payload.cargocollective.com/{s}_12345.jpg", NONE), ("https://payload.cargocollective.com/{s}_67.jpg", NONE)),
+    "r29_imgix": (("https://b.imgix.net/{s}.jpg?w=200", "https://b.imgix.net/{s}.jpg"), ("http://a-b.imgix.net/x/{s}?fm=png", "http://a-b.imgix.net/x/{s}"), ("https://b.imgix.net/{s}", NONE)),
+    "r30_imgix_quality": (("https://imgix.bustle.com/{s}.jpg?w=200", "https://imgix.bustle.com/{s}.jpg?q=100"), ("https://imgix.bustle.com/{s}", "https://imgix.bustle.com/{s}?q=100"), ("https://bustle.com/{s}", NONE)),
+    "r31_listed_hosts": (("https://skims.imgix.net/{s}.jpg?w=4", "https://skims.imgix.net/{s}.jpg"), ("https://skims-sanity.imgix.net/{s}?auto=format", "https://skims-sanity.imgix.net/{s}"), ("https://other.imgix.net/{s}?w=1", ("r29", "https://other.imgix.net/{s}"))),
+    "r32_stockx": (("https://images.stockx.com/{s}.png?w=10", "https://stockx.imgix.net/{s}.png"), ("https://images.stockx.com/a/{s}", "https://stockx.imgix.net/a/{s}"), ("https://stockx.com/{s}", NONE)),
+    "r33_sanity": (("https://cdn.sanity.io/images/p/{s}.png?w=10", "https://cdn.sanity.io/images/p/{s}.png"), ("http://cdn.sanity.io/{s}?", "http://cdn.sanity.io/{s}"), ("https://cdn.sanity.io/images/{s}", NONE)),
+    "r34_contentful": (("https://images.ctfassets.net/p/{s}.png?w=10", "https://images.ctfassets.net/p/{s}.png"), ("https://images.ctfassets.net/a/b/{s}?fl=progressive", "https://images.ctfassets.net/a/b/{s}"), ("https://assets.ctfassets.net/{s}", NONE)),
+    "r35_shop": (("https://cdn.shopify.com/s/files/1/0/{s}_200x200.jpg?v=7", "https://cdn.shopify.com/s/files/1/0/{s}.jpg?v=7&format=png"), ("https://b.example/cdn/shop/files/{s}_grande.png?width=3&v=12", "https://b.example/cdn/shop/files/{s}.png?v=12&format=png"), ("https://cdn.shopify.com/s/{s}", NONE)),
+    "r36_akamai": (("https://b.example/{s}.bin?imwidth=200&k=1", "https://b.example/{s}.bin?k=1"), ("https://b.example/{s}.bin?im=Resize&impolicy=x", "https://b.example/{s}.bin"), ("https://b.example/{s}.bin?k=1", NONE)),
+    "r37_fastly": (("https://b.example/{s}.bin?width=10&quality=5&k=1", "https://b.example/{s}.bin?k=1"), ("https://b.example/{s}.bin?crop=1&fit=a&format=b", "https://b.example/{s}.bin"), ("https://b.example/{s}.bin?width=10", NONE)),
+    "r38_bunny": (("https://z.b-cdn.net/{s}.jpg?width=2", "https://z.b-cdn.net/{s}.jpg"), ("https://z.b-cdn.net/{s}?class=x", "https://z.b-cdn.net/{s}"), ("https://z.b-cdn.net/{s}", NONE)),
+    "r39_sirv": (("https://z.sirv.com/{s}.jpg?w=2", "https://z.sirv.com/{s}.jpg"), ("https://z.sirv.com/a/{s}?profile=x", "https://z.sirv.com/a/{s}"), ("https://z.sirv.com/{s}", NONE)),
+    "r40_embedded_store": (("https://image-cdn.hypb.st/https%3A%2F%2Fs3.store.hypebeast.com%2Fmedia%2Fimage%2F{e}.jpg?w=1", "https://s3.store.hypebeast.com/media/image/{s}.jpg"), ("https://image-cdn.hypb.st/https%3A%2F%2Fhypebeast.com%2F{e}.jpg?w=1", "https://image-cdn.hypb.st/https%3A%2F%2Fhypebeast.com%2F{e}.jpg?q=100&w=9999"), ("https://hypb.st/{s}", NONE)),
+    "r41_resizer": (("https://b.example/resizer/{s}.bin?auth=1&width=2", "https://b.example/resizer/{s}.bin?auth=1&width=2&imbypass=true"), ("https://b.example/resizer/v2/{s}?x=1&auth=2", "https://b.example/resizer/v2/{s}?x=1&auth=2&imbypass=true"), ("https://b.example/resizer/{s}", NONE)),
+    "r42_impolicy": (("https://img.nbc.com/{s}.jpg?impolicy=small", "https://img.nbc.com/{s}.jpg?impolicy=original"), ("https://img.nbc.com/{s}.jpg", "https://img.nbc.com/{s}.jpg?impolicy=original"), ("https://www.nbc.com/{s}.jpg", NONE)),
+    "r43_impolicy_strict": (("https://is4.fwrdassets.com/images/p/fw/z/{s}.jpg?x=1", "https://is4.fwrdassets.com/images/p/fw/z/{s}.jpg?impolicy=original"), ("https://is.fwrdassets.com/images/p/{s}.png", "https://is.fwrdassets.com/images/p/{s}.png?impolicy=original"), ("https://is4.fwrdassets.com/images/{s}.jpg", NONE)),
+    "r44_rendition_folder": (("https://is4.revolveassets.com/images/p4/n/d/{s}.jpg", "https://is4.revolveassets.com/images/p4/n/z/{s}.jpg?impolicy=original"), ("https://is.revolveassets.com/images/p/n/uv/{s}.png?x", "https://is.revolveassets.com/images/p/n/z/{s}.png?impolicy=original"), ("https://is4.revolveassets.com/images/p4/{s}.jpg", NONE)),
+    "r45_media_library": (("https://b.example/media-library/{s}.jpg?id=123&width=4", "https://assets.rbl.ms/123/origin.jpg"), ("https://b.example/media-library/{s}.png?x=1&id=9", "https://assets.rbl.ms/9/origin.png"), ("https://b.example/media-library/{s}.bin?id=x", NONE)),
+    "r46_squarespace": (("https://images.squarespace-cdn.com/c/{s}.jpg?format=100w&k=1", "https://images.squarespace-cdn.com/c/{s}.jpg?k=1&format=original"), ("https://static1.squarespace.com/{s}?content-type=image%2Fpng", "https://static1.squarespace.com/{s}?format=original"), ("https://www.squarespace.com/{s}", NONE)),
+    "r47_transform": (("https://image.goat.com/transform/v1/375/attachments/grid/{s}.png?width=3", "https://image.goat.com/attachments/original/{s}.png"), ("https://image.goat.com/crop/750/attachments/product/medium/{s}.jpg", "https://image.goat.com/attachments/product/original/{s}.jpg"), ("https://image.goat.com/{s}", NONE)),
+    "r48_thumb": (("https://is1-ssl.mzstatic.com/image/thumb/{s}/200x200bb.jpg", "https://is1-ssl.mzstatic.com/image/thumb/{s}/10000x10000.png"), ("https://a5.mzstatic.com/us/r1000/0/Music/{s}.jpg", "https://is1-ssl.mzstatic.com/image/thumb/Music/{s}.jpg/10000x10000.png"), ("https://is1-ssl.mzstatic.com/image/thumb/{s}.jpg", NONE)),
+    "r49_generic": (("https://b.example/{s}.jpg?w=3", "https://b.example/{s}.jpg"), ("https://b.example/{s}.AVIF?x", NONE), ("https://b.example/{s}.tiff?", "https://b.example/{s}.tiff"), ("https://b.example/{s}.txt?x", NONE)),
+}
+
+
+def slugs(s, d):
+    c = table(s, d, "catalog_entry", "slug").filter("slug is not null").distinct().withColumn("s", F.url_encode("slug"))
+    return c.withColumn("e", F.url_encode("s"))
+
+
+SLUGS = "(select slug, s, replace(url_encode(s), '%20', '+') as e from (select distinct slug, replace(url_encode(slug), '%20', '+') as s from catalog_entry where slug is not null) t)"
+
+
+def spliced(template: str):
+    """A template with its slugs put in."""
+    parts = template.replace("{e}", "\0{e}\0").replace("{s}", "\0{s}\0").split("\0")
+    return F.concat(*[F.col(x[1]) if x in ("{s}", "{e}") else F.lit(x) for x in parts])
+
+
+def quoted(template: str | None) -> str:
+    return "null" if template is None else "'" + template.replace("{s}", "' || s || '").replace("{e}", "' || e || '") + "'"
+
+
+def _case(name: str, cases: tuple) -> None:
+    own = name.split("_")[0]
+    want = [(u, m if isinstance(m, tuple) else (own, m)) for u, m in cases]
+
+    @R.query(name, " union all ".join(f"select slug, {i} as n, {repr(r) if r else 'null'} as resolver, {quoted(m)} as master from {SLUGS} s" for i, (_, (r, m)) in enumerate(want)))
     def q(s, d):
-        slugs = table(s, d, "catalog_entry", "slug").filter(F.col("slug").rlike("^[a-z0-9-]+$")).distinct()
-        return slugs.select("slug", resolvers.resolved(_spliced(rendition)).alias("r")).select("slug", "r.resolver", "r.master")
+        each = slugs(s, d).select("slug", F.posexplode(F.array(*[spliced(u) for u, _ in want])).alias("n", "url"))
+        return each.select("slug", "n", resolvers.resolved(F.col("url")).alias("r")).select("slug", "n", "r.resolver", "r.master")
 
 
-for _c in CASES:
-    _case(*_c)
+for _n, _c in CASES.items():
+    _case(_n, _c)
 
 
-@R.query("r10_lookup_table", "select slug, 'https://b.example/' || slug || '-full' as master from (select distinct slug from catalog_entry where regexp_matches(slug, '^[a-z0-9-]+$')) t")
+@R.query("r10_lookup_table", f"select slug, 'https://b.example/' || s || '-full' as master from {SLUGS} s union all select slug, null from {SLUGS} s")
 def r10(s, d):
-    slugs = table(s, d, "catalog_entry", "slug").filter(F.col("slug").rlike("^[a-z0-9-]+$")).distinct()
     h = F.md5("slug")
     uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
-    shown = slugs.select("slug", F.concat(F.lit(f"https://creatorcdn.com/{UUID}/"), uuid, F.lit("/x.jpg")).alias("url"))
-    lookup = slugs.select(uuid.alias("uuid"), F.concat(F.lit("https://b.example/"), "slug", F.lit("-full")).alias("master"), F.lit(0).alias("ordinal"))
+    of = slugs(s, d).withColumn("uuid", uuid)
+    shown = of.select("slug", F.explode(F.array(F.concat(F.lit(f"https://creatorcdn.com/{UUID}/"), "uuid", F.lit("/x.jpg")), F.concat(F.lit("https://creatorcdn.com/"), "uuid", F.lit("/x.jpg")))).alias("url"))
+    lookup = of.select("uuid", F.explode(F.array(F.struct(F.lit(1).alias("ordinal"), F.lit("later").alias("master")), F.struct(F.lit(0).alias("ordinal"), F.concat(F.lit("https://b.example/"), "s", F.lit("-full")).alias("master")))).alias("x")).select("uuid", "x.*")
     return resolvers.by_table(shown, lookup, "url").select("slug", "master")
 
 
+# ---- resolvers whose second half asks a network: what they ask for
+@R.query("r17_source_reference", f"select slug, case length(slug) % 3 when 0 then 'releases' when 1 then 'masters' end as kind, case when length(slug) % 3 < 2 then cast(length(slug) as varchar) end as id from {SLUGS} s")
+def r17(s, d):
+    n = F.length("slug")
+    file = F.concat(F.lit("s3://discogs-database-images/"), F.when(n % 3 == 0, "R-").when(n % 3 == 1, "M-").otherwise("X-"), n.cast("string"), F.lit("-1-"), F.substring("s", 1, 30), F.lit(".jpeg"))
+    payload = F.translate(F.base64(F.encode(file, "utf-8")), "+/=\r\n", "-_")
+    url = F.concat(F.lit("https://i.discogs.com/sig-1/rs:fit/g:sm/q:40/"), F.regexp_replace(payload, "(.{16})", "$1/"), F.lit(".jpeg?x=1"))
+    return slugs(s, d).select("slug", urls.source_reference(F.regexp_replace(url, "/[.]jpeg", ".jpeg")).alias("r")).select("slug", "r.kind", "r.id")
+
+
+@R.query("r26_larger_suffixes", f"select slug, 'https://live.staticflickr.com/1/' || s || x || '.jpg?q=1' as candidate from {SLUGS} s, (values ('_o'), ('_k'), ('_b')) v(x)")
+def r26(s, d):
+    tried = F.array(spliced("https://live.staticflickr.com/1/{s}_m.jpg?q=1"), spliced("https://live.staticflickr.com/1/{s}_3K.jpg"), spliced("https://other.example/{s}_m.jpg"))
+    each = slugs(s, d).select("slug", F.explode(tried).alias("url"))
+    return each.select("slug", F.explode(urls.larger_suffixes(F.col("url"))).alias("candidate"))
+
+
+@R.query("r28_legacy_shop", f"select slug, 'https://cdn.shopify.com/x/' || s || '.jpg' as master from {SLUGS} s union all select slug, 'https://cdn.shopify.com/x/' || s || '.png?v=1' from {SLUGS} s union all select slug, null from {SLUGS} s")
+def r28(s, d):
+    made = F.array(spliced("https://cdn.shopify.com/x/{s}_grande.jpg"), spliced("https://cdn.shopify.com/x/{s}_100x100_crop_center.png?v=1"), spliced("https://other.example/x/{s}_grande.jpg"))
+    return slugs(s, d).select("slug", F.explode(made).alias("url")).select("slug", urls.legacy_shop(F.col("url")).alias("master"))
+
+
 QUERIES, SQL = R.queries, R.sql
