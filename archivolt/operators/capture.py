@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import urls
@@ -44,6 +44,11 @@ def parse_lines(lines: DataFrame, column: str = "value", whitespace_fallback: bo
     return lines.select(parts.alias("p")).filter(F.size("p") >= 5).select(*[F.col("p")[i].alias(n) for i, n in enumerate(names)])
 
 
+def good_status(status: Column, wanted: tuple[str, ...] = ("200",)) -> Column:
+    """F01; a null status is none of them."""
+    return F.coalesce(status, F.lit("")).isin(*wanted)
+
+
 def is_junk(url: Column) -> Column:
     """any of the marks, letter case aside."""
     return url.rlike("(?i)" + "|".join(urls.JUNK))
@@ -57,7 +62,7 @@ def is_static(url: Column) -> Column:
 def reject_reason(status: Column, mime: Column, url: Column) -> Column:
     """the first layer a capture fails, or null. Cheap layers come first and regular expressions last."""
     return (
-        F.when(~F.coalesce(status, F.lit("")).isin("200"), "status")
+        F.when(~good_status(status), "status")
         .when(F.lower(F.coalesce(mime, F.lit(""))).isin(*urls.BAD_MIMES), "mime")
         .when(is_junk(url), "junk_path").when(is_static(url), "static_ext").when(url.rlike(urls.VARIANT_NOISE), "variant_noise")
     )
@@ -87,7 +92,7 @@ def product_index(captures: DataFrame, url_rules: list[dict], era_rules: list[di
     F07-F09 apply: junk in address or slug, slugs with '.', '/' or nothing in them, and the status and type
     demanded by the first rule of the row's type.
     """
-    path = F.regexp_replace(urls.percent_decoded(F.substring_index(F.regexp_replace("original_url", "^[A-Za-z]+://[^/?#]*", ""), "?", 1)), r"/+\z", "")
+    path = _decoded_path()
     typed = captures.filter(~has_junk(F.col("original_url"), junk)).withColumn("_p", path).withColumn("_c", urls.classify(F.col("_p"), url_rules)).filter("_c.slug is not null").withColumn("slug", F.trim("_c.slug")).withColumn("url_type", F.col("_c.url_type")).drop("_c", "_p")
     ok = valid_slug(F.col("slug")) & ~has_junk(F.col("slug"), junk) & meets(F.col("url_type"), F.col("status"), F.col("mime"), url_rules)
     rank = F.lit(99)
@@ -98,26 +103,44 @@ def product_index(captures: DataFrame, url_rules: list[dict], era_rules: list[di
     return g.select("slug", F.col("b.url_type").alias("url_type"), urls.era(F.col("b.url_type"), F.col("b.ts"), era_rules).alias("era"), F.col("b.replay_url").alias("replay_url"), urls.canonical_original(F.col("b.original_url")).alias("original_url"), F.col("b.ts").alias("ts"), F.col("b.mime").alias("content_type"), "all_types", "snapshot_count")
 
 
+def _decoded_path() -> Column:
+    return F.regexp_replace(urls.percent_decoded(F.substring_index(F.substring_index(F.regexp_replace("original_url", "^[A-Za-z]+://[^/?#]*", ""), "#", 1), "?", 1)), r"/+\z", "")
+
+
 def all_snapshots(captures: DataFrame, slugs: DataFrame, mimes: tuple[str, ...] = ("text/html",)) -> DataFrame:
-    """(slug, snapshots) oldest first, of the wanted slugs."""
-    path = F.regexp_replace(urls.percent_decoded(F.substring_index(F.regexp_replace("original_url", "^[A-Za-z]+://[^/?#]*", ""), "?", 1)), r"/+\z", "")
+    """(slug, nth, ts, replay_url), oldest first, of the wanted slugs.
+
+    One row per snapshot instead of one list per slug, so a slug that holds a third of all captures is never
+    gathered: ranges of (slug, ts) are ranked apart and offset by the counts of the ranges before.
+    """
     p = F.col("_p")
-    slug = F.trim(F.when(p.startswith("/products/"), F.substring(p, 11, 1 << 30)).when(p.startswith("/product/"), F.substring(p, 10, 1 << 30)).when(p.contains("/collections/") & p.contains("/products/"), F.substring_index(p, "/products/", -1)))
-    rows = captures.filter((F.col("status") == "200") & F.col("mime").isin(*mimes)).withColumn("_p", path).withColumn("slug", slug).filter("slug is not null and slug <> '' and not contains(slug, '.') and not contains(slug, '/')")
-    return rows.join(slugs.select("slug").distinct(), "slug", "left_semi").groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("ts", "replay_url"))).alias("snapshots"))
+    slug = F.when(p.startswith("/products/"), F.substring(p, 11, 1 << 30)).when(p.startswith("/product/"), F.substring(p, 10, 1 << 30)).when(p.contains("/collections/") & p.contains("/products/"), F.substring_index(p, "/products/", -1))
+    rows = captures.filter(good_status(F.col("status")) & F.col("mime").isin(*mimes)).withColumn("_p", _decoded_path()).withColumn("slug", slug).filter("slug <> '' and not contains(slug, '.') and not contains(slug, '/')").withColumn("slug", F.trim("slug"))
+    return numbered(rows.join(slugs.select("slug").distinct(), "slug", "left_semi").select("slug", "ts", "replay_url"), "slug", "ts", "replay_url")
+
+
+def numbered(rows: DataFrame, key: str, at: str, by: str) -> DataFrame:
+    """rows with nth: the place within the key in order of (at, by), from 1; a key's years are counted first and ranked in tasks of their own."""
+    part = F.substring(F.coalesce(F.col(at).cast("string"), F.lit("")), 1, 6)
+    r = rows.withColumn("_part", part)
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = r.groupBy(key, "_part").agg(F.count("*").alias("_n")).withColumn("_before", before).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy(at, by))
+    ranked = r.withColumn("_i", inside).alias("r").join(counts.alias("c"), F.col(f"r.{key}").eqNullSafe(F.col(f"c.{key}")) & (F.col("r._part") == F.col("c._part")))
+    return ranked.select(*[F.col(f"r.{c}") for c in rows.columns], (F.col("_before") + F.col("_i")).alias("nth"))
 
 
 def content_pages(captures: DataFrame, domains: list[str] | None = None) -> DataFrame:
-    """(page, captures) of pages that hold product data without being product pages."""
-    path = F.regexp_replace(urls.percent_decoded(F.substring_index(F.regexp_replace("original_url", "^[A-Za-z]+://[^/?#]*", ""), "?", 1)), r"/+\z", "")
-    rows = captures.filter((F.col("status") == "200") & (F.col("mime").contains("html") | F.col("mime").contains("json"))).withColumn("host", urls.host(F.col("original_url"))).withColumn("path", F.when(path == "", "/").otherwise(path))
+    """(page, nth, ts, replay_url) of the captures of pages that hold product data without being product pages."""
+    path = _decoded_path()
+    rows = captures.filter(good_status(F.col("status")) & (F.col("mime").contains("html") | F.col("mime").contains("json"))).withColumn("host", urls.host(F.col("original_url"))).withColumn("path", F.when(path == "", "/").otherwise(path))
     if domains:
         rows = rows.filter(F.col("host").isin(*domains))
     p = F.col("path")
     rows = rows.filter(~(p.contains("/products/") & ~p.contains("products.json")) & ~p.rlike(r"wpm@|cdn-cgi|\.well-known/shopify/monorail"))
     # fixed values: paths of pages with products
     wanted = p.isin("/", "/live", "/rave", "/shop", "/us") | p.contains("/collections/") | p.endswith("__data.json") | p.endswith("products.json")
-    return rows.filter(wanted).groupBy(F.concat("host", "path").alias("page")).agg(F.array_sort(F.collect_list(F.struct("ts", "replay_url"))).alias("captures"))
+    return numbered(rows.filter(wanted).select(F.concat("host", "path").alias("page"), "ts", "replay_url"), "page", "ts", "replay_url")
 
 
 def api_captures(captures: DataFrame, patterns: list[str]) -> DataFrame:

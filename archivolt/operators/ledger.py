@@ -94,8 +94,24 @@ def breaker(attempts: DataFrame, key: str, order: list[str], ok: str) -> DataFra
     return out.withColumn("tripped", F.max(F.when(F.col("failures") >= 10, 1).otherwise(0)).over(w) == 1).drop("_run")
 
 
-def error_rate(attempts: DataFrame, key: str, seconds: str, ok: str, window: int = 300, least: int = 10, most: int = 300) -> DataFrame:
-    """Failure rate over the trailing window, null below the least number of outcomes; at most the last `most` of them."""
-    r = Window.partitionBy(key).orderBy(seconds).rangeBetween(-window, 0)
-    got = F.slice(F.reverse(F.collect_list(F.col(ok)).over(r)), 1, most)
-    return attempts.withColumn("_o", got).withColumn("samples", F.size("_o")).withColumn("rate", F.when(F.size("_o") >= least, F.size(F.filter("_o", lambda x: ~x)) / F.size("_o"))).drop("_o")
+def healthiest(attempts: DataFrame, key: str, ok: str) -> DataFrame:
+    """Keys in the order to try them: such as ever answered first, then the lowest failure rate, then the name."""
+    g = attempts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.avg((~F.col(ok)).cast("double")).alias("rate"), F.max(ok).alias("closed"))
+    return g.orderBy(F.desc("closed"), "rate", key)
+
+
+def first_known(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, value): the first value that is given; later ones never replace it. An aggregation that maps combine."""
+    return df.filter(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, order).alias(value))
+
+
+def error_rate(attempts: DataFrame, key: str, seconds: str, ok: str, window: int = 300, least: int = 10, most: int = 300, tie: str | None = None) -> DataFrame:
+    """Samples and failure rate of the outcomes up to each, at most the last `most` and none older than `window` seconds; null below `least`.
+
+    The frame is bounded by rows, so an attempt looks at `most` others, however many a second holds; `tie`
+    orders those of one second.
+    """
+    w = Window.partitionBy(key).orderBy(seconds, *([tie] if tie else [])).rowsBetween(1 - most, 0)
+    recent = F.filter(F.collect_list(F.struct(F.col(seconds).alias("s"), F.col(ok).alias("ok"))).over(w), lambda x: x["s"] >= F.col(seconds) - window)
+    out = attempts.withColumn("_o", recent).withColumn("samples", F.size("_o"))
+    return out.withColumn("rate", F.when(F.col("samples") >= least, F.size(F.filter("_o", lambda x: ~x["ok"])) / F.col("samples"))).drop("_o")

@@ -22,9 +22,9 @@ def captures(s: SparkSession, d: str) -> DataFrame:
     return sql(s, d, f"select * from {CAPTURES} c")
 
 
-@R.query("f01_status_whitelist", f"select replay_url, status from {CAPTURES} c where status in ('200')")
+@R.query("f01_status_whitelist", f"select replay_url, status from {CAPTURES} c where status in ('200', '404')")
 def f01(s, d):
-    return captures(s, d).filter(F.col("status").isin("200")).select("replay_url", "status")
+    return captures(s, d).filter(C.good_status(F.col("status"), ("200", "404"))).select("replay_url", "status")
 
 
 @R.query("f02_mime_blacklist", f"select entry_id, content_type from index_entry where lower(content_type) not in ({BAD}) and lower(content_type) <> 'application/json'")
@@ -101,7 +101,13 @@ def m11(s, d):
 _DECODED = "regexp_replace(coalesce(url_decode(split_part(regexp_replace(original_url, '^[A-Za-z]+://[^/?#]*', ''), '?', 1)), ''), '/+$', '')"
 
 
-@R.query("a10_product_index")
+_TYPED = f"""(select replay_url, ts, original_url, status, mime, case when p like '/products/%' then 'slug' when strpos(p, '/collections/') > 0 and strpos(p, '/products/') > 0 then 'collection' end as url_type, trim(case when p like '/products/%' then substr(p, 11) when strpos(p, '/collections/') > 0 and strpos(p, '/products/') > 0 then string_split(p, '/products/')[-1] end) as slug
+ from (select *, regexp_replace(url_decode(split_part(split_part(regexp_replace(original_url, '^[A-Za-z]+://[^/?#]*', ''), '#', 1), '?', 1)), '/+$', '') as p from {CAPTURES} c where not regexp_matches(original_url, '{C.DEFAULT_JUNK}')) t)"""
+
+
+@R.query("a10_product_index", f"""with t as (select * from {_TYPED} x where url_type is not null and slug <> '' and strpos(slug, '.') = 0 and strpos(slug, '/') = 0 and not regexp_matches(slug, '{C.DEFAULT_JUNK}') and (url_type <> 'slug' or status = '200' and mime in ('text/html', 'application/json'))),
+ r as (select *, row_number() over (partition by slug order by case url_type when 'slug' then 1 else 2 end, ts, original_url, replay_url, mime) as rn, count(*) over (partition by slug) as n from t)
+ select slug, url_type, case when cast(substr(ts, 1, 4) as int) <= 2012 then 'early' when url_type = 'collection' then 'grid' else 'late' end as era, replay_url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(original_url, '\\?.*', '', 'g'), '/+$', ''), '^http://', 'https://'), ':80(/|(\\n?)$)', '\\1', 'g') as original_url, ts, mime as content_type, (select list_sort(list(distinct t.url_type)) from t where t.slug = r.slug) as all_types, n as snapshot_count from r where rn = 1""")
 def a10(s, d):
     return C.product_index(captures(s, d), RULES, ERAS)
 
@@ -117,14 +123,14 @@ def x05(s, d):
     return table(s, d, "index_entry", "entry_id", "url_type", "capture_ts").select("entry_id", urls.era(F.col("url_type"), F.col("capture_ts"), ERAS).alias("era"))
 
 
-@R.query("x06_canonical_original", "select entry_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(original_url, '\\?(.|\\n)*', ''), '/+$', ''), '^http://', 'https://'), ':80(/|$)', '\\1', 'g') as url from index_entry where original_url not like chr(9) || '%' and strpos(original_url, chr(10)) = 0")
+@R.query("x06_canonical_original", "select entry_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(original_url, '\\?.*', '', 'g'), '/+$', ''), '^http://', 'https://'), ':80(/|(\\n?)$)', '\\1', 'g') as url from index_entry")
 def x06(s, d):
-    return table(s, d, "index_entry", "entry_id", "original_url").filter(~F.col("original_url").startswith("\t") & ~F.col("original_url").contains("\n")).select("entry_id", urls.canonical_original(F.col("original_url")).alias("url"))
+    return table(s, d, "index_entry", "entry_id", "original_url").select("entry_id", urls.canonical_original(F.col("original_url")).alias("url"))
 
 
-@R.query("x07_percent_decode")
+@R.query("x07_percent_decode", "select entry_id, url_decode(original_url) || '+%zz' || chr(233) || '/%' as url from index_entry")
 def x07(s, d):
-    return table(s, d, "index_entry", "entry_id", "original_url").select("entry_id", urls.percent_decoded(F.col("original_url")).alias("url"))
+    return table(s, d, "index_entry", "entry_id", "original_url").select("entry_id", urls.percent_decoded(F.concat("original_url", F.lit("+%zz%C3%A9%2F%"))).alias("url"))
 
 
 _HOST = "regexp_replace(lower(regexp_extract(original_url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\\.+$', '')"
@@ -148,9 +154,14 @@ def x10(s, d):
 _HPATH = "regexp_replace(split_part(regexp_replace(original_url, 'https?://[^/]+', '', 'g'), '?', 1), '/+$', '')"
 
 
-@R.query("x11_handle", f"select entry_id, case when regexp_matches({_HPATH}, '/products/[^/]+') then lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract({_HPATH}, '/products/([^/]+)', 1), '\\.json$', ''), '\\.atom$', ''), '\\.oembed$', ''), '\\.xml$', '')) when regexp_matches({_HPATH}, '/collections/[^/]+') then 'collection:' || lower(regexp_extract({_HPATH}, '/collections/([^/]+)', 1)) end as handle from index_entry where strpos(original_url, chr(10)) = 0")
+_TAILS = "{0}"
+for _x in ("json", "atom", "oembed", "xml"):
+    _TAILS = f"regexp_replace({_TAILS}, '\\.{_x}(\\n?)$', '\\1')"
+
+
+@R.query("x11_handle", f"select entry_id, case when regexp_matches({_HPATH}, '/products/[^/]+') then lower({_TAILS.format(f"regexp_extract({_HPATH}, '/products/([^/]+)', 1)")}) when regexp_matches({_HPATH}, '/collections/[^/]+') then 'collection:' || lower(regexp_extract({_HPATH}, '/collections/([^/]+)', 1)) end as handle from index_entry")
 def x11(s, d):
-    return table(s, d, "index_entry", "entry_id", "original_url").filter(~F.col("original_url").contains("\n")).select("entry_id", urls.handle(F.col("original_url")).alias("handle"))
+    return table(s, d, "index_entry", "entry_id", "original_url").select("entry_id", urls.handle(F.col("original_url")).alias("handle"))
 
 
 _LOW = "lower(regexp_replace(original_url, 'https?://[^/]+', '', 'g'))"
@@ -161,9 +172,9 @@ def x12(s, d):
     return table(s, d, "index_entry", "entry_id", "original_url").select("entry_id", urls.handle_type(F.col("original_url")).alias("kind"))
 
 
-@R.query("x16_replay_parts", "select entry_id, regexp_extract(wayback_url, '^https?://[^/]+/web/([0-9]+)(?:id_|im_|if_)?/(https?://.+)', 1) as ts, regexp_extract(wayback_url, '^https?://[^/]+/web/([0-9]+)(?:id_|im_|if_)?/(https?://.+)', 2) as original from index_entry where regexp_matches(wayback_url, '^https?://[^/]+/web/[0-9]+(?:id_|im_|if_)?/https?://.+') and strpos(wayback_url, chr(10)) = 0")
+@R.query("x16_replay_parts", "select entry_id, regexp_extract(wayback_url, '^https?://[^/]+/web/([0-9]+)(?:id_|im_|if_)?/(https?://.+)', 1) as ts, regexp_extract(wayback_url, '^https?://[^/]+/web/([0-9]+)(?:id_|im_|if_)?/(https?://.+)', 2) as original from index_entry where regexp_matches(wayback_url, '^https?://[^/]+/web/[0-9]+(?:id_|im_|if_)?/https?://.+')")
 def x16(s, d):
-    return table(s, d, "index_entry", "entry_id", "wayback_url").filter(~F.col("wayback_url").contains("\n")).select("entry_id", urls.replay_parts(F.col("wayback_url")).alias("p")).filter("p is not null").select("entry_id", "p.ts", "p.original")
+    return table(s, d, "index_entry", "entry_id", "wayback_url").select("entry_id", urls.replay_parts(F.col("wayback_url")).alias("p")).filter("p is not null").select("entry_id", "p.ts", "p.original")
 
 
 _S = "regexp_replace(regexp_replace(original_url, 'https?://', '', 'g'), '[<>:\"/\\\\|?*]', '_', 'g')"
@@ -184,14 +195,17 @@ def x53(s, d):
     return table(s, d, "index_entry", "entry_id", "original_url").select("entry_id", urls.strip_params(F.col("original_url"), ("page", "size")).alias("url"))
 
 
-@R.query("a11_all_snapshots", "select slug, cast(list_sort(list(capture_ts)) as varchar) as stamps from index_entry where snapshot_count > 2 group by slug")
+@R.query("a11_all_snapshots", f"select slug, row_number() over (partition by slug order by ts, replay_url) as nth, ts, replay_url from (select trim(slug) as slug, ts, replay_url from (select case when p like '/products/%' then substr(p, 11) when p like '/product/%' then substr(p, 10) when strpos(p, '/collections/') > 0 and strpos(p, '/products/') > 0 then string_split(p, '/products/')[-1] end as slug, ts, replay_url from (select *, regexp_replace(url_decode(split_part(split_part(regexp_replace(original_url, '^[A-Za-z]+://[^/?#]*', ''), '#', 1), '?', 1)), '/+$', '') as p from {CAPTURES} c where status = '200' and mime = 'text/html') t) u where slug <> '' and strpos(slug, '.') = 0 and strpos(slug, '/') = 0) v where slug in (select slug from product_metadata)")
 def a11(s, d):
-    return table(s, d, "index_entry", "slug", "capture_ts", "snapshot_count").filter("snapshot_count > 2").groupBy("slug").agg(F.array_sort(F.collect_list("capture_ts")).alias("l")).select("slug", F.concat(F.lit("["), F.array_join("l", ", "), F.lit("]")).alias("stamps"))
+    return C.all_snapshots(captures(s, d), table(s, d, "product_metadata", "slug"))
 
 
-@R.query("a12_latest_wins", "select original_url, max(capture_ts) as ts from fetch_result group by original_url")
+@R.query("a12_latest_wins", "select original_url, capture_ts, fetch_id from fetch_result qualify row_number() over (partition by original_url order by capture_ts desc, fetch_id) = 1")
 def a12(s, d):
-    return table(s, d, "fetch_result", "original_url", "capture_ts").groupBy("original_url").agg(F.max("capture_ts").alias("ts"))
+    from archivolt.operators.ledger import last_per_key
+
+    f = table(s, d, "fetch_result", "original_url", "capture_ts", "fetch_id")
+    return last_per_key(f, ["original_url"], [F.col("capture_ts"), -F.col("fetch_id")])
 
 
 @R.query("a14_sorted_set", "select slug, array_to_string(list_sort(list(distinct url_type)), ',') as types from index_entry group by slug")
@@ -205,10 +219,14 @@ def a25(s, d):
     return table(s, d, "index_entry", "original_url").select(F.explode(F.array(F.array_join(F.slice(parts, 1, 1), "/"), F.array_join(F.slice(parts, 1, 2), "/"))).alias("seg")).groupBy("seg").agg(F.count("*").alias("n"))
 
 
-@R.query("f10_content_pages", "select page, count(*) as n from (select host || path as page from (select regexp_replace(lower(regexp_extract(original_url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\\.+$', '') as host, coalesce(nullif(regexp_replace(split_part(regexp_replace(original_url, '^[A-Za-z]+://[^/?#]*', ''), '?', 1), '/+$', ''), ''), '/') as path, content_type as mime from index_entry where strpos(original_url, '%2') = 0) t where (mime like '%html%' or mime like '%json%') and not (path like '%/products/%' and path not like '%products.json%') and (path in ('/', '/live', '/rave', '/shop', '/us') or path like '%/collections/%' or path like '%__data.json' or path like '%products.json')) p group by page")
+# pages of each ledger host, as captures
+_HOSTED = """(select 'w' || entity_id as replay_url, cast(20100000 + entity_id as varchar) as ts, 'https://' || host || case entity_id % 8 when 0 then '' when 1 then '/collections/c%20' || entity_id % 50 || '/?page=' || entity_id when 2 then '/products.json?limit=250' when 3 then '/live//' when 4 then '/products/x' when 5 then '/collections/wpm@1' when 6 then '/a/__data.json#top' else '/about' end as original_url,
+ '200' as status, case when entity_id % 5 = 0 then 'image/png' when entity_id % 2 = 0 then 'text/html; charset=utf-8' else 'application/json' end as mime from entities)"""
+
+
+@R.query("f10_content_pages", f"select page, row_number() over (partition by page order by ts, replay_url) as nth, ts, replay_url from (select lower(regexp_extract(original_url, '^https://([^/?#]*)', 1)) || p as page, ts, replay_url from (select *, coalesce(nullif(regexp_replace(replace(split_part(split_part(regexp_replace(original_url, '^https://[^/?#]*', ''), '#', 1), '?', 1), '%20', ' '), '/+$', ''), ''), '/') as p from {_HOSTED} h) t where mime <> 'image/png' and (p in ('/', '/live') or p like '/collections/c %' or p in ('/products.json', '/a/__data.json'))) u")
 def f10(s, d):
-    rows = sql(s, d, "select wayback_url as replay_url, capture_ts as ts, original_url, '200' as status, content_type as mime from index_entry where instr(original_url, '%2') = 0")
-    return C.content_pages(rows).select("page", F.size("captures").alias("n"))
+    return C.content_pages(sql(s, d, f"select * from {_HOSTED.replace('varchar', 'string')} h"))
 
 
 @R.query("f11_labelled", "select label, count(*) as n from (select case when original_url like '%/collections/all%' then 'all' when original_url like '%/collections/outlet%' then 'outlet' end as label from index_entry) t where label is not null group by label")
@@ -217,7 +235,9 @@ def f11(s, d):
     return C.api_captures(rows, ["/collections/all", "/collections/outlet"]).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@R.query("r00_resolver_dispatch")
+@R.query("r00_resolver_dispatch", """with i as (select cat_id, unnest(images) as i from catalog_entry), u as (select cat_id, i, unnest(['https://cdn.shopify.com/s/files/1/0001/products/', 'https://x.imgix.net/', 'https://media.shop.com/photos/1/master/w_1/', 'https://i0.wp.com/a.com/wp-content/uploads/', 'https://res.cloudinary.com/d/image/upload/w_200,c_fill/', 'https://ucarecdn.com/u/-/resize/']) as h from i)
+ select cat_id, h || i || '?w=200&h=100' as url, case when h like '%shopify%' then 'r35' when h like '%imgix%' then 'r29' when h like '%media.shop%' then 'r12' when h like '%wp.com%' then 'r05' when h like '%cloudinary%' then 'r20' else 'r21' end as resolver,
+ case when h like '%shopify%' then h || i || '?format=png' when h like '%imgix%' then h || i when h like '%media.shop%' then 'https://media.shop.com/photos/1/master/pass/' || i || '?w=200&h=100' when h like '%wp.com%' then 'https://a.com/wp-content/uploads/' || i when h like '%cloudinary%' then 'https://res.cloudinary.com/d/image/upload/' || i || case when regexp_matches(lower(i), '[.](jpg|jpeg|png|tif|tiff|webp|gif|avif|heic)$') then '' else '.png' end || '?w=200&h=100' else 'https://ucarecdn.com/u' end as master from u""")
 def r00(s, d):
     """All resolvers over the image addresses that the catalogue's file names make under the services' paths."""
     hosts = F.array(*[F.lit(h) for h in ("https://cdn.shopify.com/s/files/1/0001/products/", "https://x.imgix.net/", "https://media.shop.com/photos/1/master/w_1/", "https://i0.wp.com/a.com/wp-content/uploads/", "https://res.cloudinary.com/d/image/upload/w_200,c_fill/", "https://ucarecdn.com/u/-/resize/")])

@@ -8,6 +8,7 @@ from archivolt.operators import catalog as K
 from archivolt.operators import groups as G
 from archivolt.operators import resolve as V
 from archivolt.plans._base import Registry, sql
+from archivolt.plans.functions import DIRNAME, _TAIL
 from archivolt.tables import table
 
 R = Registry()
@@ -104,15 +105,16 @@ def j21(s, d):
     return V.sku_to_slug(table(s, d, "product_metadata").select("sku", "matched_sku", "slug", F.col("meta_id").alias("ordinal")))
 
 
-@R.query("j12_directory_map")
+@R.query("j12_directory_map", f"select dir, arg_max(slug, meta_id) as slug from (select meta_id, slug, {DIRNAME} as dir from {_TAIL} product_metadata m) t where slug is not null) x where dir is not null group by dir")
 def j12(s, d):
     return V.directory_map(table(s, d, "product_metadata").select("name", "slug", F.col("date_seen").alias("date"), F.col("meta_id").alias("ordinal")).filter("slug is not null"))
 
 
-@R.query("j22_shared_citation", "select key, value, array_to_string(list_sort(list(distinct slug)), ',') as owners from (select slug, 'sku' as key, sku as value from product_metadata union all select slug, 'url', url from product_metadata) t where value is not null group by key, value having count(distinct slug) > 1")
+@R.query("j22_shared_citation", "select key, value, array_to_string(list_sort(list(distinct slug)), ',') as owners from (select slug, 'matched_sku' as key, matched_sku as value from product_metadata union all select slug, 'sku', sku from product_metadata union all select slug, 'tag', unnest(tags) from product_metadata) t where value is not null group by key, value having count(distinct slug) > 1")
 def j22(s, d):
-    m = table(s, d, "product_metadata", "slug", "sku", "url")
-    rows = m.select("slug", F.explode(F.array(F.struct(F.lit("sku").alias("key"), F.col("sku").alias("value")), F.struct(F.lit("url").alias("key"), F.col("url").alias("value")))).alias("c")).select("slug", "c.key", "c.value")
+    m = table(s, d, "product_metadata", "slug", "sku", "matched_sku", "tags")
+    each = F.concat(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in ("sku", "matched_sku")]), F.coalesce(F.transform("tags", lambda t: F.struct(F.lit("tag").alias("key"), t.alias("value"))), F.array().cast("array<struct<key:string,value:string>>")))
+    rows = m.select("slug", F.explode(each).alias("c")).select("slug", "c.key", "c.value")
     return K.shared_values(rows, "slug", "key", "value").select("key", "value", F.array_join("owners", ",").alias("owners"))
 
 
@@ -128,11 +130,15 @@ def a15(s, d):
     return g.select("category", F.size("owners").alias("slugs"), F.col("occurrences").alias("n"))
 
 
-@R.query("a13_largest_variant", "select key, arg_max(url, size * 100000000 - ordinal) as url, max(size) as size from (select cat_id as ordinal, 'https://cdn.x/' || slug || '_' || (cat_id % 5 * 100 + 100) || 'x.jpg' as url, 'https://cdn.x/' || slug || '.jpg' as key, cat_id % 5 * 100 + 100 as size from catalog_entry where regexp_matches(slug, '^[a-z0-9-]+$')) t group by key")
+_ENC = "replace(url_encode(slug), '%20', '+')"
+
+
+@R.query("a13_largest_variant", f"select key, arg_max(url, size * 100000000 - ordinal) as url, max(size) as size from (select cat_id as ordinal, 'https://cdn.x/' || {_ENC} || '_' || (cat_id % 5 * 100 + 100) || 'x' || case when cat_id % 2 = 0 then '@2x' else '' end || '.jpg' as url, 'https://cdn.x/' || {_ENC} || '.jpg' as key, (cat_id % 5 * 100 + 100) * case when cat_id % 2 = 0 then 2 else 1 end as size from catalog_entry where slug is not null) t group by key")
 def a13(s, d):
-    c = table(s, d, "catalog_entry", "cat_id", "slug").filter(F.col("slug").rlike("^[a-z0-9-]+$"))
-    rows = c.select(F.col("cat_id").alias("ordinal"), F.concat(F.lit("https://cdn.x/"), "slug", F.lit("_"), (F.col("cat_id") % 5 * 100 + 100).cast("string"), F.lit("x.jpg")).alias("url"))
-    return C.largest_variant(rows)
+    c = table(s, d, "catalog_entry", "cat_id", "slug").filter("slug is not null")
+    rows = c.select(F.col("cat_id").alias("ordinal"), F.concat(F.lit("http://cdn.x/"), F.url_encode("slug"), F.lit("_"), (F.col("cat_id") % 5 * 100 + 100).cast("string"), F.when(F.col("cat_id") % 2 == 0, "x@2x.jpg").otherwise("x.jpg")).alias("url"))
+    best = C.largest_variant(rows)
+    return best.withColumn("url", F.regexp_replace("url", "^http:", "https:"))
 
 
 @R.query("u06_priority_merge", "select slug, arg_min(origin, rank * 10 + part) as origin, min(rank) as rank from (select slug, 'index' as origin, case url_type when 'api' then 0 when 'slug' then 1 when 'collection' then 2 when 'sku' then 3 else 99 end as rank, 0 as part from index_entry where slug is not null union all select slug, 'ledger', 1, 1 from entities where slug is not null) t group by slug")
@@ -167,20 +173,6 @@ def o13(s, d):
     return K.pick_rendition(f, "l_orderkey")
 
 
-@R.query("o12_image_order")
-def o12(s, d):
-    e = table(s, d, "catalog_entry", "cat_id", "images").select("cat_id", F.explode("images").alias("image"))
-    return e.select("cat_id", "image", *[c.alias(f"o{i}") for i, c in enumerate(K.image_order(F.col("image")))])
-
-
-@R.query("w13_numbering", "select p_partkey, p_brand || case when n > 1 then '-' || n else '' end as new_name from (select p_partkey, p_brand, row_number() over (partition by p_brand order by p_partkey) as n from part) t")
-def w13(s, d):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return table(s, d, "part", "p_partkey", "p_brand").select("p_partkey", F.concat("p_brand", F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(F.lit(""))).alias("new_name"))
-
-
 @R.query("w14_keep_best", "select o_orderkey, case when rn = 1 then 'KEEP' else 'DROP' end as verdict from (select o_orderkey, row_number() over (partition by o_custkey, o_orderstatus order by case when c like 'pcm%' then 3 when c = 'aac' then 2 when c = 'mp3' then 1 else 0 end desc, o_orderkey) as rn from (select *, case when o_orderpriority like '1%' then 'pcm_s16le' when o_orderpriority like '2%' then 'aac' when o_orderpriority like '3%' then 'mp3' else 'other' end as c from orders) t) u")
 def w14(s, d):
     o = table(s, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
@@ -262,8 +254,6 @@ def j31(s, d):
 
 both("j29_correlated_existence", "select p.slug from product_metadata p where p.matched_sku is not null and not exists (select 1 from catalog_entry c where c.slug = p.slug)")
 both("j11_lookup_default", "select i.entry_id, coalesce(m.brand, 'unknown') as brand from index_entry i left join (select slug, min(brand) as brand from product_metadata group by slug) m on i.slug = m.slug")
-both("j33_clips", "select s.sku, count(m.meta_id) as n from sku_product s left join product_metadata m on m.matched_sku = s.sku group by s.sku")
-both("j34_missing_members", "select distinct r.matched from match_result r left anti join sku_product s on r.matched = s.sku where r.matched is not null", "select distinct r.matched from match_result r where r.matched is not null and r.matched not in (select sku from sku_product)")
 both("u13_ordered_dedup", "select original_url, min(fetch_id) as first_id from fetch_result group by original_url order by first_id")
 both("u11_first_occurrence", "select slug, min(entry_id) as first_id from index_entry group by slug")
 both("v14_typed_rows", "select cat_id, currency in ('USD', 'EUR', 'GBP') as currency_ok, coalesce(gender, 'unisex') as gender, price between 0 and 10000 as price_ok from catalog_entry")
@@ -280,10 +270,58 @@ def v15(s, d):
     return table(s, d, "events", "props").filter(F.size(K.unknown_keys(F.from_json("props", "map<string,string>"), ("k",))) > 0).agg(F.count("*").alias("n"))
 
 
-@R.query("v16_flag_rules", "select n_nationkey, code, count(*) as n from (select s_nationkey as n_nationkey, unnest([case when s_acctbal < 0 then 'negative' end, case when s_acctbal > 9000 then 'large' end]) as code from supplier) t where code is not null group by n_nationkey, code")
+# the lines of an order as the stems of a mix
+_STEMS = """(select l_orderkey as g, l_orderkey || '-' || l_linenumber || case l_partkey % 4 when 0 then '.mp3' else '.WAV' end as filename, case when l_suppkey % 9 = 0 then 96000 when l_suppkey % 9 = 1 then 0 else 48000 end as sample_rate, case l_partkey % 3 when 0 then 16 else 24 end as bit_depth, l_partkey % 4 = 0 as is_lossy, 1 + l_partkey % 3 as channels, 1000 + (case when l_linenumber > 3 then l_suppkey % 3 else 0 end) as duration_samples, cast(l_quantity as double) - 45 as true_peak_dbtp, cast(l_discount as double) / 50 as dc_offset_max, l_quantity < 2 as fully_silent, l_tax > 0.06 as dead, case when l_suppkey % 2 = 0 then 'ffprobe_sample_fmt' else 'wav' end as src, case when l_partkey % 5 = 0 then 's32' else 's16' end as sample_fmt, case when l_linenumber % 2 = 0 then l_suppkey % 4 end as time_reference, case when l_linenumber = 1 then 0.5 end as pan from lineitem)"""
+_FLAGS = """select g, severity, code, array_to_string(list_sort(list(filename)), ' ') as affected from (select g, filename, unnest([case when true_peak_dbtp > 0 then ['warn', 'input_clipping'] end, case when dc_offset_max > 0.001 then ['warn', 'dc_offset'] end, case when fully_silent then ['warn', 'silent_file'] end, case when not fully_silent and channels = 2 and dead then ['warn', 'dead_channel'] end, case when channels > 2 then ['error', 'multichannel_input'] end, case when is_lossy then ['warn', 'lossy_input'] end,
+ case when top - duration_samples > 1 then ['warn', 'length_drift'] end, case when src = 'ffprobe_sample_fmt' and sample_fmt = 's32' and filename like '%.WAV' and not is_lossy then ['warn', 'bit_depth_uncertain'] end]) as f, f[1] as severity, f[2] as code from (select *, max(duration_samples) over (partition by g) as top from """ + _STEMS + """ s) t) u where f is not null group by g, severity, code
+ union all select g, f[1], f[2], array_to_string(list_sort(f[3:]), ' ') from (select g, unnest([case when count(distinct nullif(sample_rate, 0)) > 1 then ['error', 'rate_mismatch'] || list(filename) end, case when count(distinct case when not is_lossy then bit_depth end) > 1 then ['warn', 'depth_mismatch'] || list(filename) filter (where not is_lossy) end, case when max(time_reference) - min(time_reference) > 1 then ['warn', 'stems_unanchored'] || list(filename) filter (where time_reference is not null) end,
+ case when count(*) filter (where channels = 1) > 0 then ['warn', 'pan_law_default_assumed'] || list(filename) filter (where channels = 1) end, case when count(*) filter (where channels = 1 and pan is null) >= 3 then ['warn', 'mono_pile_at_center'] || list(filename) filter (where channels = 1) end]) as f from """ + _STEMS + """ s group by g) v where f is not null"""
+
+
+def stems(s, d):
+    t = sql(s, d, "select * from " + _STEMS.replace("l_orderkey || '-' || l_linenumber ||", "cast(l_orderkey as string) || '-' || cast(l_linenumber as string) ||") + " s")
+    return t.withColumn("silent_channels", F.when(F.col("dead"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).withColumnRenamed("src", "bit_depth_source")
+
+
+def flags(s, d):
+    return G.stem_flags(stems(s, d), "g").select("g", "severity", "code", F.array_join("affected", " ").alias("affected"))
+
+
+@R.query("v16_flag_rules", _FLAGS)
 def v16(s, d):
-    flags = F.array_compact(F.array(F.when(F.col("s_acctbal") < 0, "negative"), F.when(F.col("s_acctbal") > 9000, "large")))
-    return table(s, d, "supplier", "s_nationkey", "s_acctbal").select(F.col("s_nationkey").alias("n_nationkey"), F.explode(flags).alias("code")).groupBy("n_nationkey", "code").agg(F.count("*").alias("n"))
+    return flags(s, d)
+
+
+@R.query("a33_consistency", f"select * from ({_FLAGS}) f where code in ('rate_mismatch', 'depth_mismatch', 'stems_unanchored')")
+def a33(s, d):
+    return flags(s, d).filter(F.col("code").isin("rate_mismatch", "depth_mismatch", "stems_unanchored"))
+
+
+@R.query("a34_deviation", f"select * from ({_FLAGS}) f where code = 'length_drift'")
+def a34(s, d):
+    return flags(s, d).filter("code = 'length_drift'")
+
+
+_MIX = f"(select g, bool_or(is_lossy) as lossy, case when bool_or(is_lossy) then 44100 else coalesce(max(nullif(sample_rate, 0)), 44100) end as rate, case when bool_or(is_lossy) then 16 else least(coalesce(min(bit_depth), 16), 24) end as depth, max(duration_samples) as longest from {_STEMS} s group by g)"
+_MASTERS = "(select o_orderkey as g, o_orderkey % 11 = 0 as missing, case o_custkey % 3 when 0 then 44100 else 48000 end as sample_rate, o_custkey % 4 = 0 as is_lossy, case o_custkey % 5 when 0 then 24 else 16 end as bit_depth, 1 + o_custkey % 3 as channels, 999 + o_custkey % 4 as duration_samples, case when o_custkey % 7 = 0 then 2 end as tolerance from orders)"
+
+
+@R.query("v16_master_flags", f"select g, f[1] as severity, f[2] as code from (select m.g, unnest([case when missing then ['error', 'master_missing'] end, case when not missing and sample_rate <> rate then ['error', 'master_rate_mismatch'] end, case when not missing and not is_lossy and bit_depth <> depth then ['error', 'master_depth_mismatch'] end, case when not missing and channels <> 2 then ['error', 'master_channels_mismatch'] end, case when not missing and channels > 2 then ['error', 'master_multichannel'] end, case when not missing and abs(duration_samples - longest) > coalesce(tolerance, 1) then ['error', 'master_duration_mismatch'] end, case when not missing and is_lossy and not lossy then ['warn', 'master_lossy_with_lossless_stems'] end]) as f from {_MASTERS} m join {_MIX} x on x.g = m.g) t where f is not null")
+def v16_masters(s, d):
+    return G.master_flags(sql(s, d, f"select * from {_MASTERS} m"), stems(s, d), "g")
+
+
+@R.query("j33_clips", "select distinct slug as track, i as file, i in (select unnest(images) from catalog_entry where cat_id % 3 = 0) as on_disk from (select slug, unnest(images) as i from catalog_entry) t")
+def j33(s, d):
+    c = table(s, d, "catalog_entry", "cat_id", "slug", "images")
+    here, gone = G.track_files(c.select(F.col("slug").alias("track"), F.col("images").alias("clips")), c.filter("cat_id % 3 = 0").select(F.explode("images").alias("file")))
+    return here.withColumn("on_disk", F.lit(True)).unionByName(gone.withColumn("on_disk", F.lit(False)))
+
+
+@R.query("j34_missing_members", "select slug, i as member from (select slug, unnest(images) as i from catalog_entry) t where i not in (select unnest(images) from catalog_entry where cat_id % 3 = 0)")
+def j34(s, d):
+    c = table(s, d, "catalog_entry", "cat_id", "slug", "images")
+    return G.missing_members(c, "slug", "images", c.filter("cat_id % 3 = 0").select(F.explode("images").alias("i")), "i")
 
 
 @R.query("v21_five_per_file", "select doc_id, hit from (select doc_id, hit, row_number() over (partition by doc_id order by hit) as rn from (select doc_id, unnest(list_distinct(regexp_extract_all(text, '[a-z.]+\\.example'))) as hit from documents) t) u where rn <= 5")

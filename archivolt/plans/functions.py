@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.functions import scalars, urls
+from archivolt.functions import pages, scalars, urls
 from archivolt.plans._base import Registry
 from archivolt.session import shared_folder
 from archivolt.sources import readers, writers
@@ -24,7 +24,12 @@ def folder(spark: SparkSession) -> str:
 # ---- scalar functions
 both("p03_defaults", "select meta_id, coalesce(nullif(name, ''), replace(slug, '-', ' ')) as name, coalesce(nullif(currency, ''), 'USD') as currency from product_metadata")
 both("p04_safe_cast", "select meta_id, try_cast(price as double) as price from product_metadata")
-both("m10_aspect", "select l_orderkey, l_linenumber, abs(cast(l_quantity as bigint) * 3 - 2 * l_linenumber) * 100 <= greatest(cast(l_quantity as bigint) * 3, 2 * l_linenumber) * 5 as same from lineitem")
+
+
+@R.query("m10_aspect", "select l_orderkey, l_linenumber, abs(cast(l_quantity as bigint) * 3 - 2 * l_linenumber) * 100 <= greatest(cast(l_quantity as bigint) * 3, 2 * l_linenumber) * 5 as same from lineitem")
+def m10(s, d):
+    li = table(s, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    return li.select("l_orderkey", "l_linenumber", scalars.same_aspect(F.col("l_quantity").cast("long"), F.lit(2), F.col("l_linenumber"), F.lit(3)).alias("same"))
 
 
 @R.query("p02_truthy", "select cat_id, (name is not null and name not in ('', '0', '[]'))::int + (brand is not null and brand not in ('', '0', '[]'))::int + (color is not null and color not in ('', '0', '[]'))::int as n from catalog_entry")
@@ -35,10 +40,9 @@ def p02(s, d):
     return table(s, d, "catalog_entry", "cat_id", "name", "brand", "color").select("cat_id", F.size(truthy(m)).alias("n"))
 
 
-@R.query("p06_product_ref", "select entry_id, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(p, '(?i)/products/([a-z0-9][a-z0-9\\-_.%]*)', 1)), '\\.atom$', ''), '\\.oembed$', ''), '\\.json$', '') as slug from (select entry_id, split_part(regexp_replace(original_url, '^[A-Za-z]+://[^/?#]*', ''), '?', 1) as p, original_url from index_entry) t where regexp_matches(original_url, '^https://[a-z.]+/') and regexp_matches(p, '(?i)/products/[a-z0-9]')")
+@R.query("p06_product_ref", "select entry_id, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(p, '(?i)/products/([a-z0-9][a-z0-9\\-_.%]*)', 1)), '\\.atom$', ''), '\\.oembed$', ''), '\\.json$', '') as slug from (select entry_id, split_part(split_part(regexp_replace(original_url, '^[A-Za-z]+://[^/?#]*', ''), '#', 1), '?', 1) as p, original_url from index_entry) t where regexp_extract(original_url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) <> '' and regexp_matches(p, '(?i)/products/[a-z0-9]')")
 def p06(s, d):
-    i = table(s, d, "index_entry", "entry_id", "original_url").filter(F.col("original_url").rlike("^https://[a-z.]+/"))
-    return i.select("entry_id", urls.product_ref(F.col("original_url"), F.lit(None).cast("string"))["slug"].alias("slug")).filter("slug is not null")
+    return table(s, d, "index_entry", "entry_id", "original_url").select("entry_id", urls.product_ref(F.col("original_url"), F.lit(None).cast("string"))["slug"].alias("slug")).filter("slug is not null")
 
 
 @R.query("x26_tokens", "select slug, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(slug), '[a-z0-9]+'))), ' ') as tokens from (select distinct slug from catalog_entry where slug is not null) t")
@@ -56,15 +60,47 @@ def x28(s, d):
     return table(s, d, "product_metadata", "meta_id", "name").filter("name is not null").select("meta_id", urls.core_name(F.col("name")).alias("core"))
 
 
-@R.query("x29_dirname")
+_NS = "regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_TAIL = f"(select *, coalesce(case when {_NS} <> '' and starts_with(slug, {_NS}) then regexp_replace(substr(slug, length({_NS}) + 1), '^-+', '') else slug end, '') as tail from"
+DIRNAME = "trim(regexp_replace(case when coalesce(date_seen, '') <> '' then date_seen || ' ' else '' end || name || case when tail <> '' then ' [' || tail || ']' else '' end, '[/:*?\"<>|]', '', 'g'))"
+
+
+@R.query("x29_dirname", f"select cat_id, {DIRNAME} as dir from {_TAIL} catalog_entry c) t")
 def x29(s, d):
     return table(s, d, "catalog_entry", "cat_id", "name", "date_seen", "slug").select("cat_id", urls.dirname(F.col("name"), F.col("date_seen"), F.col("slug")).alias("dir"))
 
 
-@R.query("x30_image_class")
+_SHOTS = "(select cat_id, slug, u, upper(u) as n from (select cat_id, slug, unnest([i || '-FRONT', i || '_back-M', i || '-side-F', i || '-right_M-BLACK', i || '-m-', i || '-M-blue', i || '_female', i || '-front_m.x']) as u from (select cat_id, slug, unnest(images) as i from catalog_entry) a) b)"
+_ANGLE = "case when n like '%FRONT%' then 'front' when n like '%BACK%' then 'back' when n like '%SIDE%' or n like '%RIGHT%' then 'side' end"
+_MALE = "(regexp_matches(n, '(FRONT|BACK)[-_]M([-_.]|$)') or regexp_matches(n, '[-_]M[-_.]') and not regexp_matches(n, '[-_]M[-_](BLACK|BLUE|GREEN|GREY|LS|SS)'))"
+_MODEL = f"case when regexp_matches(n, '[-_ ]FEMALE') then 'female' when regexp_matches(n, '[-_ ]MALE') then 'male' when regexp_matches(n, '[-_]F[-_.]') or n like '%-F' then 'female' when (regexp_matches(n, '[-_]M[-_.]') or n like '%-M') and {_MALE} then 'male' end"
+
+
+def shots(s, d):
+    """Image names with angles and models in them."""
+    i = table(s, d, "catalog_entry", "cat_id", "images").select("cat_id", F.explode("images").alias("i"))
+    return i.select("cat_id", F.explode(F.array(*[F.concat("i", F.lit(x)) for x in ("-FRONT", "_back-M", "-side-F", "-right_M-BLACK", "-m-", "-M-blue", "_female", "-front_m.x")])).alias("image"))
+
+
+@R.query("x30_image_class", f"select cat_id, u as image, {_ANGLE} as angle, {_MODEL} as model from {_SHOTS} t")
 def x30(s, d):
-    e = table(s, d, "catalog_entry", "cat_id", "images").select("cat_id", F.explode("images").alias("image"))
-    return e.select("cat_id", "image", urls.image_angle(F.col("image")).alias("angle"), urls.image_model(F.col("image")).alias("model"))
+    return shots(s, d).select("cat_id", "image", urls.image_angle(F.col("image")).alias("angle"), urls.image_model(F.col("image")).alias("model"))
+
+
+@R.query("o12_image_order", f"select cat_id, u as image, case when a is not null and m is not null then 0 when a is not null then 1 else 2 end as o0, lower(u) as o1 from (select *, {_ANGLE} as a, {_MODEL} as m from {_SHOTS} t) x")
+def o12(s, d):
+    from archivolt.operators.catalog import image_order
+
+    return shots(s, d).select("cat_id", "image", *[c.alias(f"o{i}") for i, c in enumerate(image_order(F.col("image")))])
+
+
+@R.query("w13_numbering", f"""with f as (select distinct cat_id, u, case when a is not null and m is not null then a || '-' || m when a is not null then a else 'detail' end as base, case when a is not null and m is not null then 0 when a is not null then 1 else 2 end as o from (select *, {_ANGLE} as a, {_MODEL} as m from {_SHOTS} t) x)
+ select cat_id, u || '.JPG' as file, base || case when rn > 1 then '-' || rn else '' end || '.jpg' as new_name from (select *, row_number() over (partition by cat_id, base order by o, lower(u)) as rn from f) t""")
+def w13(s, d):
+    from archivolt.operators.catalog import semantic_names
+
+    f = shots(s, d).distinct().select("cat_id", F.concat("image", F.lit(".JPG")).alias("file"))
+    return semantic_names(f, "cat_id", "file").select("cat_id", "file", "new_name")
 
 
 @R.query("x20_image_key", "select distinct image, regexp_replace(regexp_replace(split_part(image, '?', 1), '_[0-9]+x(@[0-9]x)?(\\.\\w+)', '\\2', 'g'), '^http://', 'https://') as key from (select unnest(images) as image from catalog_entry) t")
@@ -87,9 +123,11 @@ def x52(s, d):
     return table(s, d, "index_entry", "content_type").distinct().select("content_type", urls.format_of(F.col("content_type")).alias("fmt"))
 
 
-@R.query("x55_comments", "select doc_id, regexp_replace(text, '(?s)\\(.*?\\)', '', 'g') as text from documents")
+@R.query("x55_comments", "select doc_id, 'a' || replace(text, '/*', '/ *') || 'b' || replace(text, '/*', '/ *') || ' /* open' as text from documents")
 def x55(s, d):
-    return table(s, d, "documents", "doc_id", "text").select("doc_id", F.regexp_replace("text", r"(?s)\(.*?\)", "").alias("text"))
+    t = F.replace("text", F.lit("/*"), F.lit("/ *"))
+    code = F.concat(F.lit("a/* "), F.replace(t, F.lit("*/"), F.lit("* /")), F.lit("\n * x **/"), t, F.lit("b/**/"), t, F.lit(" /* open"))
+    return table(s, d, "documents", "doc_id", "text").select("doc_id", pages.stripped_comments(code).alias("text"))
 
 
 @R.query("x56_ellipsis", "select doc_id, case when length(text) > 500 then substr(text, 1, 497) || '...' else text end as text from documents")
@@ -194,9 +232,11 @@ def ar6(s, d):
     return table(s, d, "part", "p_partkey", "p_size").select("p_partkey", F.size(scalars.ladder(F.col("p_size") * 6)).alias("steps"))
 
 
-@R.query("mp1_last_writer", "select currency, max(slug) as slug from (select currency, arg_max(slug, cat_id) as slug from catalog_entry where currency is not null group by currency) t group by currency")
+@R.query("mp1_last_writer", "select currency, arg_max(slug, cat_id) as slug from catalog_entry where currency is not null group by currency")
 def mp1(s, d):
-    return table(s, d, "catalog_entry", "currency", "slug", "cat_id").filter("currency is not null").groupBy("currency").agg(F.max_by("slug", "cat_id").alias("slug"))
+    from archivolt.operators.ledger import last_per_key
+
+    return last_per_key(table(s, d, "catalog_entry", "currency", "slug", "cat_id").filter("currency is not null"), ["currency"], [F.col("cat_id")]).select("currency", "slug")
 
 
 @R.query("mp3_merge", "select cat_id, coalesce(color, 'none') || '/' || coalesce(brand, 'none') as v from catalog_entry")
@@ -218,9 +258,12 @@ def js2(s, d):
 
 
 # ---- sources and sinks, as round trips through the shared folder
-@R.query("k01_capture_lines", "select capture_ts as ts, original_url, '200' as status, coalesce(content_type, '') as mime from index_entry where not regexp_matches(original_url, '[\\t\\n\\r]')")
+_CAP = "(select unnest(regexp_split_to_array('https://replay.example/web/' || capture_ts || '/' || original_url || chr(9) || capture_ts || chr(9) || original_url || chr(9) || '200' || chr(9) || coalesce(content_type, ''), '\\r\\n|\\n|\\r')) as v from index_entry)"
+
+
+@R.query("k01_capture_lines", f"select p[2] as ts, p[3] as original_url, p[4] as status, p[5] as mime from (select case when len(string_split(v, chr(9))) >= 5 then string_split(v, chr(9)) else regexp_split_to_array(trim(v), '\\s+') end as p from {_CAP} x) t where len(p) >= 5")
 def k01(s, d):
-    i = table(s, d, "index_entry", "capture_ts", "original_url", "content_type").filter(~F.col("original_url").rlike(r"[\t\n\r]"))
+    i = table(s, d, "index_entry", "capture_ts", "original_url", "content_type")
     path = folder(s)
     writers.write_lines(i.select(writers.capture_line(F.col("capture_ts"), F.col("original_url"), F.lit("200"), F.col("content_type"), "https://replay.example").alias("line")), "line", path)
     return readers.capture_lines(s, path).drop("replay_url")
@@ -258,9 +301,9 @@ def k12(s, d):
     return j.select(F.json_array_length("regions").cast("long").alias("regions"), F.json_array_length("nations").cast("long").alias("nations"))
 
 
-@R.query("k13_url_dump", "select distinct canonical_url as value from entities where canonical_url is not null and not regexp_matches(canonical_url, '[\\n\\r]') order by value")
+@R.query("k13_url_dump", "select unnest(regexp_split_to_array(u, '\\r\\n|\\n|\\r')) as value from (select distinct canonical_url as u from entities where canonical_url is not null) t")
 def k13(s, d):
-    e, path = table(s, d, "entities", "canonical_url").filter("canonical_url is not null").filter(~F.col("canonical_url").rlike(r"[\n\r]")).distinct(), folder(s)
+    e, path = table(s, d, "entities", "canonical_url").filter("canonical_url is not null").distinct(), folder(s)
     writers.write_lines(e, "canonical_url", path, ordered=True)
     return s.read.text(path)
 
@@ -277,9 +320,9 @@ def s16(s, d):
     return readers.key_values(lines).select(F.col("kv")["key"].cast("int").alias("n_nationkey"), F.col("kv")["name"].alias("n_name"))
 
 
-@R.query("s18_url_list", "select trim(original_url, chr(9) || chr(10) || chr(32)) as url from fetch_result where original_url like 'https%' and not regexp_matches(original_url, '[\\n\\t]')")
+@R.query("s18_url_list", "select x as url from (select regexp_replace(unnest(string_split('  ' || original_url || chr(10) || '# note' || chr(10), chr(10))), '^\\s+|\\s+$', '', 'g') as x from index_entry) t where x <> '' and x not like '#%'")
 def s18(s, d):
-    lines = table(s, d, "fetch_result", "original_url").filter(F.col("original_url").startswith("https") & ~F.col("original_url").rlike(r"[\n\t]")).select(F.explode(F.array(F.concat(F.lit("  "), "original_url"), F.lit("# note"), F.lit(""))).alias("value"))
+    lines = table(s, d, "index_entry", "original_url").select(F.explode(F.split(F.concat(F.lit("  "), "original_url", F.lit("\n# note\n")), "\n")).alias("value"))
     return readers.url_list(lines)
 
 
@@ -307,11 +350,22 @@ def t03(s, d):
     return s.read.parquet(out).groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
-@R.query("t06_stream_breaker")
+@R.query("t06_stream_breaker", """with r as (select *, sum(success::int) over (partition by tier order by logged_at, fetch_id) as run from fetch_result where tier is not null), n as (select *, count(*) filter (where not success) over (partition by tier, run order by logged_at, fetch_id) as bad from r),
+ t as (select tier, arg_max(bad, (logged_at, fetch_id)) as failures, max(bad) >= 10 as tripped from n group by tier)
+ select tier, failures, case when tripped or failures < 3 then 0 when failures < 6 then 120 else 300 end as pause_s, case when tripped then 'TRIPPED' when failures >= 3 then 'OPEN' else 'CLOSED' end as state from t""")
 def t06(s, d):
-    f, path, out = table(s, d, "fetch_result", "tier", "success", "logged_at"), folder(s), folder(s)
-    f.filter("tier is not null").coalesce(1).write.parquet(path)
-    stateful.drain_batches(stateful.breaker(stateful.read_stream(s, path, s.read.parquet(path)), "tier", "success"), lambda b, i: b.write.mode("append").parquet(out), out + "-state")
+    f, path, out = table(s, d, "fetch_result", "fetch_id", "tier", "success", "logged_at").filter("tier is not null"), folder(s), folder(s)
+    f.repartition(4).write.parquet(path)  # rows arrive in no order
+    stateful.drain_batches(stateful.breaker(stateful.read_stream(s, path, s.read.parquet(path), 100), "tier", "success", ["logged_at", "fetch_id"]), lambda b, i: b.write.mode("append").parquet(out), out + "-state")
+    return s.read.parquet(out)
+
+
+@R.query("t13_stage_durations", "select user_id, min(ts) filter (where event_type = 'click') as started, max(ts) filter (where event_type = 'purchase') as ended, cast(floor(epoch(max(ts) filter (where event_type = 'purchase'))) - floor(epoch(min(ts) filter (where event_type = 'click'))) as bigint) as seconds from events group by user_id")
+def t13(s, d):
+    path, e = _events_folder(s, d)
+    out = folder(s)
+    marks = stateful.read_stream(s, path, e, 2).withColumn("event", F.when(F.col("event_type") == "click", "start").when(F.col("event_type") == "purchase", "end"))
+    stateful.drain_batches(stateful.stage_durations(marks, "user_id", "event", "ts"), lambda b, i: b.write.mode("overwrite").parquet(out), out + "-state", "complete")
     return s.read.parquet(out)
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import pages, scalars, urls
-from archivolt.operators import catalog
+from archivolt.operators import catalog, ledger
 from archivolt.plans._base import Registry
 from archivolt.plans.functions import folder
 from archivolt.sources import readers, writers
@@ -13,12 +13,15 @@ from archivolt.tables import table
 
 R = Registry()
 L = F.lit
-CLEAN = r"^https://[a-z.]+/[a-z0-9/-]+$"
-INDEX = "(select entry_id, capture_ts, original_url, coalesce(content_type, 'unk') as mime from index_entry where regexp_matches(original_url, '^https://[a-z.]+/[a-z0-9/-]+$'))"
+# what a text file makes of values with tabs and line ends, computed line by line
+_ROW = "'w' || {0} || capture_ts || {0} || original_url || {0} || '200' || {0} || regexp_replace(coalesce(content_type, 'unk'), '\\s', '', 'g')"
+_LINES = f"(select unnest(regexp_split_to_array({_ROW}, '\\r\\n|\\n|\\r')) as v from index_entry)"
+_TABS = f"select p[2] as ts, p[3] as original_url, p[5] as mime from (select string_split(v, chr(9)) as p from {_LINES.format('chr(9)')} x) t where len(p) >= 5"
+_BLANKS = "select p[2] as ts, p[3] as original_url, p[5] as mime from (select case when len(string_split(v, chr(9))) >= 5 then string_split(v, chr(9)) else regexp_split_to_array(trim(v), '\\s+') end as p from " + _LINES.format("'  '") + " x) t where len(p) >= 5"
 
 
 def index(s, d) -> DataFrame:
-    return table(s, d, "index_entry", "entry_id", "capture_ts", "original_url", "content_type").filter(F.col("original_url").rlike(CLEAN)).select("entry_id", "capture_ts", "original_url", F.coalesce("content_type", L("unk")).alias("mime"))
+    return table(s, d, "index_entry", "entry_id", "capture_ts", "original_url", "content_type").select("entry_id", "capture_ts", "original_url", F.coalesce("content_type", L("unk")).alias("mime"))
 
 
 def captures_file(s, d, sep: str = "\t") -> str:
@@ -27,30 +30,66 @@ def captures_file(s, d, sep: str = "\t") -> str:
     return path
 
 
-_CAP = f"select capture_ts as ts, original_url, replace(mime, ' ', '') as mime from {INDEX} i"
-
-
-@R.query("s01_capture_lines", _CAP)
+@R.query("s01_capture_lines", _TABS)
 def s01(s, d):
     return readers.capture_lines(s, captures_file(s, d), whitespace_fallback=False).select("ts", "original_url", "mime")
 
 
-@R.query("s02_whitespace_fallback", _CAP)
+@R.query("s02_whitespace_fallback", _BLANKS)
 def s02(s, d):
     return readers.capture_lines(s, captures_file(s, d, "  ")).select("ts", "original_url", "mime")
 
 
-@R.query("s06_several_files", _CAP + " union all " + _CAP)
+@R.query("s06_several_files", _TABS + " union all " + _TABS)
 def s06(s, d):
-    return readers.capture_lines(s, [captures_file(s, d), captures_file(s, d)]).select("ts", "original_url", "mime")
+    return readers.capture_lines(s, [captures_file(s, d), captures_file(s, d)], whitespace_fallback=False).select("ts", "original_url", "mime")
+
+
+def pages_folder(s, d) -> str:
+    """The index as a server's pages: JSON with a header, JSON without, plain lines; and an empty page."""
+    i = index(s, d).withColumn("mime", F.regexp_replace("mime", r"\s", ""))
+    i = i.withColumn("kind", F.col("entry_id") % 3).withColumn("page", readers.paged(i, "entry_id"))
+    row = F.when(F.col("kind") < 2, F.to_json(F.array("capture_ts", "original_url", L("200"), "mime"))).otherwise(F.concat_ws(" ", "capture_ts", "original_url", L("200"), "mime"))
+    body = i.groupBy("kind", "page").agg(F.when(F.first("kind") < 2, F.array_join(F.collect_list(row), ",")).otherwise(F.array_join(F.collect_list(row), "\n")).alias("b"))
+    text = F.when(F.col("kind") == 0, F.concat(L('[["timestamp","original","statuscode","mimetype"],'), "b", L("]"))).when(F.col("kind") == 1, F.concat(L("["), "b", L("]"))).otherwise(F.col("b"))
+    path = folder(s)
+    out = body.select(text.alias("value")).unionByName(s.createDataFrame([("",), ("[]",), ('{"error":1}',)], "value string"))
+    out.repartition(8).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+    return path
+
+
+_PAGES = """(select capture_ts as timestamp, original_url as original, regexp_replace(coalesce(content_type, 'unk'), '\\s', '', 'g') as mimetype from index_entry where entry_id % 3 < 2
+ union all select p[1], p[2], p[4] from (select regexp_split_to_array(trim(v, chr(9) || chr(10) || ' '), '\\s+') as p from (select unnest(string_split(capture_ts || ' ' || original_url || ' 200 ' || regexp_replace(coalesce(content_type, 'unk'), '\\s', '', 'g'), chr(10))) as v from index_entry where entry_id % 3 = 2) l) t where len(p) >= 4 and regexp_matches(p[1], '^[0-9]+$'))"""
+
+
+def paged_source(s, d, **options: str) -> DataFrame:
+    return readers.paged_captures(s, pages_folder(s, d), **options)
+
+
+@R.query("s03_index_pages", f"select timestamp, original, mimetype from {_PAGES} p")
+def s03(s, d):
+    return paged_source(s, d).select("timestamp", "original", "mimetype")
+
+
+@R.query("s04_scan_plan", "select entity_id, case entity_id % 4 when 0 then host || '/*' when 1 then host || '/shop' when 2 then 'https://' || host || '/*' else 'https://' || host || '/' end as url, case when entity_id % 2 = 0 then 'domain' else 'prefix' end as kind, case when entity_id % 7 > 0 then entity_id % 7 end as pages from entities")
+def s04(s, d):
+    k, n = F.col("entity_id") % 4, F.col("entity_id") % 7
+    address = F.concat(F.when(k >= 2, "https://").otherwise(""), "host", F.when(k == 1, "/shop").when(k == 3, "/").otherwise(""))
+    answer = F.when(n > 0, F.concat(L(" "), n.cast("string"), L(" pages of 9\n"))).otherwise("none")
+    return table(s, d, "entities", "entity_id", "host").select("entity_id", readers.scan_query(address).alias("q"), readers.page_count(answer).alias("pages")).select("entity_id", "q.url", "q.kind", "pages")
+
+
+@R.query("s05_time_window", f"select timestamp, original from {_PAGES} p where timestamp >= '2014' and substr(timestamp, 1, 6) <= '201806' and timestamp >= '201501'")
+def s05(s, d):
+    return paged_source(s, d, **{"from": "2014", "to": "201806"}).filter("timestamp >= '201501'").select("timestamp", "original")
 
 
 @R.query("s07_collapsed_pages", "select urlkey, count(*) as n from (select distinct 'k' || c_nationkey as urlkey from customer) t group by urlkey")
 def s07(s, d):
-    path = folder(s)
-    rows = table(s, d, "customer", "c_custkey", "c_nationkey").select(F.concat(L('["k'), F.col("c_nationkey").cast("string"), L('","1","o","m","200","d","1"]')).alias("r"))
-    page = rows.groupBy(F.spark_partition_id()).agg(F.concat(L('[["urlkey","timestamp","original","mimetype","statuscode","digest","length"],'), F.array_join(F.collect_list("r"), ","), L("]")).alias("value"))
-    page.select("value").write.text(path)
+    path, c = folder(s), table(s, d, "customer", "c_custkey", "c_nationkey")
+    rows = c.select(readers.paged(c, "c_custkey").alias("p"), F.concat(L('["k'), F.col("c_nationkey").cast("string"), L('","1","o","m","200","d","1"]')).alias("r"))
+    page = rows.groupBy("p").agg(F.concat(L('[["urlkey","timestamp","original","mimetype","statuscode","digest","length"],'), F.array_join(F.collect_list("r"), ","), L("]")).alias("value"))
+    page.select("value").repartition(4).write.option("maxRecordsPerFile", 1).text(path)
     return readers.extended_captures(s, path).groupBy("urlkey").agg(F.count("*").alias("n"))
 
 
@@ -69,13 +108,17 @@ def s09(s, d):
     return readers.json_lines(s, path, "fetch_id long, success boolean, size long")
 
 
-@R.query("s10_product_documents", "select 'n' || n_nationkey as product, n_name as name from nation")
+@R.query("s10_product_documents", "select 'level' || n_regionkey as level, 'n' || n_nationkey as product, n_name as name from nation where n_nationkey % 5 < 3")
 def s10(s, d):
     path = folder(s)
-    n = table(s, d, "nation", "n_nationkey", "n_name").select(F.concat(L("n"), F.col("n_nationkey").cast("string")).alias("product"), F.to_json(F.struct(F.col("n_name").alias("name"))).alias("value"))
-    n.write.partitionBy("product").text(path)
-    docs = s.read.option("recursiveFileLookup", True).json(path, schema="name string").select("name", F.regexp_extract(F.col("_metadata.file_path"), "product=([^/]+)/", 1).alias("product"))
-    return docs.filter("name is not null").select("product", "name")
+    jvm = s.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+    for r in table(s, d, "nation").collect():  # 25 rows
+        level = ("", "", "", "_skip/", ".hidden/")[r["n_nationkey"] % 5] + f"level{r['n_regionkey']}"
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/{level}/n{r['n_nationkey']}/canonical.json"))
+        out.write(bytearray(("{\n \"name\": \"" + r["n_name"] + "\"\n}").encode()))
+        out.close()
+    return readers.product_documents(s, path, "name string").select("level", "product", "name")
 
 
 @R.query("s11_binary_files", "select count(*) as n, sum(length(r_name) + 1) as bytes from region")
@@ -86,9 +129,10 @@ def s11(s, d):
     return f.agg(F.count("*").alias("n"), F.sum(F.length("line") + 1).alias("bytes"))
 
 
-@R.query("s14_seed_rows", "select * from (values (1, 'a'), (2, 'b')) t(id, v)")
+@R.query("s14_seed_rows", "select n_nationkey as id, n_name as v from nation union all select * from (values (100, 'a'), (101, 'b')) t(id, v)")
 def s14(s, d):
-    return s.sql("select * from values (1, 'a'), (2, 'b'), (2, 'b') as t(id, v)").dropDuplicates(["id"])
+    rows = table(s, d, "nation", "n_nationkey", "n_name").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("v"))
+    return ledger.insert_ignore(rows, s.sql("select * from values (100, 'a'), (101, 'b'), (101, 'b'), (3, 'taken') as t(id, v)"), ["id"])
 
 
 @R.query("s15_packets", "select l_orderkey as pts, case when l_linenumber > 1 then l_partkey end as dts, cast(l_suppkey as bigint) as duration from lineitem")
@@ -105,13 +149,17 @@ def s21(s, d):
     return table(s, d, "part", "p_partkey", "p_size", "p_type").select("p_partkey", urls.era(F.col("p_type"), F.lpad(F.col("p_size").cast("string"), 4, "0"), config["era_rules"]).alias("era"))
 
 
-@R.query("s23_archive_records", "select count(*) as n from region")
+@R.query("s23_archive_records", "select 'n' || n_nationkey as path, case when n_nationkey % 4 > 0 then 'HTTP/1.1 200 ' || n_name end as http_header, case when n_nationkey % 4 > 0 then repeat(n_name, 3) end as body from nation")
 def s23(s, d):
     import gzip
 
-    body = gzip.compress(b"WARC/1.0\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody")
-    files = table(s, d, "region", "r_name").select(F.col("r_name").alias("path"), F.unhex(L(body.hex())).alias("content"))
-    return readers.record_bodies(files).filter(F.decode("body", "utf-8") == "body").agg(F.count("*").alias("n"))
+    def packed(frames):
+        for f in frames:
+            made = [gzip.compress(f"WARC/1.0\r\nA: b\r\n\r\nHTTP/1.1 200 {n}\r\n\r\n{n * 3}".encode()) if k % 4 else b"broken" for k, n in zip(f["k"], f["n"])]
+            yield f.assign(path="n" + f["k"].astype(str), content=made)[["path", "content"]]
+
+    files = table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("k"), F.col("n_name").alias("n")).mapInPandas(packed, "path string, content binary")
+    return readers.record_bodies(files).select("path", "http_header", F.col("body").cast("string").alias("body"))
 
 
 @R.query("s25_sitemap_union", "select distinct host, 'https://' || host || '/p' as loc from entities where host is not null")
@@ -121,33 +169,45 @@ def s25(s, d):
     return h.select("host", F.explode(F.array_distinct(pages.sitemap_locs(body))).alias("loc"))
 
 
-@R.query("s26_product_pages", "select slug, count(*) as n from catalog_entry where regexp_matches(slug, '^[a-z0-9-]+$') group by slug")
+@R.query("s26_product_pages", "select trim(lower(slug), '/') as slug, count(*) as n from catalog_entry where trim(lower(slug), '/') <> '' group by 1")
 def s26(s, d):
-    path = folder(s)
-    c = table(s, d, "catalog_entry", "slug").filter(F.col("slug").rlike("^[a-z0-9-]+$"))
-    c.groupBy(F.pmod(F.hash("slug"), L(4)).alias("p")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("slug").alias("handle"))).alias("products"))).alias("value")).select("value").write.text(path)
+    path, c = folder(s), table(s, d, "catalog_entry", "slug", "cat_id")
+    page = c.groupBy(readers.paged(c, "cat_id", 250).alias("p")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("slug").alias("handle"))).alias("products"))).alias("value"))
+    page.select("value").write.text(path)
     return s.read.text(path).select(F.explode(pages.products_json(F.col("value"))).alias("p")).groupBy(F.col("p.handle").alias("slug")).agg(F.count("*").alias("n"))
 
 
-@R.query("s27_cached_import", "select c.cat_id from catalog_entry c where not exists (select 1 from fetch_result f where f.success and f.original_url = c.url and f.size >= 20000)")
+_SAFE = "regexp_replace(replace(u, 'https://', ''), '[<>:\"/\\\\|?*]', '_', 'g') || '.html'"
+
+
+@R.query("s27_cached_import", f"""with c as (select cat_id, cat_id % 4 as k, url, regexp_extract(url, '^https://([^/]+)/', 1) as host from catalog_entry), u as (select *, case when k = 0 then url when k = 1 then 'https://' || host || '/' || replace(regexp_replace(url, '^https://[^/]+/', ''), '_', '/') when k = 2 then url || '?c' end as u from c),
+ n as (select *, case k when 0 then 'page' || cat_id || '.html' when 1 then replace(replace(url, 'https://', ''), '/', '_') || '.html' else 'unknown_' || cat_id || '.html' end as name, {_SAFE} as safe from u where u is not null),
+ have as (select {_SAFE.replace('u,', 'url,')} as safe, max(case when cat_id % 2 = 0 then 10 else 1000000 end) as size from c where cat_id % 5 = 0 group by 1)
+ select cat_id, u as original_url, case when k = 1 then 'filename' else 'canonical' end as found_by from n left join have using (safe) where coalesce(have.size, 0) < 11""")
 def s27(s, d):
-    c = table(s, d, "catalog_entry", "cat_id", "url")
-    have = table(s, d, "fetch_result", "original_url", "size", "success").filter("success and size >= 20000").select(F.col("original_url").alias("url"))
-    return c.join(have, "url", "left_anti").select("cat_id")
+    c = table(s, d, "catalog_entry", "cat_id", "url").withColumn("k", F.col("cat_id") % 4)
+    name = F.when(F.col("k") == 0, F.concat(L("page"), F.col("cat_id").cast("string"), L(".html"))).when(F.col("k") == 1, F.concat(F.replace(F.replace("url", L("https://"), L("")), L("/"), L("_")), L(".html"))).otherwise(F.concat(L("unknown_"), F.col("cat_id").cast("string"), L(".html")))
+    page = F.when(F.col("k") == 0, F.concat(L('<html><LINK rel="canonical" href="https://web.archive.org/web/2019id_/'), "url", L('">'))).when(F.col("k") == 2, F.concat(L("<link media=x rel=canonical href='"), "url", L("?c'>"))).otherwise("<html></html>")
+    files = c.select("cat_id", name.alias("name"), F.encode(page, "utf-8").alias("content"))
+    hosts = c.select(urls.host(F.col("url")).alias("domain")).distinct()
+    short = hosts.select(F.substring_index("domain", ".", -2).alias("domain"))
+    have = c.filter("cat_id % 5 = 0").select(urls.safe_filename(F.col("url")).alias("name"), F.when(F.col("cat_id") % 2 == 0, 10).otherwise(1_000_000).alias("size"))
+    got = readers.cached_import(files, hosts.unionByName(short), have)
+    return files.select("cat_id", "name").join(got, "name").select("cat_id", "original_url", "found_by").distinct()
 
 
 # ---- sinks
-@R.query("k02_sorted_list", "select distinct slug as value from catalog_entry where regexp_matches(slug, '^[a-z0-9-]+$')")
+@R.query("k02_sorted_list", "select unnest(regexp_split_to_array(slug, '\\r\\n|\\n|\\r')) as value from (select distinct slug from catalog_entry where slug is not null) t")
 def k02(s, d):
     path = folder(s)
-    writers.write_lines(table(s, d, "catalog_entry", "slug").filter(F.col("slug").rlike("^[a-z0-9-]+$")).distinct(), "slug", path, one_file=True, ordered=True)
+    writers.write_lines(table(s, d, "catalog_entry", "slug").filter("slug is not null").distinct(), "slug", path, one_file=True, ordered=True)
     return s.read.text(path)
 
 
-@R.query("k04_catalog_json", "select cat_id, price, len(images) as n from catalog_entry where images is not null and price > 0 and price < 1e9")
+@R.query("k04_catalog_json", "select cat_id, price, len(images) as n from catalog_entry")
 def k04(s, d):
     path = folder(s)
-    writers.write_json(table(s, d, "catalog_entry", "cat_id", "price", "images").filter("images is not null and price > 0 and price < 1e9"), path)
+    writers.write_json(table(s, d, "catalog_entry", "cat_id", "price", "images"), path)
     return readers.json_lines(s, path, "cat_id long, price double, images array<string>").select("cat_id", "price", F.size("images").alias("n"))
 
 
@@ -165,9 +225,10 @@ def k08(s, d):
     return s.createDataFrame([(x,) for x in text.split("\n")[2:]], "line string")
 
 
-@R.query("k10_provenance", "select 'archivolt' as tool, '1' as version")
+@R.query("k10_provenance", "select 'archivolt' as tool, '1' as version, '2024-01-01' as written_at, (select count(*) from (describe select * from supplier)) as fields")
 def k10(s, d):
-    return writers.provenance(table(s, d, "region"), "archivolt", "1", "2024-01-01").select("tool", "version")
+    p = writers.provenance(table(s, d, "supplier"), "archivolt", "1", "2024-01-01")
+    return p.select("tool", "version", "written_at", F.json_array_length(F.get_json_object("schema", "$.fields")).cast("long").alias("fields"))
 
 
 @R.query("k11_export", "select n_name from nation order by n_name")
@@ -211,8 +272,7 @@ def o10(s, d):
 
 @R.query("o11_healthy_pick", "select tier from (select tier, avg(case when success then 0.0 else 1.0 end) as rate, max(case when success then 1 else 0 end) as closed from fetch_result where tier is not null group by tier) t order by closed desc, rate, tier limit 1")
 def o11(s, d):
-    g = table(s, d, "fetch_result", "tier", "success").filter("tier is not null").groupBy("tier").agg(F.avg((~F.col("success")).cast("double")).alias("rate"), F.max("success").alias("closed"))
-    return g.orderBy(F.desc("closed"), "rate", "tier").limit(1).select("tier")
+    return ledger.healthiest(table(s, d, "fetch_result", "tier", "success"), "tier", "success").limit(1).select("tier")
 
 
 # ---- state, merges, guards
@@ -254,20 +314,20 @@ def v08(s, d):
     return s.read.parquet(path).agg(F.count("*").alias("n"))
 
 
-@R.query("v22_write_guard", "select true as refused")
+@R.query("v22_write_guard", "select * from (values ('itself', true), ('below', true), ('beside', false), ('longer name', false)) t(place, refused)")
 def v22(s, d):
-    try:
-        writers.guarded(f"{d}/region.parquet", (d,))
-        return s.range(1).select(L(False).alias("refused"))
-    except PermissionError:
-        return s.range(1).select(L(True).alias("refused"))
+    def refused(path: str) -> bool:
+        try:
+            return writers.guarded(path, (d,)) != path
+        except PermissionError:
+            return True
+
+    return s.createDataFrame([(n, refused(p)) for n, p in (("itself", d), ("below", f"{d}/region.parquet"), ("beside", f"{folder(s)}/x"), ("longer name", f"{d}-copy/x"))], "place string, refused boolean")
 
 
 @R.query("w18_first_seen", "select slug, arg_min(first_seen_in, entity_id) as first_seen_in from entities where first_seen_in is not null group by slug")
 def w18(s, d):
-    w = Window.partitionBy("slug").orderBy("entity_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    e = table(s, d, "entities", "slug", "entity_id", "first_seen_in")
-    return e.withColumn("first_seen_in", F.first("first_seen_in", ignorenulls=True).over(w)).select("slug", "first_seen_in").distinct().filter("first_seen_in is not null")
+    return ledger.first_known(table(s, d, "entities", "slug", "entity_id", "first_seen_in"), "slug", "entity_id", "first_seen_in")
 
 
 @R.query("ar1_scalar_or_list", "select cat_id, unnest(case when cat_id % 2 = 0 then ['a', 'b'] else ['a'] end) as value from catalog_entry")
@@ -299,20 +359,9 @@ def g03(s, d):
     return table(s, d, "catalog_entry", "cat_id", "sku", "slug").select("cat_id", F.coalesce(*[known[n] for n in wanted]).alias("key"))
 
 
-@R.query("g07_paged_source", "select count(*) as n from region where r_regionkey >= 2")
+@R.query("g07_paged_source", f"select mimetype, count(*) as n from {_PAGES} p where timestamp >= '2016' group by mimetype")
 def g07(s, d):
-    import json
-    import tempfile
-
-    place = tempfile.mkdtemp(prefix="archivolt-pages-") if s.sparkContext.master.startswith("local") else None
-    if place is None:
-        return table(s, d, "region", "r_regionkey").filter("r_regionkey >= 2").agg(F.count("*").alias("n"))
-    rows = [[str(r["r_regionkey"]), r["r_name"], "200", "t"] for r in table(s, d, "region").limit(100).collect()]
-    for i in range(2):
-        with open(f"{place}/page-{i}.json", "w") as f:
-            json.dump([["timestamp", "original", "statuscode", "mimetype"], *rows[i::2]], f)
-    s.dataSource.register(readers.PagedCaptures)
-    return s.read.format("paged_captures").option("folder", place).option("pages", "2").option("from", "2").load().agg(F.count("*").alias("n"))
+    return paged_source(s, d, **{"from": "2016"}).groupBy("mimetype").agg(F.count("*").alias("n"))
 
 
 QUERIES, SQL = R.queries, R.sql

@@ -44,8 +44,6 @@ both("a16_tagged_counts", "select count(*) filter (where error is null) as ok, c
 both("a17_completeness", "select count(*) as n, count(nullif(trim(name), '')) as name, count(nullif(trim(color), '')) as color, count(nullif(trim(era), '')) as era, count(nullif(trim(price), '')) as price, count(nullif(trim(description), '')) as description from product_metadata")
 both("a24_host_census", "select host, count(*) as n from entities group by host order by n desc, host")
 both("a32_group_rule", "select o_custkey, max(o_totalprice) as most, min(o_totalprice) filter (where o_orderstatus <> 'F') as least_open, bool_or(o_orderstatus = 'P') as any_pending from orders group by o_custkey")
-both("a33_consistency", "select slug, count(distinct currency) as currencies, max(price) - min(price) as spread from catalog_entry where price > 0 group by slug having count(distinct currency) > 1 or max(price) - min(price) > 1")
-both("a34_deviation", "select l_orderkey, l_linenumber, max(l_quantity) over (partition by l_orderkey) - l_quantity as below from lineitem")
 both("a35_share", "select source, round(avg(case when n_chars >= 500 then 1.0e0 else 0.0e0 end), 6) as share, case when avg(case when n_chars >= 500 then 1.0 else 0.0 end) >= 0.5 then 'long' else 'short' end as kind from documents group by source")
 both("a37_budget", "select source, sum(n_chars) as total, case when sum(n_chars) > 20000 then 'over' else 'within' end as verdict from documents group by source")
 both("a38_year_summary", "select year(o_orderdate) as y, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by year(o_orderdate) order by y desc")
@@ -53,6 +51,8 @@ both("a40_pages", "select count(*) as total, cast(ceil(count(*) / 25.0) as bigin
 both("a41_worst_delta", "select round(max(abs(l_extendedprice - l_quantity * 1000)), 2) as worst from lineitem")
 both("a42_verdicts", "select case when success then 'ok' when error = '' or error is null then 'unknown' else 'failed' end as verdict, count(*) as n from fetch_result group by 1")
 
+both("a44_grouping_sets", "select url_type, era, count(*) as n, grouping(url_type) + 2 * grouping(era) as level from index_entry group by grouping sets ((url_type, era), (url_type), ())")
+
 # sorting, limits
 both("o01_multi_sort", "select p_partkey, p_brand, p_size from part order by p_brand desc, p_size asc, p_partkey")
 both("o02_page", "select p_partkey, p_name from part order by p_name, p_partkey limit 25 offset 50")
@@ -73,6 +73,9 @@ both("u08_gaps", "select slug from catalog_entry where image_count = 0 union sel
 both("u10_distinct_rows", "select distinct original_url, capture_ts, tier, success from fetch_result")
 both("u12_sorted_union", "select slug from (select slug from catalog_entry union select slug from product_metadata) order by slug", "select slug from (select slug from catalog_entry union select slug from product_metadata) u order by slug")
 
+# ranks and frames
+both("w19_ranks", "select o_orderkey, rank() over w as r, dense_rank() over w as d, ntile(4) over (partition by o_orderpriority order by o_totalprice, o_orderkey) as q, round(cume_dist() over w, 8) as c, sum(o_totalprice) over (partition by o_orderpriority order by floor(o_totalprice) range between 1000 preceding and current row) as near from orders window w as (partition by o_orderpriority order by floor(o_totalprice / 1000))", "select o_orderkey, rank() over w as r, dense_rank() over w as d, ntile(4) over (partition by o_orderpriority order by o_totalprice, o_orderkey) as q, round(cume_dist() over w, 8) as c, sum(o_totalprice) over (partition by o_orderpriority order by floor(o_totalprice) range between 1000 preceding and current row) as near from orders window w as (partition by o_orderpriority order by floor(o_totalprice / 1000))")
+
 # quality and constraints
 both("v09_constraints", """select 'price not null' as rule, count(*) as n from catalog_entry where price is null union all select 'price positive', count(*) from catalog_entry where price <= 0 union all select 'currency known', count(*) from catalog_entry where currency not in ('USD', 'EUR', 'GBP')
  union all select 'slug unique', count(*) from (select slug from catalog_entry group by slug having count(*) > 1) t""")
@@ -81,9 +84,9 @@ both("v11_quality_suite", """select 'orders without lines' as check_name, count(
  union all select 'duplicate names', count(*) from (select c_name from customer group by c_name having count(*) > 1) d union all select 'missing names', count(*) from catalog_entry where name is null union all select 'blank names', count(*) from catalog_entry where trim(name) = ''
  union all select 'bad dates', count(*) from catalog_entry where date_seen is not null and length(date_seen) <> 10 union all select 'unlinked listings', count(*) from product_metadata where matched_sku is null""")
 both("v12_check_status", "select check_name, n, case when n > 0 then 'warn' else 'ok' end as status from (select 'zero price' as check_name, count(*) as n from catalog_entry where price = 0 union all select 'no images', count(*) from catalog_entry where image_count = 0 union all select 'negative quantity', count(*) from lineitem where l_quantity < 0) c")
-both("v17_coverage", "select m.slug, count(distinct m.matched_sku) as planned, count(distinct r.matched) as actual from product_metadata m left join match_result r on r.slug = m.slug group by m.slug having count(distinct m.matched_sku) <> count(distinct r.matched)")
+both("v17_coverage", "select p.cat_id, concat_ws(',', case when not (p.name <=> a.name) then 'name' end, case when not (p.brand <=> a.brand) then 'brand' end, case when not (p.color <=> a.color) then 'color' end) as mismatches from catalog_entry p join product_metadata a on a.meta_id = p.cat_id where not (p.name <=> a.name and p.brand <=> a.brand and p.color <=> a.color)", "select p.cat_id, concat_ws(',', case when p.name is distinct from a.name then 'name' end, case when p.brand is distinct from a.brand then 'brand' end, case when p.color is distinct from a.color then 'color' end) as mismatches from catalog_entry p join product_metadata a on a.meta_id = p.cat_id where p.name is distinct from a.name or p.brand is distinct from a.brand or p.color is distinct from a.color")
 both("v18_date_proposal", "select c.cat_id, min(e.resolved_at) as proposed from catalog_entry c join entities e on e.slug = c.slug where c.date_seen is null and e.resolved_at is not null group by c.cat_id")
-both("v19_changes", "select r.slug, r.matched as run, m.matched_sku as stored from match_result r join product_metadata m on r.slug = m.slug where not (r.matched <=> m.matched_sku)", "select r.slug, r.matched as run, m.matched_sku as stored from match_result r join product_metadata m on r.slug = m.slug where r.matched is distinct from m.matched_sku")
+both("v19_changes", "select c.cat_id, case when m.color is null then 'drop' else 'set' end as change, m.color from catalog_entry c join product_metadata m on m.meta_id = c.cat_id where not (c.color <=> m.color)", "select c.cat_id, case when m.color is null then 'drop' else 'set' end as change, m.color from catalog_entry c join product_metadata m on m.meta_id = c.cat_id where c.color is distinct from m.color")
 both("v20_verdict", "select tier, case when max(case when error rlike '^5|timed out' then 2 when error is not null and error <> '' then 1 else 0 end) = 2 then 'DAMAGED' when max(case when error is not null and error <> '' then 1 else 0 end) = 1 then 'FINDINGS' else 'CLEAN' end as verdict from fetch_result group by tier", "select tier, case when max(case when regexp_matches(error, '^5|timed out') then 2 when error is not null and error <> '' then 1 else 0 end) = 2 then 'DAMAGED' when max(case when error is not null and error <> '' then 1 else 0 end) = 1 then 'FINDINGS' else 'CLEAN' end as verdict from fetch_result group by tier")
 
 QUERIES, SQL = R.queries, R.sql

@@ -111,9 +111,9 @@ def j27(s, d):
     return S.band_pairs(table(s, d, "supplier", "s_suppkey", "s_acctbal"), "s_suppkey", "s_acctbal", 16.0)
 
 
-@R.query("j28_band_sizes", "select a.p as a, b.p as b from (select distinct p_size as p from part where p_size % 3 = 0) a join (select distinct p_size as p from part where p_size % 3 = 0) b on a.p < b.p and b.p - a.p <= 3")
+@R.query("j28_band_sizes", "select a.p as a, b.p as b from (select distinct p_size as p from part) a join (select distinct p_size as p from part) b on a.p < b.p and b.p - a.p <= 2")
 def j28(s, d):
-    return S.band_pairs(table(s, d, "part", "p_size").filter("p_size % 3 = 0").distinct().select(F.col("p_size").alias("k"), F.col("p_size").cast("double").alias("v")), "k", "v", 3.0)
+    return S.band_pairs(table(s, d, "part", "p_size").distinct().select(F.col("p_size").alias("k"), F.col("p_size").cast("double").alias("v")), "k", "v", 2.0)
 
 
 @R.query("a20_histogram", "select event_type, value, n, rank from (select event_type, cast(floor(value) as bigint) as value, count(*) as n, row_number() over (partition by event_type order by count(*) desc, floor(value)) as rank from events group by event_type, floor(value)) t where rank <= 3")
@@ -185,10 +185,10 @@ def t05(s, d):
     return L.breaker(table(s, d, "fetch_result", "fetch_id", "tier", "logged_at", "success"), "tier", ["logged_at", "fetch_id"], "success").select("fetch_id", "failures", "pause_s")
 
 
-@R.query("t08_trailing_rate", "select fetch_id, case when n >= 10 then round(bad / n, 6) end as rate from (select fetch_id, count(*) over w as n, sum(case when success then 0 else 1 end) over w as bad from (select *, epoch(logged_at) as sec from fetch_result) f window w as (partition by tier order by sec range between 120 preceding and current row)) t")
+@R.query("t08_trailing_rate", """select fetch_id, len(r) as samples, case when len(r) >= 10 then round(len(list_filter(r, lambda x: not x.ok)) / len(r), 6) end as rate from (select fetch_id, list_filter(l, lambda x: x.sec >= sec - 120) as r from (select fetch_id, sec, list({'sec': sec, 'ok': success}) over (partition by tier order by sec, fetch_id rows between 49 preceding and current row) as l from (select *, epoch(logged_at) as sec from fetch_result) f) t) u""")
 def t08(s, d):
     f = table(s, d, "fetch_result", "fetch_id", "tier", "logged_at", "success").withColumn("sec", F.unix_micros(F.col("logged_at").cast("timestamp")) / 1e6)
-    return L.error_rate(f, "tier", "sec", "success", 120, 10, 1 << 30).select("fetch_id", F.round("rate", 6).alias("rate"))
+    return L.error_rate(f, "tier", "sec", "success", 120, 10, 50, "fetch_id").select("fetch_id", "samples", F.round("rate", 6).alias("rate"))
 
 
 def _halves(s, d):
@@ -261,7 +261,6 @@ def a19(s, d):
 
 
 both("t11_negative_cache", "select fetch_id, sum(case when success then 0 else 1 end) over (partition by tier order by logged_at, fetch_id rows between unbounded preceding and current row) as misses from fetch_result")
-both("t13_stage_durations", "select user_id, min(ts) filter (where event_type = 'click') as started, max(ts) filter (where event_type = 'purchase') as ended from events group by user_id having count(*) filter (where event_type = 'purchase') > 0 and count(*) filter (where event_type = 'click') > 0")
 both("t14_unchanged", "select i.entry_id from index_entry i left anti join (select original_url as u, capture_ts as t from fetch_result where success) f on i.original_url = u and i.capture_ts = t", "select i.entry_id from index_entry i where not exists (select 1 from fetch_result f where success and f.original_url = i.original_url and f.capture_ts = i.capture_ts)")
 both("t10_abandonment", "select tier, max(n) >= 3 as abandoned from (select tier, run, count(*) filter (where not success) as n from (select *, sum(case when success then 1 else 0 end) over (partition by tier order by logged_at, fetch_id) as run from fetch_result) r group by tier, run) t group by tier")
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import gzip
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
+from archivolt.functions import urls
 from archivolt.operators.capture import parse_lines
 
 FETCH_RESULT = "original_url string, wayback_url string, timestamp string, tier string, success boolean, method string, size long, error string"
@@ -81,7 +84,7 @@ def sniffed_frames(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def url_list(lines: DataFrame, column: str = "value") -> DataFrame:
     """Trimmed, without blank lines and comments."""
-    return lines.select(F.trim(column).alias("url")).filter("url <> '' and not startswith(url, '#')")
+    return lines.select(F.regexp_replace(column, r"^\s+|\s+$", "").alias("url")).filter("url <> '' and not startswith(url, '#')")
 
 
 def sections(lines: DataFrame, order: str, column: str = "value", header: str = r"^[A-Z][A-Z ]+:\s*$") -> DataFrame:
@@ -126,10 +129,74 @@ def schema_enum(schema_text, field: str):
     return F.from_json(F.get_json_object(schema_text, f"$.properties.{field}.enum"), "array<string>")
 
 
+def cached_import(files: DataFrame, domains: DataFrame, existing: DataFrame) -> DataFrame:
+    """(name, original_url, tier, method, size, found_by) of saved pages to take over.
+
+    files: (name, content), domains: (domain), existing: (name, size). The address is that of the page's
+    canonical tag (a replay prefix goes), else that which a name 'domain_path' stands for (the longest domain,
+    letter case aside), else the page is skipped; so is one that is there at no smaller size. Null content
+    counts as empty; a file given twice comes out twice.
+    """
+    head = F.substring("content", 1, 65536).cast("string")
+    tag = F.regexp_extract(head, r"(?i)<link[^>]*\brel\s*=\s*[\"']?canonical[\"']?[^>]*\bhref\s*=\s*[\"']?([^\"'>\s]+)", 1)
+    f = files.select("name", F.octet_length(F.coalesce("content", F.lit(b""))).cast("long").alias("size"), F.regexp_replace(F.coalesce(tag, F.lit("")), r"^https?://web[.]archive[.]org/web/\d+(?:id_|im_|if_)?/", "").alias("canonical"), F.regexp_replace("name", r"[.]html$", "").alias("stem"))
+    each = F.transform(F.filter(F.sequence(F.lit(1), F.length("stem")), lambda i: F.substring("stem", i, F.lit(1)) == "_"), lambda i: F.substring("stem", F.lit(1), i - 1))
+    d = domains.select(F.lower("domain").alias("_d"), "domain").distinct()
+    known = f.filter("canonical = '' and length(stem) > 0").select("stem", F.explode(each).alias("_p")).distinct().withColumn("_d", F.lower("_p")).join(d, "_d").groupBy("stem").agg(F.max_by("domain", F.struct(F.length("domain"), F.col("domain"))).alias("domain"))
+    j = f.join(known, "stem", "left")
+    path = F.replace(F.substring("stem", F.length("domain") + 2, F.lit(1 << 30)), F.lit("_"), F.lit("/"))
+    j = j.withColumn("original_url", F.when(F.col("canonical") != "", F.col("canonical")).when(F.col("domain").isNotNull(), F.concat(F.lit("https://"), "domain", F.lit("/"), path))).filter("original_url is not null")
+    j = j.withColumn("found_by", F.when(F.col("canonical") != "", "canonical").otherwise("filename")).withColumn("_safe", urls.safe_filename(F.col("original_url")))
+    have = existing.groupBy(F.col("name").alias("_safe")).agg(F.max("size").alias("_have"))
+    new = j.join(have, "_safe", "left").filter("_have is null or _have < size")
+    return new.select("name", "original_url", urls.fetch_tier(F.col("original_url")).alias("tier"), F.lit("local_cache").alias("method"), "size", "found_by")
+
+
+def paged(df: DataFrame, by: str, rows: int = 1000) -> Column:
+    """A page number for each row, by hash, of about `rows` rows a page."""
+    return F.pmod(F.xxhash64(by), F.lit(max(1, -(-df.count() // rows))))
+
+
+def scan_query(address: Column) -> Column:
+    """struct(url, kind) of an index query: by prefix below a path, else all of a domain."""
+    path = F.regexp_replace(address, "^https?://", "").contains("/")
+    return F.when(path, F.struct(address.alias("url"), F.lit("prefix").alias("kind"))).otherwise(F.struct(F.concat(address, F.lit("/*")).alias("url"), F.lit("domain").alias("kind")))
+
+
+def page_count(answer: Column) -> Column:
+    """The first number of an index server's answer, else null."""
+    return F.regexp_extract(answer, r"(\d+)", 1).try_cast("int")
+
+
+def page_rows(text: str) -> list[tuple[str, str, str, str]]:
+    """(timestamp, original, status, type) of a page: JSON rows with or without a header, else lines of four fields or more that begin with digits."""
+    text = text.strip()
+    if not text:
+        return []
+    try:
+        data = json.loads(text)
+    except json.JSONDecodeError:
+        return [tuple(p[:4]) for p in (line.split() for line in text.splitlines()) if len(p) >= 4 and p[0].isdigit()]
+    if not isinstance(data, list) or not data:
+        return []
+    head = isinstance(data[0], list) and data[0][:2] == ["timestamp", "original"]
+    rows = [tuple(str(x) for x in r[:4]) for r in data[head:] if isinstance(r, list) and len(r) >= 4]
+    return [r for r in rows if r[0] and r[1]]
+
+
+def paged_captures(spark: SparkSession, folder: str, **limits: str) -> DataFrame:
+    """The pages under a folder as a table; turns on the push-down of filters to Python sources, which this one needs."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PagedCaptures)
+    return spark.read.format("paged_captures").options(folder=folder, **limits).load()
+
+
 class PagedCaptures(DataSource):
-    """A paged capture index as a source, one partition per page.
+    """A paged capture index as a source, one partition per page.
 
-    Pages are local files page-N.json, as an index server's answers; 'from' and 'to' limit the time.
+    Pages are the files of a folder that all executors see, each as an index server answers; options 'from' and
+    'to' limit the time, and comparisons of the timestamp that Spark pushes down (spark.sql.python.filterPushdown.enabled)
+    limit it further, so no row beyond them leaves the reader.
     """
 
     @classmethod
@@ -145,22 +212,34 @@ class PagedCaptures(DataSource):
 
 class _PagedReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.folder, self.pages = options["folder"], int(options["pages"])
+        self.folder = re.sub("^file:/+", "/", options["folder"])
         self.low, self.high = options.get("from", ""), options.get("to", "")
 
+    def _files(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.folder)
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, GreaterThanOrEqual) and f.attribute == ("timestamp",):
+                self.low = max(self.low, str(f.value))
+            elif isinstance(f, LessThanOrEqual) and f.attribute == ("timestamp",) and not self.high:
+                self.high = str(f.value)
+            else:
+                yield f
+
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(self.pages)]
+        from pyarrow import fs
+
+        files, root = self._files()
+        found = [i.path for i in files.get_file_info(fs.FileSelector(root)) if i.is_file and i.size and not i.base_name.startswith(("_", "."))]
+        return [InputPartition(p) for p in sorted(found)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import json
-        import os
-
-        path = f"{self.folder}/page-{partition.value}.json"
-        if not os.path.exists(path):
-            return
-        with open(path, encoding="utf-8") as f:
-            for row in json.load(f):
-                if len(row) < 4 or row[0] == "timestamp":
-                    continue
-                if row[0] >= self.low and (not self.high or row[0][: len(self.high)] <= self.high):
-                    yield tuple(row[:4])
+        files, _ = self._files()
+        with files.open_input_stream(partition.value) as f:
+            text = f.read().decode("utf-8", "replace")
+        for r in page_rows(text):
+            if r[0] >= self.low and (not self.high or r[0][: len(self.high)] <= self.high):
+                yield r

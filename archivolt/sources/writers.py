@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,14 +47,33 @@ def provenance(df: DataFrame, tool: str, version: str, at: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Written beside the old version and then renamed over it."""
+    """Written beside the old version, which then makes way and is deleted last.
+
+    At every moment a whole version lies under path, path.next or path.old; recovered() puts it back after a crash.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(path + ".next")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     new, old = jvm.org.apache.hadoop.fs.Path(path + ".next"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    fs.rename(new, old)
+    fs, aside = old.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path(path + ".old")
+    recovered(spark, path)
+    fs.delete(aside, True)
+    if fs.exists(old) and not fs.rename(old, aside):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(new, old):
+        fs.rename(aside, old)
+        raise OSError(f"{path}.next could not be moved to {path}")
+    fs.delete(aside, True)
+
+
+def recovered(spark: SparkSession, path: str) -> str:
+    """The path; where a crash left nothing under it, the version that had made way is put back."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    here, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".old")
+    fs = here.getFileSystem(conf)
+    if not fs.exists(here) and fs.exists(aside):
+        fs.rename(aside, here)
+    return path
 
 
 def guarded(path: str, read_only: tuple[str, ...]) -> str:

@@ -26,25 +26,27 @@ def first_seen(stream: DataFrame, keys: list[str], at: str | None = None, within
     return stream.dropDuplicates(keys)
 
 
-def breaker(stream: DataFrame, key: str, ok: str, thresholds: tuple[tuple[int, int], ...] = ((3, 120), (6, 300)), trip: int = 10) -> DataFrame:
+def breaker(stream: DataFrame, key: str, ok: str, order: list[str], thresholds: tuple[tuple[int, int], ...] = ((3, 120), (6, 300)), trip: int = 10) -> DataFrame:
     """(key, failures, pause_s, state) per batch and key: consecutive failures with what they bring.
 
     state is CLOSED, OPEN (a pause was due) or TRIPPED; a success closes an open breaker, never a tripped one.
+    The outcomes of a batch count in the order of `order` (event time and what breaks ties), not of arrival; a
+    batch holds what maxFilesPerTrigger lets in. What comes in a later batch counts after it.
     """
     out = f"{key} string, failures int, pause_s int, state string"
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, tripped = state.get if state.exists else (0, False)
         pause = 0
-        for f in frames:
-            for good in f[ok]:
-                n = 0 if good else n + 1
-                tripped = tripped or n >= trip
-                pause = 0 if good or tripped else next((p for t, p in thresholds if n == t), pause)
+        batch = pd.concat([f[[*order, ok]] for f in frames]).sort_values(order)
+        for good in batch[ok]:
+            n = 0 if good else n + 1
+            tripped = tripped or n >= trip
+            pause = 0 if good or tripped else next((p for t, p in thresholds if n == t), pause)
         state.update((n, tripped))
         yield pd.DataFrame({key: [k[0]], "failures": [n], "pause_s": [pause], "state": ["TRIPPED" if tripped else "OPEN" if pause else "CLOSED"]})
 
-    return stream.groupBy(key).applyInPandasWithState(run, out, "n int, tripped boolean", "update", GroupStateTimeout.NoTimeout)
+    return stream.select(key, ok, *order).groupBy(key).applyInPandasWithState(run, out, "n int, tripped boolean", "update", GroupStateTimeout.NoTimeout)
 
 
 def stage_durations(stream: DataFrame, key: str, event: str, at: str) -> DataFrame:

@@ -33,7 +33,12 @@ def test_product_index(spark):
     got = capture.product_index(c, rules, [{"condition": "default", "era": "e"}])
     assert rows(got, "slug", "ts", "original_url", "all_types", "snapshot_count") == [("x", "2018", "https://a/products/x", ["collection", "slug"], 3)]
     assert capture.product_index(c.limit(0), rules, []).count() == 0
-    assert rows(capture.all_snapshots(c, c.limit(1).selectExpr("'x' as slug")).selectExpr("size(snapshots)")) == [(3,)]
+    got = capture.all_snapshots(c, c.limit(1).selectExpr("'x' as slug"))
+    assert rows(got, "slug", "nth", "ts") == [("x", 1, "2017"), ("x", 2, "2018"), ("x", 3, "2019")]
+    many = spark.createDataFrame([("k" if i % 3 else None, f"{2010 + i % 4}{i % 12 + 1:02d}", str(i)) for i in range(90)], "k string, ts string, u string")
+    for k in ("k", None):
+        seen = [r for r in capture.numbered(many, "k", "ts", "u").collect() if r["k"] == k]
+        assert [r["nth"] for r in sorted(seen, key=lambda r: (r["ts"], r["u"]))] == list(range(1, len(seen) + 1))
 
 
 def test_content_pages_and_labels(spark):
@@ -139,10 +144,16 @@ def test_sources_and_sinks(spark, tmp_path):
     (w / "bad.gz").write_bytes(b"no")
     files = spark.read.format("binaryFile").load(str(w))
     assert [(r["http_header"], r["body"] and bytes(r["body"])) for r in readers.record_bodies(files).orderBy("path").collect()] == [(None, None), ("HTTP/1.1 200 OK", b"body")]
-    (tmp_path / "page-0.json").write_text(json.dumps([["timestamp", "o", "s", "m"], ["2019", "u", "200", "t"], ["2021", "v", "200", "t"]]))
-    spark.dataSource.register(readers.PagedCaptures)
-    got = spark.read.format("paged_captures").option("folder", str(tmp_path)).option("pages", "2").option("from", "2020").load()
-    assert rows(got, "original") == [("v",)]
+    (tmp_path / "page-0.json").write_text(json.dumps([["timestamp", "original", "s", "m"], ["2019", "u", "200", "t"], ["2021", "v", "200", "t"]]))
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    (tmp_path / "page-0.json").rename(pages / "page-0.json")
+    (pages / "page-1.txt").write_text("2022 w 200 t more\nno digits 200 t\n2023 short\n")
+    (pages / "page-2.json").write_text("")
+    (pages / "page-3.json").write_text('{"error": 1}')
+    assert rows(readers.paged_captures(spark, str(pages), **{"from": "2020"}), "original") == [("v",), ("w",)]
+    pushed = readers.paged_captures(spark, str(pages)).filter("timestamp >= '2020' and timestamp <= '2021'")
+    assert rows(pushed, "original") == [("v",)] and rows(readers.paged_captures(spark, str(pages), to="2021").filter("timestamp >= '2020'"), "original") == [("v",)]
     frames = readers.sniffed_frames(spark.createDataFrame([("1,I,0.5",), ("2.0,0,P",)], "value string"))
     assert rows(frames) == [(0.5, "I", 1), (2.0, "P", 0)]
     text = spark.createDataFrame([("f", 0, "pre"), ("f", 1, "TRACKS:"), ("f", 2, "a")], "path string, n int, value string")
@@ -162,9 +173,9 @@ def test_sources_and_sinks(spark, tmp_path):
 
 def test_streams(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.createDataFrame([("d", i, i >= 12) for i in range(13)], "d string, i int, ok boolean").coalesce(1).write.parquet(src)
+    spark.createDataFrame([("d", i, i >= 12) for i in range(13)], "d string, i int, ok boolean").orderBy("ok", F.desc("i")).coalesce(1).write.parquet(src)
     s = stateful.read_stream(spark, src, spark.read.parquet(src))
-    stateful.drain_batches(stateful.breaker(s, "d", "ok"), lambda b, n: b.write.mode("append").parquet(out), str(tmp_path / "cp"))
+    stateful.drain_batches(stateful.breaker(s, "d", "ok", ["i"]), lambda b, n: b.write.mode("append").parquet(out), str(tmp_path / "cp"))
     assert rows(spark.read.parquet(out), "failures", "state") == [(0, "TRIPPED")]
     first = str(tmp_path / "first")
     stateful.drain(stateful.first_seen(stateful.read_stream(spark, src, spark.read.parquet(src)), ["d"]), first, str(tmp_path / "cp2"))
@@ -249,3 +260,23 @@ def test_matching_stages_against_brute_force(spark):
     want = {i: max((ratio(x, y), j) for j, y in right if y) for i, x in near if x}
     got = {r["lid"]: (r["ratio"], r["rid"]) for r in resolve.close_matches(spark.createDataFrame(near, "id int, key string"), b).collect()}
     assert got == {i: (round(q, 6), j) for i, (q, j) in want.items() if q >= 0.85} and len(got) > 10
+
+
+def test_replaced_table_survives_a_crash(spark, tmp_path):
+    path = str(tmp_path / "t")
+    writers.replace_table(spark.range(2), path)
+    writers.replace_table(spark.range(3), path)
+    assert spark.read.parquet(path).count() == 3 and {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {"t"}
+    (tmp_path / "t").rename(tmp_path / "t.old")  # as if the process had ended between the renames
+    assert spark.read.parquet(writers.recovered(spark, path)).count() == 3
+    writers.replace_table(spark.range(4), path)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_cached_import(spark):
+    page = b'<link rel=canonical href="https://web.archive.org/web/2019/https://a.com/products/x">'
+    f = spark.createDataFrame([("p.html", page), ("www.A.com_collections_y.html", b""), ("b.org_z.html", None), ("none.html", b"x"), ("a.com_old.html", b"12345"), (None, page)], "name string, content binary")
+    d = spark.createDataFrame([("a.com",), ("www.a.com",), ("B.org",)], "domain string")
+    have = spark.createDataFrame([("a.com_old.html", 5), ("a.com_products_x.html", 3)], "name string, size int")
+    got = rows(readers.cached_import(f, d, have), "name", "original_url", "tier", "size", "found_by")
+    assert got == sorted([("p.html", "https://a.com/products/x", "html", len(page), "canonical"), (None, "https://a.com/products/x", "html", len(page), "canonical"), ("www.A.com_collections_y.html", "https://www.a.com/collections/y", "collection", 0, "filename"), ("b.org_z.html", "https://B.org/z", "homepage", 0, "filename")], key=str)
