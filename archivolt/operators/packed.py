@@ -7,6 +7,7 @@ Python loop over rows or characters.
 
 Defined results: null, empty and blank fields hold no value; a field with one value gives no rows; empty
 values count neither as item nor for the position; an opening quote without its closing one is text.
+Numbers with a decimal comma stay whole as far as the row's other marks and numbers tell them from a list.
 """
 
 from __future__ import annotations
@@ -40,6 +41,67 @@ def _shift(x: np.ndarray, by: int, fill) -> np.ndarray:
     return out
 
 
+def _decimal_commas(data: np.ndarray, row: np.ndarray, mark: np.ndarray, slash: np.ndarray, space: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Commas within a number, told by the row's other marks and by the sizes of the numbers.
+
+    A comma between digits is a decimal one if the numbers beside it stand free and something else parts the
+    row's values: with a mark of another kind, or commas before a blank, it is if one digit follows, or two that
+    make quarters or no number of the row's size; with slashes if a half or quarter follows. Where bare commas
+    are all there is, they part the values, unless the digit behind is far below the number before (40,5).
+    Runs such as 3,4,5 are lists.
+    """
+    n, out = len(data), np.zeros(len(data), bool)
+    comma = mark & (data == 44)
+    c = np.flatnonzero(comma[1:-1] & DIGIT[data[:-2]] & DIGIT[data[2:]]) + 1 if n > 2 else np.zeros(0, np.int64)
+    c = c[(row[c - 1] == row[c]) & (row[c + 1] == row[c])]
+    if not len(c):
+        return out
+    pos, digit = np.arange(n), DIGIT[data]
+    first = np.maximum.accumulate(np.where(digit & ~(_shift(digit, 1, False) & (_shift(row, 1, -1) == row)), pos, 0))
+    last = np.minimum.accumulate(np.where(digit & ~(_shift(digit, -1, False) & (_shift(row, -1, -1) == row)), pos, n - 1)[::-1])[::-1]
+    s, e = first[c - 1], last[c + 1]
+
+    def at(i: np.ndarray) -> np.ndarray:
+        """The byte at i, 0 outside of the row."""
+        ok = (i >= 0) & (i < n)
+        j = np.where(ok, i, 0)
+        return np.where(ok & (row[j] == row[c]), data[j], 0)
+
+    def value(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        v = np.zeros(len(c), np.int64)
+        for k in range(4):
+            v = np.where(k < size, v * 10 + at(start + k).astype(np.int64) - 48, v)
+        return v
+
+    wa, wb = c - s, e - c
+    a, b = value(s, wa), value(c + 1, wb)
+    before, after = at(s - 1), at(e + 1)
+    letters = lambda x: ((x >= 65) & (x <= 90)) | ((x >= 97) & (x <= 122)) | (x >= 128)
+    free = ~letters(before) & ~letters(after) & (before != 45) & (after != 45) & (before != 46) & (after != 46) & (wa <= 4) & (wb <= 2)
+    numerator = at(s - 2)
+    of_fraction = (before == 47) & DIGIT[numerator] & ~DIGIT[at(s - 3)] & (numerator - 48 < a) & np.isin(a, (2, 3, 4, 8, 16))
+    mixed = SPACE[after] & DIGIT[at(e + 2)] & (at(e + 3) == 47)
+    chain = ((before == 44) & DIGIT[at(s - 2)]) | ((after == 44) & DIGIT[at(e + 2)])
+    free &= ~of_fraction & ~mixed
+    rows = int(row[-1]) + 1
+    has = lambda m: np.bincount(row[m], minlength=rows)[row[c]] > 0
+    # marks at the edge of a field part nothing
+    text = ~space & ~gap
+    upto = np.cumsum(text)
+    total = np.bincount(row[text], minlength=rows)
+    left = upto - (np.cumsum(total) - total)[row]
+    parts = (left > 0) & (left < total[row])
+    comma_next = (_shift(data, -1, 0) == 44) & (_shift(row, -1, -1) == row)
+    spaced = comma & SPACE[_shift(data, -1, 0)] & (_shift(row, -1, -1) == row)
+    twice = comma & comma_next
+    strong = has(mark & ~comma & parts) | (has(spaced & parts) & ~has(twice))
+    quarter = np.isin(b, (25, 75)) & (wb == 2)
+    out[c] = free & (
+        (~chain & strong & ((wb == 1) | quarter | (b > 4 * a))) | (~chain & has(slash & parts) & (((wb == 1) & (b == 5)) | quarter)) | ((wb == 1) & (a >= 20))
+    )
+    return out
+
+
 def split_buffers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of the values and the row of each, from a string array's buffers."""
     n = len(data)
@@ -120,15 +182,12 @@ def split_buffers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     mark &= ~inside
     slash &= ~inside
 
-    # marks that belong to a value: the decimal comma of a half, the slash of a fraction
+    # marks that belong to a value: the decimal comma, the slash of a fraction
     d1, d2, d3 = b1, _shift(data, 2, 0), _shift(data, 3, 0)
-    n1, n2, n3, n4 = (_shift(data, -k, 0) for k in (1, 2, 3, 4))
-    fraction_follows = SPACE[n2] & DIGIT[n3] & (n4 == ord("/"))
-    after_fraction = DIGIT[d1] & (d2 == ord("/"))
-    decimal = (data == ord(",")) & DIGIT[d1] & (n1 == ord("5")) & ~DIGIT[n2] & ~fraction_follows & ~after_fraction & (n2 != ord("/"))
-    decimal |= (data == ord(",")) & DIGIT[d1] & (n1 == ord("5")) & (n2 == ord("/")) & ~after_fraction
-    mark &= ~decimal
-    slash &= ~(DIGIT[d1] & SPACE[d2] & DIGIT[d3] & DIGIT[n1] & ~DIGIT[n2])
+    n1, n2 = (_shift(data, -k, 0) for k in (1, 2))
+    fraction = DIGIT[d1] & SPACE[d2] & DIGIT[d3] & DIGIT[n1] & ~DIGIT[n2]
+    mark &= ~_decimal_commas(data, row, mark, slash & ~fraction, space, gap)
+    slash &= ~fraction
     other = np.zeros(len(offsets) - 1, bool)
     # a mark separates if text lies on both of its sides; at the edge of a field it parts nothing
     text = ~space & ~gap

@@ -1,4 +1,5 @@
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -43,3 +44,13 @@ def test_dataframe(spark):
     got = {tuple(r) for r in unpack(df, "id", ["f", "g"]).collect()}
     assert got == {(1, "f", 1, "a"), (1, "f", 2, "b"), (2, "g", 1, "p"), (2, "g", 2, "q")}
     assert unpack(df.filter("id > 9"), "id", ["f"]).count() == 0
+
+
+@pytest.mark.parametrize("text, want", [
+    ("3,4,5,6", ["3", "4", "5", "6"]), ("4,5,6", ["4", "5", "6"]), ("7,75; 8", ["7,75", "8"]), ("10,5; 11", ["10,5", "11"]), ("1 1/2, 2", ["1 1/2", "2"]), ("28,, 30,32", ["28", "30", "32"]), ("38/38,5/39", ["38", "38,5", "39"]), ("9/9,5/10", ["9", "9,5", "10"]),
+    ("6,7 1/8,8", ["6", "7 1/8", "8"]), ("7,5, 8, 8,5", ["7,5", "8", "8,5"]), ("40,5", []), ("38,5,39", ["38,5", "39"]), ("28x30,30x32;1x2", ["28x30", "30x32", "1x2"]), ("6/7,8/9", ["6/7", "8/9"]), ("35-38,39-42; 43-46", ["35-38", "39-42", "43-46"]), ('"38,5", 39', ["38,5", "39"]), ("3,4,5; 6", ["3", "4", "5", "6"]),
+])
+def test_decimal_commas(text, want):
+    for around in ([text], [text, "5,5;6"], ["9;5", text, "12"], [None, text, ""]):  # neighbours in the buffer tell nothing
+        items, parent, _ = split_column(pa.array(around))
+        assert [x for x, p in zip(items.to_pylist(), parent) if p == around.index(text)] == want
