@@ -16,35 +16,54 @@ documents get 0 tokens and do not bound the total; copies count as documents of
 
 from __future__ import annotations
 
+import base64
+import functools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.session import materialize
 
 TOKENIZERS = os.environ.get("ARCHIVOLT_TOKENIZERS", "/opt/tokenizers")
+VOCABULARY = "byte_bpe_50k.tiktoken"
 BUCKETS = 64
 
 
-def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", folder: str = TOKENIZERS) -> DataFrame:
-    """(doc_id, source, n_tokens), whole texts."""
-    path = f"{folder}/{vocabulary}"
+# How the byte-level vocabularies part a text before merging.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+@functools.lru_cache(2)
+def counter(path: str) -> Callable[[list[str]], list[int]]:
+    """The token counts of texts under a vocabulary file: ranks (.tiktoken) or a tokenizer's description (.json)."""
+    if path.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+        encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda texts: [len(encode(t)) for t in texts]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return lambda texts: [len(e) for i in range(0, len(texts), 256) for e in t.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
+
+
+def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
+    """(doc_id, source, n_tokens), whole texts; the vocabulary file travels to the executors with the job."""
+    docs.sparkSession.sparkContext.addFile(f"{folder}/{vocabulary}")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = counter(SparkFiles.get(vocabulary))
         for f in frames:
-            n = []
-            texts = f["text"].fillna("").tolist()
-            for i in range(0, len(texts), 256):
-                n += [len(e) for e in t.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "source": f["source"], "n_tokens": n})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "source": f["source"], "n_tokens": count(f["text"].fillna("").tolist())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "source", "text").mapInPandas(run, f"doc_id {kind}, source string, n_tokens long")
@@ -70,7 +89,8 @@ def fill(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             k = min(take[i], -(-(8 * most - rest) // lengths[i]))
             take[i] -= k
             rest += k * lengths[i]
-    # bounded knapsack: bit s of reach is set if some choice sums to s; counts in powers of two
+    # bounded knapsack: bit s of reach is set if some choice sums to s, first[s] is the item that first reached it;
+    # counts go in powers of two, so an item is never needed twice
     items = []
     for i, (n, c) in enumerate(zip(lengths, counts)):
         left, size = min(c - take[i], rest // n if n else 0), 1
@@ -78,19 +98,21 @@ def fill(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             k = min(size, left)
             items.append((i, k, n * k))
             left, size = left - k, size * 2
-    full = (1 << (rest + 1)) - 1
-    reach, steps = 1, [1]
-    for _, _, n in items:
-        reach |= (reach << n) & full
-        steps.append(reach)
+    full, reach = (1 << (rest + 1)) - 1, 1
+    first = np.zeros(rest + 1, np.int32)
+    for j, (_, _, n) in enumerate(items):
+        new = (reach << n) & full & ~reach
+        if new:
+            bits = np.unpackbits(np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8), bitorder="little")
+            first[np.flatnonzero(bits)] = j
+            reach |= new
         if reach >> rest & 1:
             break
     s = reach.bit_length() - 1
-    for j in range(len(steps) - 1, 0, -1):
-        i, k, n = items[j - 1]
-        if not steps[j - 1] >> s & 1:
-            take[i] += k
-            s -= n
+    while s:
+        i, k, n = items[first[s]]
+        take[i] += k
+        s -= n
     return take
 
 
@@ -113,7 +135,7 @@ def plan(histogram: DataFrame, targets: DataFrame, total: int | None = None) ->
     return joined.groupBy("source").applyInPandas(of, "source string, n_tokens long, passes int, extra long")
 
 
-def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, vocabulary: str = "byte_bpe_50k.json", folder: str = TOKENIZERS) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
     """The selection: doc_id, source, n_tokens, repeats."""
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
     counted = materialize(token_counts(docs.filter("source is not null"), vocabulary, folder).filter("n_tokens > 0").withColumn("_order", order).withColumn("_bucket", F.shiftright("_order", 58)))

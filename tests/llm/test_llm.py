@@ -252,6 +252,28 @@ def test_fill_is_the_best_subset_sum():
     assert mixing.fill([5, 7], [10, 10], 100) and sum(n * k for n, k in zip([5, 7], mixing.fill([5, 7], [10, 10], 100))) == 100
 
 
+def test_fill_is_exact_where_a_sum_exists():
+    def sums(lengths, counts):
+        out = {0}
+        for n, c in zip(lengths, counts):
+            out = {s + n * k for s in out for k in range(c + 1)}
+        return out
+
+    rng = random.Random(8)
+    for _ in range(60):
+        lengths = sorted(rng.sample(range(3, 40), rng.randint(1, 4)))
+        counts = [rng.randint(1, 5) for _ in lengths]
+        total = sum(n * c for n, c in zip(lengths, counts))
+        budget = rng.randint(0, min(total, 7 * max(lengths)))  # within the search's room
+        got = sum(n * k for n, k in zip(lengths, mixing.fill(lengths, counts, budget)))
+        assert got == max(x for x in sums(lengths, counts) if x <= budget)
+
+
+def test_both_vocabulary_files_count_alike():
+    texts = ["", "Hello  world\n\n", "it's 1234 ünïcödé – 日本 \U0001f600", "<|endoftext|> x", "a" * 5000, " \t "]
+    assert mixing.counter(f"{mixing.TOKENIZERS}/byte_bpe_50k.tiktoken")(texts) == mixing.counter(f"{mixing.TOKENIZERS}/byte_bpe_50k.json")(texts)
+
+
 def test_mix(spark):
     rng = random.Random(9)
     docs = spark.createDataFrame([(i, rng.choice("aaab") if i % 50 else None, " ".join(["word"] * rng.randint(1, 40)) if i % 17 else rng.choice(["", None])) for i in range(800)], "doc_id long, source string, text string").selectExpr("*", "1 as n", "2 as extra")
