@@ -5,27 +5,31 @@ texts that close with a line of their own are negatives, artificially cut intact
 sentences, at a source's limit, some with a mark of omission) are positives. Features are the closing
 characters and words, the punctuation of the last line and the distance of the length from the source's
 limits. The limits are spikes in the length counts (characters and bytes) of all documents. Every record
-is then scored.
+is then scored by its close; its whole length counts. A text of blanks at its last CLOSE characters is not cut.
 
 Defined results: null, empty and blank texts are not cut; a null source is a source of its own.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.llm.linear import Encoder, fit, score
 from archivolt.session import fits, materialize
 
-#: most rows of each kind in the training sample
-SAMPLE = 4000
+#: most rows of each kind in the training sample; about as many rows, chosen by hash, are looked at for it
+SAMPLE, POOL = 4000, 60_000
+#: characters of a text's close and of its beginning that features are made of
+CLOSE, HEAD = 400, 60
+DIGITS, SENTENCE = re.compile(r"\d+"), re.compile(r"[.!?]\s")
 MARK = re.compile(r"(\s*(?:\[(?:…|\.{3})\]|\((?:…|\.{3})\)|…|\.{3,}))\s*$")
 TOKEN = re.compile(r"\w+|[^\w\s]")
 INTACT = r"[\p{L}\p{N})\]”\"»’'%][.!?][)”\"»’']?\s*$"
@@ -53,25 +57,43 @@ def with_limits(docs: DataFrame, key: str, found: DataFrame) -> DataFrame:
     return d.select(key, "source", "text", F.when(F.col("_c").isNotNull(), "c").when(F.col("_b").isNotNull(), "b").otherwise("").alias("at_limit"))
 
 
-def features(text: str, at_limit: str) -> tuple[list[str], list[str]]:
-    """Tokens of the close and extra features."""
-    mark = MARK.search(text)
-    core = text[: mark.start()] if mark else text
+def close(text: Column) -> Column:
+    """struct(tail, head, lines): what the features of a text's close are made of, so that no whole text leaves the engine.
+
+    lines tells of a text longer than its tail whether it has a line before that.
+    """
+    before = F.length(text) - CLOSE
+    return F.struct(F.right(text, F.lit(CLOSE)).alias("tail"), F.when(before > 0, F.left(text, F.lit(HEAD))).alias("head"), F.when(before > 0, F.instr(F.left(text, before), "\n") > 1).otherwise(False).alias("lines"))
+
+
+def close_of(text: str) -> tuple[str, str | None, bool]:
+    """As close(), of a string."""
+    before = len(text) - CLOSE
+    return (text[-CLOSE:], text[:HEAD], "\n" in text[1:before]) if before > 0 else (text, None, False)
+
+
+def features(tail: str, at_limit: str, head: str | None = None, lines: bool = False) -> tuple[list[str], list[str]]:
+    """Tokens of the close and extra features; of a longer text, head and lines tell what lies before the tail."""
+    mark = MARK.search(tail)
+    core = tail[: mark.start()] if mark else tail
     blank = core != core.rstrip() and not mark
     core = core.rstrip()
     before, _, line = core.rpartition("\n")
     prev = before.rstrip()[-1:]
-    shape = lambda s: re.sub(r"\d+", "0", s)
-    tokens = [shape(t.lower()) for t in TOKEN.findall(line)]
-    fragment = re.split(r"[.!?]\s", line)[-1]
-    own = bool(before)
+    shape = lambda s: DIGITS.sub("0", s)
+    tokens = [shape(t) for t in TOKEN.findall(line.lower())]
+    fragment = SENTENCE.split(line)[-1]
+    own = bool(before) or lines
+    far = head is not None and not before  # the last line began before the tail
+    start = [shape(t) for t in TOKEN.findall((head if far and not lines else "" if far else line[:HEAD]).lower())][:2]
     last = line[-1:]
     kind = "letter" if last.isalpha() else "digit" if last.isdigit() else last
-    words = len(fragment.split())
+    words = fragment.split()
+    n = len(words)
     extras = [
-        f"end={kind}", f"end={kind},own={own}", f"mark={mark.group(1).strip()[:1] if mark else ''}", f"mark={bool(mark)},end={kind},words={min(words, 4)}", f"limit={at_limit}", f"limit={at_limit},end={kind}", f"blank={blank}",
-        f"last={tokens[-1] if tokens else ''}", f"last2={' '.join(tokens[-2:])}", f"first={tokens[0] if tokens else ''}|{own}", f"first2={' '.join(tokens[:2])}|{own}", f"prev={prev if own else 'none'}", f"lower={last.islower()}",
-        f"fragment={min(words, 8)},own={own}", f"whole={fragment == line},own={own}", f"fend={kind},{shape(fragment.split()[0].lower()) if words else ''}", f"chars={line[-3:].lower()}" if kind != "digit" else "chars=0",
+        f"end={kind}", f"end={kind},own={own}", f"mark={mark.group(1).strip()[:1] if mark else ''}", f"mark={bool(mark)},end={kind},words={min(n, 4)}", f"limit={at_limit}", f"limit={at_limit},end={kind}", f"blank={blank}",
+        f"last={tokens[-1] if tokens else ''}", f"last2={' '.join(tokens[-2:])}", f"first={start[0] if start else ''}|{own}", f"first2={' '.join(start)}|{own}", f"prev={'far' if far and lines else prev if own else 'none'}", f"lower={line.islower()}",
+        f"fragment={min(n, 8)},own={own}", f"whole={not far and fragment == line},own={own}", f"fend={kind},{shape(words[0].lower()) if n else ''}", f"chars={line[-3:].lower()}" if kind != "digit" else "chars=0",
     ]
     return tokens[-6:], extras
 
@@ -80,7 +102,7 @@ def cut(text: str, seed: int, sizes: list[int]) -> tuple[str, str] | None:
     """An intact text cut within a word or sentence, and whether at a limit."""
     body = text.rstrip()
     r = lambda k, n: xxhash.xxh3_64_intdigest(f"{seed}:{k}") % n
-    fitting = [s for s in sizes if s < len(body)]
+    fitting = [s for s in sizes if s is not None and s < len(body)]
     at, flag = (fitting[r(1, len(fitting))], "c") if fitting and r(2, 2) else (int(len(body) * (0.3 + 0.68 * r(3, 1000) / 1000)), "")
     mark = ["", "", "", "", "", "…", "..."][r(4, 7)]
     if flag:
@@ -91,23 +113,38 @@ def cut(text: str, seed: int, sizes: list[int]) -> tuple[str, str] | None:
     return part + mark, flag
 
 
-def train(rows: DataFrame, key: str, found: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+def training_sample(rows: DataFrame, key: str, found: DataFrame, n: int, sample: int = SAMPLE) -> pd.DataFrame:
+    """(text, at_limit, kind, low, high): at most `sample` texts of either kind, from a pool chosen by hash, in one pass.
+
+    low and high are two of the limits of the text's source that it exceeds, chosen by hash, for its cut twins.
+    """
+    pool = rows.withColumn("o", F.xxhash64(F.col(key).cast("string"), F.lit("truncation"))).filter(F.pmod("o", F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, POOL / max(n, 1))))
+    end = F.right("text", F.lit(CLOSE))
+    intact = end.rlike(INTACT)
+    kind = F.when(intact & ~end.rlike(r"(…|\.\.\.)\s*$"), "intact").when((F.col("at_limit") == "") & end.rlike(OWN_LINE) & ~intact & ~end.rlike(r"\.\.\.\s*$|\s$"), "line")
+    few = pool.withColumn("kind", kind).filter("kind is not null").withColumn("at", F.row_number().over(Window.partitionBy("kind").orderBy("o"))).filter(F.col("at") <= sample)
+    limit = found.filter("unit = 'c'").select(F.col("source").alias("_s"), "size")
+    j = few.join(limit, F.expr("source <=> _s and kind = 'intact' and size < length(text)"), "left")
+    order = F.xxhash64("size", "o")
+    return j.groupBy("kind", "at", "text", "at_limit").agg(F.min_by("size", order).alias("low"), F.max_by("size", order).alias("high")).orderBy("kind", "at").toPandas()
+
+
+def train(rows: DataFrame, key: str, found: DataFrame, n: int, sample: int = SAMPLE) -> np.ndarray:
     """Weights from at most `sample` intact texts, their cut twins, and as many texts with a closing line."""
-    order = F.xxhash64(F.col(key).cast("string"), F.lit("truncation"))
-    take = lambda cond: rows.filter(cond).select("source", "text", "at_limit", order.alias("o")).orderBy("o").limit(sample).toPandas()
-    intact = take(F.col("text").rlike(INTACT) & ~F.col("text").rlike(r"(…|\.\.\.)\s*$"))
-    lines = take((F.col("at_limit") == "") & F.col("text").rlike(OWN_LINE) & ~F.col("text").rlike(INTACT) & ~F.col("text").rlike(r"\.\.\.\s*$|\s$"))
-    sizes: dict = {}
-    for x in found.filter("unit = 'c'").select("source", "size").orderBy("source", "size").limit(2000).collect():  # for the cut twins only
-        sizes.setdefault(x["source"], []).append(x["size"])
-    cases = [(t, f, 0) for part in (intact, lines) for t, f in zip(part["text"], part["at_limit"])]
-    for seed, (s, t) in enumerate(zip(intact["source"], intact["text"])):
+    data = training_sample(rows, key, found, n, sample)
+    cases = [(t, f, 0) for t, f in zip(data["text"], data["at_limit"])]
+    intact = data[data["kind"] == "intact"]
+    for seed, (t, low, high) in enumerate(zip(intact["text"], intact["low"], intact["high"])):
+        sizes = [int(x) for x in (low, high) if not pd.isna(x)]
         for k in (0, 1):
-            if c := cut(t, 2 * seed + k, sizes.get(s, [])):
+            if c := cut(t, 2 * seed + k, sizes):
                 cases.append((*c, 1))
     if len({y for _, _, y in cases}) < 2:
         return np.append(np.zeros(1 << 18), -1).astype(np.float32)
-    pairs = [features(t, f) for t, f, _ in cases]
+    pairs = []
+    for t, f, _ in cases:
+        tail, head, lines = close_of(t)
+        pairs.append(features(tail, f, head, lines))
     r, f = Encoder()([p[0] for p in pairs], [p[1] for p in pairs])
     return fit(r, f, np.array([y for _, _, y in cases], float))
 
@@ -116,19 +153,21 @@ def scores(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFr
     """(key, source, p_cut) for every document."""
     found = materialize(limits(docs))
     rows = with_limits(docs, key, found)
-    weights = docs.sparkSession.sparkContext.broadcast(train(rows, key, found, sample))
+    weights = docs.sparkSession.sparkContext.broadcast(train(rows, key, found, docs.count(), sample))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = Encoder()
         for f in frames:
-            texts = f["text"].fillna("").tolist()
-            pairs = [features(t, a) if t.strip() else ([], []) for t, a in zip(texts, f["at_limit"])]
+            tails = f["tail"].fillna("").tolist()
+            some = np.array([bool(t.strip()) for t in tails], float)
+            pairs = [features(t, a, h, n) if s else ([], []) for t, a, h, n, s in zip(tails, f["at_limit"], f["head"], f["lines"], some)]
             r, i = encode([p[0] for p in pairs], [p[1] for p in pairs])
-            p = score(weights.value, r, i, len(f)) * np.array([bool(t.strip()) for t in texts], float)
-            yield pd.DataFrame({key: f[key], "source": f["source"], "p_cut": p})
+            yield pd.DataFrame({key: f[key], "source": f["source"], "p_cut": score(weights.value, r, i, len(f)) * some})
 
-    return rows.mapInPandas(run, f"{key} {kind}, source string, p_cut double")
+    c = close(F.coalesce("text", F.lit("")))
+    narrow = rows.select(key, "source", "at_limit", c.alias("c")).select(key, "source", "at_limit", "c.tail", "c.head", "c.lines")
+    return narrow.mapInPandas(run, f"{key} {kind}, source string, p_cut double")
 
 
 def rates(scored: DataFrame) -> DataFrame:
