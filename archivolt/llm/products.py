@@ -14,6 +14,7 @@ attributes that no field tells are null, the kind too: such a listing goes by br
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -54,36 +55,48 @@ _SS, _FW = r"(?:spring ?[/-] ?summer|spring|summer|s ?/ ?s|ss)", r"(?:fall ?[/-]
 SEASON = re.compile(rf"(?<![a-z0-9])(?:({_SS})|({_FW}))[ -]?{_YEAR}(?![0-9a-z])|(?<![a-z0-9])((?:19|20)\d\d)[ -]?(?:({_SS})|({_FW}))(?![a-z0-9])")
 MEASURE = re.compile(r"(?<![0-9a-z±.,])(?<!tolerance )(\d+(?:\.\d+)?)[ -]?(fl ?oz|mm|cm|ml|cl|kg|oz|liters?|litres?|in|m|l|g)(?![a-z0-9])")
 SLUG_MEASURE = re.compile(r"(?<![0-9])(?:(\d{1,2})-(\d{1,2})|(\d+))-?(fl-oz|mm|cm|ml|cl|kg|oz|liters?|litres?|in|m|l|g)(?![a-z0-9])")
+WORDS, TAG, SUSPECT, MARKED = re.compile("[a-z0-9]+"), re.compile(r"<[^<>]{1,20}>"), re.compile("[ÃÂâÅÄ√├ΓГВ‚┼ÔЕÐ]"), re.compile(r"[^\x00-\x7f]+")
 _LETTERS = str.maketrans({"ß": "ss", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "æ": "ae", "œ": "oe", "đ": "d"})
 
 
+@functools.lru_cache(100_000)
+def _reread(run: str, charset: str) -> tuple[str, int, int]:
+    return utf8_reading(run, charset)
+
+
 def repaired(s: str) -> str:
-    """UTF-8 misread as a Western character set is read again; other damage stays."""
+    """UTF-8 misread as a Western character set is read again; other damage stays. Runs of marks recur, so each is read once."""
     for _ in range(2):
+        runs = MARKED.findall(s)
         for charset in ("cp1252", "mac_roman", "cp437", "cp850", "cp1251"):
-            text, whole, lost = utf8_reading(s, charset)
-            if whole and not lost:
-                s = text
+            read = [_reread(r, charset) for r in runs]
+            if any(w for _, w, _ in read) and not any(n for _, _, n in read):
+                s = MARKED.sub(lambda m: _reread(m.group(), charset)[0], s)  # noqa: B023
                 break
     return s
 
 
+@functools.lru_cache(200_000)
+def _bare(run: str) -> str:
+    """A run of marks as fold() writes it: no accents, other scripts as blanks."""
+    return "".join(c if ord(c) < 128 or c == "±" else "" if unicodedata.combining(c) else " " for c in unicodedata.normalize("NFKD", run.translate(_LETTERS)))
+
+
 def fold(s: str | None) -> str:
     """Lower case ASCII without accents, entities and tags; white space runs are one blank."""
     if not s:
         return ""
     if "&" in s or "<" in s:
-        s = html.unescape(re.sub(r"<[^<>]{1,20}>", " ", s))
+        s = html.unescape(TAG.sub(" ", s))
     if not s.isascii():
-        s = repaired(s) if re.search(r"[ÃÂâÅÄ√├ΓГВ‚┼ÔЕÐ]", s) else s
-        s = unicodedata.normalize("NFKD", s.translate(_LETTERS))
-        s = "".join(c if ord(c) < 128 or c == "±" else "" if unicodedata.combining(c) else " " for c in s)
-    return re.sub(r"\s+", " ", s.lower()).strip()
+        s = repaired(s) if SUSPECT.search(s) else s
+        s = MARKED.sub(lambda m: _bare(m.group()), s)
+    return " ".join(s.lower().split())
 
 
 def plain(s: str) -> str:
     """Words only, blanks around and between."""
-    return f" {re.sub(r'[^a-z0-9]+', ' ', s).strip()} "
+    return f" {' '.join(WORDS.findall(s))} "
 
 
 def automaton(entries: Iterable[tuple[str, object]]) -> ahocorasick.Automaton:
@@ -100,6 +113,8 @@ def hits(a: ahocorasick.Automaton, text: str) -> list[tuple[int, int, object]]:
     if not len(a):
         return []
     found = sorted(((end - n - 1, end, v) for end, (n, v) in a.iter(text)), key=lambda x: (x[0], -x[1]))
+    if len(found) < 2:
+        return found
     out, at = [], -1
     for s, e, v in found:
         if s >= at:
@@ -145,14 +160,14 @@ def cleaned(s: str, slug: bool = False) -> str:
 
 
 def without(text: str, a: ahocorasick.Automaton) -> str:
-    for s, e, _ in reversed(hits(a, text)):
-        text = text[:s] + " " + text[e + 1 :]
-    return text
+    return cut_out(text, hits(a, text))
 
 
-def residual(text: str, brands: ahocorasick.Automaton) -> str:
-    """What is left of a cleaned name: the model phrase."""
-    return without(without(without(text, brands), KIND), COLOR).strip()
+def cut_out(text: str, found: list[tuple[int, int, object]]) -> str:
+    """The text with what was found in it as single blanks."""
+    for s, e, _ in reversed(found):
+        text = text[:s] + " " + text[e + 1 :]
+    return text
 
 
 def color_of(text: str) -> str | None:
@@ -165,6 +180,21 @@ def slug_words(slug: str | None) -> str:
     return re.sub(r"-[a-z0-9]{5}$", "", re.sub(r"[^a-z0-9]+", "-", fold(slug)).strip("-"))
 
 
+@functools.lru_cache(50_000)
+def _brand(c: str | None) -> str:
+    return plain(fold(c)).strip()
+
+
+@functools.lru_cache(50_000)
+def _color(c: str | None) -> str | None:
+    return color_of(plain(fold(c)))
+
+
+@functools.lru_cache(50_000)
+def _season(c: str | None) -> str | None:
+    return season_of(fold(c))
+
+
 def brands_of(*tables: DataFrame) -> list[str]:
     """The folded brands of the tables' brand columns that occur more than once, or in a column that is clean."""
     raw = None
@@ -199,12 +229,15 @@ def parse(df: DataFrame, key: str, brands: list[str], *, name: str = "name", slu
             rows = []
             for k, nm, br, co, sl, de, se in zip(*(f[c] for c in ("_k", "name", "brand", "color", "slug", "description", "season"))):
                 nm, de, sl = fold(nm), fold(de), slug_words(sl)
-                ns, ss = cleaned(nm), cleaned(sl, slug=True)
-                own = plain(fold(br)).strip()
-                brand = own if own in known else None
-                found = brand or seen(ns, ba) or seen(ss, ba) or seen(plain(de), ba) or own or None
-                color = color_of(plain(fold(co))) or color_of(ss) or color_of(ns) or color_of(cleaned(de))
-                rows.append((k, found, seen(ss, KIND) or seen(ns, KIND) or seen(plain(de), KIND), color, season_of(fold(se)) or season_of(nm) or season_of(de), measure_of(nm) or measure_of(sl, slug=True) or measure_of(de), residual(ss, ba) or None, residual(ns, ba) or None, f"{ss}|{ns}|{plain(de)}"))
+                ns, ss, ds = cleaned(nm), cleaned(sl, slug=True), plain(de)
+                own = _brand(br)
+                in_name, in_slug = hits(ba, ns), hits(ba, ss)
+                found = (own if own in known else None) or (in_name[0][2] if in_name else None) or (in_slug[0][2] if in_slug else None) or seen(ds, ba) or own or None
+                ns_bare, ss_bare = cut_out(ns, in_name), cut_out(ss, in_slug)
+                kind_n, kind_s = hits(KIND, ns_bare), hits(KIND, ss_bare)
+                color = _color(co) or color_of(ss) or color_of(ns) or color_of(cleaned(de))
+                kind = seen(ss, KIND) or seen(ns, KIND) or seen(ds, KIND)
+                rows.append((k, found, kind, color, _season(se) or season_of(nm) or season_of(de), measure_of(nm) or measure_of(sl, slug=True) or measure_of(de), without(cut_out(ss_bare, kind_s), COLOR).strip() or None, without(cut_out(ns_bare, kind_n), COLOR).strip() or None, f"{ss}|{ns}|{ds}"))
             yield pd.DataFrame(rows, columns=["_k", "brand", "kind", "color", "season", "measure", "slug_model", "name_model", "text"])
 
     out = f"_k {kind}, brand string, kind string, color string, season string, measure string, slug_model string, name_model string, text string"
