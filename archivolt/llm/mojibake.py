@@ -2,11 +2,14 @@
 
 Noisy-channel decoding. A piece (a run of letters, digits, non-ASCII characters and numeric escapes) is put
 back into bytes under each character set it may have been misread in; the bytes form a lattice whose edges
-are whole UTF-8 characters, kept characters and wildcards for lost bytes (a lead byte without its
-continuation, U+FFFD). Each way through is a reading; readings compete under the word frequencies of the
-whole corpus, joined in by word, by token and, for wildcards, by masked word. A field's pieces then form a
-second lattice, searched by Viterbi: states are the channels and 'clean', a change of channel costs, so the
-pieces of a field agree on what happened to it.
+are whole UTF-8 characters, kept characters and wildcards for what is left of a character that lost bytes.
+The words of the whole corpus with the piece's ASCII skeleton are spelled through the lattice by a Viterbi
+search, and the cheapest way of each competes under the word's frequency: a right letter beside a damaged
+one is kept, and any number of bytes may be lost. Readings that decode all they can need no known word and
+compete as well, by word, by token and, for pieces without any ASCII, by masked word. A field's pieces then
+form a second lattice, searched by Viterbi: states are the channels and 'clean', a change of channel costs,
+so the pieces of a field agree on what happened to it. Per piece and channel only the best reading matters to
+that search, so no other is kept.
 
 All counts cover all rows. Candidate work is done once per distinct piece, in tasks; nothing of corpus size
 is broadcast or collected.
@@ -36,7 +39,7 @@ WILD = 0xE000  # private-use characters stand for wildcards: + lead byte, + 0xFF
 # Character sets text is misread in, with the log-probability of each channel.
 UTF8_AS = {"cp1252": -0.7, "latin-1": -1.5, "mac_roman": -2.0, "cp437": -2.0, "cp850": -2.0, "cp1251": -2.0, "cp1250": -3.0, "koi8_r": -3.0, "cp866": -3.0}
 CONFUSED = {("mac_roman", "cp1252"): -2.0, ("cp437", "cp1252"): -3.0, ("cp850", "cp1252"): -3.0, ("cp1251", "cp1252"): -3.5, ("cp1252", "mac_roman"): -3.0, ("cp1252", "cp850"): -3.5, ("cp1252", "cp437"): -3.5}
-TWICE, LOST = -0.7, -1.0
+TWICE, LOST, KEPT = -0.7, -1.0, 0.7
 UNSEEN = 0.01
 
 
@@ -102,14 +105,14 @@ def readings(piece: str) -> list[tuple[str, str, float, int]]:
     if not all(ord(c) < 128 for c in s):
         for charset, p in UTF8_AS.items():
             text, whole, lost = utf8_reading(s, charset)
-            if lost and lost <= 4:
+            if lost:
                 add(charset, text, p + LOST * lost, whole)
             elif whole:
                 add(charset, text, p, whole)
                 twice, again, lost = utf8_reading(text, "cp1252")
-                if again and lost <= 2:
+                if again:
                     add(charset + "+cp1252", twice, p + TWICE + LOST * lost, whole + again)
-                elif lost and lost <= 2:
+                elif lost:
                     add(charset + "+cp1252", twice, p + TWICE + LOST * lost, whole)
         for (a, b), p in CONFUSED.items():
             text = "".join(BACK[b].get(TABLES[a][c], c) if c in TABLES[a] else c for c in s)
@@ -117,6 +120,69 @@ def readings(piece: str) -> list[tuple[str, str, float, int]]:
     return [(c, t, p, k) for t, (c, p, k) in out.items()]
 
 
+def lattice(s: str, charset: str) -> list[list[tuple[int, str, str, bytes]]]:
+    """The edges from each place of a piece: (place after, what it gives, kind, bytes known).
+
+    A character put back into its byte may be kept as it is, may begin a whole UTF-8 character, may be what is
+    left of one whose last bytes are lost ('lead': the first bytes are known), or of one whose first bytes are
+    lost ('last'). U+FFFD stands for any character. ASCII is kept.
+    """
+    table, n, out = TABLES[charset], len(s), []
+    for i, c in enumerate(s):
+        edges = [(i + 1, c, "kept", b"")]
+        b = table.get(c) if c > "\x7f" else None
+        if c == "�":
+            edges = [(i + 1, "", "any", b"")]
+        elif b is not None and 0x80 <= b < 0xC0:
+            edges.append((i + 1, "", "last", bytes([b])))
+        elif b is not None and 0xC2 <= b < 0xF5:
+            need, known = (1 if b < 0xE0 else 2 if b < 0xF0 else 3), bytes([b])
+            for j in range(need + 1):
+                if j == need:
+                    try:
+                        edges.append((i + 1 + j, known.decode("utf-8"), "whole", known))
+                    except UnicodeDecodeError:
+                        pass
+                    break
+                edges.append((i + 1 + j, "", "lead", known))
+                x = table.get(s[i + 1 + j]) if i + 1 + j < n and s[i + 1 + j] > "\x7f" else None
+                if x is None or not 0x80 <= x < 0xC0:
+                    break
+                known += bytes([x])
+        out.append(edges)
+    return out
+
+
+def spelled(edges: list[list[tuple[int, str, str, bytes]]], word: str) -> tuple[float, int, int] | None:
+    """(cost, whole characters, lost ones) of the cheapest way through a lattice that spells the word, by Viterbi; None if none does or all is kept."""
+    m = len(word)
+    ways: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(len(edges) + 1)]
+    ways[0][0] = (0.0, 0, 0)
+    for i, each in enumerate(edges):
+        for k, (cost, whole, lost) in ways[i].items():
+            if k == m:
+                continue
+            w = word[k]
+            for to, text, kind, known in each:
+                if kind == "kept":
+                    fits, step = text.lower() == w, (cost + (0.0 if text < "\x80" else KEPT), whole, lost)
+                elif kind == "whole":
+                    fits, step = text.lower() == w, (cost, whole + 1, lost)
+                else:
+                    code = w.encode("utf-8", "replace")
+                    fits, step = w > "\x7f" and (kind == "any" or (code.startswith(known) if kind == "lead" else code.endswith(known))), (cost - LOST, whole, lost + 1)
+                if fits and step[0] < ways[to].get(k + 1, (math.inf,))[0]:
+                    ways[to][k + 1] = step
+    best = ways[-1].get(m)
+    return best if best and best[1] + best[2] else None
+
+
+def skeleton(low: str) -> str | None:
+    """A word's ASCII with each run of other characters as '*': what no damage of the kinds above changes; None without ASCII letters and digits."""
+    s = re.sub(r"[^\x00-\x7f]+", "*", low)
+    return s if "*" in s and re.search("[a-z0-9]", s) else None
+
+
 def masks(word: str) -> list[str]:
     """The word with its non-ASCII characters masked, by lead byte and wholly."""
     if word.isascii() or any(0xE000 <= ord(c) < 0xE100 for c in word):
@@ -178,6 +244,41 @@ def _wanted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["piece", "channel", "reading", "p", "strength", "key", "kind"])
 
 
+def _skeletons(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, low, word, n): words that may be what a damaged piece of the same skeleton was."""
+    for f in frames:
+        rows = []
+        for piece, n in zip(f["piece"], f["n"]):
+            s = unescaped(piece)
+            if "�" not in s and (key := skeleton(s.lower())):
+                rows.append((key, s.lower(), s, n))
+        yield pd.DataFrame(rows, columns=["key", "low", "word", "n"])
+
+
+def _sought(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        keys = [skeleton(unescaped(p).lower()) for p in f["piece"]]
+        yield pd.DataFrame([(p, k) for p, k in zip(f["piece"], keys) if k], columns=["piece", "key"])
+
+
+def _spelled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Readings of a piece as a word, by each character set whose lattice spells it."""
+    for f in frames:
+        rows, at, last = [], {}, None
+        for piece, low, word, n in zip(f["piece"], f["low"], f["word"], f["n"]):
+            s = unescaped(piece)
+            if s.lower() == low:
+                continue
+            if piece != last:
+                at, last = {}, piece
+            for charset, p in UTF8_AS.items():
+                if charset not in at:
+                    at[charset] = lattice(s, charset)
+                if way := spelled(at[charset], low):
+                    rows.append((piece, charset, shaped(word, s), p - way[0], way[1], n))
+        yield pd.DataFrame(rows, columns=["piece", "channel", "reading", "p", "strength", "n"])
+
+
 def _judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Log-odds of each reading against the piece as it stands."""
     for f in frames:
@@ -195,7 +296,7 @@ def _judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for (channel, reading, p, strength), hits in groups.items():
                 if not channel:
                     continue
-                whole = max((h["n"] or 0 for h in hits if h["kind"] in "pm"), default=0)
+                whole = max((h["n"] or 0 for h in hits if h["kind"] in "pmv"), default=0)
                 tokens = [h["n"] or 0 for h in hits if h["kind"] == "t"]
                 count = whole
                 if not whole and tokens and strength:
@@ -220,9 +321,12 @@ def _judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if "�" in as_is:
                     odds = max(odds, 1.0) + (5 if channel == "replaced" and whole else 0)
                 best.append((channel, text, odds))
-            best = sorted((b for b in best if b[2] > -3), key=lambda b: -b[2])[:8]
-            if best and best[0][2] > 0:
-                out.append((piece, [{"channel": c, "reading": t, "odds": o} for c, t, o in best]))
+            top: dict[str, tuple] = {}  # the Viterbi search takes the best of each channel
+            for o in best:
+                if o[2] > -3 and (o[0] not in top or (o[2], o[1]) > (top[o[0]][2], top[o[0]][1])):
+                    top[o[0]] = o
+            if any(o[2] > 0 for o in top.values()):
+                out.append((piece, [{"channel": c, "reading": t, "odds": o} for c, t, o in sorted(top.values(), key=lambda o: (-o[2], o[0]))]))
         yield pd.DataFrame(out, columns=["piece", "options"])
 
 
@@ -251,7 +355,13 @@ def damaged(fields: DataFrame) -> DataFrame:
     words = counts.mapInPandas(_keys, "key string, n long, word string").groupBy("key", "word").agg(F.sum("n").alias("n")).groupBy("key").agg(F.when(F.col("key").startswith("m:"), F.max("n")).otherwise(F.sum("n")).alias("n"), F.max_by("word", F.struct("n", "word")).alias("word"))
     total = counts.agg(F.sum("n").alias("total"))  # one row
     wanted = counts.select("piece").mapInPandas(_wanted, "piece string, channel string, reading string, p double, strength int, key string, kind string")
-    looked = wanted.join(words, "key", "left").groupBy("piece").agg(F.collect_list(F.struct("channel", "reading", "p", "strength", "kind", "n", "word")).alias("cands"))
+    corpus = counts.mapInPandas(_skeletons, "key string, low string, word string, n long").groupBy("key", "low").agg(F.max_by("word", F.struct("n", "word")).alias("word"), F.sum("n").alias("n"))
+    sought = counts.select("piece").mapInPandas(_sought, "piece string, key string")
+    read = sought.join(corpus, "key").mapInPandas(_spelled, "piece string, channel string, reading string, p double, strength int, n long")
+    read = read.groupBy("piece", "channel").agg(F.max_by(F.struct("reading", "p", "strength", "n"), F.struct(F.log(F.col("n")) + F.col("p"), F.col("reading"))).alias("b"))
+    none = F.lit(None).cast("string")
+    found = wanted.join(words, "key", "left").select("piece", "channel", "reading", "p", "strength", "kind", "n", "word").unionByName(read.select("piece", "channel", "b.reading", "b.p", "b.strength", F.lit("v").alias("kind"), "b.n", none.alias("word")))
+    looked = found.groupBy("piece").agg(F.collect_list(F.struct("channel", "reading", "p", "strength", "kind", "n", "word")).alias("cands"))
     options = materialize(looked.crossJoin(F.broadcast(total)).mapInPandas(_judged, "piece string, options array<struct<channel:string,reading:string,odds:double>>"))
     hit = each.join(options, "piece").groupBy("src_table", "row_id", "field_name").agg(F.array_sort(F.collect_list(F.struct("pos", "piece", "options"))).alias("pieces"))
 

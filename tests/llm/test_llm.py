@@ -35,6 +35,33 @@ def test_byte_lattice_round_trip(charset):
     assert mojibake.utf8_reading(wrong, charset) == (text, 6, 0)
 
 
+def test_partly_damaged_words(spark):
+    """Right letters beside damaged ones, and many lost bytes, are read by the words of the corpus."""
+    right = ["Straßenküche", "Ñandú", "Élégant", "Überraschungsmenü"] + ["éééééx"] * 50
+    broken = {"StraßenkÃ¼che": "Straßenküche", "ÑandÃº": "Ñandú", "ÉlÃ©gant": "Élégant", "ÉlÃgant": "Élégant", "Ãberraschungsmenü": "Überraschungsmenü", "ÃÃÃÃÃx": "éééééx", "Stra\u009fenküche": "Straßenküche"}
+    data = [(i, w) for i, w in enumerate(right * 20)] + [(5000 + i, w) for i, w in enumerate(broken)]
+    fields = spark.createDataFrame([("t", i, "f", f"das {w} hier") for i, w in data], "src_table string, row_id long, field_name string, text string")
+    found = mojibake.damaged(fields)
+    fixed = {r["row_id"]: r["restored"] for r in mojibake.restored(fields, found).collect()}
+    assert fixed == {5000 + i: f"das {w} hier" for i, w in enumerate(broken.values())}
+
+
+def test_lattice_spells_what_was_written():
+    rng = random.Random(6)
+    for _ in range(300):
+        word = "".join(rng.choice("aébßcöñ日ж") for _ in range(rng.randint(1, 7)))
+        charset = rng.choice(["cp1252", "mac_roman", "cp437", "cp1251"])
+        piece, lost, whole = "", 0, 0
+        for c in word:
+            b = c.encode()
+            kind = "keep" if c < "\x80" else rng.choice(["keep", "whole", "cut"])
+            piece += c if kind == "keep" else "".join(mojibake.BACK[charset].get(x, chr(x)) for x in (b if kind == "whole" else b[: rng.randint(1, len(b) - 1)]))
+            lost, whole = lost + (kind == "cut"), whole + (kind == "whole")
+        way = mojibake.spelled(mojibake.lattice(piece, charset), word)
+        assert way is None if not lost + whole else way is not None and way[0] <= lost * -mojibake.LOST + len(word) * mojibake.KEPT
+        assert mojibake.spelled(mojibake.lattice(piece, charset), word + "x") is None
+
+
 def test_viterbi_keeps_to_a_channel():
     a, b = {"channel": "x", "reading": "1", "odds": 2.0}, {"channel": "y", "reading": "2", "odds": 2.2}
     assert mojibake.viterbi([[a], [a, b], [a]]) == [a, a, a]
