@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.llm.products import ATTRIBUTES, brands_of, compatible, listings, parse, same_sizes, signature
+from archivolt.llm.products import ATTRIBUTES, brands_of, compatible, listings_and_kinds, parse, same_sizes, signature
 from archivolt.session import materialize
 
 OPEN = ("brand", "color", "season", "measure")
@@ -116,8 +116,8 @@ def solve(pairs: DataFrame) -> DataFrame:
 def link(products: DataFrame, skus: DataFrame) -> DataFrame:
     """(meta_id, sku, confidence) of every linked listing."""
     brands = brands_of(products, skus)
-    rows = listings(products, brands)
-    known = parse(skus, "sku", brands, season="season").withColumn("model", F.col("name_model")).select("sku", *ATTRIBUTES).filter("model is not null")
+    rows, kinds = listings_and_kinds(products, brands)
+    known = parse(skus, "sku", brands, season="season", kinds=kinds).withColumn("model", F.col("name_model")).select("sku", *ATTRIBUTES).filter("model is not null")
     rows, known = same_sizes(rows, materialize(known))
     rows = rows.withColumn("sig", signature())
     left = rows.filter("model is not null").select("sig", *ATTRIBUTES).distinct()

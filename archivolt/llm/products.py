@@ -1,7 +1,7 @@
 """Attributes of product listings: brand, model, kind, colour, season and measure.
 
-The wordings of kinds, colours and seasons and the units are fixed lexicons; brands are those of the brand
-columns. Reference dictionary build-up: brand-model phrases are mined from trusted listings (those whose slug
+The wordings of kinds, colours and seasons and the units start from fixed lexicons; wordings of other kinds are
+mined from listings whose slug and name word one thing in two ways; brands are those of the brand columns. Reference dictionary build-up: brand-model phrases are mined from trusted listings (those whose slug
 and name, read apart, leave the same phrase), then found with an Aho-Corasick automaton in slug, name and
 description of every listing, where the longest match that is consistent with the listing's brand counts.
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from archivolt.llm.mojibake import utf8_reading
 from archivolt.session import fits, materialize
 
-#: most phrases in one automaton; most distinct brands
-SHARD, BRANDS = 150_000, 200_000
+#: most phrases in one automaton; most distinct brands; most mined pairs of wordings
+SHARD, BRANDS, WORDINGS = 150_000, 200_000, 10_000
 #: sizes so near are one, as units are printed rounded
 NEAR = 1.02
 ATTRIBUTES = ("brand", "model", "kind", "color", "season", "measure")
@@ -211,19 +211,19 @@ def brands_of(*tables: DataFrame) -> list[str]:
     return sorted(b for b, n in counts.items() if n > 1)
 
 
-def parse(df: DataFrame, key: str, brands: list[str], *, name: str = "name", slug: str | None = None, description: str | None = None, season: str | None = None) -> DataFrame:
+def parse(df: DataFrame, key: str, brands: list[str], *, name: str = "name", slug: str | None = None, description: str | None = None, season: str | None = None, kinds: dict[str, str] | None = None) -> DataFrame:
     """(key, brand, kind, color, season, measure, slug_model, name_model, text): all but the dictionary's model.
 
-    text holds the plain words of slug, name and description, set apart by a mark that no phrase has.
+    kinds are wordings beside the fixed ones with the kind they name (see mined_kinds). text holds the plain words of slug, name and description, set apart by a mark that no phrase has.
     """
-    shared = df.sparkSession.sparkContext.broadcast(brands)
+    shared = df.sparkSession.sparkContext.broadcast((brands, kinds or {}))
     none = F.lit(None).cast("string")
     cols = [F.col(key).alias("_k"), F.col(name).alias("name"), F.col("brand"), F.col("color"), F.col(slug).alias("slug") if slug else none.alias("slug"), F.col(description).alias("description") if description else none.alias("description"), F.col(season).alias("season") if season else none.alias("season")]
     kind = df.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ba = automaton((b, b) for b in shared.value)
-        known = set(shared.value)
+        ba, known = automaton((b, b) for b in shared.value[0]), set(shared.value[0])
+        ka = automaton([*((w, k) for k, ws in KINDS.items() for w in ws), *shared.value[1].items()]) if shared.value[1] else KIND
         seen = lambda text, a: first(v for _, _, v in hits(a, text))
         for f in frames:
             rows = []
@@ -234,9 +234,9 @@ def parse(df: DataFrame, key: str, brands: list[str], *, name: str = "name", slu
                 in_name, in_slug = hits(ba, ns), hits(ba, ss)
                 found = (own if own in known else None) or (in_name[0][2] if in_name else None) or (in_slug[0][2] if in_slug else None) or seen(ds, ba) or own or None
                 ns_bare, ss_bare = cut_out(ns, in_name), cut_out(ss, in_slug)
-                kind_n, kind_s = hits(KIND, ns_bare), hits(KIND, ss_bare)
+                kind_n, kind_s = hits(ka, ns_bare), hits(ka, ss_bare)
                 color = _color(co) or color_of(ss) or color_of(ns) or color_of(cleaned(de))
-                kind = seen(ss, KIND) or seen(ns, KIND) or seen(ds, KIND)
+                kind = seen(ss, ka) or seen(ns, ka) or seen(ds, ka)
                 rows.append((k, found, kind, color, _season(se) or season_of(nm) or season_of(de), measure_of(nm) or measure_of(sl, slug=True) or measure_of(de), without(cut_out(ss_bare, kind_s), COLOR).strip() or None, without(cut_out(ns_bare, kind_n), COLOR).strip() or None, f"{ss}|{ns}|{ds}"))
             yield pd.DataFrame(rows, columns=["_k", "brand", "kind", "color", "season", "measure", "slug_model", "name_model", "text"])
 
@@ -292,10 +292,43 @@ def signature(alias: str = "") -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(alias + c), F.lit("")) for c in ATTRIBUTES])
 
 
+def mined_kinds(parsed: DataFrame, least: int = 3) -> dict[str, str]:
+    """Wordings of kinds that the fixed list lacks, with the kind they name, mined from listings of no known kind.
+
+    Where slug and name agree but for a word or two, these word one thing in two ways; such a pair counts if at
+    least `least` phrases of brand and rest show it, as chance and slips do not repeat. Pairs that share a
+    wording name one kind, its least wording. At most WORDINGS pairs are fetched; more is an error, as no
+    shop's language has as many.
+    """
+    a, b = F.split("slug_model", " "), F.split("name_model", " ")
+    left, right, rest = F.array_except(a, b), F.array_except(b, a), F.array_sort(F.array_intersect(a, b))
+    odd = parsed.filter("kind is null and slug_model <> name_model").filter(F.size(left).between(1, 2) & F.size(right).between(1, 2) & (F.size(rest) >= 1))
+    x, y = F.array_join(left, " "), F.array_join(right, " ")
+    seen = odd.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), F.concat_ws("|", F.coalesce("brand", F.lit("")), F.array_join(rest, " ")).alias("of")).distinct()
+    pairs = seen.groupBy("x", "y").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    if not fits(pairs, WORDINGS):
+        raise ValueError(f"more than {WORDINGS} pairs of wordings")
+    kind: dict[str, str] = {}
+    for r in pairs.orderBy("x", "y").toLocalIterator():
+        old = {kind.get(r["x"], r["x"]), kind.get(r["y"], r["y"])}
+        new = min(old)
+        kind.update({w: new for w, k in kind.items() if k in old})
+        kind[r["x"]] = kind[r["y"]] = new
+    return kind
+
+
 def listings(products: DataFrame, brands: list[str]) -> DataFrame:
     """(meta_id, attributes) of all listings, as a written table."""
-    parsed = materialize(parse(products, "meta_id", brands, slug="slug", description="description", season="era"))
-    return materialize(with_model(parsed, "meta_id", materialize(reference_dictionary(parsed))))
+    return listings_and_kinds(products, brands)[0]
+
+
+def listings_and_kinds(products: DataFrame, brands: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """As listings(), with the wordings of kinds mined from them; where there are any, the listings are read again with them."""
+    read = lambda kinds: materialize(parse(products, "meta_id", brands, slug="slug", description="description", season="era", kinds=kinds))
+    parsed = read(None)
+    kinds = mined_kinds(parsed)
+    parsed = read(kinds) if kinds else parsed
+    return materialize(with_model(parsed, "meta_id", materialize(reference_dictionary(parsed)))), kinds
 
 
 def compatible(a: str, b: str, attributes: Iterable[str] = ("brand", "color", "season", "measure")) -> Column:

@@ -154,6 +154,19 @@ def test_small_measures_and_unknown_kinds(spark):
     assert {r["meta_id"]: r["sku"] for r in linkage.link(pm, skus).collect()} == {1: "A", 2: "A", 3: "B", 6: "D", 7: "D", 8: "C"}
 
 
+def test_kinds_that_no_list_has(spark):
+    """Kettles and teapots: their wordings are learned from slugs and names that differ in them alone."""
+    teach = [(i, f"{m} Teapot Navy", f"{m.lower().replace(' ', '-')}-kettle-navy-zz{i:03d}") for i, m in enumerate(("Moss Bay", "Wren Hill", "Elm Fold", "Reed Moor"))]
+    own = [(10, "Ash Dale Kettle Navy", "ash-dale-kettle-navy-yy001"), (11, "Ash Dale Teapot Navy", "ash-dale-teapot-navy-yy002"), (12, "Ash Dale mug Navy", "ash-dale-mug-navy-yy003"), (13, "Ash Dale cup Navy", "ash-dale-cup-navy-yy004"), (14, "Ash Dale Trivet Navy", "ash-dale-trivet-navy-yy005")]
+    pm = spark.createDataFrame([listing(i, n, g, "Navy", "Bexlow", "SS12") for i, n, g in teach + own], PM)
+    parsed = products.parse(pm, "meta_id", products.brands_of(pm), slug="slug", description="description", season="era")
+    assert products.mined_kinds(parsed) == {"kettle": "kettle", "teapot": "kettle"}
+    assert rows(products.pairs_of(products.grouped(products.listings(pm, products.brands_of(pm))))) == [(10, 11), (12, 13)]
+    skus = spark.createDataFrame([("A", "Bexlow Ash Dale Teapot", "Navy", "Bexlow", "SS12"), ("B", "Ash Dale enamel mug", "Navy", "Bexlow", "SS12")], "sku string, name string, color string, brand string, season string")
+    assert {r["meta_id"]: r["sku"] for r in linkage.link(pm, skus).collect()} == {10: "A", 11: "A", 12: "B", 13: "B"}
+    assert products.mined_kinds(parsed.limit(0)) == {}
+
+
 def test_measures():
     assert [products.measure_of(s) for s in ("15 ml", "96 g", "2.5 cm", "0 ml", "tolerance 2 mm", "tolerance 2 mm, 9 mm")] == ["15ml", "96g", "25mm", None, None, "9mm"]
 
