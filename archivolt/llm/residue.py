@@ -5,7 +5,7 @@ one reads whole texts (word n-grams, length, field and title features), one read
 suspicious mark (n-grams of their shape), as an unfilled slot may stand anywhere in a long text. Weak labels
 come from phrases that make up a whole text, from slot notations, and from response-status messages of the
 fetching program, which are negatives. Hosts are split by hash: the sample comes from training hosts only,
-and validate() measures on the others.
+and validate() measures on the others, and on texts of phrases that its own training never saw.
 
 Defined results: null, empty and blank fields are no case; repeated rows are judged alike.
 """
@@ -33,6 +33,8 @@ PHRASES = (
     r"page you requested could not be found", r"link you followed may be broken", r"seite nicht gefunden", r"p[áa]gina no encontrada", r"erreur \d+ ?: une erreur", r"something went wrong on our end", r"service temporarily unavailable", r"bad gateway", r"403 forbidden", r"access denied\. reference", r"too many requests", r"are you a robot", r"checking your browser", r"(store|shop) is currently unavailable", r"shop has been closed", r"domain has expired", r"404 not found nginx", r"only held a redirect",
     r"lorem ipsum dolor", r"blindtext", r"texte? [àa] venir", r"texto de ejemplo", r"your (own )?text here", r"description goes here", r"coming soon . copy to follow", r"enter a short summary", r"test product, please ignore", r"sample (title|paragraph)",
 )
+#: phrases whose texts validation keeps out of training
+HELD = PHRASES[::5]
 WHOLE = (r"(null|undefined|nan|none|n/a)([\s/–()|-]+(null|undefined|nan|none|n/a))+\)?", r"\[object object\]", r"tbd", r"(asdf\s*)+", r"(x{3,}\s*)+", r"sample title \d+")
 LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat"
 # Slot notations.
@@ -104,14 +106,19 @@ def window_features(w: str) -> list[str]:
     return out + ["c" + s[i : i + 4] for i in range(len(s) - 3) if MARKS.search(s[i : i + 4])] + [x for x in re.findall(r"(?:insert|your)\b", w.lower())]
 
 
-def train(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+def has_phrase(c: Column, phrases: tuple[str, ...]) -> Column:
+    return flat(c).rlike("|".join(phrases)) & (F.length(flat(c)) <= 160)
+
+
+def train(rows: DataFrame, sample: int = SAMPLE, held: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Weights of both classifiers from at most `sample` rows of each field and label of the training hosts.
 
-    The sample is cut by a window limit inside each map task, in one pass over a pool chosen by hash.
+    The sample is cut by a window limit inside each map task, in one pass over a pool chosen by hash. Texts with
+    one of the held phrases are left out of it.
     """
     n = rows.count()
     order = F.xxhash64("src_table", "row_id", "field_name", F.lit("residue"))
-    some = rows.filter("part <> 0").withColumn("o", order).filter(F.pmod("o", F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, POOL / max(n, 1))))
+    some = (rows.filter(~has_phrase(F.col("text"), held)) if held else rows).filter("part <> 0").withColumn("o", order).filter(F.pmod("o", F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, POOL / max(n, 1))))
     labelled = some.select("field_name", "text", "o", weak_label(F.col("text"), F.col("field_name")).alias("y"), slot_label(F.col("text")).alias("slot"), F.col("text").rlike(r"[{}\[\]%$#@_«»=]").alias("marked"))
     kind = Window.partitionBy("field_name", "y", "slot", "marked").orderBy("o")
     data = labelled.withColumn("at", F.row_number().over(kind)).filter(F.col("at") <= sample).drop("at", "marked", "o").toPandas().drop_duplicates()
@@ -146,9 +153,9 @@ def fields(products: DataFrame, fetches: DataFrame) -> DataFrame:
     return pm.unionByName(fr).filter(F.trim(F.regexp_replace("text", r"[\s\u00a0]+", " ")) != "")
 
 
-def scores(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(src_table, row_id, field_name, part, p_text, p_slot) of every field; rows as of fields()."""
-    weights = rows.sparkSession.sparkContext.broadcast(train(rows, sample))
+def scores(rows: DataFrame, sample: int = SAMPLE, held: tuple[str, ...] = ()) -> DataFrame:
+    """(src_table, row_id, field_name, part, p_text, p_slot) of every field; rows as of fields(), held phrases unseen in training."""
+    weights = rows.sparkSession.sparkContext.broadcast(train(rows, sample, held))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, (page, slot) = Encoder(), weights.value
@@ -176,9 +183,15 @@ def found(scored: DataFrame) -> DataFrame:
     return scored.filter("p_text >= 0.5 or p_slot >= 0.5").select("src_table", "row_id", "field_name")
 
 
-def validate(rows: DataFrame, scored: DataFrame) -> DataFrame:
-    """(field_name, n, precision, recall) against the weak labels on hosts not used for training."""
-    truth = rows.filter("part = 0").select("src_table", "row_id", "field_name", F.greatest(weak_label(F.col("text"), F.col("field_name")), slot_label(F.col("text"))).alias("y"))
-    both = truth.join(scored.filter("part = 0").select("src_table", "row_id", "field_name", ((F.col("p_text") >= 0.5) | (F.col("p_slot") >= 0.5)).cast("int").alias("p")), ["src_table", "row_id", "field_name"])
-    hits = F.sum(F.col("y") * F.col("p"))
-    return both.groupBy("field_name").agg(F.count("*").alias("n"), F.round(F.try_divide(hits, F.sum("p")), 6).alias("precision"), F.round(F.try_divide(hits, F.sum("y")), 6).alias("recall"))
+def validate(rows: DataFrame, scored: DataFrame, held: tuple[str, ...] = HELD) -> DataFrame:
+    """(field_name, n, precision, recall, n_unseen, recall_unseen) against the weak labels.
+
+    n, precision and recall are on hosts not used for training; n_unseen and recall_unseen on the texts of all
+    hosts that hold one of the held phrases, which training saw on none.
+    """
+    unseen = has_phrase(F.col("text"), held)
+    truth = rows.select("src_table", "row_id", "field_name", "part", unseen.alias("unseen"), F.greatest(weak_label(F.col("text"), F.col("field_name")), slot_label(F.col("text"))).alias("y")).filter("part = 0 or unseen")
+    both = truth.join(scored.select("src_table", "row_id", "field_name", ((F.col("p_text") >= 0.5) | (F.col("p_slot") >= 0.5)).cast("int").alias("p")), ["src_table", "row_id", "field_name"])
+    y, p, host, new = F.col("y"), F.col("p"), F.col("part") == 0, F.col("unseen") & (F.col("y") == 1)
+    hits = F.sum(F.when(host, y * p))
+    return both.groupBy("field_name").agg(F.count_if(host).alias("n"), F.round(F.try_divide(hits, F.sum(F.when(host, p))), 6).alias("precision"), F.round(F.try_divide(hits, F.sum(F.when(host, y))), 6).alias("recall"), F.count_if(new).alias("n_unseen"), F.round(F.try_divide(F.sum(F.when(new, p)), F.count_if(new)), 6).alias("recall_unseen"))

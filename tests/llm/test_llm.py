@@ -84,6 +84,9 @@ def test_residue(spark):
     assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 3
     v = {r["field_name"]: r for r in residue.validate(f, scored).collect()}
     assert v["description"]["recall"] > 0.98 and v["description"]["precision"] > 0.98  # hosts that training never saw
+    held = (r"404 not found nginx", r"page you requested could not be found")
+    blind = residue.validate(f, residue.scores(f, held=held), held).filter("field_name = 'description'").first()
+    assert blind["n_unseen"] > 10 and blind["recall_unseen"] is not None and blind["recall"] > 0.9
     assert residue.scores(residue.fields(pm.limit(0), fr.limit(0))).count() == 0
 
 
