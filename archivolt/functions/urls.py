@@ -90,7 +90,7 @@ def canonical_original(url: Column) -> Column:
 def percent_decoded(c: Column) -> Column:
     """As in path decoding '+' stays, and so does what is no escape; bytes that are no UTF-8 become U+FFFD."""
     whole = F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.coalesce(F.try_url_decode(whole), c)
+    return F.when(c.contains("%"), F.coalesce(F.try_url_decode(whole), c)).otherwise(c)  # most have nothing to decode
 
 
 def host(url: Column) -> Column:
