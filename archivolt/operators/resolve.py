@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import urls
-from archivolt.session import materialize, release
+from archivolt.session import fits, materialize, release
 
 STRONG, FLOOR, RATIO, LOW = 5, 0.6, 0.85, 0.35
 
@@ -34,30 +34,50 @@ def exact_keys(slugs: DataFrame, skus: DataFrame) -> DataFrame:
     return left.join(right, "key").groupBy("slug").agg(F.max("sku").alias("sku"))
 
 
-def grams(c, n: int = 3):
-    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))))
+def marks(c, q: int, w: int):
+    """Hashes of the q-grams of c that are least in a window of w neighbours; null below q + w - 1 characters.
+
+    A text that holds c has each window of c, so it has each of these marks; there are about 2 / (w + 1) a character.
+    """
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (q - 1), F.lit(1))), lambda i: F.xxhash64(F.substring(c, i, F.lit(q))))
+    if w > 1:
+        least = lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (w - 1), F.lit(1))), lambda i: F.array_min(F.slice(h, i, F.lit(w))))
+        each = F.element_at(F.transform(F.array(each), least), 1)  # the lambda binds the hashes, else each window hashes anew
+    return F.when(F.length(c) >= q + w - 1, F.array_distinct(each))
+
+
+#: Grams and windows of `marks` by length of the key; of the shorter keys' marks FEW are sent to the texts at the most.
+TIERS, FEW = ((1, 1), (2, 1), (3, 1), (5, 2), (8, 5)), 200_000
 
 
 def inside(short: DataFrame, long: DataFrame) -> DataFrame:
     """(ks, kl): the distinct keys of `long` that hold a distinct key of `short`; empty keys hold and are held by nothing.
 
-    A key's every trigram is in a key that holds it, so its rarest one, by the counts of the long side, finds
-    all pairs in an equi-join: a prefix that all keys share makes none. Keys of one or two characters are
-    looked up whole among the grams of their length.
+    A key that is held shares all its marks with its holder, so one that lacks a mark among the long keys is
+    dropped and any other meets the long keys by its rarest mark alone: a prefix that all keys share makes no
+    pairs. Only keys under twelve characters need the denser marks; long keys send those that a short key has.
+    Pairs are checked as texts, so clashes of hashes add none.
     """
     s = short.select(F.col("key").alias("ks")).filter("ks <> ''").distinct()
     t = long.select(F.col("key").alias("kl")).filter("kl <> ''").distinct()
-    each = t.select("kl", F.explode(grams(F.col("kl"))).alias("g"))
+    least = TIERS[-1][0] + TIERS[-1][1] - 1
+    own = F.coalesce(*[marks(F.col("ks"), q, w) for q, w in reversed(TIERS)])
+    few = s.filter(F.length("ks") < least).select(F.explode(F.coalesce(*[marks(F.col("ks"), q, w) for q, w in reversed(TIERS[:-1])])).alias("g")).distinct()
+    dense = t.select("kl", F.explode(F.concat(*[F.coalesce(marks(F.col("kl"), q, w), F.array().cast("array<bigint>")) for q, w in TIERS[:-1]])).alias("g"))
+    dense = dense.join(F.broadcast(few) if fits(few, FEW) else few, "g", "left_semi")
+    each = t.select("kl", F.explode(marks(F.col("kl"), *TIERS[-1])).alias("g")).unionByName(dense.select("kl", "g"))
     seen = each.groupBy("g").agg(F.count("*").alias("n"))
-    rare = s.select("ks", F.explode(grams(F.col("ks"))).alias("g")).join(seen, "g", "left")
-    rare = rare.groupBy("ks").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("g"))).alias("b")).filter("b.n > 0").select("ks", F.col("b.g").alias("g"))
-    found = rare.join(each, "g").filter(F.contains("kl", "ks")).select("ks", "kl")
-    tiny = t.select("kl", F.explode(F.concat(grams(F.col("kl"), 1), F.coalesce(grams(F.col("kl"), 2), F.array().cast("array<string>")))).alias("ks"))
-    return found.unionByName(s.filter(F.length("ks") < 3).join(tiny, "ks").select("ks", "kl"))
+    by = [F.xxhash64("ks").alias("i"), F.hash("ks").alias("j"), F.length("ks").alias("m")]
+    asked = s.select(*by, own.alias("own")).withColumn("g", F.element_at("own", -1)).join(seen.select("g"), "g", "left_semi")  # most keys end here, before they send all their marks
+    asked = asked.select("i", "j", "m", F.size("own").alias("all"), F.explode("own").alias("g")).join(seen, "g")
+    rare = asked.groupBy("i", "j", "m", "all").agg(F.min(F.struct("n", "g")).alias("b"), F.count("*").alias("have")).filter("have = all").select("i", "j", "m", F.col("b.g").alias("g"))
+    rare = s.select("ks", *by).join(rare, ["i", "j", "m"]).select("ks", "g")
+    return rare.join(each, "g").filter(F.contains("kl", "ks")).select("ks", "kl")
 
 
 def contained(left: DataFrame, right: DataFrame) -> DataFrame:
     """(lid, rid) where one key contains the other; null and empty keys match nothing, repeated rows once."""
+    left, right = materialize(left.select("id", "key")), materialize(right.select("id", "key"))  # else filters on keys compute them again
     a, b = left.select(F.col("id").alias("lid"), F.col("key").alias("_l")), right.select(F.col("id").alias("rid"), F.col("key").alias("_r"))
     keys = inside(left, right).select(F.col("ks").alias("_l"), F.col("kl").alias("_r")).unionByName(inside(right, left).select(F.col("kl").alias("_l"), F.col("ks").alias("_r"))).distinct()
     return keys.join(a, "_l").join(b, "_r").select("lid", "rid").distinct()

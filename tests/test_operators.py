@@ -262,6 +262,24 @@ def test_matching_stages_against_brute_force(spark):
     assert got == {i: (round(q, 6), j) for i, (q, j) in want.items() if q >= 0.85} and len(got) > 10
 
 
+def test_containment_meets_by_rare_marks(spark):
+    """Every three letters are frequent here, so trigrams would pair each key with most texts; marks of longer keys are few and rare."""
+    rng = random.Random(5)
+    texts = ["-".join(rng.choice(["lor", "mel", "sel", "vor"]) + rng.choice(["lor", "mel", "sel", "vor"]) for _ in range(5)) for _ in range(300)]
+    keys = sorted({t[i : i + n] for t in texts[:60] for n in (1, 2, 3, 5, 6, 11, 12, 13, 20, 34) for i in [rng.randint(0, len(t) - n)]} | {"zz", "lorx", "lormel-lormelx", "lorlor-lorlor-lorlor"})
+    k, t = spark.createDataFrame([(x,) for x in keys], "key string"), spark.createDataFrame([(x,) for x in [*texts, "", None]], "key string")
+    assert {tuple(r) for r in resolve.inside(k, t).collect()} == {(x, y) for x in keys for y in texts if x in y}
+    q, w = resolve.TIERS[-1]
+    own = {r["key"]: r["m"] for r in k.unionByName(t).filter("key is not null").select("key", resolve.marks(F.col("key"), q, w).alias("m")).collect()}
+    for x in keys:
+        assert (own[x] is None) == (len(x) < q + w - 1)
+        assert all(set(own[x]) <= set(own[y]) for y in texts if own[x] and x in y)
+    assert sum(len(own[y]) for y in texts) < 300 * 34 / 2
+    whole = [x for x in keys if len(x) == 34]
+    pairs = sum(min(sum(m in own[y] for y in texts) for m in own[x]) for x in whole)
+    assert len(whole) > 20 and 3 * pairs < sum(min(sum(x[i : i + 3] in y for y in texts) for i in range(32)) for x in whole)
+
+
 def test_replaced_table_survives_a_crash(spark, tmp_path):
     path = str(tmp_path / "t")
     writers.replace_table(spark.range(2), path)
