@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from archivolt.functions import urls
 from archivolt.session import fits, materialize, release
 
-STRONG, FLOOR, RATIO, LOW = 5, 0.6, 0.85, 0.35
+STRONG, FLOOR, RATIO, WHOLE = 5, 0.6, 0.85, 12
 
 
 def sku_to_slug(metadata: DataFrame) -> DataFrame:
@@ -138,57 +138,54 @@ def match_products(slugs: DataFrame, skus: DataFrame) -> DataFrame:
     return taken.select("slug", F.col("_last").alias("sku"), F.lit(1).alias("strategy")).unionByName(chosen.join(taken.select("slug"), "slug", "left_anti"))
 
 
-def _strong_sets(t, size: int):
-    """The sets of `size` of a sorted array's tokens that hold a strong one, as texts."""
-    out = F.transform(t, lambda x, i: F.struct(x.alias("s"), (i + 1).alias("i"), F.length(x).alias("m")))
-    for _ in range(size - 1):
-        out = F.flatten(F.transform(out, lambda o: F.transform(F.slice(t, o["i"] + 1, F.size(t)), lambda y, j: F.struct(F.concat(o["s"], F.lit(" "), y).alias("s"), (o["i"] + j + 1).alias("i"), F.greatest(o["m"], F.length(y)).alias("m")))))
-    return F.transform(F.filter(out, lambda o: o["m"] >= STRONG), lambda o: o["s"])
+def _sets(t):
+    """(h, c, k, strong) of the sets of a sorted array's tokens: two hashes, size, whether one is strong; the empty set first.
+
+    All sets of up to WHOLE tokens; of more tokens those of three and less.
+    """
+    none = F.array(F.struct(F.lit(1).cast("long").alias("h"), F.lit(1).alias("c"), F.lit(0).alias("k"), F.lit(False).alias("strong")))
+    most = F.when(F.size(t) <= WHOLE, F.lit(WHOLE)).otherwise(3)
+    more = lambda x: lambda o: F.struct(F.xxhash64(o["h"], x).alias("h"), F.hash(o["c"], x).alias("c"), (o["k"] + 1).alias("k"), (o["strong"] | (F.length(x) >= STRONG)).alias("strong"))
+    return F.aggregate(t, none, lambda out, x: F.concat(out, F.transform(F.filter(out, lambda o: o["k"] < most), more(x))))
 
 
 def token_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """(lid, rid, score): the best right key sharing a strong token or with token Jaccard at the floor; the smaller id wins ties.
 
-    Exact in phases, none of which pairs all rows of a frequent token. All pairs of a Jaccard of f or more share
-    one of the rarest tokens of each side (prefix filter), so a row whose best match there reaches f is settled
-    and only the rest goes on to a lower f. What is left shares few tokens: for each set of one to three
-    tokens with a strong one, the shortest right key that holds it (an aggregation) is the best that shares just
-    these; pairs that share four or more, which at so low a score are long keys, come from a prefix filter.
-    Null keys and keys without tokens match nothing.
+    Exact without pairing the rows of a frequent token. Of the right keys that hold a set of tokens, the shortest
+    (then the one of smallest id) has the best score that just this set gives, so one row a set is enough, by an
+    aggregation; the best of a left key over all sets of its tokens is its best match, as the set that both share
+    is among them. Only tokens that both sides know form sets. Keys with more than WHOLE of these have
+    sets of up to three tokens; what such a key shares with another beyond that is counted pair by pair, for pairs
+    that share three. Null keys and keys without tokens match nothing.
     """
-    a = left.select(F.col("id").alias("lid"), F.array_sort(urls.tokens(F.col("key"))).alias("tl")).filter(F.size("tl") > 0)
-    b = right.select(F.col("id").alias("rid"), F.array_sort(urls.tokens(F.col("key"))).alias("tr")).filter(F.size("tr") > 0)
-    seen = materialize(a.select(F.explode("tl").alias("tok")).unionByName(b.select(F.explode("tr").alias("tok"))).groupBy("tok").agg(F.count("*").alias("df")))
-
-    def ranked(d: DataFrame, key: str, t: str) -> DataFrame:
-        each = d.select(key, F.size(t).alias("n"), F.explode(t).alias("tok")).join(seen, "tok")
-        return each.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("df", "tok")))
-
-    def best(s: DataFrame) -> DataFrame:
-        return s.groupBy("lid").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("rid"))).alias("b")).select("lid", F.col("b.rid").alias("rid"), (-F.col("b.s")).alias("score"))
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        s = pairs.join(rest, "lid").join(b, "rid").withColumn("shared", F.array_intersect("tl", "tr"))
-        s = s.select("lid", "rid", F.array_max(F.transform("shared", F.length)).alias("longest"), (F.size("shared") / (F.size("tl") + F.size("tr") - F.size("shared"))).alias("score"))
-        return s.filter((F.col("longest") >= STRONG) | (F.col("score") >= FLOOR)).select("lid", "rid", "score")
-
-    ra, rb, rest, out = materialize(ranked(a, "lid", "tl")), materialize(ranked(b, "rid", "tr")), a, None
-    for f in (FLOOR, LOW):
-        near = lambda r: r.filter(F.col("rank") <= F.col("n") - F.ceil(f * F.col("n")) + 1)  # noqa: B023, E731
-        pairs = near(ra.join(rest.select("lid"), "lid", "left_semi")).select("lid", "tok").join(near(rb).select("rid", "tok"), "tok").select("lid", "rid").distinct()
-        hit = materialize(best(scored(pairs)).filter(F.col("score") >= f))
-        out = hit if out is None else out.unionByName(hit)
-        rest = materialize(rest.join(hit.select("lid"), "lid", "left_anti"))
-    some = None
-    for k in (1, 2, 3):
-        wanted = rest.select("lid", F.size("tl").alias("nl"), F.explode(_strong_sets(F.col("tl"), k)).alias("set"))
-        short = b.select("rid", F.size("tr").alias("nr"), F.explode(_strong_sets(F.col("tr"), k)).alias("set")).groupBy("set").agg(F.min(F.struct("nr", "rid")).alias("b"))
-        got = wanted.join(short, "set").select("lid", "b.rid", (F.lit(k) / (F.col("nl") + F.col("b.nr") - k)).alias("score"))
-        some = got if some is None else some.unionByName(got)
-    long = int(4 / LOW) + 4  # tokens of both sides that four shared ones need for a score below LOW
-    most = lambda r, k: r.filter("rank <= n - 3").select(k, "tok", "n")
-    many = most(ra.join(rest.select("lid"), "lid", "left_semi"), "lid").join(most(rb, "rid").withColumnRenamed("n", "m"), "tok").filter(F.col("n") + F.col("m") > long).select("lid", "rid").distinct()
-    return out.unionByName(best(some.unionByName(scored(many)))).withColumn("score", F.round("score", 6))
+    spark = right.sparkSession
+    a = materialize(left.select(F.col("id").alias("lid"), F.array_sort(urls.tokens(F.col("key"))).alias("t")).filter(F.size("t") > 0).distinct().withColumn("o", F.monotonically_increasing_id()))
+    b = right.select(F.col("id").alias("rid"), F.array_sort(urls.tokens(F.col("key"))).alias("t")).filter(F.size("t") > 0)
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 10)  # so that the numbers, which keep the ids' order, have 43 bits
+    b = materialize(b.repartitionByRange(parts, F.asc_nulls_first("rid")).sortWithinPartitions(F.asc_nulls_first("rid")).withColumn("o", F.monotonically_increasing_id()))
+    word = lambda d: d.select("o", F.size("t").alias("n"), F.explode("t").alias("tok"))
+    both = materialize(word(a).select("tok").distinct().join(word(b).select("tok").distinct(), "tok"))
+    known = lambda d: materialize(word(d).join(both, "tok").groupBy("o", "n").agg(F.array_sort(F.collect_list("tok")).alias("t")))
+    ka, kb = known(a), known(b)
+    every = lambda d: d.select("o", "n", F.explode(_sets(F.col("t"))).alias("s")).select("o", "n", "s.*").filter("k > 0")
+    # a set without a strong token counts from the floor up, which bounds its size
+    sets = lambda d: every(d).filter(F.col("strong") | (F.col("k") >= FLOOR * F.col("n") - 1e-9))
+    best = sets(kb).groupBy("h", "c", "k").agg(F.min(F.shiftleft(F.col("n").cast("long"), 43).bitwiseOR(F.col("o"))).alias("b"))
+    score = F.col("k") / (F.col("n") + F.col("m") - F.col("k"))
+    got = sets(ka).join(best, ["h", "c", "k"]).select("o", "n", "k", "strong", F.shiftright("b", 43).alias("m"), F.col("b").bitwiseAND(F.lit((1 << 43) - 1)).alias("r")).withColumn("score", score)
+    got = got.filter(F.col("strong") | (F.col("score") >= FLOOR)).select("o", "r", "score")
+    la, lb = (d.filter(F.size("t") > WHOLE) for d in (ka, kb))
+    three = lambda d, o="o": every(d).filter("k = 3").select("h", "c", F.col("o").alias(o))
+    for x, y in ((la, kb), (ka, lb)):
+        if x.isEmpty() or y.isEmpty():
+            continue
+        pairs = three(x).join(three(y, "r"), ["h", "c"]).select("o", "r").distinct()
+        pairs = pairs.join(x, "o").join(y.select(F.col("o").alias("r"), F.col("n").alias("m"), F.col("t").alias("u")), "r").withColumn("t", F.array_intersect("t", "u")).withColumn("k", F.size("t")).withColumn("score", score)
+        got = got.unionByName(pairs.filter(F.exists("t", lambda w: F.length(w) >= STRONG) | (F.col("score") >= FLOOR)).select("o", "r", "score"))
+    top = got.groupBy("o").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("r"))).alias("b"))
+    top = top.join(a.select("o", "lid"), "o").groupBy("lid").agg(F.min("b").alias("b")).select("lid", F.col("b.r").alias("o"), F.round(-F.col("b.s"), 6).alias("score"))
+    return top.join(b.select("o", "rid"), "o").select("lid", "rid", "score")
 
 
 def close_matches(left: DataFrame, right: DataFrame, cutoff: float = RATIO) -> DataFrame:

@@ -280,6 +280,27 @@ def test_containment_meets_by_rare_marks(spark):
     assert len(whole) > 20 and 3 * pairs < sum(min(sum(x[i : i + 3] in y for y in texts) for i in range(32)) for x in whole)
 
 
+def test_token_matches_by_sets(spark):
+    """One row a set of tokens instead of pairs of rows; keys of many tokens, with and without a strong one, too."""
+    rng = random.Random(6)
+    words = ["hooded", "parka", "black", "cap", "tee", "x1", "x2", "x3", *(f"w{i}" for i in range(14))]
+    key = lambda n: " ".join(rng.sample(words, n))
+    left = [(i, key(rng.choice([2, 4, 6, 13, 16, 20]))) for i in range(40)] + [(80, " ".join(f"w{i}" for i in range(14)))]
+    right = [(f"r{i:02d}", key(rng.choice([2, 3, 5, 7, 14, 18]))) for i in range(60)] + [("r90", " ".join(f"w{i}" for i in range(13)) + " q")]
+    want = {}
+    for i, x in left:
+        for j, y in right:
+            a, b = set(x.split()), set(y.split())
+            score = len(a & b) / len(a | b)
+            if a & b and (max(map(len, a & b)) >= 5 or score >= 0.6):
+                want[i] = min(want.get(i, (0, "")), (-score, j))
+    got = resolve.token_matches(spark.createDataFrame(left, "id int, key string"), spark.createDataFrame(right, "id string, key string"))
+    assert {r["lid"]: (r["rid"], r["score"]) for r in got.collect()} == {i: (j, round(-sc, 6)) for i, (sc, j) in want.items()}
+    sets = lambda *t: {tuple(s) for s in spark.range(1).select(F.explode(resolve._sets(F.array(*map(F.lit, t))))).select("col.*").collect()}
+    assert len(sets("a", "b", "c")) == 8 and sets("a", "b", "c") & sets("b", "c", "d") == sets("b", "c")
+    assert len(sets(*(f"{i:02d}" for i in range(13)))) == 1 + 13 + 78 + 286
+
+
 def test_replaced_table_survives_a_crash(spark, tmp_path):
     path = str(tmp_path / "t")
     writers.replace_table(spark.range(2), path)
