@@ -245,10 +245,10 @@ def attribute_images(images: DataFrame, slugs: DataFrame, skus: DataFrame | None
     Where the order of a set would decide, the smallest slug does. Images without a stem match nothing. Each
     stage's hits and what it leaves are written once and matched by distinct stem part, so repeats cost nothing.
     """
-    rest = images.select("image").distinct().withColumn("stem", urls.image_stem(F.col("image"))).filter("stem <> ''")
+    rest = materialize(images.select("image").distinct().withColumn("stem", urls.image_stem(F.col("image")))).filter("stem <> ''")  # a long expression, else planned and computed for each use
     parts = F.split("stem", "__")
     rest = rest.withColumn("last", F.element_at(parts, -1)).withColumn("prev", F.when(F.size(parts) >= 2, F.element_at(parts, -2)))
-    s = slugs.select("slug").distinct()
+    s = materialize(slugs.select("slug").distinct())
     out = None
 
     def take(hit: DataFrame, stage: str):

@@ -301,6 +301,17 @@ def test_token_matches_by_sets(spark):
     assert len(sets(*(f"{i:02d}" for i in range(13)))) == 1 + 13 + 78 + 286
 
 
+def test_cascade_computes_stems_once(spark, monkeypatch):
+    """The stem is a long expression; inlined into all stages it was planned and computed again for each."""
+    written, write = [], resolve.materialize
+    monkeypatch.setattr(resolve, "materialize", lambda d: written.append(d.columns) or write(d))
+    images = spark.createDataFrame([("https://a.com/i/blue-cap.jpg?x=1",), ("shop__red-mug.png",), ("",), ("blue-ca_1.jpg",)], "image string")
+    slugs = spark.createDataFrame([("blue-cap",), ("red-mug",)], "slug string")
+    got = resolve.attribute_images(images, slugs, fuzzy=False)
+    assert rows(got, "image", "slug", "stage") == sorted([("https://a.com/i/blue-cap.jpg?x=1", "blue-cap", "exact"), ("shop__red-mug.png", "red-mug", "parts")], key=str)
+    assert written[0] == ["image", "stem"]
+
+
 def test_replaced_table_survives_a_crash(spark, tmp_path):
     path = str(tmp_path / "t")
     writers.replace_table(spark.range(2), path)
