@@ -5,7 +5,9 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,19 +36,70 @@ def exact_keys(slugs: DataFrame, skus: DataFrame) -> DataFrame:
     return left.join(right, "key").groupBy("slug").agg(F.max("sku").alias("sku"))
 
 
+def _least(data: np.ndarray, ends: np.ndarray, row: np.ndarray, q: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash): of the q-grams of joined texts the hash that is least in each window of w neighbours in one text."""
+    n = len(data) - (q + w - 2)
+    if n <= 0:
+        return row[:0], row[:0]
+    h = np.full(len(data) - q + 1, q, np.uint64)
+    for i in range(q):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + data[i : i + len(h)]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(32))).view(np.int64)
+    least = h[:n]
+    for i in range(1, w):
+        least = np.minimum(least, h[i : i + n])
+    whole = np.arange(n) + (q + w - 2) < ends[row[:n]]
+    r, g = row[:n][whole], least[whole]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (g[1:] != g[:-1])
+    return r[new], g[new]
+
+
+def _marks(tiers: tuple, first: bool, known: dict | None = None):
+    """An Arrow function from texts to their distinct marks in the tiers (q, w), of `known` tiers those it names; null where
+    a text is too short. first: only those of the first tier that a text is long enough for."""
+
+    def of(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.binary())
+        gone = texts.is_null().to_numpy(zero_copy_only=False)
+        texts = pa.concat_arrays([texts.fill_null(b"")])
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]].astype(np.uint64)
+        bounds, size = bounds - bounds[0], np.diff(bounds)
+        row = np.repeat(np.arange(len(texts)), size)
+        rows, values, left = [], [], ~gone
+        for q, w in tiers:
+            fit = left & (size >= q + w - 1)
+            r, g = _least(data, bounds[1:], row, q, w)
+            if known is not None and (q, w) in known:
+                k = known[q, w]
+                r, g = (r[:0], g[:0]) if not len(k) else (lambda hit: (r[hit], g[hit]))(k[np.minimum(np.searchsorted(k, g), len(k) - 1)] == g)
+            rows.append(r[fit[r]])
+            values.append(g[fit[r]])
+            left = left & ~fit if first else left
+        r, g = np.concatenate(rows), np.concatenate(values)
+        order = np.lexsort((g, r))
+        r, g = r[order], g[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (g[1:] != g[:-1])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(r[new], minlength=len(texts)))]).astype(np.int32)
+        short = gone | (size < min(q + w - 1 for q, w in tiers))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(g[new], pa.int64()), mask=pa.array(short))
+
+    return F.arrow_udf(of, "array<bigint>")
+
+
 def marks(c, q: int, w: int):
-    """Hashes of the q-grams of c that are least in a window of w neighbours; null below q + w - 1 characters.
+    """Hashes of the q-grams of c's bytes that are least in a window of w neighbours; null below q + w - 1 bytes.
 
-    A text that holds c has each window of c, so it has each of these marks; there are about 2 / (w + 1) a character.
+    A text that holds c has each window of c, so it has each of these marks; there are about 2 / (w + 1) a byte.
     """
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (q - 1), F.lit(1))), lambda i: F.xxhash64(F.substring(c, i, F.lit(q))))
-    if w > 1:
-        least = lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (w - 1), F.lit(1))), lambda i: F.array_min(F.slice(h, i, F.lit(w))))
-        each = F.element_at(F.transform(F.array(each), least), 1)  # the lambda binds the hashes, else each window hashes anew
-    return F.when(F.length(c) >= q + w - 1, F.array_distinct(each))
+    return _marks(((q, w),), True)(c)
 
 
-#: Grams and windows of `marks` by length of the key; of the shorter keys' marks FEW are sent to the texts at the most.
+#: Grams and windows of `marks` by length of the key; up to FEW marks of the shorter keys are sent to the texts, else they are joined.
 TIERS, FEW = ((1, 1), (2, 1), (3, 1), (5, 2), (8, 5)), 200_000
 
 
@@ -60,12 +113,18 @@ def inside(short: DataFrame, long: DataFrame) -> DataFrame:
     """
     s = short.select(F.col("key").alias("ks")).filter("ks <> ''").distinct()
     t = long.select(F.col("key").alias("kl")).filter("kl <> ''").distinct()
-    least = TIERS[-1][0] + TIERS[-1][1] - 1
-    own = F.coalesce(*[marks(F.col("ks"), q, w) for q, w in reversed(TIERS)])
-    few = s.filter(F.length("ks") < least).select(F.explode(F.coalesce(*[marks(F.col("ks"), q, w) for q, w in reversed(TIERS[:-1])])).alias("g")).distinct()
-    dense = t.select("kl", F.explode(F.concat(*[F.coalesce(marks(F.col("kl"), q, w), F.array().cast("array<bigint>")) for q, w in TIERS[:-1]])).alias("g"))
-    dense = dense.join(F.broadcast(few) if fits(few, FEW) else few, "g", "left_semi")
-    each = t.select("kl", F.explode(marks(F.col("kl"), *TIERS[-1])).alias("g")).unionByName(dense.select("kl", "g"))
+    own = _marks(TIERS[::-1], True)(F.col("ks"))
+    least = lambda q, w: F.octet_length("ks") >= q + w - 1
+    tier = F.coalesce(*[F.when(least(*x), F.lit(i)) for i, x in reversed(list(enumerate(TIERS)))])
+    few = s.filter(~least(*TIERS[-1])).select(tier.alias("tier"), F.explode(own).alias("g")).distinct()
+    got = few.limit(FEW + 1).toArrow()
+    if got.num_rows <= FEW:
+        at, g = got["tier"].to_numpy(), got["g"].to_numpy()
+        known = {x: np.sort(g[at == i]) for i, x in enumerate(TIERS[:-1]) if (at == i).any()}
+        each = t.select("kl", F.explode(_marks((*known, TIERS[-1]), False, known)(F.col("kl"))).alias("g"))
+    else:
+        dense = t.select("kl", F.explode(_marks(TIERS[:-1], False)(F.col("kl"))).alias("g")).join(few.select("g").distinct(), "g", "left_semi")
+        each = t.select("kl", F.explode(_marks(TIERS[-1:], False)(F.col("kl"))).alias("g")).unionByName(dense.select("kl", "g"))
     seen = each.groupBy("g").agg(F.count("*").alias("n"))
     by = [F.xxhash64("ks").alias("i"), F.hash("ks").alias("j"), F.length("ks").alias("m")]
     asked = s.select(*by, own.alias("own")).withColumn("g", F.element_at("own", -1)).join(seen.select("g"), "g", "left_semi")  # most keys end here, before they send all their marks
@@ -91,26 +150,43 @@ def name_and_color(slugs: DataFrame, skus: DataFrame) -> DataFrame:
     return keys.join(k, "ks").filter(F.contains("kl", "c")).join(s, "kl").select("slug", "sku").distinct()
 
 
+#: Pairs of a serial choice that one task goes through at once, and rounds that lessen more of them before it does.
+ALONE, ROUNDS = 2_000_000, 3
+
+
 def serial_choice(pairs: DataFrame, by: str, of: str, rank: str) -> DataFrame:
     """(of, by): each `by`, in ascending order, takes the free `of` of least rank among its pairs (by, of, rank).
 
-    Found without a serial pass, by deferred acceptance: all choose at once and an `of` keeps the smallest that
-    chose it, which a smaller one may still displace; whoever lost crosses it off and chooses again. As every
-    `of` prefers the smaller `by`, this ends in the serial result, the only one in which nobody has a wish
-    that a smaller one does not hold. Each round is two aggregations; nothing is gathered in one task.
+    One task goes through the sorted pairs as a stream and remembers what is taken, so no chain of displacements
+    costs a job for each of its links. More than ALONE pairs are lessened before: all choose at once, an `of`
+    keeps the smallest that chose it and everybody above that one crosses it off. This cannot change the result:
+    the smallest gets it, or finds it taken by a smaller one still.
     Null keys take no part; repeated pairs count once.
     """
     rest = materialize(pairs.filter(F.col(by).isNotNull() & F.col(of).isNotNull()).select(by, of, rank))
-    while True:
+    for _ in range(ROUNDS):
+        if fits(rest, ALONE):
+            break
         want = rest.groupBy(by).agg(F.min(F.struct(rank, of)).alias("b")).select(by, F.col(f"b.{of}").alias(of))
-        held = materialize(want.groupBy(of).agg(F.min(by).alias("_held"), F.count("*").alias("_n")))
-        if (held.agg(F.max("_n")).first()[0] or 1) == 1:
-            return held.select(of, F.col("_held").alias(by))
-        left = materialize(rest.join(held.select(of, "_held"), of, "left").filter(F.col("_held").isNull() | (F.col(by) <= F.col("_held"))).select(by, of, rank))
+        held = want.groupBy(of).agg(F.min(by).alias("_held"))
+        left = materialize(rest.join(held, of, "left").filter(F.col("_held").isNull() | (F.col(by) <= F.col("_held"))).select(by, of, rank))
         release(rest)
-        release(held)
         rest = left
 
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, served = set(), None
+        for b in batches:
+            at = []
+            for i, (o, x) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if x != served and o not in taken:
+                    taken.add(o)
+                    served = x
+                    at.append(i)
+            yield b.take(pa.array(at, pa.int64()))
+
+    one = rest.repartition(1).sortWithinPartitions(by, rank, of).select(of, by)
+    return materialize(one.mapInArrow(take, one.schema))
+
 
 def match_products(slugs: DataFrame, skus: DataFrame) -> DataFrame:
     """(slug, sku, strategy), one sku a slug: products in the order of their sku take an exact key, else the first free slug

@@ -238,6 +238,18 @@ def test_serial_choice(spark):
     assert {tuple(r) for r in resolve.serial_choice(spark.createDataFrame(chain, "sku string, slug string, rank int"), "sku", "slug", "rank").collect()} == {("A", "s1"), ("B", "s2")}
 
 
+def test_serial_choice_costs_no_job_a_link(spark, monkeypatch):
+    """Many that all want one list took a round each, whose plans the driver kept."""
+    written, write = [], resolve.materialize
+    monkeypatch.setattr(resolve, "materialize", lambda d: written.append(d.columns) or write(d))
+    n, chain = 25, "sku string, slug string, rank int"
+    df = spark.createDataFrame([(f"s{i:02d}", f"g{j:02d}", j) for i in range(n) for j in range(n)], chain)
+    want = {(f"g{i:02d}", f"s{i:02d}") for i in range(n)}
+    assert {tuple(r) for r in resolve.serial_choice(df, "sku", "slug", "rank").collect()} == want and len(written) == 2
+    monkeypatch.setattr(resolve, "ALONE", 100)
+    assert {tuple(r) for r in resolve.serial_choice(df.unionByName(df), "sku", "slug", "rank").collect()} == want and len(written) == 4 + resolve.ROUNDS
+
+
 def test_matching_stages_against_brute_force(spark):
     rng = random.Random(4)
     word = lambda: rng.choice(["brand", "brand", "tee", "canyon", "anchor", "mug", "x", "530135", "ab", "olive", "navy", "rusty"])
