@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -264,6 +265,19 @@ def token_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     return top.join(b.select("o", "rid"), "o").select("lid", "rid", "score")
 
 
+def _numbered(keys: pa.Array) -> pa.Array:
+    """The two-letter grams of each key, repeats numbered; of a single letter the letter."""
+    out = []
+    for k in keys.to_pylist():
+        n, grams = {}, []
+        for i in range(max(len(k) - 1, 1)):
+            g = k[i : i + 2]
+            n[g] = n.get(g, 0) + 1
+            grams.append(f"{g}{n[g]}")
+        out.append(grams)
+    return pa.array(out, pa.list_(pa.string()))
+
+
 def close_matches(left: DataFrame, right: DataFrame, cutoff: float = RATIO) -> DataFrame:
     """(lid, rid, ratio): the most similar right key by the sequence ratio, at the cutoff or above; the greater id wins ties.
 
@@ -278,11 +292,12 @@ def close_matches(left: DataFrame, right: DataFrame, cutoff: float = RATIO) -> D
 
     def keyed(d: DataFrame, k: str) -> DataFrame:
         c = F.col(k)
-        raw = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
-        numbered = F.transform(raw, lambda g, i: F.concat(g, F.size(F.filter(F.slice(raw, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
-        return d.select(F.col("key").alias(k)).filter(f"{k} <> ''").distinct().select(k, numbered.alias("g" + k))
+        return d.select(F.col("key").alias(k)).filter(f"{k} <> ''").distinct().select(k, F.arrow_udf(_numbered, "array<string>")(k).alias("g" + k))
 
-    a, b = materialize(keyed(left, "kl")), materialize(keyed(right, "kr"))
+    a = materialize(keyed(left, "kl"))
+    lengths = [r[0] for r in a.select(F.length("kl")).distinct().collect()]  # as many as keys have lengths, not rows
+    spans = sorted({x for n in lengths for x in range(math.ceil(n * cutoff / (2 - cutoff) - 1e-6), math.floor(n * (2 - cutoff) / cutoff + 1e-6) + 1)})
+    b = materialize(keyed(right.filter(F.length("key").isin(spans)), "kr"))
     seen = a.select(F.explode("gkl").alias("g")).unionByName(b.select(F.explode("gkr").alias("g"))).groupBy("g").agg(F.count("*").alias("df"))
 
     def least(n, other):
@@ -319,7 +334,8 @@ def attribute_images(images: DataFrame, slugs: DataFrame, skus: DataFrame | None
     """(image, slug, stage): exact, parts, sku, containment, tokens, ratio; each stage on what the last ones left.
 
     Where the order of a set would decide, the smallest slug does. Images without a stem match nothing. Each
-    stage's hits and what it leaves are written once and matched by distinct stem part, so repeats cost nothing.
+    stage's hits and what it leaves are written once and matched by distinct stem part, so repeats cost nothing;
+    a stage without hits leaves the table as it is, and none runs on an empty one.
     """
     rest = materialize(images.select("image").distinct().withColumn("stem", urls.image_stem(F.col("image")))).filter("stem <> ''")  # a long expression, else planned and computed for each use
     parts = F.split("stem", "__")
@@ -327,25 +343,27 @@ def attribute_images(images: DataFrame, slugs: DataFrame, skus: DataFrame | None
     s = materialize(slugs.select("slug").distinct())
     out = None
 
-    def take(hit: DataFrame, stage: str):
+    def take(hit: DataFrame, stage):
         nonlocal rest, out
-        hit = materialize(hit.select("image", "slug", F.lit(stage).alias("stage")))
+        hit = materialize(hit.select("image", "slug", (F.lit(stage) if isinstance(stage, str) else stage).alias("stage")))
         out = hit if out is None else out.unionByName(hit)
-        rest = materialize(rest.join(hit.select("image"), "image", "left_anti"))
+        if not hit.isEmpty():
+            rest = materialize(rest.join(hit.select("image"), "image", "left_anti"))
 
-    take(rest.join(s, F.col("stem") == F.col("slug")), "exact")
-    two = rest.filter("prev is not null").select("image", F.posexplode(F.array("last", "prev")).alias("at", "cand")).join(s, F.col("cand") == F.col("slug"))
-    take(two.groupBy("image").agg(F.min_by("slug", "at").alias("slug")), "parts")
+    whole = rest.select("image", F.posexplode(F.array("stem", "last", "prev")).alias("at", "cand")).join(s, F.col("cand") == F.col("slug"))
+    take(whole.groupBy("image").agg(F.min(F.struct("at", "slug")).alias("b")).select("image", "b.*"), F.when(F.col("at") == 0, "exact").otherwise("parts"))
     if skus is not None:
         code = F.regexp_extract(F.upper(F.substring_index("image", "/", -1)), r"^([A-Z0-9]{6,12})[_\-.]", 1)
         take(rest.withColumn("sku", code).join(skus.select("sku", "slug"), "sku"), "sku")
-    held = inside(rest.select(F.col("last").alias("key")), s.select(F.col("slug").alias("key"))).groupBy(F.col("ks").alias("last")).agg(F.min("kl").alias("slug"))
-    take(rest.join(held, "last"), "containment")
-    t = token_matches(rest.select(F.col("last").alias("id"), F.col("last").alias("key")).distinct(), s.select(F.col("slug").alias("id"), F.col("slug").alias("key")))
-    take(rest.join(t.select(F.col("lid").alias("last"), F.col("rid").alias("slug")), "last"), "tokens")
-    if fuzzy:
-        f = close_matches(rest.select(F.col("last").alias("id"), F.col("last").alias("key")).distinct(), s.select(F.col("slug").alias("id"), F.col("slug").alias("key")))
-        take(rest.join(f.select(F.col("lid").alias("last"), F.col("rid").alias("slug")), "last"), "ratio")
+    last = lambda: rest.select(F.col("last").alias("id"), F.col("last").alias("key")).distinct()
+    theirs = s.select(F.col("slug").alias("id"), F.col("slug").alias("key"))
+    stages = [("containment", lambda: inside(last().select("key"), s.select(F.col("slug").alias("key"))).groupBy(F.col("ks").alias("last")).agg(F.min("kl").alias("slug")))]
+    for stage, match in (("tokens", token_matches), *((("ratio", close_matches),) if fuzzy else ())):
+        stages.append((stage, lambda match=match: match(last(), theirs).select(F.col("lid").alias("last"), F.col("rid").alias("slug"))))
+    for stage, found in stages:
+        if rest.isEmpty():
+            break
+        take(rest.join(found(), "last"), stage)
     return out
 
 

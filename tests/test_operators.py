@@ -324,6 +324,32 @@ def test_cascade_computes_stems_once(spark, monkeypatch):
     assert written[0] == ["image", "stem"]
 
 
+def test_cascade_skips_what_has_nothing_to_do(spark, monkeypatch):
+    """Stages without hits rewrote all images, and grams were made of each slug even if no key left was near its length."""
+    written, write = [], resolve.materialize
+    monkeypatch.setattr(resolve, "materialize", lambda d: written.append(d.columns) or write(d))
+    slugs = [("blue-cap",), ("red-mug",), ("mossy-anchor",), ("\u00e9t\u00e9-" + "long-" * 9,)]
+    images = [("a__red-mug.png",), ("red-mug__z.png",), ("red-mug__blue-cap.png",), ("red-mug.jpg",), ("anchor-mossy_1.jpg",), ("mossy-anchro.jpg",)]
+    got = resolve.attribute_images(spark.createDataFrame(images, "image string"), spark.createDataFrame(slugs, "slug string"))
+    want = [("a__red-mug.png", "red-mug", "parts"), ("red-mug__z.png", "red-mug", "parts"), ("red-mug__blue-cap.png", "blue-cap", "parts"), ("red-mug.jpg", "red-mug", "exact"), ("anchor-mossy_1.jpg", "mossy-anchor", "tokens"), ("mossy-anchro.jpg", "mossy-anchor", "tokens")]
+    assert rows(got, "image", "slug", "stage") == sorted(want, key=str)
+    assert sum("stem" in c for c in written) == 3 and not any("gkr" in c for c in written)
+    kept = []
+    monkeypatch.setattr(resolve, "materialize", lambda d: (lambda w: kept.append((d.columns, w.count())) or w)(write(d)))
+    near = resolve.close_matches(spark.createDataFrame([(1, "mosy-anchor")], "id int, key string"), spark.createDataFrame([(i, k) for i, (k,) in enumerate(slugs)], "id int, key string"))
+    assert [(r["lid"], r["rid"]) for r in near.collect()] == [(1, 2)] and {c[0]: n for c, n in kept}["kr"] == 1
+
+
+def test_containment_of_bytes_and_of_many_short_keys(spark, monkeypatch):
+    texts = ["caf\u00e9-noir", "\u00e9t\u00e9 blanc", "na\u00efve \U0001f600 hat", "hat", "a", "", "x" * 40, "xx\u00e9" * 9]
+    keys = ["\u00e9", "\u00e9-", "t\u00e9", "\U0001f600", "hat", "a", "xxxxxxxxxxxx", "x\u00e9xx\u00e9xx\u00e9x", "\u00e8", ""]
+    k, t = spark.createDataFrame([(x,) for x in [*keys, None]], "key string"), spark.createDataFrame([(x,) for x in [*texts, None]], "key string")
+    want = sorted((x, y) for x in keys for y in texts if x and x in y)
+    assert sorted(map(tuple, resolve.inside(k, t).collect())) == want
+    monkeypatch.setattr(resolve, "FEW", 0)
+    assert sorted(map(tuple, resolve.inside(k, t).collect())) == want
+
+
 def test_replaced_table_survives_a_crash(spark, tmp_path):
     path = str(tmp_path / "t")
     writers.replace_table(spark.range(2), path)
