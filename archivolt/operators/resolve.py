@@ -226,6 +226,15 @@ def _sets(t):
     return F.aggregate(t, none, lambda out, x: F.concat(out, F.transform(F.filter(out, lambda o: o["k"] < most), more(x))))
 
 
+#: Bytes of the tokens that both sides know, 64 a row added, up to which they are broadcast.
+SENT = 8 << 20
+
+
+def _shuffled(d: DataFrame) -> DataFrame:
+    """d as a side of a join that is not broadcast: Spark goes by the size of the files, and rows exploded from them are many times that."""
+    return d.hint("merge")
+
+
 def token_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """(lid, rid, score): the best right key sharing a strong token or with token Jaccard at the floor; the smaller id wins ties.
 
@@ -234,7 +243,8 @@ def token_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     aggregation; the best of a left key over all sets of its tokens is its best match, as the set that both share
     is among them. Only tokens that both sides know form sets. Keys with more than WHOLE of these have
     sets of up to three tokens; what such a key shares with another beyond that is counted pair by pair, for pairs
-    that share three. Null keys and keys without tokens match nothing.
+    that share three. Null keys and keys without tokens match nothing. Joins are shuffled but for
+    that of up to SENT bytes of tokens, so the driver holds none of the sets.
     """
     spark = right.sparkSession
     a = materialize(left.select(F.col("id").alias("lid"), F.array_sort(urls.tokens(F.col("key"))).alias("t")).filter(F.size("t") > 0).distinct().withColumn("o", F.monotonically_increasing_id()))
@@ -242,27 +252,28 @@ def token_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 10)  # so that the numbers, which keep the ids' order, have 43 bits
     b = materialize(b.repartitionByRange(parts, F.asc_nulls_first("rid")).sortWithinPartitions(F.asc_nulls_first("rid")).withColumn("o", F.monotonically_increasing_id()))
     word = lambda d: d.select("o", F.size("t").alias("n"), F.explode("t").alias("tok"))
-    both = materialize(word(a).select("tok").distinct().join(word(b).select("tok").distinct(), "tok"))
-    known = lambda d: materialize(word(d).join(both, "tok").groupBy("o", "n").agg(F.array_sort(F.collect_list("tok")).alias("t")))
+    both = materialize(word(a).select("tok").distinct().join(_shuffled(word(b).select("tok").distinct()), "tok"))
+    few = (both.agg(F.sum(F.octet_length("tok") + 64)).first()[0] or 0) <= SENT
+    known = lambda d: materialize(word(d).join(F.broadcast(both) if few else _shuffled(both), "tok").groupBy("o", "n").agg(F.array_sort(F.collect_list("tok")).alias("t")))
     ka, kb = known(a), known(b)
     every = lambda d: d.select("o", "n", F.explode(_sets(F.col("t"))).alias("s")).select("o", "n", "s.*").filter("k > 0")
     # a set without a strong token counts from the floor up, which bounds its size
     sets = lambda d: every(d).filter(F.col("strong") | (F.col("k") >= FLOOR * F.col("n") - 1e-9))
     best = sets(kb).groupBy("h", "c", "k").agg(F.min(F.shiftleft(F.col("n").cast("long"), 43).bitwiseOR(F.col("o"))).alias("b"))
     score = F.col("k") / (F.col("n") + F.col("m") - F.col("k"))
-    got = sets(ka).join(best, ["h", "c", "k"]).select("o", "n", "k", "strong", F.shiftright("b", 43).alias("m"), F.col("b").bitwiseAND(F.lit((1 << 43) - 1)).alias("r")).withColumn("score", score)
+    got = sets(ka).join(_shuffled(best), ["h", "c", "k"]).select("o", "n", "k", "strong", F.shiftright("b", 43).alias("m"), F.col("b").bitwiseAND(F.lit((1 << 43) - 1)).alias("r")).withColumn("score", score)
     got = got.filter(F.col("strong") | (F.col("score") >= FLOOR)).select("o", "r", "score")
     la, lb = (d.filter(F.size("t") > WHOLE) for d in (ka, kb))
     three = lambda d, o="o": every(d).filter("k = 3").select("h", "c", F.col("o").alias(o))
     for x, y in ((la, kb), (ka, lb)):
         if x.isEmpty() or y.isEmpty():
             continue
-        pairs = three(x).join(three(y, "r"), ["h", "c"]).select("o", "r").distinct()
-        pairs = pairs.join(x, "o").join(y.select(F.col("o").alias("r"), F.col("n").alias("m"), F.col("t").alias("u")), "r").withColumn("t", F.array_intersect("t", "u")).withColumn("k", F.size("t")).withColumn("score", score)
+        pairs = three(x).join(_shuffled(three(y, "r")), ["h", "c"]).select("o", "r").distinct()
+        pairs = pairs.join(_shuffled(x), "o").join(_shuffled(y.select(F.col("o").alias("r"), F.col("n").alias("m"), F.col("t").alias("u"))), "r").withColumn("t", F.array_intersect("t", "u")).withColumn("k", F.size("t")).withColumn("score", score)
         got = got.unionByName(pairs.filter(F.exists("t", lambda w: F.length(w) >= STRONG) | (F.col("score") >= FLOOR)).select("o", "r", "score"))
     top = got.groupBy("o").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("r"))).alias("b"))
-    top = top.join(a.select("o", "lid"), "o").groupBy("lid").agg(F.min("b").alias("b")).select("lid", F.col("b.r").alias("o"), F.round(-F.col("b.s"), 6).alias("score"))
-    return top.join(b.select("o", "rid"), "o").select("lid", "rid", "score")
+    top = top.join(_shuffled(a.select("o", "lid")), "o").groupBy("lid").agg(F.min("b").alias("b")).select("lid", F.col("b.r").alias("o"), F.round(-F.col("b.s"), 6).alias("score"))
+    return top.join(_shuffled(b.select("o", "rid")), "o").select("lid", "rid", "score")
 
 
 def _numbered(keys: pa.Array) -> pa.Array:

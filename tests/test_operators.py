@@ -313,6 +313,23 @@ def test_token_matches_by_sets(spark):
     assert len(sets(*(f"{i:02d}" for i in range(13)))) == 1 + 13 + 78 + 286
 
 
+def test_token_matches_broadcast_no_sets(spark, monkeypatch):
+    """Files of keys are small, the sets exploded from them are not: broadcast by the files' size they filled the driver."""
+    plans, write = [], resolve.materialize
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(resolve, "materialize", lambda d: plans.append(plan(d)) or write(d))
+    long = " ".join(f"w{i}" for i in range(14))
+    left = spark.createDataFrame([(1, "hooded parka black"), (2, f"{long} q")], "id int, key string")
+    right = spark.createDataFrame([("a", "parka"), ("b", long)], "id string, key string")
+    for most, sent in ((resolve.SENT, 2), (0, 0)):  # only the tokens, once a side, and not many of them
+        monkeypatch.setattr(resolve, "SENT", most)
+        plans.clear()
+        top = resolve.token_matches(left, right)
+        assert {tuple(r) for r in top.collect()} == {(1, "a", round(1 / 3, 6)), (2, "b", round(14 / 15, 6))}
+        plans.append(plan(top))
+        assert sum("SortMergeJoin" in p for p in plans) > 1 and sum("Broadcast" in p for p in plans) == sent and "Broadcast" not in plans[-1]
+
+
 def test_cascade_computes_stems_once(spark, monkeypatch):
     """The stem is a long expression; inlined into all stages it was planned and computed again for each."""
     written, write = [], resolve.materialize
